@@ -16,13 +16,26 @@ from pyspark.sql import functions as F
 from .common import saved, size_of
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lies between words, before A-Z are lower-cased.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The word that stands for a document itself: no text has it.
+MARK = "\0"
 #: A table of test terms goes to every executor up to this size of its file; beyond it, postings are shuffled to it by term.
 BROADCAST_BYTES = 16 << 20
 
 
+def cut(text: Column) -> Column:
+    """The words of a text in their own case; the first or the last may be empty, where the text begins or ends between words."""
+    return F.split(F.coalesce(text, F.lit("")), BETWEEN)
+
+
+def lowered(word: Column) -> Column:
+    """A-Z lower-cased and nothing else; the translation, slow, is left to the few words beyond ASCII that need it."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).when(word.rlike("[A-Z]"), F.translate(word, UPPER, LOWER)).otherwise(word)
+
+
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    return F.transform(F.filter(cut(text), lambda w: w != ""), lowered)
 
 
 def phrases(benchmark: DataFrame, width: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -39,9 +52,9 @@ def small(table: DataFrame) -> DataFrame:
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """(doc, key, pos, term, w): every word of every document; at pos -1 a word that no text has stands for the document itself."""
-    held = docs.select("doc", "key", F.concat(F.array(F.lit("")), words(F.col("text"))).alias("w"))
-    return held.select("doc", "key", "w", F.posexplode("w").alias("p", "term")).select("doc", "key", "w", (F.col("p") - 1).alias("pos"), "term")
+    """(doc, key, pos, term, w): every word of every document; at pos -1 the mark stands for the document itself."""
+    held = docs.select("doc", "key", F.concat(F.array(F.lit(MARK)), cut(F.col("text"))).alias("w"))
+    return held.select("doc", "key", "w", F.posexplode("w").alias("p", "raw")).select("doc", "key", "w", (F.col("p") - 1).alias("pos"), lowered(F.col("raw")).alias("term"))
 
 
 def phrase_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 0, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -59,21 +72,24 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: in
     ranked = ranked.groupBy("pid").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "off", "term"))), 1, 2).alias("rare")).where("rare[0].df > 0")
     plan = saved(ranked.join(phrase, "pid").select("pid", "phrase", "items", "n", F.col("rare")[0].alias("first"), F.try_element_at("rare", F.lit(2)).alias("second")), "plan")
     firsts = plan.select(F.col("first.term").alias("term"))
-    wanted = saved(firsts.unionByName(plan.where("second is not null").select(F.col("second.term").alias("term"))).distinct().unionByName(docs.sparkSession.sql("select '' AS term")), "wanted")
+    wanted = saved(firsts.unionByName(plan.where("second is not null").select(F.col("second.term").alias("term"))).distinct().unionByName(docs.sparkSession.range(1).select(F.lit(MARK).alias("term"))), "wanted")
 
     # the stored postings, with the words about each and, for the document itself, their number
     around = F.when(F.col("pos") >= 0, F.slice("w", F.greatest(F.col("pos") + 3 - width, F.lit(2)), F.lit(2 * width - 1)))
-    found = tokens(docs).join(small(wanted), "term").select("term", "doc", "key", "pos", around.alias("near"), F.when(F.col("pos") < 0, F.size("w").cast("long") - 1).alias("n_words"))
+    empty = (F.element_at("w", 2) == "").cast("long") + ((F.size("w") > 2) & (F.element_at("w", -1) == "")).cast("long")
+    n_words = F.size("w").cast("long") - 1 - empty
+    found = tokens(docs).join(small(wanted), "term").select("term", "doc", "key", "pos", around.alias("near"), F.when(F.col("pos") < 0, n_words).alias("n_words"))
     postings = saved(found, "postings")
     per_doc = postings.where("pos < 0").select("doc", "key", "n_words")
     lists = postings.where("pos >= 0")
 
     rarest = plan.select("pid", "phrase", "items", "n", F.col("first.term").alias("term"), F.col("first.off").alias("off"), F.col("second.term").alias("term2"), F.col("second.off").alias("off2"))
     one = lists.join(small(saved(rarest, "rarest")), "term").withColumn("start", F.col("pos") - F.col("off"))
-    text_at = F.slice("near", F.when(F.col("pos") >= F.lit(width - 1), F.lit(width)).otherwise(F.col("pos") + 1) - F.col("off"), F.col("n"))
-    begins = F.col("start") >= 0
+    own = F.when(F.col("pos") >= F.lit(width - 1), F.lit(width)).otherwise(F.col("pos") + 1)  # the term's place in near
+    text_at = F.transform(F.slice("near", F.greatest(own - F.col("off"), F.lit(1)), F.col("n")), lowered)
     # the second list at its offset: both lists' context holds it, so that the intersection needs no second shuffle
-    second = F.col("term2").isNull() | (F.try_element_at("near", F.when(F.col("pos") >= F.lit(width - 1), F.lit(width)).otherwise(F.col("pos") + 1) - F.col("off") + F.col("off2")) == F.col("term2"))
+    second = F.col("term2").isNull() | (lowered(F.try_element_at("near", F.greatest(own - F.col("off") + F.col("off2"), F.lit(1)))) == F.col("term2"))
+    begins = F.col("start") >= 0
     exact = one.where(begins).where(second).where(text_at == F.col("phrase")).select("doc", "key", "start", "n", "items", F.lit(True).alias("exact"))
     if not slop:
         return exact, per_doc
