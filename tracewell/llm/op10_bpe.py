@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,10 @@ from .common import in_pieces
 
 #: Fixed value: the pre-tokenizer's pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same words in ASCII text, where the standard library is faster.
+ASCII_PATTERN = r" ?[A-Za-z]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
 #: Of the words that a worker keeps: bytes at most, after which it starts anew.
-KEPT_BYTES = 24 << 20
+KEPT_BYTES = 120 << 20
 
 
 def byte_chars() -> dict[int, str]:
@@ -38,14 +41,13 @@ class ByteBPE:
     def __init__(self, definition: dict):
         vocab, merges = definition["model"]["vocab"], definition["model"]["merges"]
         self.added = {t["content"]: t["id"] for t in definition.get("added_tokens", [])}
-        self.added_id = {v: k.encode() for k, v in self.added.items()}
         chars = byte_chars()
         to_byte = {c: b for b, c in chars.items()}
-        self.byte_ids = np.array([vocab[chars[b]] for b in range(256)], np.int64)
+        self.byte_ids = np.array([vocab[chars[b]] for b in range(256)], np.int32)
         self.width = max([*vocab.values(), *self.added.values()]) + 1
         pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
         keys = np.array([vocab[a] * self.width + vocab[b] for a, b in pairs], np.int64)
-        new = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        new = np.array([vocab[a + b] for a, b in pairs], np.int32)
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank_of, self.new_of_rank = keys[order], order, new
         texts = [b""] * self.width
@@ -56,50 +58,61 @@ class ByteBPE:
         lengths = np.array([len(t) for t in texts], np.int64)
         self.token_bytes, self.token_len = np.frombuffer(b"".join(texts), np.uint8), lengths
         self.token_at = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        self.words: dict[str, tuple[str, np.ndarray]] = {}
-        self.ids_of: dict[str, list[int]] = {}
+        self.ids_of: dict[str, bytes] = {}
         self.text_of: dict[str, str] = {}
         self.kept = 0
-        self.split = regex.compile(PATTERN).findall
+        self.split_any, self.split_ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word, all words merged together round by round."""
-        data = np.frombuffer(b"".join(words), np.uint8)
-        sym, word = self.byte_ids[data], np.repeat(np.arange(len(words)), [len(w) for w in words])
-        done: list[tuple[np.ndarray, np.ndarray]] = []
-        none = len(self.rank_of)
-        while len(sym) > 1:
-            pair = sym[:-1] * self.width + sym[1:]
-            at = np.minimum(np.searchsorted(self.keys, pair), none - 1)
-            rank = np.where((self.keys[at] == pair) & (word[:-1] == word[1:]), self.rank_of[at], none)
-            rank = np.append(rank, none)
-            first = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
-            length = np.diff(np.append(first, len(sym)))
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, or the number of merges where it has none: binary search in the sorted keys."""
+        pair = left.astype(np.int64) * self.width + right
+        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        return np.where(self.keys[at] == pair, self.rank_of[at], len(self.keys)).astype(np.int32)
+
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and where each word's begin; all are merged together round by round."""
+        data, none = np.frombuffer(b"".join(words), np.uint8), np.int32(len(self.keys))
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        sym, word = self.byte_ids[data], np.arange(len(words), dtype=np.int32)
+        rank = np.append(self.ranks(sym[:-1], sym[1:]), none)
+        rank[np.cumsum(length) - 1] = none  # the last symbol of a word has no pair
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(word):
+            first = np.cumsum(length) - length
             best = np.minimum.reduceat(rank, first)
-            live = np.repeat(best < none, length)
+            live = best < none
             if not live.all():
-                done.append((word[~live], sym[~live]))
-                sym, word, rank, best = sym[live], word[live], rank[live], best[best < none]
-                length = np.diff(np.append(np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1]), len(sym))) if len(sym) else length[:0]
-                if not len(sym):
+                each = np.repeat(live, length)
+                done.append((word[~live], length[~live], sym[~each]))
+                word, length, best, sym, rank = word[live], length[live], best[live], sym[each], rank[each]
+                if not len(word):
                     break
-            hit = rank == np.repeat(best, length)
-            where = np.flatnonzero(hit)
-            if len(where) > 1 and (np.diff(where) == 1).any():  # in a row of hits every second one merges
-                row = np.concatenate([[0], np.flatnonzero(np.diff(where) != 1) + 1])
-                nth = np.arange(len(where)) - np.repeat(row, np.diff(np.append(row, len(where))))
-                where = where[nth % 2 == 0]
-            sym = sym.copy()
+                first = np.cumsum(length) - length
+            where = np.flatnonzero(rank == np.repeat(best, length))
+            near = np.diff(where) == 1
+            if near.any():  # in a row of hits every second one merges
+                row = np.concatenate([[0], np.flatnonzero(~near) + 1])
+                where = where[(np.arange(len(where)) - np.repeat(row, np.diff(np.append(row, len(where))))) % 2 == 0]
             sym[where] = self.new_of_rank[rank[where]]
+            rank[where] = rank[where + 1]  # none if the pair was a word's last
             keep = np.ones(len(sym), bool)
             keep[where + 1] = False
-            sym, word = sym[keep], word[keep]
-        done.append((word, sym))
-        word, sym = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
-        order = np.argsort(word, kind="stable")
-        cuts = np.searchsorted(word[order], np.arange(1, len(words)))
-        return np.split(sym[order], cuts)
+            length = length - np.bincount(np.searchsorted(first, where, "right") - 1, minlength=len(word))
+            sym, rank = sym[keep], rank[keep]
+            now = where - np.arange(len(where))
+            ends = np.zeros(len(sym), bool)
+            ends[np.cumsum(length) - 1] = True
+            for at in (now, now[now > 0] - 1):  # only pairs beside a merge have a new rank
+                at = at[~ends[at]]
+                rank[at] = self.ranks(sym[at], sym[at + 1])
+            rank[ends] = none
+        word, length = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
+        sym = np.concatenate([d[2] for d in done])
+        begin = (np.cumsum(length) - length)[order := np.argsort(word)]
+        length = length[order]
+        out = np.cumsum(length) - length
+        return sym[np.arange(len(sym)) + np.repeat(begin - out, length)], np.append(out, len(sym))
 
     def learn(self, words: set[str]) -> None:
         """Merges the words that are not known yet, in groups of about a MB."""
@@ -114,10 +127,14 @@ class ByteBPE:
                 group.append(new[at])
                 size += len(new[at])
                 at += 1
-            for w, ids in zip(group, self.merge([w.encode() for w in group]), strict=True):
-                ids = ids.tolist()
-                self.ids_of[w], self.text_of[w] = ids, ",".join(map(str, ids))
-                self.kept += len(w) * 2 + 100
+            ids, begin = self.merge([w.encode() for w in group])
+            raw, names, begin = ids.astype("<i4").tobytes(), list(map(str, ids.tolist())), begin.tolist()
+            for w, a, z in zip(group, begin, begin[1:], strict=False):
+                self.ids_of[w], self.text_of[w] = raw[4 * a : 4 * z], ",".join(names[a:z])
+            self.kept += 350 * len(group) + 3 * size + 12 * len(ids)
+
+    def split(self, text: str) -> list[str]:
+        return (self.split_ascii if text.isascii() else self.split_any)(text)
 
     def pieces(self, text: str) -> list[str]:
         """The words of a text, special tokens as words of their own."""
@@ -133,11 +150,11 @@ class ByteBPE:
         split = [self.pieces(t) if t else [] for t in texts]
         self.learn(set().union(*split))
         for t, i in self.added.items():
-            self.ids_of[t], self.text_of[t] = [i], str(i)
+            self.ids_of[t], self.text_of[t] = np.array([i], "<i4").tobytes(), str(i)
         out = []
         for words in split:
             joined = ",".join([self.text_of[w] for w in words])
-            out.append((np.array([i for w in words for i in self.ids_of[w]], np.int32), joined))
+            out.append((np.frombuffer(b"".join([self.ids_of[w] for w in words]), "<i4"), joined))
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
