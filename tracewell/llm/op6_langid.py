@@ -130,7 +130,10 @@ def predict(model: dict, column: pa.Array) -> tuple[list[str], np.ndarray]:
 def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> dict:
     """Trains on the driver from at most `sample` labelled rows, of at most 64 MB of text together (beyond that, from those of them that are no longer than their share of it)."""
     rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col), F.lit(1)).alias("o"), F.col(text_col).alias("t"), F.col(label_col).alias("l"))
-    picked = saved(rows.orderBy("o", F.xxhash64("t")).limit(sample), "sample")
+    labelled = docs.where(F.col(label_col).isNotNull()).count()
+    cut = int((min(1.0, 2 * sample / max(1, labelled)) - 0.5) * (2**64 - 1))  # leaves about twice as many, so that no task gathers more
+    near = rows.where(F.col("o") <= F.lit(max(-(2**63), min(2**63 - 1, cut))))
+    picked = saved(near.orderBy("o", F.xxhash64("t")).limit(sample), "sample")
     got = picked.collect() if (picked.agg(F.sum(F.octet_length("t"))).first()[0] or 0) <= 64 << 20 else picked.where(F.octet_length("t") <= (64 << 20) // sample).collect()
     return train([r["t"] for r in got], [r["l"] for r in got])
 
@@ -142,7 +145,7 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", keep: list[st
     inner = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in in_pieces(batches, "t", 4 << 20):
+        for b in in_pieces(batches, "t", 1 << 20):
             names, score = predict(held.value, b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["row", "lang_pred", "score"])
 
