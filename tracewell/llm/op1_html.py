@@ -1,9 +1,9 @@
 """HTML extraction with a site style tree.
 
-The pages of a host are merged into one tree: a node is a path of elements (tag, class and id, digits as 0), and holds what all pages of the host show there.
-A node's importance comes from entropy. Content: a text that many of the node's pages share says little, one of its own says much; over all distinct texts of a node the mean of 1 - log(pages with it) / log(pages of the node). Presentation: the entropy of the different sequences of children, to the base of the node's pages. A node with children of its own combines both.
-Branches of low importance are removed from every page; so are elements whose tag, role, class or id names what is not the article (menus, headers outside it, footers, sidebars, notices, adverts, forms, comments, scripts, styles).
-The nodes of an article or main element keep what is theirs, unless named so. Hosts with few pages say little about themselves; there, only names count.
+The pages of a host are merged into one tree: a node is a path of elements (tag, class, id and role, digits as 0), and holds what all pages of the host show there.
+A node's importance comes from entropy. Content: a text that many of the node's pages share says little, one of its own says much; over all distinct texts of a node the mean of 1 - log(pages with it) / log(pages of the node). Presentation: the entropy of the different sequences of children, to the base of the node's pages. A node with children of its own combines both; on a host with few pages entropy says nothing, and every node counts as fully important.
+That is weighed by what the node's names say: it counts a fifth where a tag, role, class or id on the way names what is not the article (menus, headers outside it, footers, sidebars, notices, adverts, forms, comments), and no less than a half within an article or main element otherwise.
+Branches whose weighed importance is low are removed from every page of the host. Scripts, styles and other elements without text never enter the tree.
 
 Only digests of texts and counts leave a page for the tree; the pages are read once for the tree and once for their text.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import in_pieces, saved, size_of
 
-#: A branch goes below this importance, on hosts with at least so many pages.
+#: A branch goes below this weighed importance; entropy counts on hosts with at least so many pages.
 LEAST_IMPORTANCE, LEAST_PAGES = 0.35, 8
 #: The table of removed branches goes to every executor up to this size of its file; beyond it, pages are shuffled to it by host.
 BROADCAST_BYTES = 8 << 20
@@ -45,7 +45,7 @@ DIGITS = re.compile(r"\d+")
 def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
     """The text blocks of a page in order: path, whether a name marks it as noise, whether it is in an article, text with its references decoded."""
     out: list[tuple[str, bool, bool, str]] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, noise, protected
+    stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, True)]  # tag, path, noise, protected, whether it is a block
     held: list[str] = []
     at, n = 0, len(page)
 
@@ -54,11 +54,11 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
-                _, path, noise, kept = next(s for s in reversed(stack) if s[0] not in INLINE)
+                _, path, noise, kept, _ = next(s for s in reversed(stack) if s[4])
                 out.append((path, noise, kept, text))
 
     def pop(to: int) -> None:
-        if any(s[0] not in INLINE for s in stack[to:]):
+        if any(s[4] for s in stack[to:]):
             flush()
         del stack[to:]
 
@@ -113,7 +113,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
             at = end.end() if end else n
             continue
         if tag in INLINE and "=" not in m[3]:
-            stack.append((tag, stack[-1][1], stack[-1][2], stack[-1][3]))
+            stack.append((tag, *stack[-1][1:4], False))
             continue
         name, noise = tag, stack[-1][2]
         protected = stack[-1][3]
@@ -122,20 +122,23 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
             if key == "role":
                 noise |= value.strip().lower() in NOISE_ROLES
                 protected |= value.strip().lower() == "main"
+                name += f"[{value.strip().lower()}]"
             elif key == "hidden":
                 noise = True
+                name += "[hidden]"
             else:
                 if tag not in ("html", "body", "article", "main"):
                     noise |= bool(NOISE_NAME.search(value))
                 name += ("." if key == "class" else "#") + DIGITS.sub("0", value.strip())
         if tag in INLINE:
-            stack.append((tag, stack[-1][1], noise, protected))
-            if noise and not stack[-2][2]:
-                stack[-1] = ("x-" + tag, stack[-2][1] + ">" + name, noise, protected)
+            apart = noise and not stack[-1][2]  # a block of its own, so that it can go alone
+            if apart:
+                flush()
+            stack.append((tag, stack[-1][1] + (">" + name if apart else ""), noise, protected, apart))
             continue
         noise |= tag in NOISE_TAGS or tag == "header" and not protected
         protected |= tag in PROTECT
-        stack.append((tag, stack[-1][1] + ">" + name, noise, protected))
+        stack.append((tag, stack[-1][1] + ">" + name, noise, protected, True))
     flush()
     return out
 
@@ -145,53 +148,51 @@ def digest(text: str) -> int:
 
 
 def features(host_of: str, html_col: str, pages: DataFrame) -> DataFrame:
-    """(host, path, kind, digest): what each page shows at each node; once for a page. Kind 0 is the page itself, 1 a text, 2 a sequence of children."""
+    """(host, path, kind, digest, prior): what each page shows at each node; once for a page. Kind 0 is the page itself, 1 a text, 2 a sequence of children; prior is what the names on the path say."""
     src = pages.select(F.expr(host_of).alias("host"), F.col(html_col).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_pieces(batches, "t", 8 << 20):
-            host, path, kind, dig = [], [], [], []
+            rows: list[tuple[str, str, int, int, int]] = []
             for h, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if not page:
                     continue
-                seen: set[tuple[str, int, int]] = set()
+                seen: dict[tuple[str, int, int], int] = {}
                 children: dict[str, list[str]] = {}
                 for p, noise, kept, text in blocks(page):
-                    if noise or kept:  # names have decided
-                        continue
-                    seen.add((p, 1, digest(text)))
+                    prior = -1 if noise else int(kept)
+                    seen[p, 1, digest(text)] = seen[p, 0, 0] = prior
                     parts = p.split(">")
                     for k in range(1, len(parts)):
-                        up = ">".join(parts[:k])
-                        kids = children.setdefault(up, [])
+                        kids = children.setdefault(">".join(parts[:k]), [])
                         if not kids or kids[-1] != parts[k]:
                             kids.append(parts[k])
-                        seen.add((up, 0, 0))
-                    seen.add((p, 0, 0))
-                seen |= {(up, 2, digest(" ".join(kids))) for up, kids in children.items()}
-                for p, k, d in seen:
-                    host.append(h)
-                    path.append(p)
-                    kind.append(k)
-                    dig.append(d)
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(kind, pa.int32()), pa.array(dig, pa.int64())], ["host", "path", "kind", "digest"])
+                for up, kids in children.items():
+                    seen[up, 2, digest(" ".join(kids))] = 0
+                rows += [(h, *k, v) for k, v in seen.items()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32()), strict=True)], ["host", "path", "kind", "digest", "prior"])
 
-    return src.mapInArrow(run, "host string, path string, kind int, digest long")
+    return src.mapInArrow(run, "host string, path string, kind int, digest long, prior int")
 
 
 def site_style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path, n_pages, importance): the merged trees of all hosts, without what names already decide."""
-    counts = features(host_sql(url_col), html_col, pages).groupBy("host", "path", "kind", "digest").agg(F.count("*").alias("n"))
+    """(host, path, n_pages, importance, weighed): the nodes with text of their own in the merged trees of all hosts."""
+    counts = features(host_sql(url_col), html_col, pages).groupBy("host", "path", "kind", "digest").agg(F.count("*").alias("n"), F.max("prior").alias("prior"))
     per_node = counts.groupBy("host", "path").agg(
         F.max(F.when(F.col("kind") == 0, F.col("n"))).alias("n_pages"),
         F.avg(F.when(F.col("kind") == 1, F.ln("n"))).alias("mean_log"),
         F.sum(F.when(F.col("kind") == 2, F.col("n") * F.ln("n"))).alias("style_nlogn"),
         F.sum(F.when(F.col("kind") == 2, F.col("n"))).alias("style_n"),
+        F.max(F.when(F.col("kind") == 0, F.col("prior"))).alias("prior"),
     )
     m = F.ln(F.col("n_pages").cast("double"))
-    content = F.when(F.col("n_pages") > 1, 1 - F.col("mean_log") / m)
-    style = F.when(F.col("n_pages") > 1, (F.ln("style_n") - F.col("style_nlogn") / F.col("style_n")) / m)
-    return per_node.select("host", "path", "n_pages", F.coalesce((content + style) / 2, content, style, F.lit(1.0)).alias("importance"), content.isNotNull().alias("has_text"))
+    content = 1 - F.col("mean_log") / m
+    style = (F.ln("style_n") - F.col("style_nlogn") / F.col("style_n")) / m
+    importance = F.when(F.col("n_pages") < LEAST_PAGES, F.lit(1.0)).otherwise(F.coalesce((content + style) / 2, content))
+    tree = per_node.where("n_pages IS NOT NULL").select("host", "path", "n_pages", "prior", importance.alias("importance"))
+    weighed = F.when(F.col("prior") < 0, F.col("importance") / 5).when(F.col("prior") > 0, F.greatest("importance", F.lit(0.5))).otherwise(F.col("importance"))
+    return tree.select("host", "path", "n_pages", "importance", weighed.alias("weighed"))
 
 
 def host_sql(url_col: str) -> str:
@@ -202,7 +203,7 @@ def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     """The kept columns of each page with text and n_chars."""
     keep = [c for c in pages.columns if c != html_col] if keep is None else keep
     tree = site_style_tree(pages, url_col, html_col)
-    low = tree.where((F.col("n_pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE) & F.col("has_text"))
+    low = tree.where(F.col("weighed") < LEAST_IMPORTANCE)
     low = saved(low.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("low")), "branches")
     low = F.broadcast(low) if size_of(low) <= BROADCAST_BYTES else low
     src = pages.select(F.struct(*keep).alias("row"), F.expr(host_sql(url_col)).alias("host"), F.col(html_col).alias("t")).join(low, "host", "left").select("row", "t", "low")
@@ -211,10 +212,8 @@ def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html",
         for b in in_pieces(batches, "t", 8 << 20):
             texts = []
             for page, gone in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                gone = tuple(gone or ())
-                drop = set(gone)
-                under = tuple(g + ">" for g in gone)
-                texts.append("\n".join(t for p, noise, kept, t in blocks(page or "") if not noise and (kept or not (p in drop or under and p.startswith(under)))))
+                drop = set(gone or ())
+                texts.append("\n".join(t for p, _, _, t in blocks(page or "") if p not in drop))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["row", "text", "n_chars"])
 
     kind = src.schema["row"].dataType.simpleString()
