@@ -153,7 +153,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     signed_docs = saved(src.mapInArrow(sign, f"i {kind}, set_key long, n_shingles long, sig binary"), "signatures")
     usable = signed_docs.where("i IS NOT NULL AND n_shingles > 0")
     classes = saved(usable.groupBy("set_key").agg(F.min("i").cast("long").alias("c"), F.first("sig").alias("sig")), "classes")
-    members = usable.join(classes.select("set_key", "c"), "set_key").select(F.col("i").cast("long").alias("a"), F.col("c").alias("b"))
+    members = usable.join(classes.select("set_key", "c").hint("merge"), "set_key").select(F.col("i").cast("long").alias("a"), F.col("c").alias("b"))
     candidates = saved(candidate_links(classes, percent / 100 - MARGIN), "candidates")
     held = saved(components(candidates).select(F.col("node").alias("c"), F.col("component").alias("g")), "groups")
     links = confirmed_links(src, held, shingle, percent)
@@ -208,14 +208,15 @@ def candidate_links(classes: DataFrame, least: float) -> DataFrame:
     rows = "node long, tree int, c long, sketch binary"
     now, depth, links = classes.select("c", "sig").mapInArrow(walk(DEPTH, False), rows), DEPTH, None
     while True:
+        # these joins are merges at every size: what is joined grows with the documents
         sizes = now.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         sizes = saved(sizes.withColumn("big", F.col("n") > SMALL), f"nodes{depth}")
-        small = now.join(sizes.where("NOT big").select("node"), "node").select("node", "c", "sketch").repartition("node").sortWithinPartitions("node", "c")
+        small = now.join(sizes.where("NOT big").select("node").hint("merge"), "node").select("node", "c", "sketch").repartition("node").sortWithinPartitions("node", "c")
         got = small.mapInArrow(compare, "a long, b long")
         links = got if links is None else links.unionByName(got)
         if not sizes.where("big").limit(1).count():
             return links.distinct()
-        big = now.join(sizes.where("big").select("node"), "node")
+        big = now.join(sizes.where("big").select("node").hint("merge"), "node")
         if depth >= LAST_DEPTH:
             big = saved(big.select("node", "c"), "together")
             least_c = saved(big.groupBy("node").agg(F.min("c").alias("b")), "least")
@@ -227,7 +228,7 @@ def candidate_links(classes: DataFrame, least: float) -> DataFrame:
 
 def confirmed_links(docs: DataFrame, held: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(a, b): links between documents of a candidate component that hold on their full sets, enough to join what is linked."""
-    texts = docs.select(F.col("i").cast("long").alias("c"), "t").join(held, "c")
+    texts = docs.select(F.col("i").cast("long").alias("c"), "t").join(held.hint("merge"), "c")
     sizes = saved(held.groupBy("g").agg(F.count("*").alias("size")).withColumn("large", F.col("size") > BLOCK), "sizes")
     out = "a long, b long"
 
