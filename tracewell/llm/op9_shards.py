@@ -81,17 +81,19 @@ def shards(docs: DataFrame, key: int = 20_240_101, length: int = LENGTH, per_sha
 
     def out(slots, owners, numbers, texts) -> pa.RecordBatch:
         slot = feistel(np.concatenate(slots), n, key)
-        return pa.RecordBatch.from_arrays([pa.array(slot // per_shard, pa.int32()), pa.array(slot), pa.array(owners, pa.int64()), pa.array(numbers, pa.int32()), pa.array(texts, pa.binary())], ["shard", "slot", "i", "seq", "t"])
+        return pa.RecordBatch.from_arrays([pa.array(slot // per_shard, pa.int32()), pa.array(slot), pa.array(owners, pa.int64()), pa.array(numbers, pa.int32()), pa.array(map(len, texts), pa.int32()), pa.array([pa.compress(t, "zstd", asbytes=True) if t else b"" for t in texts], pa.binary())], ["shard", "slot", "i", "seq", "size", "t"])
 
     dealt = src.select("bucket", "i", "t", "h").repartition("bucket").sortWithinPartitions("bucket", "i", "h").select("bucket", "i", "t")
-    rows = dealt.mapInArrow(sequences, "shard int, slot long, i long, seq int, t binary")
+    rows = dealt.mapInArrow(sequences, "shard int, slot long, i long, seq int, size int, t binary")  # packed, as much is shuffled
     ranged = rows.repartitionById(max(1, -(-n // per_shard)), F.col("shard")).sortWithinPartitions("shard", "slot")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             shard, slot = b.column(0).to_numpy(), b.column(1).to_numpy()
             starts = sorted({0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), *range(0, b.num_rows, CHUNK)})
-            data, off = flat(b.column(4))
+            sizes = b.column(4).to_pylist()
+            data = np.frombuffer(b"".join([pa.decompress(t, n, "zstd", asbytes=True) for t, n in zip(b.column(5).to_pylist(), sizes, strict=True) if n]), np.uint8)
+            off = np.append(0, np.cumsum(sizes))
             for s, e in zip(starts, [*starts[1:], b.num_rows], strict=True):
                 if e <= s:
                     continue
