@@ -335,7 +335,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     total = src.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n_buckets = max(48, -(-total // BUCKET_BYTES))
     parsed = src.mapInArrow(parse_slices(n_buckets, length), ROWS).repartition("bucket").sortWithinPartitions("bucket")
-    first = saved(parsed.mapInArrow(settle_phrases(n_buckets), ROWS), "phrases")
+    first = saved(parsed.mapInArrow(settle_phrases(n_buckets), ROWS), "phrases", codec="zstd")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_pieces(batches, "t", 2 << 20):

@@ -55,7 +55,7 @@ def token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if len(rest):
             yield rows([rest.tobytes()], None)
 
-    table = saved(src.mapInArrow(run, f"file int, at long, data binary, ids array<{kind}>"), "tokens")
+    table = saved(src.mapInArrow(run, f"file int, at long, data binary, ids array<{kind}>"), "tokens", codec="zstd")
     blocks = table.where("data IS NOT NULL").select("file", F.col("at").alias("block"), "data")
     names = table.where("data IS NULL").select("file", "at", F.posexplode("ids").alias("k", id_col)).select("file", (F.col("at") + F.col("k")).alias("ordinal"), id_col)
     return blocks, names

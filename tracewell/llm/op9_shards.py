@@ -109,7 +109,7 @@ def shards(docs: DataFrame, key: int = 20_240_101, length: int = LENGTH, per_sha
                 flat_rows = np.concatenate([head.view(np.uint8).reshape(e - s, -1), tokens.view(np.uint8).reshape(e - s, -1)], 1)
                 yield pa.RecordBatch.from_arrays([pa.array([int(shard[s])], pa.int32()), pa.array([int(slot[s])], pa.int64()), pa.array([e - s], pa.int32()), pa.array([flat_rows.tobytes()], pa.binary())], ["shard", "first_slot", "n", "data"])
 
-    return saved(ranged.mapInArrow(write, "shard int, first_slot long, n int, data binary"), "shards")
+    return saved(ranged.mapInArrow(write, "shard int, first_slot long, n int, data binary"), "shards", codec="zstd")
 
 
 def read_records(chunks: DataFrame, length: int = LENGTH, start: int = 0) -> DataFrame:
