@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 FLAGSHIP = "usage_window_stats"
-MODULES = ("usage", "text")
+MODULES = ("usage", "text", "learning")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
