@@ -137,7 +137,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     src = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in in_pieces(batches, "t", 2 << 20):
+        for b in in_pieces(batches, "t", 1 << 20):
             sets, off = shingles(b.column(1), shingle)
             sig = signatures(sets, off)
             count = np.diff(off)
@@ -208,22 +208,21 @@ def candidate_links(classes: DataFrame, least: float) -> DataFrame:
     rows = "node long, tree int, c long, sketch binary"
     now, depth, links = classes.select("c", "sig").mapInArrow(walk(DEPTH, False), rows), DEPTH, None
     while True:
-        # these joins are merges at every size: what is joined grows with the documents
-        sizes = now.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        sizes = saved(sizes.withColumn("big", F.col("n") > SMALL), f"nodes{depth}")
-        small = now.join(sizes.where("NOT big").select("node").hint("merge"), "node").select("node", "c", "sketch").repartition("node").sortWithinPartitions("node", "c")
+        # merge joins at every size: what is joined grows with the documents
+        sizes = now.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node", (F.col("n") > SMALL).alias("big"))
+        shared = saved(now.join(sizes.hint("merge"), "node"), f"shared{depth}")  # a node of one document is a leaf
+        small = shared.where("NOT big").select("node", "c", "sketch").repartition("node").sortWithinPartitions("node", "c")
         got = small.mapInArrow(compare, "a long, b long")
         links = got if links is None else links.unionByName(got)
-        if not sizes.where("big").limit(1).count():
+        big = shared.where("big")
+        if not big.limit(1).count():
             return links.distinct()
-        big = now.join(sizes.where("big").select("node").hint("merge"), "node")
         if depth >= LAST_DEPTH:
-            big = saved(big.select("node", "c"), "together")
             least_c = saved(big.groupBy("node").agg(F.min("c").alias("b")), "least")
             return links.unionByName(big.join(least_c, "node").where("c <> b").select(F.col("c").alias("a"), "b")).distinct()
         depth += 4
-        big = saved(big.select("c", "tree").join(classes.select("c", "sig"), "c").select("c", "tree", "sig"), f"big{depth}")
-        now = big.mapInArrow(walk(depth, True), rows)
+        again = saved(big.select("c", "tree").join(classes.select("c", "sig"), "c").select("c", "tree", "sig"), f"big{depth}")
+        now = again.mapInArrow(walk(depth, True), rows)
 
 
 def confirmed_links(docs: DataFrame, held: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -232,16 +231,21 @@ def confirmed_links(docs: DataFrame, held: DataFrame, shingle: int, percent: int
     sizes = saved(held.groupBy("g").agg(F.count("*").alias("size")).withColumn("large", F.col("size") > BLOCK), "sizes")
     out = "a long, b long"
 
-    def sets_of(p) -> list[np.ndarray]:
-        sets, off = shingles(pa.array(p["t"], pa.large_string()), shingle)
-        return [sets[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
+    def sets_of(texts) -> list[np.ndarray]:
+        """The sets of texts, made from about a MB of them at a time."""
+        found: list[np.ndarray] = []
+        part = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["t"])
+        for b in in_pieces(iter([part]), "t", 1 << 20):
+            sets, off = shingles(b.column(0), shingle)
+            found += [sets[x:y] for x, y in zip(off[:-1], off[1:], strict=True)]
+        return found
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in grouped(batches, "g"):
             cut = runs(p["g"].to_numpy())
             c, a, b = p["c"].to_numpy(), [], []
             for s, e in zip(cut[:-1], cut[1:], strict=True):
-                root = jaccard_links(sets_of(p.iloc[s:e]), percent)
+                root = jaccard_links(sets_of(p["t"].iloc[s:e]), percent)
                 other = np.flatnonzero(root != np.arange(e - s))
                 a += c[s:e][other].tolist()
                 b += c[s:e][root[other]].tolist()
@@ -257,12 +261,15 @@ def confirmed_links(docs: DataFrame, held: DataFrame, shingle: int, percent: int
     pivot = saved(large.where("c = g").groupBy("g").agg(F.min("t").alias("p")), "pivots")
 
     def with_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        pivots: dict[int, np.ndarray] = {}
+        for b in in_pieces(batches, "t", 1 << 20):
             p = b.to_pandas()
-            own = sets_of(p)
-            other = sets_of(p[["p"]].rename(columns={"p": "t"}))
+            new = p.drop_duplicates("g")
+            new = new[~new["g"].isin(pivots.keys())]
+            pivots = {g: pivots[g] for g in p["g"].unique() if g in pivots} | dict(zip(new["g"], sets_of(new["p"]), strict=True))
             near = []
-            for x, y in zip(own, other, strict=True):
+            for x, g in zip(sets_of(p["t"]), p["g"], strict=True):
+                y = pivots[g]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 near.append(bool(len(x)) and 100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.bool_())], ["g", "c", "near"])
@@ -285,7 +292,7 @@ def confirmed_links(docs: DataFrame, held: DataFrame, shingle: int, percent: int
                 c = own["c"].to_numpy()
                 near = own["near"].to_numpy()
                 root = np.where(near, near.argmax(), np.arange(len(c)))  # joined by the component's smallest
-                after = jaccard_links(sets_of(own), percent, range(int(own["query"].sum())), root)
+                after = jaccard_links(sets_of(own["t"]), percent, range(int(own["query"].sum())), root)
                 other = np.flatnonzero(after != root)
                 a += c[other].tolist()
                 b += c[after[other]].tolist()
