@@ -39,7 +39,7 @@ def bootstrap(sessions: DataFrame, draws: int = 2000, seed: int = 7, least: int
     times = sum(((u > c).cast("int") for c in cuts), F.lit(0))
     each = sides.select("grp", "session_id", "turns", "units", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("w", times)
     d = each.groupBy("draw").agg(*[F.sum(F.when(F.col("grp") == g, F.col("w") * F.col(c))).alias(f"{g}_{c}") for g in ("treated", "baseline") for c in ("turns", "units")])
-    ratio = F.col("treated_units") / F.col("treated_turns") / (F.col("baseline_units") / F.col("baseline_turns")) - 1
+    ratio = F.try_divide(F.try_divide("treated_units", "treated_turns"), F.try_divide("baseline_units", "baseline_turns")) - 1  # a draw without a side says nothing
     q = d.select(ratio.alias("r")).agg(F.percentile("r", F.lit(0.025)).alias("low"), F.percentile("r", F.lit(0.975)).alias("high"))
     n = sides.agg(*[F.sum((F.col("grp") == g).cast("int")).alias(g) for g in ("treated", "baseline")])
     ok = (F.col("treated") >= least) & (F.col("baseline") >= least)

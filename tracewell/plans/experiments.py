@@ -37,7 +37,10 @@ def experiment_interval(spark, d):
     return E.bootstrap(sessions(spark, d)).select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
-@query("experiment_t_intervals", ctes("experiment") + ", a AS (SELECT grp, count(*) AS n, avg(units / turns) AS m, stddev_samp(units / turns) AS s FROM experiment GROUP BY grp) SELECT grp, n, round(m, 6) AS mean, round(1.96::DOUBLE * s / sqrt(n), 6) AS half FROM a WHERE n > 31 UNION ALL SELECT grp, n, round(m, 6), round(2.042::DOUBLE * s / sqrt(n), 6) FROM a WHERE n <= 31")
+T_SQL = "CASE " + " ".join(f"WHEN n - 1 <= {k} THEN {v}::DOUBLE" for k, v in sorted(E.T_VALUES.items())) + " ELSE 1.96::DOUBLE END"
+
+
+@query("experiment_t_intervals", ctes("experiment") + f", a AS (SELECT grp, count(*) AS n, avg(units / turns) AS m, stddev_samp(units / turns) AS s FROM experiment GROUP BY grp) SELECT grp, n, round(m, 6) AS mean, CASE WHEN n > 1 THEN round({T_SQL} * s / sqrt(n), 6) END AS half FROM a")
 def experiment_t_intervals(spark, d):
     return E.t_interval(sessions(spark, d).withColumn("v", F.col("units") / F.col("turns")), "grp", "v")
 

@@ -4,21 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 BLOCK = "struct<type: string, id: string, name: string, input: string, tool_use_id: string, content: string, text: string>"
-TRANSCRIPT = T.StructType.fromDDL(
+TRANSCRIPT = (
     "type string, timestamp string, requestId string, sessionId string, cwd string, gitBranch string, isCompactSummary boolean, compactMetadata string,"
     " message struct<id: string, model: string, role: string, content: string, usage: struct<input_tokens: bigint, output_tokens: bigint, cache_creation_input_tokens: bigint, cache_read_input_tokens: bigint,"
     " cache_creation: struct<ephemeral_5m_input_tokens: bigint, ephemeral_1h_input_tokens: bigint>>>, _corrupt string"
 )
-EVENT = T.StructType.fromDDL("v int, ts double, component string, event string, session_id string, agent_id string, arm string, acting boolean, team string, tokens bigint, chars bigint, path string, _corrupt string")
-TURN = T.StructType.fromDDL("turn_id string, timestamp string, project string, session_id string, prompt_length int, was_notification boolean, injection_chars bigint, hot_count int, warm_count int, files_injected array<string>, files_used array<string>, waste_ratio double")
-HISTORY = T.StructType.fromDDL("turn int, timestamp string, instance_id string, prompt_keywords array<string>, activated array<string>, hot array<string>, warm array<string>, cold_count int, transitions struct<to_hot: array<string>, to_warm: array<string>, to_cold: array<string>>, total_chars bigint")
-STATS = T.StructType.fromDDL("dailyModelTokens array<struct<date: string, tokensByModel: map<string, bigint>>>, modelUsage map<string, struct<inputTokens: bigint, outputTokens: bigint, cacheReadInputTokens: bigint, cacheCreationInputTokens: bigint>>")
+EVENT = "v int, ts double, component string, event string, session_id string, agent_id string, arm string, acting boolean, team string, tokens bigint, chars bigint, path string, _corrupt string"
+TURN = "turn_id string, timestamp string, project string, session_id string, prompt_length int, was_notification boolean, injection_chars bigint, hot_count int, warm_count int, files_injected array<string>, files_used array<string>, waste_ratio double"
+HISTORY = "turn int, timestamp string, instance_id string, prompt_keywords array<string>, activated array<string>, hot array<string>, warm array<string>, cold_count int, transitions struct<to_hot: array<string>, to_warm: array<string>, to_cold: array<string>>, total_chars bigint"
+STATS = "dailyModelTokens array<struct<date: string, tokensByModel: map<string, bigint>>>, modelUsage map<string, struct<inputTokens: bigint, outputTokens: bigint, cacheReadInputTokens: bigint, cacheCreationInputTokens: bigint>>"
 
 
-def read_log(spark: SparkSession, path: str, schema: T.StructType, **options) -> DataFrame:
+def read_log(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
     """A log of JSON lines; _corrupt holds what did not parse where the schema has it."""
     r = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
     return r.options(**options).json(path)
