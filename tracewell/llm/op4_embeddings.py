@@ -170,7 +170,7 @@ def linked_vectors(table: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
     other = links.where("a = b").groupBy("a").agg(F.sum("n").alias("others"))
     joined = classes.select("c", "n").join(components(links).select(F.col("node").alias("c"), "component"), "c", "left").join(other.withColumnRenamed("a", "c"), "c", "left")
     joined = saved(joined.select("c", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.coalesce("component", "c").alias("component")), "joined")
-    found = members.select("i", "key", "key2").join(named.select("key", "key2", "c"), ["key", "key2"]).join(joined, "c").groupBy("i").agg(F.sum("links").alias("links"), F.min("component").alias("component"))
+    found = members.select("i", "key", "key2").distinct().join(named.select("key", "key2", "c"), ["key", "key2"]).join(joined, "c").groupBy("i").agg(F.sum("links").alias("links"), F.min("component").alias("component"))
     out = rows.select("i").join(found, rows["i"] == found["i"], "left").select(rows["i"].alias("i"), "links", "component")
     best = F.coalesce(F.col("component").cast(kind), F.col("i"))
     return out.select(F.col("i").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), best.alias("component_id"), F.coalesce(best == F.col("i"), F.lit(True)).alias("kept"))

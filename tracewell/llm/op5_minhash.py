@@ -51,7 +51,7 @@ def shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     out = mix(h)
     for k in range(1, size):
         nxt = np.zeros(len(h), np.uint64)
-        nxt[: len(h) - k] = h[k:]
+        nxt[: max(0, len(h) - k)] = h[k:]
         out = np.where(left > k, mix(out * GOLD + nxt), out)  # shorter at a row's end: kept only if it is the whole row
     whole = (count < size)[row]
     at = np.arange(len(h)) - np.repeat(first[:-1], count)

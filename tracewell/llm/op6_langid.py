@@ -68,7 +68,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.5, seed: int = 7) -> dict:
+def train(texts: list[str], labels: list[str], steps: int = 12_000, rate: float = 0.5, seed: int = 7) -> dict:
     """The model: its languages, one row of logits for each bucket, and the temperature."""
     langs = sorted(set(labels))
     if not langs:
@@ -85,6 +85,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.
     held = np.arange(len(docs)) % 4 == 3
     usable = np.array([d is not None for d in docs])
     learn = np.flatnonzero(usable & ~held) if (usable & ~held).any() else np.flatnonzero(usable)
+    epochs = max(4, -(-steps // max(1, len(learn))))  # few rows are gone through more often
     total, step = max(1, epochs * len(learn)), 0
     for _ in range(epochs):
         for i in rng.permutation(learn):
