@@ -148,9 +148,9 @@ def set_predicted_and_used(spark, d):
     return t.select("project", F.col("injected").alias("path")).intersect(t.select("project", F.col("used").alias("path")))
 
 
-@query("set_basket_pairs", ctes("baskets") + " SELECT DISTINCT a.path AS src, b.path AS dst FROM baskets a JOIN baskets b ON a.turn_id = b.turn_id AND a.path <> b.path WHERE a.turn_id < 5")
+@query("set_basket_pairs", ctes("baskets") + " SELECT DISTINCT a.path AS src, b.path AS dst FROM baskets a JOIN baskets b ON a.turn_id = b.turn_id AND a.path <> b.path")
 def set_basket_pairs(spark, d):
-    b = view(spark, d, "baskets").where("turn_id < 5")
+    b = view(spark, d, "baskets")
     return b.select("turn_id", F.col("path").alias("src")).join(b.select("turn_id", F.col("path").alias("dst")), "turn_id").where("src <> dst").select("src", "dst").distinct()
 
 

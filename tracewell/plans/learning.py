@@ -74,12 +74,12 @@ def learn_rhythm(spark, d):
 
 
 @query("learn_boosted_scores", ctes("prompts") + f""", {WORDS}, a AS (SELECT word, path, round(least(1.0, count(*) * 0.08::DOUBLE), 4) AS affinity FROM w JOIN u USING (turn_id) GROUP BY word, path), f AS (SELECT word, round(count(DISTINCT turn_id) / (SELECT count(*) FROM prompts), 3) AS frequency FROM w GROUP BY word HAVING count(DISTINCT turn_id) >= 2),
-q AS (SELECT DISTINCT word FROM w WHERE starts_with(turn_id, '1')), s AS (SELECT DISTINCT path FROM u), b AS (SELECT path, sum(affinity * CASE WHEN coalesce(frequency, 0) > 0.3 THEN 0.3::DOUBLE / frequency ELSE 1 END * 0.45::DOUBLE) AS add FROM q JOIN a USING (word) LEFT JOIN f USING (word) GROUP BY path)
+q AS (SELECT DISTINCT word FROM w), s AS (SELECT DISTINCT path FROM u), b AS (SELECT path, sum(affinity * CASE WHEN coalesce(frequency, 0) > 0.3 THEN 0.3::DOUBLE / frequency ELSE 1 END * 0.45::DOUBLE) AS add FROM q JOIN a USING (word) LEFT JOIN f USING (word) GROUP BY path)
 SELECT path, round(least(1.0, 0.01::DOUBLE + coalesce(add * 0.001::DOUBLE, 0)), 6) AS score FROM s LEFT JOIN b USING (path)""")
 def learn_boosted_scores(spark, d):
     words, used = turn_words(spark, d)
     freq = L.word_frequency(words, F.lit(view(spark, d, "prompts").count()))
-    prompt = words.where("turn_id LIKE '1%'").select("word").distinct()
+    prompt = words.select("word").distinct()
     return L.boost(used.select("path").distinct().withColumn("score", F.lit(0.01)), L.affinity(words, used), prompt, freq, weight=0.45 * 0.001)
 
 
