@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import components, grouped, roots, runs, saved
 
-SAMPLE, BLOCK, ITERATIONS, RECALL = 20_000, 1024, 8, 0.99
+SAMPLE, BLOCK, ITERATIONS, RECALL = 20_000, 1024, 8, 0.95
 
 
 def matrix(column) -> np.ndarray:
