@@ -227,8 +227,8 @@ def candidate_links(classes: DataFrame, least: float) -> DataFrame:
 
 def confirmed_links(docs: DataFrame, held: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(a, b): links between documents of a candidate component that hold on their full sets, enough to join what is linked."""
-    texts = docs.select(F.col("i").cast("long").alias("c"), "t").join(held.hint("merge"), "c")
-    sizes = saved(held.groupBy("g").agg(F.count("*").alias("size")).withColumn("large", F.col("size") > BLOCK), "sizes")
+    sizes = saved(held.groupBy("g").agg((F.count("*") > BLOCK).alias("large")), "sizes")
+    texts = saved(docs.select(F.col("i").cast("long").alias("c"), "t").join(held.join(sizes, "g").hint("merge"), "c"), "texts", codec="zstd")
     out = "a long, b long"
 
     def sets_of(texts) -> list[np.ndarray]:
@@ -251,13 +251,13 @@ def confirmed_links(docs: DataFrame, held: DataFrame, shingle: int, percent: int
                 b += c[s:e][root[other]].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    small = texts.join(sizes.where("NOT large").select("g"), "g").select("g", "c", "t")
+    small = texts.where("NOT large").select("g", "c", "t")
     links = small.repartition("g").sortWithinPartitions("g", "c").mapInArrow(whole, out)
     if not sizes.where("large").limit(1).count():
         return saved(links, "links")
 
     # large components: every document against the smallest, then what is left against all, in blocks
-    large = saved(texts.join(sizes.where("large").select("g"), "g").select("g", "c", "t"), "large")
+    large = texts.where("large").select("g", "c", "t")
     pivot = saved(large.where("c = g").groupBy("g").agg(F.min("t").alias("p")), "pivots")
 
     def with_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
