@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import GOLD, components, flat, grouped, in_pieces, lower_ascii, mix, prefix_hash, roots, runs, saved, span_hash
 
-SIG, TREES, DEPTH, LAST_DEPTH, SMALL, BLOCK = 128, 24, 4, 16, 200, 256
+SIG, TREES, DEPTH, LAST_DEPTH, SMALL, BLOCK = 128, 24, 4, 16, 200, 128
 #: A sketch agrees in p of its bits where the sets' similarity is about 2p - 1: candidates are sought with this margin below the threshold, over 4 standard deviations.
 MARGIN = 0.25
 
@@ -209,7 +209,7 @@ def candidate_links(classes: DataFrame, least: float) -> DataFrame:
     now, depth, links = classes.select("c", "sig").mapInArrow(walk(DEPTH, False), rows), DEPTH, None
     while True:
         # merge joins at every size: what is joined grows with the documents
-        sizes = now.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node", (F.col("n") > SMALL).alias("big"))
+        sizes = saved(now.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node", (F.col("n") > SMALL).alias("big")), f"nodes{depth}")  # written, so that Spark can split the join on a node with many documents
         shared = saved(now.join(sizes.hint("merge"), "node"), f"shared{depth}")  # a node of one document is a leaf
         small = shared.where("NOT big").select("node", "c", "sketch").repartition("node").sortWithinPartitions("node", "c")
         got = small.mapInArrow(compare, "a long, b long")
