@@ -54,6 +54,17 @@ SELECT CAST(user_id AS STRING) AS session_id, CASE user_id % 3 WHEN 0 THEN 'trea
 FROM {{events}} GROUP BY user_id""",
     "observations": """
 SELECT doc_id AS id, source AS session_id, text AS summary, n_chars AS tokens, doc_id * 10 AS ts, lang AS kind FROM {documents}""",
+    # a source file for each document, which imports and calls others
+    "code": """
+SELECT doc_id, 'pkg' || CAST(doc_id % 9 AS STRING) || '/file_' || CAST(doc_id AS STRING) || '.py' AS path,
+  CASE WHEN doc_id % 4 = 0 THEN '' ELSE '# about ' || source || chr(10) END || 'from pkg' || CAST((doc_id - doc_id % 10) % 9 AS STRING) || '.file_' || CAST(doc_id - doc_id % 10 AS STRING) || ' import run_' || CAST(doc_id % 10 AS STRING) || chr(10) || 'import os' || chr(10)
+  || 'class Box' || CAST(doc_id % 13 AS STRING) || '(Base' || CAST(doc_id % 3 AS STRING) || '):' || chr(10) || '    pass' || chr(10) || 'def run_' || CAST(doc_id % 10 AS STRING) || '(a, b):' || chr(10) || '    return job_' || CAST(doc_id - doc_id % 10 AS STRING) || '(a)' || chr(10) || 'async def job_' || CAST(doc_id AS STRING) || '():' || chr(10) || '    print(1)' || chr(10) AS content
+FROM {documents}""",
+    # a page of notes for each document
+    "pages_md": """
+SELECT doc_id, source || '/my-note_' || CAST(doc_id AS STRING) || '.md' AS path,
+  '# Title of ' || source || chr(10) || 'first line' || chr(10) || chr(10) || 'second line' || chr(10) || 'third line' || chr(10) || '## Keywords' || chr(10) || 'alpha, beta' || CAST(doc_id % 6 AS STRING) || chr(10) || '### Deep-part ' || lang || chr(10) || '- point **Strong term** `mod' || CAST(doc_id % 10 AS STRING) || '/file_' || CAST(doc_id % 100 AS STRING) || '.py`' || chr(10) || '**Location**: `src/x y.ts`' || chr(10) || 'plain' || chr(10) || '* star `tick_word`' || chr(10) || substr(text, 1, 40 * CAST(doc_id % 60 AS INT)) AS content
+FROM {documents}""",
 }
 TABLES = re.compile(r"\{(\w+)\}")
 
