@@ -51,7 +51,7 @@ def attention_turn(state: DataFrame, activated: DataFrame, coactive: DataFrame,
     s = s.withColumn("score", capped(F.col("score"), F.col("p3")))
     s = s.withColumn("score", F.when(F.col("score") > 0.01, capped(F.col("score"), F.col("p4"))).otherwise(F.col("score")))
     s = s.withColumn("score", capped(F.col("score"), F.col("p5"))).drop("p1", "p2", "p3", "p4", "p5")
-    s = s.join(F.broadcast(pinned.select("path").distinct().withColumn("pin", F.lit(1))), "path", "left").join(F.broadcast(demoted.select("path").distinct().withColumn("dem", F.lit(1))), "path", "left")  # configuration
+    s = s.join(pinned.select("path").distinct().withColumn("pin", F.lit(1)), "path", "left").join(demoted.select("path").distinct().withColumn("dem", F.lit(1)), "path", "left")
     s = s.withColumn("score", F.when(F.col("pin") == 1, F.greatest("score", F.lit(PINNED_FLOOR))).otherwise(F.col("score")))
     s = s.withColumn("score", F.when((F.col("dem") == 1) & ~F.col("direct"), F.col("score") * DEMOTED).otherwise(F.col("score")))
     tier = T.tier(F.col("score"))

@@ -75,7 +75,7 @@ def window_compaction_drops(spark, d):
     return W.compactions(a, ["project"], ["turn_id"]).select("project", "turn_id", "was", "active", "nth")
 
 
-@query("window_failures", ctes("accesses") + ", b AS (SELECT *, sum(CASE WHEN tool = 'Error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY pos) AS i FROM accesses) SELECT user_id, i AS island, count(*) AS n FROM b WHERE tool = 'Error' GROUP BY 1, 2 HAVING count(*) >= 3")
+@query("window_failures", ctes("accesses") + ", b AS (SELECT *, sum(CASE WHEN tool = 'Error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY pos) AS i FROM accesses) SELECT user_id, CAST(i AS BIGINT) AS island, count(*) AS n FROM b WHERE tool = 'Error' GROUP BY 1, 2 HAVING count(*) >= 3")
 def window_failures(spark, d):
     """Runs of at least three failures without a success between."""
     a = accesses(spark, d).withColumn("island", F.sum((F.col("tool") != "Error").cast("long")).over(W.upto(["user_id"], ["pos"])))
