@@ -67,6 +67,14 @@ def test_op1_odd_pages(spark, none):
     assert op1_html.extract_text(df.limit(0)).count() == 0
 
 
+def test_op1_names():
+    def kept(page):
+        return [t for _, noise, _, t in op1_html.blocks(page) if not noise]
+
+    assert kept("<article><header class='article-header'><h1>T</h1></header><div class=commentList>c</div><p>x</p></article>") == ["T", "x"]
+    assert kept("<div class='cookieBanner'>c</div><div class=header>h</div><div class=content>x</div><form>f</form><aside>s</aside>") == ["x"]
+
+
 def test_op1_tree_removes_what_repeats(spark):
     rows = [(k, "http://h.com/p", f"<body><div class=x>same on all</div><div class=y>own text number {k} {hash(str(k))}</div></body>") for k in range(40)]
     got = [r.text for r in op1_html.extract_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()]

@@ -35,7 +35,8 @@ CLOSES_P = {"address", "article", "aside", "blockquote", "details", "dialog", "d
 CLOSES_SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 NOISE_TAGS = {"head", "nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "option", "fieldset", "canvas", "audio", "video", "input", "search"} | RAW
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"}
-NOISE_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|widget|footer|foot|header|masthead|topbar|toolbar|notices?|alert|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|replies|reply|respond|disqus|pagination|pager|copyright|legal|disclaimer|tags|toc|form|search)(?=$|[\s_-])", re.I)
+NOISE_NAME = re.compile(r"(?:^|[\s_-])(ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|widget|footer|foot|header|masthead|topbar|toolbar|notices?|alert|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|replies|reply|respond|disqus|pagination|pager|copyright|legal|disclaimer|tags|toc|form|search)(?=$|[\s_-])", re.I)
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 PROTECT = {"article", "main"}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTR = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -128,7 +129,8 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
                 name += "[hidden]"
             else:
                 if tag not in ("html", "body", "article", "main"):
-                    noise |= bool(NOISE_NAME.search(value))
+                    found = NOISE_NAME.findall(CAMEL.sub("-", value))
+                    noise |= any(not (protected and f.lower() in ("header", "footer", "head")) for f in found)  # an article has a header of its own
                 name += ("." if key == "class" else "#") + DIGITS.sub("0", value.strip())
         if tag in INLINE:
             apart = noise and not stack[-1][2]  # a block of its own, so that it can go alone
