@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..streaming import monitors as S
+from ..streaming import registry as R
 from .monitors import LED
 from .registry import query
-from .views import TABLES, VIEWS, ctes
+from .views import TABLES, VIEWS, ctes, view
 
 TOTAL = "(input_tokens + output_tokens + cache_creation_tokens + cache_read_tokens)"
 
@@ -39,5 +40,52 @@ def stream_distinct_requests(spark, d):
 def stream_read_decisions(spark, d):
     """The ledger of redundant reads with keyed state: the same rows as its window form."""
     a = spark.sql(TABLES.sub(lambda m: "{" + m[1] + "}", VIEWS["accesses"]), events=S.stream_of(spark, d, "events"))
-    e = a.selectExpr("CAST(user_id % 10 AS STRING) AS ledger", "pos", "CASE WHEN tool = 'Compact' AND pos % 20 = 0 THEN 'compact' WHEN tool = 'Compact' THEN 'other' WHEN tool = 'Edit' THEN 'edit' ELSE 'read' END AS event", "path", "k % 2 AS range", "CAST(floor(extract(day FROM ts) / 8) AS INT) AS stat", "k * 12 AS tokens")
-    return S.run_once(S.ledger_decisions(e, expire=False)).select("pos", "action", "saved_tokens_est")
+    return S.run_once(S.ledger_decisions(ledger_events(a), expire=False)).select("pos", "action", "saved_tokens_est")
+
+
+def ledger_events(a):
+    return a.selectExpr("CAST(user_id % 10 AS STRING) AS ledger", "pos", "CASE WHEN tool = 'Compact' AND pos % 20 = 0 THEN 'compact' WHEN tool = 'Compact' THEN 'other' WHEN tool = 'Edit' THEN 'edit' ELSE 'read' END AS event", "path", "k % 2 AS range", "CAST(floor(extract(day FROM ts) / 8) AS INT) AS stat", "k * 12 AS tokens")
+
+
+@query("monitor_ledger_fold", ctes("accesses") + f", {LED} SELECT pos, CASE WHEN n % 2 = 0 AND prior >= 400 THEN 'NOTICE' ELSE 'ALLOW' END AS action, CASE WHEN n % 2 = 0 AND prior >= 400 THEN greatest(0, prior - 40) ELSE 0 END AS saved_tokens_est FROM rd")
+def monitor_ledger_fold(spark, d):
+    """The ledger as a registered monitor in batch."""
+    return R.in_batch(R.LEDGER, ledger_events(view(spark, d, "accesses"))).select("pos", "action", "saved_tokens_est")
+
+
+def loop_calls(a):
+    return a.selectExpr("CAST(user_id AS STRING) AS session_id", "pos", "pos AS turn", "CASE WHEN tool IN ('Edit', 'Bash') THEN 'm' || (k % 3) END AS file", "CASE WHEN tool IN ('Edit', 'Bash') THEN tool || '|' || (k % 3) END AS signature")
+
+
+@query("monitor_loop_stages")
+def monitor_loop_stages(spark, d):
+    """The stages of loops by session in batch; tests compare them with the stream."""
+    return R.in_batch(R.LOOPS, loop_calls(view(spark, d, "accesses")))
+
+
+@query("stream_loop_stages")
+def stream_loop_stages(spark, d):
+    """The same as a stream."""
+    a = spark.sql(TABLES.sub(lambda m: "{" + m[1] + "}", VIEWS["accesses"]), events=S.stream_of(spark, d, "events"))
+    return S.run_once(R.as_stream(R.LOOPS, loop_calls(a)))
+
+
+@query("monitor_early_compactions", ctes("accesses") + ", w AS (SELECT user_id, pos, tool, CAST(sum(k * 50) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS BIGINT) AS t FROM accesses) SELECT user_id, CAST(sum(CASE WHEN t < 12000 * 0.8 THEN 1 ELSE 0 END) AS BIGINT) AS early, CAST(sum(CASE WHEN t >= 12000 * 0.8 THEN 1 ELSE 0 END) AS BIGINT) AS at_wall, min(t) AS least FROM w WHERE tool = 'Compact' GROUP BY user_id")
+def monitor_early_compactions(spark, d):
+    """Compactions before and at 80 percent of a context's limit, and the least context that was compacted."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("pos").rowsBetween(-3, 0)
+    c = view(spark, d, "accesses").withColumn("t", F.sum(F.col("k") * 50).over(w)).where("tool = 'Compact'")
+    wall = F.col("t") >= 12000 * 0.8
+    return c.groupBy("user_id").agg(F.sum((~wall).cast("int")).alias("early"), F.sum(wall.cast("int")).alias("at_wall"), F.min("t").alias("least"))
+
+
+@query("usage_prices_by_name", ctes("usage") + ", m AS (SELECT DISTINCT model FROM usage), p(name, price, n) AS (VALUES ('opus-4-6', 5.0::DOUBLE, 1), ('x-sonnet', 3.0::DOUBLE, 2), ('y-haiku-4', 1.0::DOUBLE, 3)), e AS (SELECT model, price FROM m JOIN p ON name = model), f AS (SELECT model, arg_min(price, n) AS price FROM m JOIN p ON contains(model, string_split(name, '-')[2]) WHERE model NOT IN (SELECT model FROM e) GROUP BY model) SELECT model, price FROM e UNION ALL SELECT model, price FROM f")
+def usage_prices_by_name(spark, d):
+    """A model's price by its name, else by the second part of a known name; the first known one wins. The price table is fixed."""
+    p = spark.createDataFrame([("opus-4-6", 5.0, 1), ("x-sonnet", 3.0, 2), ("y-haiku-4", 1.0, 3)], "name string, price double, n int")
+    m = view(spark, d, "usage").select("model").distinct()
+    exact = m.join(F.broadcast(p), F.col("name") == F.col("model")).select("model", "price")
+    near = m.join(exact.select("model"), "model", "left_anti").join(F.broadcast(p), F.contains("model", F.element_at(F.split("name", "-"), 2)))
+    return exact.unionByName(near.groupBy("model").agg(F.min_by("price", "n").alias("price")))
