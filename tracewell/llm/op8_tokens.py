@@ -46,7 +46,7 @@ def token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             return pa.RecordBatch.from_arrays([pa.array([file] * n, pa.int32()), pa.array([*range(at, at + len(blocks)), *([ordinal] if ids is not None else [])], pa.int64()), pa.array([*blocks, *([None] if ids is not None else [])], pa.binary()), lists], ["file", "at", "data", "ids"])
 
         id_type = pa.int64()
-        for b in in_pieces(batches, "t", 4 << 20):
+        for b in in_pieces(batches, "t", 1 << 20):
             id_type = b.column(0).type
             tokens = np.concatenate([rest, with_ends(b.column(1))])
             whole = len(tokens) // block
@@ -79,7 +79,7 @@ def scan(blocks: DataFrame, end: int = END) -> DataFrame:
     kind = blocks.schema["file"].dataType.simpleString()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in in_pieces(batches, "data", 16 << 20):
+        for b in in_pieces(batches, "data", 4 << 20):
             n, first, last, lengths = [], [], [], []
             for raw in b.column(2):
                 tokens = np.frombuffer(raw.as_buffer(), "<u2")
