@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GOLD, flat, mix, saved
+from .common import GOLD, flat, in_pieces, mix, saved
 
 END, PAD, LENGTH, PER_SHARD, CHUNK, ROUNDS = 256, 257, 2048, 8192, 256, 6
 NULL_ID = np.iinfo(np.int64).max
@@ -59,7 +59,7 @@ def shards(docs: DataFrame, key: int = 20_240_101, length: int = LENGTH, per_sha
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, at = None, 0
-        for b in batches:
+        for b in in_pieces(batches, "t", 2 << 20):
             data, off = flat(b.column(2))
             ids = b.column(1).to_numpy()
             slots, owners, numbers, texts = [], [], [], []
@@ -88,7 +88,7 @@ def shards(docs: DataFrame, key: int = 20_240_101, length: int = LENGTH, per_sha
     ranged = rows.repartitionById(max(1, -(-n // per_shard)), F.col("shard")).sortWithinPartitions("shard", "slot")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_pieces(batches, "t", 1 << 20):
             shard, slot = b.column(0).to_numpy(), b.column(1).to_numpy()
             starts = sorted({0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), *range(0, b.num_rows, CHUNK)})
             sizes = b.column(4).to_pylist()
@@ -117,7 +117,7 @@ def read_records(chunks: DataFrame, length: int = LENGTH, start: int = 0) -> Dat
     stride = HEADER.itemsize + 2 * length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_pieces(batches, "data", 4 << 20):
             for shard, first, n, raw in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3), strict=True):
                 raw = raw.as_py()
                 skip = max(0, start - first)
