@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """In the shared folder where the session names one, so that a lost executor costs no recomputation; else as it is."""
-    spark = df.sparkSession
-    return df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() else df
+    sc, named = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if named and not sc.getCheckpointDir():
+        sc.setCheckpointDir(named)
+    return df.checkpoint() if sc.getCheckpointDir() else df
 
 
 def symmetric(edges: DataFrame) -> DataFrame:

@@ -40,7 +40,8 @@ def first_of_requests(records: DataFrame, order: list[str]) -> DataFrame:
 
 def in_window(records: DataFrame, now: Column, hours: int = WINDOW_HOURS) -> DataFrame:
     """Records of the hours before now; the bound reaches the scan."""
-    return records.where((F.col("ts") >= now - F.make_dt_interval(hours=F.lit(hours))) & (F.col("ts") <= now))
+    kind = records.schema["ts"].dataType  # a bound of another type would cast the column, and stay above the scan
+    return records.where((F.col("ts") >= (now - F.make_dt_interval(hours=F.lit(hours))).cast(kind)) & (F.col("ts") <= now.cast(kind)))
 
 
 def window_stats(records: DataFrame) -> DataFrame:

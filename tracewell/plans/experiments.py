@@ -33,7 +33,7 @@ def experiment_saving(spark, d):
 
 @query("experiment_interval")
 def experiment_interval(spark, d):
-    """Resampling by digests; SQL has no such digest, so tests compare it with a plain bootstrap."""
+    """Resampling by digests; SQL has no such digest, so tests check it on groups of a known contrast."""
     return E.bootstrap(sessions(spark, d)).select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
