@@ -7,7 +7,7 @@ A byte goes if a string of `length` bytes (100) covers it that also starts earli
 3. Dictionary. What is left are the distinct phrases with a trigger that other phrases have as well: edges of repeated passages. Their texts are gathered, again by trigger, and the suffix array of each bucket's dictionary is built to a depth of `length`; of suffixes that are equal so far, all but the one that is first in the corpus are repeats.
 4. The repeats of both steps go back to their documents, where their union is cut out.
 
-Triggers shared by a great many different phrases (the edges of a passage that a third of all documents hold) would put all these in one bucket. A trigger with over LOCAL_PHRASES phrases within one slice of a few MB, or over ALL_PHRASES in all, is hot; the strings of its phrases are dealt by fingerprints of their own (128 bits) instead.
+Triggers shared by a great many different phrases (the edges of a passage that a third of all documents hold) would put all these in one bucket. A trigger with over LOCAL_PHRASES phrases within one slice (SLICE_BYTES of text), or over ALL_PHRASES in all, is hot; the strings of its phrases are dealt by fingerprints of their own (128 bits) instead.
 Slices drop copies of a phrase before anything is shuffled. Nothing is gathered on the driver.
 
 Nulls: a null text is empty. A null id comes after all others. Rows that share an id are told apart by a hash of their text and ordered by it; rows with the same id and text are one document, each judged alike. Texts shorter than `length` lose nothing.
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from .common import flat, in_pieces, mix, powers, prefix_hash, saved, span_hash
 
 LENGTH, WIDTH = 100, 24
-LOCAL_PHRASES, ALL_PHRASES = 32, 20_000
+LOCAL_PHRASES, ALL_PHRASES = 64, 20_000
+#: Bytes of text whose phrases are settled and dealt together.
+SLICE_BYTES = 24 << 20
 #: Bytes of text for each bucket.
 BUCKET_BYTES = 4 << 20
 LAST = np.iinfo(np.int64).max
@@ -116,29 +118,35 @@ def first_of(keys: list[np.ndarray], doc: np.ndarray, pos: np.ndarray) -> tuple[
 def parse_slices(n_buckets: int, length: int):
     """Documents to phrases in buckets by trigger; copies within a slice are settled here."""
 
+    def settle(parts: list[dict[str, np.ndarray]]) -> list[tuple]:
+        p = together(parts)
+        order, new = first_of([p["h1"], p["h2"]], p["doc"], p["pos"])
+        p = {k: v[order] for k, v in p.items()}
+        same = lambda k: p[k] == np.roll(p[k], 1)
+        again = ~new & ~(same("h1") & same("h2") & same("doc") & same("pos"))  # a repeated row is not its own repeat
+        rows = dealt(REPEAT, bucket_of(p["doc"][again], n_buckets), **{k: p[k][again] for k in ("doc", "pos", "n")})
+        p = {k: v[new] for k, v in p.items()}
+        _, group, count = np.unique(p["h1"], return_inverse=True, return_counts=True)
+        hot = count[group] > LOCAL_PHRASES
+        marks = np.unique(p["h1"][hot])
+        rows += dealt(HOT, bucket_of(p["doc"][hot], n_buckets), **{k: p[k][hot] for k in ("doc", "pos", "n")})
+        rows += dealt(HOT + 100, bucket_of(marks, n_buckets), h1=marks)
+        return rows + dealt(PHRASE, bucket_of(p["h1"][~hot], n_buckets), **{k: v[~hot] for k, v in p.items()})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in in_pieces(batches, "t", 2 << 20):
             data, off = flat(b.column(1))
             p = phrases(data, off, length)
-            if not len(p["a"]):
-                continue
-            doc = doc_keys(b.column(0))
-            tie = ties(data, off)
-            d, pos = doc[p["row"]], (tie[p["row"]] << 32) | (p["a"] - off[p["row"]])
-            n = (p["b"] - p["a"] + 1).astype(np.int32)
-            order, new = first_of([p["h1"], p["h2"]], d, pos)
-            h1, h2, d, pos, n = p["h1"][order], p["h2"][order], d[order], pos[order], n[order]
-            again = ~new & ((h1 != np.roll(h1, 1)) | (h2 != np.roll(h2, 1)) | (d != np.roll(d, 1)) | (pos != np.roll(pos, 1)))  # a repeated row is not its own repeat
-            rows = dealt(REPEAT, bucket_of(d[again], n_buckets), doc=d[again], pos=pos[again], n=n[again])
-            h1, h2, d, pos, n = h1[new], h2[new], d[new], pos[new], n[new]
-            _, group, count = np.unique(h1, return_inverse=True, return_counts=True)
-            hot = count[group] > LOCAL_PHRASES
-            marks = np.unique(h1[hot])
-            rows += dealt(HOT, bucket_of(d[hot], n_buckets), doc=d[hot], pos=pos[hot], n=n[hot])
-            rows += dealt(HOT + 100, bucket_of(marks, n_buckets), h1=marks)
-            cool = ~hot
-            rows += dealt(PHRASE, bucket_of(h1[cool], n_buckets), h1=h1[cool], h2=h2[cool], doc=d[cool], pos=pos[cool], n=n[cool])
-            yield batch(rows)
+            if len(p["a"]):
+                row = p["row"]
+                held.append({"h1": p["h1"], "h2": p["h2"], "doc": doc_keys(b.column(0))[row], "pos": (ties(data, off)[row] << 32) | (p["a"] - off[row]), "n": (p["b"] - p["a"] + 1).astype(np.int32)})
+            size += len(data)
+            if size >= SLICE_BYTES and held:  # several pieces together, so that a row has many records of its bucket
+                yield batch(settle(held))
+                held, size = [], 0
+        if held:
+            yield batch(settle(held))
 
     return run
 
