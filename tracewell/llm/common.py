@@ -156,7 +156,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round is written to the shared folder; the minimum of a node's neighbours is a partial aggregate, and Spark can split the joins on a node with many of them.
     """
     now = saved(edges.where(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    seen = None
+    state = lambda: tuple(now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+    seen = state()
     for _ in range(60):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
@@ -165,10 +166,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = saved(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         now = saved(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
-        state = tuple(now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
-        if state == seen:
+        before, seen = seen, state()
+        if before == seen:
             break
-        seen = state
     else:
         raise RuntimeError("components did not settle")
     pairs = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
