@@ -167,6 +167,25 @@ def test_op4_recall(spark, duck):
     assert 0.9 * true <= found <= true
 
 
+@pytest.mark.parametrize("power", [0.5, 1])
+def test_op4_recall_skewed(spark, power):
+    """Against all pairs, with deviations that fall over the dimensions and neighbours that follow them."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    dev = rng.permutation(1 / np.arange(1, 65) ** power)
+    base = rng.normal(size=(3000, 64)) * dev
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    step = rng.normal(size=(1000, 64)) * dev
+    step -= (step * base[:1000]).sum(1)[:, None] * base[:1000]
+    step /= np.linalg.norm(step, axis=1)[:, None]
+    x = np.concatenate([base, 0.931 * base[:1000] + np.sqrt(1 - 0.931**2) * step])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    found = sum(r.n_links for r in op4_embeddings.linked_vectors(df).collect())
+    true = int((x @ x.T >= 0.93).sum() - len(x))
+    assert 0.99 * true <= found <= true
+
+
 @pytest.mark.parametrize("block, small", [(256, 200), (2, 2)])
 def test_op5_paths(spark, duck, monkeypatch, block, small):
     monkeypatch.setattr(op5_minhash, "BLOCK", block)

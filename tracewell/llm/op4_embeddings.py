@@ -2,8 +2,8 @@
 
 1. Vectors are brought to length 1 in double precision. Equal ones of a label are one class with a count, so copies are never paired.
 2. Two codebooks, one for each half of the vectors, are trained by k-means on a bounded sample (`sample` classes, the lowest by a hash of the vector; 20,000 by default). Their product is a grid of cells; every vector is indexed in the cell of its nearest codewords.
-3. A query visits the cells by the multi-sequence algorithm, likeliest first, until they hold a neighbour at the threshold with probability `recall`. A neighbour at cosine c is a step of length sqrt(2 - 2c) away; in a random direction that is a normal deviate along the normal of each boundary between codewords, so the chance to have crossed it follows from the distance to it.
-   A pair is found if either side visits the other's cell, so that of all pairs at the threshold about 1 - (1 - recall)^2 are found, and more of closer ones. Each is counted once on both sides.
+3. A query visits the cells by the multi-sequence algorithm, likeliest first, until they hold a neighbour at the threshold with probability `recall`. A neighbour at cosine c is a step of length sqrt(2 - 2c) away, taken as a normal deviate along the normal of each boundary between codewords, so the chance to have crossed it follows from the distance to it. How wide the deviate is across each boundary comes from the data (`spread`): the sample's covariance and its own neighbours, and never less than for a step in a random direction.
+   A pair is found if either side visits the other's cell; the target holds for each side alone, so it needs no independence of the two. Each pair is counted once on both sides.
 4. A cell is dealt in blocks of BLOCK vectors, its visitors likewise; a task compares one block of visitors with one of vectors by a matrix product and verifies each pair in double precision. It returns counts and a spanning forest of the links, never the pairs.
 5. Components come from the spanning forests.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import components, grouped, roots, runs, saved
 
-SAMPLE, BLOCK, ITERATIONS, RECALL = 20_000, 1024, 8, 0.95
+SAMPLE, BLOCK, ITERATIONS, RECALL, NEIGHBOURS = 20_000, 1024, 8, 0.99, 4000
 
 
 def matrix(column) -> np.ndarray:
@@ -60,20 +60,46 @@ def distances(x: np.ndarray, code: np.ndarray) -> np.ndarray:
     return ((x[:, None, :] - code[None]) ** 2).sum(-1)
 
 
-def chances(x: np.ndarray, code: np.ndarray, step: float) -> np.ndarray:
+def spread(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each half, the deviation of a neighbour's step across the boundary of each two codewords. It is the largest of three: a step in any direction alike, one that follows the spread of the sample, and one that follows the sample's own neighbours."""
+    dim, square = x.shape[1], max(1e-12, 2 - 2 * cosine)
+    kinds = [np.eye(dim) * (square / dim)]
+    own = np.cov(x.T) if len(x) > 1 else np.zeros((dim, dim))
+    if np.trace(own) > 0:
+        kinds.append(own * (square / np.trace(own)))
+    steps, some = [], x[:NEIGHBOURS]
+    for lo in range(0, len(some), 256):
+        c = some[lo : lo + 256] @ x.T
+        c[(c < cosine) | (c > 1 - 1e-9)] = 2
+        v = c.argmin(1)  # one neighbour for each, the farthest, so that no large group outweighs the rest
+        q = np.flatnonzero(c[np.arange(len(c)), v] < 2)
+        far = x[v[q]] - some[lo + q]
+        steps.append(far / np.sqrt((far**2).sum(1))[:, None])
+    steps = np.concatenate(steps) if steps else np.zeros((0, dim))
+    if len(steps) >= dim:
+        kinds.append(steps.T @ steps * (square / len(steps)))
+    half, out = books[0].shape[1], []
+    for code, at in ((books[0], slice(0, half)), (books[1], slice(half, dim))):
+        along = code[:, None, :] - code[None]
+        length = np.maximum((along**2).sum(-1), 1e-30)
+        out.append(np.sqrt(np.maximum(np.max([((along @ c[at, at]) * along).sum(-1) / length for c in kinds], axis=0), 1e-30)))
+    return out[0], out[1]
+
+
+def chances(x: np.ndarray, code: np.ndarray, step: np.ndarray) -> np.ndarray:
     """For each row and codeword the chance that a neighbour's nearest codeword is that one."""
     d = distances(x, code)
-    apart = np.sqrt(np.maximum(distances(code, code), 1e-30))
-    # the signed distance to the region of codeword j: the farthest of the half-spaces that bound it
+    apart = np.sqrt(np.maximum(distances(code, code), 1e-30)) * step
+    # the signed distance to the region of codeword j, in deviations: the farthest of the half-spaces that bound it
     gap = np.stack([((d[:, [j]] - np.delete(d, j, 1)) / (2 * np.delete(apart[j], j))[None]).max(1) if len(code) > 1 else np.zeros(len(x)) for j in range(len(code))], 1)
-    p = 1 / (1 + np.exp(np.clip(1.702 * gap / step, -60, 60)))  # the normal distribution, as near as a logistic one comes
+    p = 1 / (1 + np.exp(np.clip(1.702 * gap, -60, 60)))  # the normal distribution, as near as a logistic one comes
     return p / p.sum(1, keepdims=True)
 
 
-def visit_order(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], step: float, recall: float) -> tuple[np.ndarray, np.ndarray]:
+def visit_order(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], step: tuple[np.ndarray, np.ndarray], recall: float) -> tuple[np.ndarray, np.ndarray]:
     """(cells by falling chance, which of them are visited), a row for each vector."""
     half = books[0].shape[1]
-    p = (chances(x[:, :half], books[0], step)[:, :, None] * chances(x[:, half:], books[1], step)[:, None, :]).reshape(len(x), -1)
+    p = (chances(x[:, :half], books[0], step[0])[:, :, None] * chances(x[:, half:], books[1], step[1])[:, None, :]).reshape(len(x), -1)
     order = np.argsort(-p, axis=1, kind="stable")
     total = np.cumsum(np.take_along_axis(p, order, 1), 1)
     return order, np.concatenate([np.ones((len(x), 1), bool), total[:, :-1] < recall], 1)
@@ -84,7 +110,7 @@ def home(x: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return distances(x[:, :half], books[0]).argmin(1) * len(books[1]) + distances(x[:, half:], books[1]).argmin(1)
 
 
-def visits(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], step: float, recall: float) -> np.ndarray:
+def visits(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], step: tuple[np.ndarray, np.ndarray], recall: float) -> np.ndarray:
     """Which cells each row visits."""
     out = np.zeros((len(x), len(books[0]) * len(books[1])), bool)
     for lo in range(0, len(x), 128):
@@ -112,24 +138,24 @@ def linked_vectors(table: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
         return rows.select(F.col("i").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("i").alias("component_id"), F.lit(True).alias("kept"))
     dim = pd.Series([len(v) for v in taken]).mode()[0]
     classes = classes.where(F.size("v") == int(dim))
-    books = codebooks(matrix([v for v in taken if len(v) == dim]), codes_for(total)) if dim > 1 else (np.zeros((1, 0)), np.zeros((1, 1)))
-    held = table.sparkSession.sparkContext.broadcast(books)
-    step = math.sqrt(max(1e-12, (2 - 2 * cosine) / int(dim)))
+    known = matrix([v for v in taken if len(v) == dim])
+    books = codebooks(known, codes_for(total)) if dim > 1 else (np.zeros((1, 0)), np.zeros((1, 1)))
+    held = table.sparkSession.sparkContext.broadcast((books, spread(known, books, cosine) if dim > 1 else (np.ones((1, 1)), np.ones((1, 1)))))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(home(matrix(part.column(1).to_pylist()), held.value), pa.int64())], ["c", "cell"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(home(matrix(part.column(1).to_pylist()), held.value[0]), pa.int64())], ["c", "cell"])
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
                 x = matrix(part.column(1).to_pylist())
-                row, cell = np.nonzero(visits(x, held.value, step, recall))
+                row, cell = np.nonzero(visits(x, *held.value, recall))
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(2).take(take), pa.array(cell, pa.int64()), pa.array(home(x, held.value)[row], pa.int64())], ["c", "label", "cell", "home"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(2).take(take), pa.array(cell, pa.int64()), pa.array(home(x, held.value[0])[row], pa.int64())], ["c", "label", "cell", "home"])
 
     indexed = saved(classes.select("c", "v").mapInArrow(index, "c long, cell long").join(classes, "c"), "index")
     visiting = saved(classes.select("c", "v", "label").mapInArrow(traverse, "c long, label long, cell long, home long"), "visits")
@@ -154,7 +180,7 @@ def linked_vectors(table: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
                 if not near.any():
                     continue
                 hit = np.flatnonzero(near.any(0))
-                back = visits(matrix(p["v"].iloc[v[hit]]), held.value, step, recall)[:, p["home"].to_numpy()[q]].T  # found from the other side as well
+                back = visits(matrix(p["v"].iloc[v[hit]]), *held.value, recall)[:, p["home"].to_numpy()[q]].T  # found from the other side as well
                 total, other = near @ weight[v], weight[q] @ (near[:, hit] & ~back)
                 some, far = np.flatnonzero(total), np.flatnonzero(other)
                 names, at = np.unique(c[s:e], return_inverse=True)
