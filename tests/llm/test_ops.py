@@ -81,6 +81,14 @@ def test_op1_tree_removes_what_repeats(spark):
     assert all(t.startswith("own text") and "same" not in t for t in got)
 
 
+@pytest.mark.parametrize("pages, copies", [(1, 8), (2, 5), (3, 34)])
+def test_op1_copies(spark, pages, copies):
+    """Copies of a page are no evidence against its text, whatever their number."""
+    rows = [(k, f"http://h.com/p?{k}", f"<body><script>var k={k}</script><div class=x><p>the text of page {k % pages}</p></div></body>") for k in range(pages * copies)]
+    got = {r.page_id: r.text for r in op1_html.extract_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got == {k: f"the text of page {k % pages}" for k in range(pages * copies)}
+
+
 def removed_plainly(docs, length=100):
     """docs: (order, text) sorted; bytes removed by the rule, over all strings."""
     seen, out = set(), {}

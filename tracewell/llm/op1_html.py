@@ -7,7 +7,7 @@ Branches whose weighed importance is low are removed from every page of the host
 
 Only digests of texts and counts leave a page for the tree; the pages are read once for the tree and once for their text.
 
-Nulls: a null or empty page has the text ''. Repeated pages count once for each text; extra columns are ignored. Whole pages are parsed; unclosed and stray tags are tolerated, an unclosed comment or script ends with the page.
+Nulls: a null or empty page has the text ''. Pages of a host that show the same blocks (repeated rows, mirrors, variants of a url) count as one page in the tree, and each gets its text; extra columns are ignored. Whole pages are parsed; unclosed and stray tags are tolerated, an unclosed comment or script ends with the page.
 """
 
 from __future__ import annotations
@@ -150,18 +150,20 @@ def digest(text: str) -> int:
 
 
 def features(host_of: str, html_col: str, pages: DataFrame) -> DataFrame:
-    """(host, path, kind, digest, prior): what each page shows at each node; once for a page. Kind 0 is the page itself, 1 a text, 2 a sequence of children; prior is what the names on the path say."""
+    """(host, path, kind, digest, prior, page): what each page shows at each node; once for a page. Pages that show the same blocks have the same `page`. Kind 0 is the page itself, 1 a text, 2 a sequence of children; prior is what the names on the path say."""
     src = pages.select(F.expr(host_of).alias("host"), F.col(html_col).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_pieces(batches, "t", 8 << 20):
-            rows: list[tuple[str, str, int, int, int]] = []
+            rows: list[tuple[str, str, int, int, int, int]] = []
             for h, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if not page:
                     continue
                 seen: dict[tuple[str, int, int], int] = {}
                 children: dict[str, list[str]] = {}
-                for p, noise, kept, text in blocks(page):
+                shown = blocks(page)
+                same = digest("\0".join(x for p, _, _, text in shown for x in (p, text)))
+                for p, noise, kept, text in shown:
                     prior = -1 if noise else int(kept)
                     seen[p, 1, digest(text)] = seen[p, 0, 0] = prior
                     parts = p.split(">")
@@ -171,16 +173,16 @@ def features(host_of: str, html_col: str, pages: DataFrame) -> DataFrame:
                             kids.append(parts[k])
                 for up, kids in children.items():
                     seen[up, 2, digest(" ".join(kids))] = 0
-                rows += [(h, *k, v) for k, v in seen.items()]
+                rows += [(h, *k, v, same) for k, v in seen.items()]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32()), strict=True)], ["host", "path", "kind", "digest", "prior"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["host", "path", "kind", "digest", "prior", "page"])
 
-    return src.mapInArrow(run, "host string, path string, kind int, digest long, prior int")
+    return src.mapInArrow(run, "host string, path string, kind int, digest long, prior int, page long")
 
 
 def site_style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, path, n_pages, importance, weighed): the nodes with text of their own in the merged trees of all hosts."""
-    counts = features(host_sql(url_col), html_col, pages).groupBy("host", "path", "kind", "digest").agg(F.count("*").alias("n"), F.max("prior").alias("prior"))
+    counts = features(host_sql(url_col), html_col, pages).groupBy("host", "path", "kind", "digest").agg(F.count_distinct("page").alias("n"), F.max("prior").alias("prior"))
     per_node = counts.groupBy("host", "path").agg(
         F.max(F.when(F.col("kind") == 0, F.col("n"))).alias("n_pages"),
         F.avg(F.when(F.col("kind") == 1, F.ln("n"))).alias("mean_log"),
