@@ -75,6 +75,25 @@ def test_op1_names():
     assert kept("<div class='cookieBanner'>c</div><div class=header>h</div><div class=content>x</div><form>f</form><aside>s</aside>") == ["x"]
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "page-with-toc", "post no-comments", "row right-side"])
+def test_op1_names_are_whole_tokens(name):
+    assert [(noise, t) for _, noise, _, t in op1_html.blocks(f"<div class='{name}'><p>x</p></div>")] == [(False, "x")]
+
+
+def test_op1_noise_names_still_count():
+    for name in ("sidebar", "left-sidebar", "site-nav", "comment-list", "ad", "ad-1", "navbar", "side"):
+        assert [noise for _, noise, _, _ in op1_html.blocks(f"<div class='{name}'>x</div>")] == [True], name
+
+
+def test_op1_article_takes_names_back():
+    def kept(page):
+        return [t for _, noise, _, t in op1_html.blocks(page) if not noise]
+
+    assert kept("<div class=overlay><article><p>x</p><div class=comments>c</div></article></div>") == ["x"]
+    assert kept("<form id=f><div class=sidebar>s</div><div role=main>x</div></form>") == ["x"]
+    assert kept("<aside><article>other</article></aside><div hidden><main>h</main></div>") == []
+
+
 def test_op1_tree_removes_what_repeats(spark):
     rows = [(k, "http://h.com/p", f"<body><div class=x>same on all</div><div class=y>own text number {k} {hash(str(k))}</div></body>") for k in range(40)]
     got = [r.text for r in op1_html.extract_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()]

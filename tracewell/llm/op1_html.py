@@ -2,7 +2,7 @@
 
 The pages of a host are merged into one tree: a node is a path of elements (tag, class, id and role, digits as 0), and holds what all pages of the host show there.
 A node's importance comes from entropy. Content: a text that many of the node's pages share says little, one of its own says much; over all distinct texts of a node the mean of 1 - log(pages with it) / log(pages of the node). Presentation: the entropy of the different sequences of children, to the base of the node's pages. A node with children of its own combines both; on a host with few pages entropy says nothing, and every node counts as fully important.
-That is weighed by what the node's names say: it counts a fifth where a tag, role, class or id on the way names what is not the article (menus, headers outside it, footers, sidebars, notices, adverts, forms, comments), and no less than a half within an article or main element otherwise.
+Names come before that where they speak. A tag, role or whole class or id token on the way that names what is not the article (menus, headers outside it, footers, sidebars, notices, adverts, forms, comments) divides importance by five, so that such a branch always goes; within an article or main element otherwise it is no less than a half, so that such a branch always stays. Entropy decides on all other nodes, on hosts with LEAST_PAGES different pages or more. An article or main element takes back what a class, an id or a form around it says, not what nav, aside, footer, a role or hidden says.
 Branches whose weighed importance is low are removed from every page of the host. Scripts, styles and other elements without text never enter the tree.
 
 Only digests of texts and counts leave a page for the tree; the pages are read once for the tree and once for their text.
@@ -35,7 +35,10 @@ CLOSES_P = {"address", "article", "aside", "blockquote", "details", "dialog", "d
 CLOSES_SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 NOISE_TAGS = {"head", "nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "option", "fieldset", "canvas", "audio", "video", "input", "search"} | RAW
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"}
-NOISE_NAME = re.compile(r"(?:^|[\s_-])(ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|widget|footer|foot|header|masthead|topbar|toolbar|notices?|alert|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|replies|reply|respond|disqus|pagination|pager|copyright|legal|disclaimer|tags|toc|form|search)(?=$|[\s_-])", re.I)
+NOISE_NAME = re.compile(r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|widget|footer|foot|header|masthead|topbar|toolbar|notices?|alert|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|replies|reply|respond|disqus|pagination|pager|copyright|legal|disclaimer|tags|toc|form|search", re.I)
+#: Parts of a class or id that leave a noise name what it is (site-nav, comment-list); any other part makes it another name (has-sidebar, page-with-toc).
+PLAIN_PARTS = {"site", "main", "page", "global", "top", "bottom", "left", "right", "primary", "secondary", "list", "item", "items", "box", "block", "wrap", "wrapper", "container", "inner", "outer", "area", "section", "bar", "links", "link", "posts", "buttons", "button", "body", "text", "icons", "message", "unit", "slot"}
+PARTS = re.compile(r"[\s_-]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 PROTECT = {"article", "main"}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -43,10 +46,24 @@ ATTR = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)
 DIGITS = re.compile(r"\d+")
 
 
+def noise_names(value: str) -> list[str]:
+    """The noise names among the whole tokens of a class or id."""
+    out: list[str] = []
+    for token in value.split():
+        parts = [x.lower() for x in PARTS.split(CAMEL.sub("-", token)) if x and not x.isdigit()]
+        found = [x for x in parts if NOISE_NAME.fullmatch(x)]
+        if found and all(x in PLAIN_PARTS or NOISE_NAME.fullmatch(x) for x in parts):
+            out += found
+        elif parts == ["side"]:
+            out += parts
+    return out
+
+
 def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
     """The text blocks of a page in order: path, whether a name marks it as noise, whether it is in an article, text with its references decoded."""
     out: list[tuple[str, bool, bool, str]] = []
-    stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, True)]  # tag, path, noise, protected, whether it is a block
+    # tag, path, noise (1 by a class, an id or a form, which an article or main element inside takes back; 2 by another tag, a role or hidden), protected, whether it is a block
+    stack: list[tuple[str, str, int, bool, bool]] = [("", "", 0, False, True)]
     held: list[str] = []
     at, n = 0, len(page)
 
@@ -56,7 +73,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
             held.clear()
             if text:
                 _, path, noise, kept, _ = next(s for s in reversed(stack) if s[4])
-                out.append((path, noise, kept, text))
+                out.append((path, noise > 0, kept, text))
 
     def pop(to: int) -> None:
         if any(s[4] for s in stack[to:]):
@@ -118,27 +135,28 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
             continue
         name, noise = tag, stack[-1][2]
         protected = stack[-1][3]
-        for a in ATTR.finditer(m[3]):
-            key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
+        attrs = [(a[1].lower(), a[2] or a[3] or a[4] or "") for a in ATTR.finditer(m[3])]
+        if noise == 1 and not protected and (tag in PROTECT or ("role", "main") in [(k, v.strip().lower()) for k, v in attrs]):
+            noise = 0
+        for key, value in attrs:
             if key == "role":
-                noise |= value.strip().lower() in NOISE_ROLES
+                noise = max(noise, (1 if value.strip().lower() == "form" else 2) * (value.strip().lower() in NOISE_ROLES))
                 protected |= value.strip().lower() == "main"
                 name += f"[{value.strip().lower()}]"
             elif key == "hidden":
-                noise = True
+                noise = 2
                 name += "[hidden]"
             else:
                 if tag not in ("html", "body", "article", "main"):
-                    found = NOISE_NAME.findall(CAMEL.sub("-", value))
-                    noise |= any(not (protected and f.lower() in ("header", "footer", "head")) for f in found)  # an article has a header of its own
+                    noise = max(noise, int(any(not (protected and f in ("header", "footer", "head")) for f in noise_names(value))))  # an article has a header of its own
                 name += ("." if key == "class" else "#") + DIGITS.sub("0", value.strip())
         if tag in INLINE:
-            apart = noise and not stack[-1][2]  # a block of its own, so that it can go alone
+            apart = noise > 0 and not stack[-1][2]  # a block of its own, so that it can go alone
             if apart:
                 flush()
             stack.append((tag, stack[-1][1] + (">" + name if apart else ""), noise, protected, apart))
             continue
-        noise |= tag in NOISE_TAGS or tag == "header" and not protected
+        noise = max(noise, 1 if tag in ("form", "fieldset") else 2 if tag in NOISE_TAGS or tag == "header" and not protected else 0)
         protected |= tag in PROTECT
         stack.append((tag, stack[-1][1] + ">" + name, noise, protected, True))
     flush()
