@@ -44,7 +44,7 @@ FROM {{events}}""",
 SELECT doc_id, source || '/' || lang || '/doc_' || CAST(doc_id AS STRING) || CASE doc_id % 3 WHEN 0 THEN '.md' WHEN 1 THEN '.py' ELSE '.txt' END AS path, text AS content, lang AS doc_type FROM {documents}""",
     # directed edges between files: accesses that follow one another in a session
     "edges": f"""
-SELECT DISTINCT src, dst FROM (SELECT 'file_' || CAST({K} AS STRING) AS src, 'file_' || CAST(lead({K}) OVER (PARTITION BY user_id ORDER BY event_id) AS STRING) AS dst, event_id % 4 AS e FROM {{events}}) AS pairs WHERE dst IS NOT NULL AND e = 0 AND src <> dst""",
+SELECT DISTINCT src, dst FROM (SELECT 'file_' || CAST({K} AS STRING) AS src, 'file_' || CAST(lead({K}) OVER (PARTITION BY user_id ORDER BY event_id) AS STRING) AS dst FROM {{events}}) AS pairs WHERE dst IS NOT NULL AND src <> dst""",
     # commits: the parts that one order's items name
     "commits": """
 SELECT DISTINCT l_orderkey AS commit_idx, 'part_' || CAST(l_partkey % 50 AS STRING) AS path FROM {lineitem}""",
@@ -63,7 +63,7 @@ FROM {documents}""",
     # a page of notes for each document
     "pages_md": """
 SELECT doc_id, source || '/my-note_' || CAST(doc_id AS STRING) || '.md' AS path,
-  '# Title of ' || source || chr(10) || 'first line' || chr(10) || chr(10) || 'second line' || chr(10) || 'third line' || chr(10) || '## Keywords' || chr(10) || 'alpha, beta' || CAST(doc_id % 6 AS STRING) || chr(10) || '### Deep-part ' || lang || chr(10) || '- point **Strong term** `mod' || CAST(doc_id % 10 AS STRING) || '/file_' || CAST(doc_id % 100 AS STRING) || '.py`' || chr(10) || '**Location**: `src/x y.ts`' || chr(10) || 'plain' || chr(10) || '* star `tick_word`' || chr(10) || substr(text, 1, 40 * CAST(doc_id % 60 AS INT)) AS content
+  '# Title of ' || source || chr(10) || 'first line' || chr(10) || chr(10) || 'second line' || chr(10) || 'third line' || chr(10) || '## Keywords' || chr(10) || 'alpha, beta' || CAST(doc_id % 6 AS STRING) || chr(10) || '### Deep-part ' || lang || chr(10) || '- point **Strong term** `mod' || CAST(doc_id % 10 AS STRING) || '/file_' || CAST(doc_id % 100 AS STRING) || '.py`' || chr(10) || '**Location**: `src/x y.ts`' || chr(10) || 'plain' || chr(10) || '* star `tick_word`' || chr(10) || text AS content
 FROM {documents}""",
 }
 TABLES = re.compile(r"\{(\w+)\}")
