@@ -2,7 +2,7 @@
 
 1. Vectors are brought to length 1 in double precision. Equal ones of a label are one class with a count, so copies are never paired.
 2. Two codebooks, one for each half of the vectors, are trained by k-means on a bounded sample (`sample` classes, the lowest by a hash of the vector; 20,000 by default). Their product is a grid of cells; every vector is indexed in the cell of its nearest codewords.
-3. A query visits the cells by the multi-sequence algorithm, likeliest first, until they hold a neighbour at the threshold with probability `recall`. A neighbour at cosine c is a step of length sqrt(2 - 2c) away, taken as a normal deviate along the normal of each boundary between codewords, so the chance to have crossed it follows from the distance to it. How wide the deviate is across each boundary comes from the data (`spread`): the sample's covariance and its own neighbours, and never less than for a step in a random direction.
+3. A query visits the cells in the order of the multi-sequence algorithm (by a full sort of all cells' chances, not a priority queue), likeliest first, until they hold a neighbour at the threshold with probability `recall`. A neighbour at cosine c is a step of length sqrt(2 - 2c) away, taken as a normal deviate along the normal of each boundary between codewords, so the chance to have crossed it follows from the distance to it. How wide the deviate is across each boundary comes from the data (`spread`): the sample's covariance and its own neighbours, and never less than for a step in a random direction.
    A pair is found if either side visits the other's cell; the target holds for each side alone, so it needs no independence of the two. Each pair is counted once on both sides.
 4. A cell is dealt in blocks of BLOCK vectors, its visitors likewise; a task compares one block of visitors with one of vectors by a matrix product and verifies each pair in double precision. It returns counts and a spanning forest of the links, never the pairs.
 5. Components come from the spanning forests.
