@@ -242,6 +242,24 @@ def test_op6(spark, odd, none):
     assert op6_langid.identify(none, model).count() == 0
 
 
+def test_op6_long_labelled_texts(spark):
+    """Labelled rows that together hold far more text than the driver would take are learned from whole."""
+    rows = [(i, ("alpha beta gamma the of and " if i % 2 else "der die das und nicht ein ") * 1200, "en" if i % 2 else "de") for i in range(2200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = op6_langid.fit(df)
+    assert model["langs"] == ["de", "en"]
+    assert op6_langid.identify(df, model).where("lang_pred <> lang OR rejected").count() == 0
+    few = op6_langid.fit(df, entries=1)
+    assert few["langs"] == ["de", "en"]
+
+
+def test_op6_rare_language(spark):
+    rows = [(i, "the house and the garden of the town" + " again" * (i % 7), "en") for i in range(4000)] + [(9000 + i, "zwölf boxkämpfer jagen viktor quer über den deich" + " noch" * i, "de") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = op6_langid.identify(df, op6_langid.fit(df, sample=400))
+    assert got.where("lang_pred <> lang").count() == 0
+
+
 def test_op7_odd(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/x?y", "http://example.com/en", "http://a.net/es/1#z", "http://xnet/es/", "http://net/fr/a/b", "http://com", "https://b.example.com/en/?q", "http://example.com?u=http://net/es/", "http://a..com/x"]
     df = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(urls)], "page_id int, url string, _host string, key string")

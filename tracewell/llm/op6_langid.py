@@ -4,7 +4,7 @@ A text, with a space before and after, is the mean of the embeddings of its byte
 A temperature fitted on labelled rows that were not trained on calibrates its probabilities; a text whose calibrated probability stays below a threshold, or that has no letter, is rejected.
 As the map is linear, a prediction needs only the product of table and map: one row of logits for each bucket, which tasks carry as a broadcast of fixed size.
 
-Training reads a bounded sample (`sample` rows, by default 3,000, the lowest by a hash of the id, of all labelled rows); a quarter of it is for calibration. Predictions read whole texts.
+Training reads a bounded sample of all labelled rows: of each language the same number of rows, `sample` (3,000 by default) in all, those with the lowest hashes of the id. Executors turn their whole texts into counts of buckets, at most BUCKETS for a text of any length; the driver takes rows in order of the hash until it has ENTRIES counts, at least one row of each language. A quarter of the rows is for calibration. Predictions read whole texts.
 
 Nulls: a null or empty text, or one without letters, is 'und' with score 0. Rows without a label are never learned from. Without any labelled row everything is 'und'. Repeated rows are predicted alike.
 """
@@ -16,12 +16,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import flat, in_pieces, lower_ascii, saved
 
 BUCKETS, DIM, SAMPLE = 1 << 16, 16, 3000
+#: Counts of buckets (8 bytes each) that training takes to the driver, beside one row of each language.
+ENTRIES = 8_000_000
 #: A prediction is rejected below this calibrated probability.
 REJECT = 0.4
 LETTER = regex.compile(r"\p{L}")
@@ -68,8 +70,14 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], steps: int = 12_000, rate: float = 0.5, seed: int = 7) -> dict:
-    """The model: its languages, one row of logits for each bucket, and the temperature."""
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's grams and how often each occurs."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return np.unique(grams(raw, np.array([0, len(raw)]))[0], return_counts=True)
+
+
+def train(counts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], steps: int = 12_000, rate: float = 0.5, seed: int = 7) -> dict:
+    """The model from the bucket counts of labelled texts: its languages, one row of logits for each bucket, and the temperature."""
     langs = sorted(set(labels))
     if not langs:
         return {"langs": [], "logits": np.zeros((BUCKETS, 0), np.float32), "temperature": 1.0}
@@ -77,11 +85,7 @@ def train(texts: list[str], labels: list[str], steps: int = 12_000, rate: float
     table = (rng.random((BUCKETS, DIM), np.float32) - 0.5) / DIM
     weight = np.zeros((DIM, len(langs)), np.float32)
     y = np.array([langs.index(x) for x in labels])
-    docs = []
-    for t in texts:
-        raw = np.frombuffer(t.encode(), np.uint8)
-        b, _ = grams(raw, np.array([0, len(raw)]))
-        docs.append(np.unique(b, return_counts=True) if len(b) else None)
+    docs = [c if len(c[0]) else None for c in counts]
     held = np.arange(len(docs)) % 4 == 3
     usable = np.array([d is not None for d in docs])
     learn = np.flatnonzero(usable & ~held) if (usable & ~held).any() else np.flatnonzero(usable)
@@ -128,15 +132,29 @@ def predict(model: dict, column: pa.Array) -> tuple[list[str], np.ndarray]:
     return names, np.where(lettered, p.max(1), 0.0)
 
 
-def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> dict:
-    """Trains on the driver from at most `sample` labelled rows, of at most 64 MB of text together (beyond that, from those of them that are no longer than their share of it)."""
+def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, entries: int = ENTRIES) -> dict:
+    """Trains on the driver from the bucket counts of at most `sample` labelled rows (one of each language where there are more), the same number of each language as far as it has them, and of these in order of their hashes as many as hold `entries` counts."""
     rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col), F.lit(1)).alias("o"), F.col(text_col).alias("t"), F.col(label_col).alias("l"))
-    labelled = docs.where(F.col(label_col).isNotNull()).count()
-    cut = int((min(1.0, 2 * sample / max(1, labelled)) - 0.5) * (2**64 - 1))  # leaves about twice as many, so that no task gathers more
-    near = rows.where(F.col("o") <= F.lit(max(-(2**63), min(2**63 - 1, cut))))
-    picked = saved(near.orderBy("o", F.xxhash64("t")).limit(sample), "sample")
-    got = picked.collect() if (picked.agg(F.sum(F.octet_length("t"))).first()[0] or 0) <= 64 << 20 else picked.where(F.octet_length("t") <= (64 << 20) // sample).collect()
-    return train([r["t"] for r in got], [r["l"] for r in got])
+    sizes = saved(rows.groupBy("l").agg(F.count("*").alias("n")), "labels")
+    quota = max(1, sample // max(1, sizes.count()))
+    # a cut of the hash that leaves about twice the quota of each language, so that no task ranks more
+    share = F.least(F.lit(1.0), F.lit(2.0 * quota + 64) / F.col("n"))
+    near = rows.select("o", "l", "t").join(sizes, "l").where(F.pmod(F.col("o"), F.lit(1 << 40)) < share * (1 << 40))
+    place = F.row_number().over(Window.partitionBy("l").orderBy("o", F.xxhash64("t")))
+    picked = near.select("o", "l", "t").withColumn("place", place).where(F.col("place") <= quota)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_pieces(batches, "t", 1 << 20):
+            pairs = [counted(t) for t in b.column(3).to_pylist()]
+            size = pa.array([len(p[0]) for p in pairs], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), size, *(pa.array([p[k].astype("<i4").tobytes() for p in pairs], pa.binary()) for k in (0, 1))], ["o", "l", "place", "size", "buckets", "times"])
+
+    kind = docs.schema[label_col].dataType.simpleString()
+    table = saved(picked.select("o", "l", "place", "t").mapInArrow(count, f"o long, l {kind}, place int, size long, buckets binary, times binary"), "sample")
+    before = F.coalesce(F.sum("size").over(Window.orderBy("place", "o", "l").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = table.select("o", "l", "place", "size").distinct().withColumn("before", before).where((F.col("place") == 1) | (F.col("before") < entries))  # a row of the sample each
+    got = table.join(F.broadcast(taken.select("l", "place")), ["l", "place"], "left_semi").orderBy("place", F.xxhash64("o", "l")).collect()  # languages by turns, so that each has its part of the rows for calibration
+    return train([(np.frombuffer(r["buckets"], "<i4").astype(np.int64), np.frombuffer(r["times"], "<i4").astype(np.int64)) for r in got], [r["l"] for r in got])
 
 
 def identify(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
