@@ -220,6 +220,51 @@ def test_op5_paths(spark, duck, monkeypatch, block, small):
     same_rows(queries.QUERIES["op5_minhash"](spark, SF), duck.sql(op5_minhash.OP5_SQL))
 
 
+def test_op4_lengths_and_sizes(spark):
+    """Vectors of any length link among themselves, and no square overflows or vanishes."""
+    rows = [(1, [1.0, 0.0, 0.0, 1.0], 1), (2, [1.0, 0.0, 0.0, 1.0], 1), (3, [1.0, 2.0], 1), (4, [1.0, 2.0], 1), (5, [1e200, 1e200], 1), (6, [1e200, 1.1e200], 1), (7, [3e-200, 3.1e-200], 1), (8, [2.0], 1), (9, [5.0], 1), (10, [-1.0], 1), (11, [], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in op4_embeddings.linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (4, 3), 4: (4, 3), 5: (4, 3), 6: (4, 3), 7: (4, 3), 8: (1, 8), 9: (1, 8), 10: (0, 10), 11: (0, 11)}
+
+
+def test_op4_ids_with_several_vectors(spark):
+    rows = [(5, [1.0, 0.0], 1), (5, [0.0, 1.0], 1), (7, [0.0, 1.0], 1), (8, [0.01, 1.0], 1), (3, [1.0, 0.01], 1)]
+    got = {(r.vec_id, r.n_links, r.component_id) for r in op4_embeddings.linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {(5, 3, 3), (7, 2, 3), (8, 2, 3), (3, 1, 3)}
+
+
+def test_op4_multi_sequence():
+    """The traversal visits the cells that a full sort of the product would, and no others."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    p, q = rng.dirichlet(np.full(23, 0.2), 60), rng.dirichlet(np.full(31, 0.2), 60)
+    rows, cells = op4_embeddings.multi_sequence(p, q, 0.97)
+    for r in range(60):
+        product = np.outer(p[r], q[r]).ravel()
+        order = np.argsort(-product)
+        n = int(np.searchsorted(np.cumsum(product[order]), 0.97)) + 1
+        assert sorted(cells[rows == r].tolist()) == sorted(order[:n].tolist())
+
+
+def test_op4_recall_many(spark):
+    """Against all pairs on 100,000 vectors, whose grid has grown beyond that of the small tests; blocks compare the planted rows with all others."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    dev = 1 / np.arange(1, 33) ** 0.5
+    base = rng.normal(size=(100_000, 32)) * dev
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    step = rng.normal(size=(600, 32)) * dev
+    step -= (step * base[:600]).sum(1)[:, None] * base[:600]
+    step /= np.linalg.norm(step, axis=1)[:, None]
+    x = np.concatenate([base, 0.931 * base[:600] + np.sqrt(1 - 0.931**2) * step])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(16)
+    found = {r.vec_id: r.n_links for r in op4_embeddings.linked_vectors(df).where("vec_id >= 100000").collect()}
+    true = {100_000 + k: int((x @ x[100_000 + k] >= 0.93).sum()) - 1 for k in range(600)}
+    assert sum(found.values()) >= 0.99 * sum(true.values()) and all(found[k] <= true[k] for k in true)
+
+
 def test_op5_odd(spark, odd, none):
     got = op5_minhash.near_duplicates(odd, shingle=3, percent=85).collect()
     assert len(got) == len(odd_rows())
