@@ -213,7 +213,7 @@ def test_op4_recall_skewed(spark, power):
     assert 0.99 * true <= found <= true
 
 
-@pytest.mark.parametrize("block, small", [(256, 200), (2, 2)])
+@pytest.mark.parametrize("block, small", [(256, 200), (4, 4), (2, 2)])
 def test_op5_paths(spark, duck, monkeypatch, block, small):
     monkeypatch.setattr(op5_minhash, "BLOCK", block)
     monkeypatch.setattr(op5_minhash, "SMALL", small)
@@ -265,6 +265,42 @@ def test_op4_recall_many(spark):
     assert sum(found.values()) >= 0.99 * sum(true.values()) and all(found[k] <= true[k] for k in true)
 
 
+@pytest.mark.parametrize("similar", [85, 90])
+def test_op5_crowded_nodes(similar):
+    """Pairs that branch on from DEPTH to LAST_DEPTH, as in nodes that stay crowded, still meet in some tree."""
+    import numpy as np
+
+    rng, n, size = np.random.default_rng(3), 400, 200
+    both = size * 2 * similar // (100 + similar)
+    sets = rng.integers(0, 1 << 63, (n, 2 * size - both), dtype=np.uint64)
+    one, two = sets[:, :size], sets[:, size - both :]
+    off = np.arange(n + 1) * size
+    a, b = (op5_minhash.signatures(np.sort(x, 1).ravel(), off) for x in (one, two))
+    found = np.zeros(n, bool)
+    for t in range(op5_minhash.TREES):
+        ends = []
+        for sig in (a, b):
+            rows, node = op5_minhash.branches(op5_minhash.path_keys(sig, t, op5_minhash.DEPTH), sig, op5_minhash.LAST_DEPTH - op5_minhash.DEPTH, 0.85)
+            ends.append(set(zip(rows.tolist(), node.tolist(), strict=True)))
+        found[[r for r, _ in ends[0] & ends[1]]] = True
+    assert found.mean() >= 0.97
+
+
+def test_op5_crowd(spark):
+    """A crowd that branches on, of texts that share most but not enough of their words, with near copies in it."""
+    r = random.Random(8)
+    common = [f"w{k}" for k in range(100)]
+    rows = []
+    for k in range(700):
+        own = [f"x{k}y{j}" for j in range(28)]
+        rows.append((2 * k, " ".join(common + own)))
+        if k % 3 == 0:
+            rows.append((2 * k + 1, " ".join(common + own[:-1] + [f"z{k}"])))
+    r.shuffle(rows)
+    got = {x.doc_id: x.component_id for x in op5_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=1, percent=85).collect()}
+    assert got == {k: k - k % 2 for k, _ in rows}
+
+
 def test_op5_odd(spark, odd, none):
     got = op5_minhash.near_duplicates(odd, shingle=3, percent=85).collect()
     assert len(got) == len(odd_rows())

@@ -1,16 +1,16 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
 1. Documents with the same set of shingles are one class; the classes are represented by their smallest id, so copies are never paired.
-2. Each class has SIG minwise hashes. In each of TREES independent trees a document walks from the root: the node that it has come to chooses which of its minwise tokens comes next, and that token leads to the child. At depth `depth` a node's documents have agreed in all chosen tokens.
-3. Nodes of at most SMALL documents are compared exhaustively, by sketches of one bit of each minwise hash; what may be similar is linked to the node's smallest id. Larger nodes branch on, up to a last depth; what is still together there is linked to its smallest id without a look. These are candidates, so this can only add work, not links.
-4. Candidate components are confirmed on full sets. Small components are compared whole in one task, long as no path of confirmed links joins two documents already. In a large one every document is first compared with the component's smallest; only the documents that this does not join are compared with all others, in blocks.
+2. Each class has SIG minwise hashes. In each of TREES independent trees a document walks from the root: the node that it has come to chooses which of its minwise tokens comes next, and that token leads to the child. At depth DEPTH a node's documents have agreed in all chosen tokens.
+3. Nodes of at most SMALL documents are compared exhaustively, by sketches of one bit of each minwise hash; what may be similar is linked to the node's smallest id. Larger nodes branch on: at each level a node chooses one or more of the tokens, 1 / threshold of them on average, and its documents go on by each. So of two documents at the threshold one child holds both on average, however deep they go. What is still together in a large node at the last depth is linked to its smallest id without a look. These are candidates, so this can only add work, not links.
+4. Candidate components are confirmed on full sets. Small components are compared whole in one task, long as no path of confirmed links joins two documents already. In a large one every document is first compared with the component's smallest. The documents that this does not join meet the others again in the nodes of the trees: only those whose sketches are alike there take their sets to the node and are compared. Large nodes of the last depth are compared in blocks.
 5. The components of confirmed links are the result.
 
-A pair of similarity s is together in a tree with probability s^depth, so in none of the trees with (1 - s^4)^24: 7e-8 at 0.85.
-Whatever the group, no task holds more than a block of documents, and rows grow with the documents, not with pairs.
+A pair of similarity s is together in a tree at DEPTH with probability s^4, so in none of the trees with (1 - s^4)^24: 7e-8 at 0.85. In crowded nodes, down to the last depth, a pair at the threshold of 0.85 was together in some tree for all but 2 of 1,000 (tests ask for 0.97).
+Whatever the group, no task holds more than a block of documents. Rows grow with the documents: at most a set for each tree, and for each branch below a crowded node.
 
-Shingles are of `shingle` words (runs of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased), identified by a 64-bit hash; a text with fewer words has one shingle, the whole sequence; one without words has none and links with nothing.
-Nulls: a null text has no shingles. A null id is a document that links with nothing. Rows with the same id and different sets are distinct sets of that one id: n_shingles is each row's own, links of any of them count for the id.
+Shingles are of `shingle` words (runs of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased), identified by a 64-bit hash, sets by 128 bits; a text with fewer words has one shingle, the whole sequence; one without words has none and links with nothing.
+Very long texts are whole sets like others. Nulls: a null text has no shingles. A null id is a document that links with nothing. Rows with the same id and different sets are distinct sets of that one id: n_shingles is each row's own, links of any of them count for the id.
 """
 
 from __future__ import annotations
@@ -96,6 +96,32 @@ def path_keys(sig: np.ndarray, tree: int, depth: int) -> np.ndarray:
     return node
 
 
+def branches(node: np.ndarray, sig: np.ndarray, levels: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, nodes): where each row comes to from its node within some levels, if a node chooses 1 / threshold tokens on average."""
+    rows = np.arange(len(sig))
+    least, more = divmod(1 / threshold, 1)
+    for _ in range(levels):
+        node = mix(node)
+        count = int(least) + ((mix(node ^ GOLD) >> np.uint64(11)).astype(np.float64) / (1 << 53) < more)
+        rows, node = np.repeat(rows, count), np.repeat(node, count)
+        k = (np.arange(len(node)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
+        way = mix(node + k * GOLD)
+        i = (way % np.uint64(SIG)).astype(np.int64)
+        node = mix(way * GOLD + sig[rows, i].astype(np.uint64) + (i.astype(np.uint64) << np.uint64(32)))
+    return rows, node
+
+
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """A bit of each minwise hash, after a mix: the lowest bit alone would follow the token's own."""
+    return np.packbits(((sig * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8), axis=1)
+
+
+def alike(sketch: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of rows may be similar."""
+    apart = np.bitwise_count(sketch[:, None, :] ^ sketch[None, :, :]).sum(-1)
+    return 1 - 2 * apart / SIG >= least
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
@@ -144,46 +170,50 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
             some = count > 0
             total = np.append(np.uint64(0), np.cumsum(mix(sets), dtype=np.uint64))
             key = mix((total[off[1:]] - total[off[:-1]]) + count.astype(np.uint64) * GOLD)
+            total = np.append(np.uint64(0), np.cumsum(mix(sets ^ GOLD), dtype=np.uint64))
+            pair = np.stack([key, mix(total[off[1:]] - total[off[:-1]])], 1).astype("<u8")
             rows = np.ascontiguousarray(sig.astype("<u4")).view(f"S{4 * SIG}").ravel()
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), signed(key), pa.array(count, pa.int64()), pa.array([r.ljust(4 * SIG, b"\0") if s else None for r, s in zip(rows.tolist(), some, strict=True)], pa.binary())],
+                [b.column(0), pa.array([r.tobytes() for r in pair], pa.binary()), pa.array(count, pa.int64()), pa.array([r.ljust(4 * SIG, b"\0") if s else None for r, s in zip(rows.tolist(), some, strict=True)], pa.binary())],
                 ["i", "set_key", "n_shingles", "sig"],
             )
 
-    signed_docs = saved(src.mapInArrow(sign, f"i {kind}, set_key long, n_shingles long, sig binary"), "signatures")
+    signed_docs = saved(src.mapInArrow(sign, f"i {kind}, set_key binary, n_shingles long, sig binary"), "signatures")
     usable = signed_docs.where("i IS NOT NULL AND n_shingles > 0")
     classes = saved(usable.groupBy("set_key").agg(F.min("i").cast("long").alias("c"), F.first("sig").alias("sig")), "classes")
     members = usable.join(classes.select("set_key", "c").hint("merge"), "set_key").select(F.col("i").cast("long").alias("a"), F.col("c").alias("b"))
-    candidates = saved(candidate_links(classes, percent / 100 - MARGIN), "candidates")
-    held = saved(components(candidates).select(F.col("node").alias("c"), F.col("component").alias("g")), "groups")
-    links = confirmed_links(src, held, shingle, percent)
+    candidates, leaves, crowds = candidate_links(classes, percent / 100)
+    held = saved(components(saved(candidates, "candidates")).select(F.col("node").alias("c"), F.col("component").alias("g")), "groups")
+    if usable.groupBy("i").count().where("count > 1").limit(1).count():
+        src = src.dropDuplicates(["i", "t"])  # rows that repeat
+    links = confirmed_links(src, held, leaves, crowds, shingle, percent)
     found = components(links.unionByName(members.where("a <> b")))
     out = signed_docs.join(found.select(F.col("node").alias("i"), "component"), "i", "left")
     best = F.coalesce(F.col("component").cast(kind), F.col("i"))
     return out.select(F.col("i").alias(id_col), "set_key", "n_shingles", best.alias("component_id"), F.coalesce(best == F.col("i"), F.lit(True)).alias("kept"))
 
 
-def candidate_links(classes: DataFrame, least: float) -> DataFrame:
-    """(a, b): links of classes to the smallest id among what is alike in a node of some tree."""
-
-    def walk(depth: int, trees: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for lo in range(0, b.num_rows, 2000):
-                    part = b.slice(lo, 2000)
-                    raw, _ = flat(part.column(part.schema.get_field_index("sig")))
-                    sig = raw.view("<u4").reshape(-1, SIG)
-                    c = part.column(part.schema.get_field_index("c"))
-                    bits = np.packbits((sig & 1).astype(np.uint8), axis=1)
-                    sketch = pa.array([r.tobytes() for r in bits], pa.binary())
-                    own = part.column(part.schema.get_field_index("tree")).to_numpy() if trees else None
-                    for t in range(TREES):
-                        which = np.flatnonzero(own == t) if trees else np.arange(len(sig))
-                        if len(which):
-                            take = pa.array(which)
-                            yield pa.RecordBatch.from_arrays([signed(path_keys(sig[which], t, depth)), pa.array(np.full(len(which), t, np.int32)), c.take(take), sketch.take(take)], ["node", "tree", "c", "sketch"])
-
-        return run
+def candidate_links(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(links, leaves, crowds): links (a, b) of classes to the smallest id among what is alike in a node of some tree; the small nodes (node, c, sketch) and, if there are any, the large ones of the last depth."""
+
+    def roots_of_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, sig, _ in signed_rows(batches):
+            sketch = pa.array([r.tobytes() for r in sketches(sig)], pa.binary())
+            for t in range(TREES):
+                yield pa.RecordBatch.from_arrays([signed(path_keys(sig, t, DEPTH)), c, sketch], ["node", "c", "sketch"])
+
+    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, sig, part in signed_rows(batches):
+            rows, node = branches(part.column(part.schema.get_field_index("node")).to_numpy().view(np.uint64), sig, 4, threshold)
+            take = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([signed(node), c.take(take), pa.array([r.tobytes() for r in sketches(sig)], pa.binary()).take(take)], ["node", "c", "sketch"])
+
+    def signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, pa.RecordBatch]]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 2000):
+                part = b.slice(lo, 2000)
+                raw, _ = flat(part.column(part.schema.get_field_index("sig")))
+                yield part.column(part.schema.get_field_index("c")), raw.view("<u4").reshape(-1, SIG), part
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in grouped(batches, "node"):
@@ -193,9 +223,8 @@ def candidate_links(classes: DataFrame, least: float) -> DataFrame:
             for s, e in zip(cut[:-1], cut[1:], strict=True):
                 if e - s < 2:
                     continue
-                apart = np.bitwise_count(sketch[s:e, None, :] ^ sketch[None, s:e, :]).sum(-1)
-                alike = np.argwhere(1 - 2 * apart / SIG >= least)
-                root = roots(e - s, alike[:, 0], alike[:, 1])
+                pairs = np.argwhere(alike(sketch[s:e], threshold - MARGIN))
+                root = roots(e - s, pairs[:, 0], pairs[:, 1])
                 order = np.argsort(c[s:e], kind="stable")
                 low = np.full(e - s, np.iinfo(np.int64).max)
                 np.minimum.at(low, root, c[s:e])
@@ -205,31 +234,33 @@ def candidate_links(classes: DataFrame, least: float) -> DataFrame:
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
 
-    rows = "node long, tree int, c long, sketch binary"
-    now, depth, links = classes.select("c", "sig").mapInArrow(walk(DEPTH, False), rows), DEPTH, None
+    rows = "node long, c long, sketch binary"
+    now, depth, links, leaves = classes.select("c", "sig").mapInArrow(roots_of_trees, rows), DEPTH, None, None
     while True:
         # merge joins at every size: what is joined grows with the documents
         sizes = saved(now.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node", (F.col("n") > SMALL).alias("big")), f"nodes{depth}")  # written, so that Spark can split the join on a node with many documents
         shared = saved(now.join(sizes.hint("merge"), "node"), f"shared{depth}")  # a node of one document is a leaf
-        small = shared.where("NOT big").select("node", "c", "sketch").repartition("node").sortWithinPartitions("node", "c")
-        got = small.mapInArrow(compare, "a long, b long")
+        small = shared.where("NOT big").select("node", "c", "sketch")
+        got = small.repartition("node").sortWithinPartitions("node", "c").mapInArrow(compare, "a long, b long")
         links = got if links is None else links.unionByName(got)
+        leaves = small if leaves is None else leaves.unionByName(small)
         big = shared.where("big")
         if not big.limit(1).count():
-            return links.distinct()
+            return links.distinct(), leaves, None
         if depth >= LAST_DEPTH:
             least_c = saved(big.groupBy("node").agg(F.min("c").alias("b")), "least")
-            return links.unionByName(big.join(least_c, "node").where("c <> b").select(F.col("c").alias("a"), "b")).distinct()
+            return links.unionByName(big.join(least_c, "node").where("c <> b").select(F.col("c").alias("a"), "b")).distinct(), leaves, big.select("node", "c")
         depth += 4
-        again = saved(big.select("c", "tree").join(classes.select("c", "sig"), "c").select("c", "tree", "sig"), f"big{depth}")
-        now = again.mapInArrow(walk(depth, True), rows)
+        again = saved(big.select("c", "node").join(classes.select("c", "sig"), "c").select("c", "node", "sig"), f"big{depth}")
+        now = again.mapInArrow(go_on, rows)
 
 
-def confirmed_links(docs: DataFrame, held: DataFrame, shingle: int, percent: int) -> DataFrame:
+def confirmed_links(docs: DataFrame, held: DataFrame, leaves: DataFrame, crowds: DataFrame | None, shingle: int, percent: int) -> DataFrame:
     """(a, b): links between documents of a candidate component that hold on their full sets, enough to join what is linked."""
-    sizes = saved(held.groupBy("g").agg((F.count("*") > BLOCK).alias("large")), "sizes")
+    sizes = saved(held.groupBy("g").agg(F.count("*").alias("n"), (F.count("*") > BLOCK).alias("large")), "sizes")
     texts = saved(docs.select(F.col("i").cast("long").alias("c"), "t").join(held.join(sizes, "g").hint("merge"), "c"), "texts", codec="zstd")
     out = "a long, b long"
+    least = percent / 100 - MARGIN
 
     def sets_of(texts) -> list[np.ndarray]:
         """The sets of texts, made from about a MB of them at a time."""
@@ -256,49 +287,73 @@ def confirmed_links(docs: DataFrame, held: DataFrame, shingle: int, percent: int
     if not sizes.where("large").limit(1).count():
         return saved(links, "links")
 
-    # large components: every document against the smallest, then what is left against all, in blocks
-    large = texts.where("large").select("g", "c", "t")
-    pivot = saved(large.where("c = g").groupBy("g").agg(F.min("t").alias("p")), "pivots")
+    # large components: their sets once, each block of them with the set of the component's smallest id
+    def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_pieces(batches, "t", 1 << 20):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([x.tobytes() for x in sets_of(b.column(3))], pa.binary())], ["g", "c", "n", "s"])
+
+    sets = saved(texts.where("large").select("g", "c", "n", "t").mapInArrow(as_sets, "g long, c long, n long, s binary"), "sets")
+    part = F.xxhash64("g", "x").alias("part")
+    pivots = sets.where("c = g").groupBy("g").agg(F.min("s").alias("s"), F.first("n").alias("n")).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK) - 1)))
+    dealt = sets.withColumn("x", F.pmod(F.xxhash64("c"), F.ceil(F.col("n") / BLOCK))).select(part, "g", "c", "s", F.lit(False).alias("pivot")).unionByName(pivots.select(part, "g", F.col("g").alias("c"), "s", F.lit(True).alias("pivot")))
 
     def with_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots: dict[int, np.ndarray] = {}
-        for b in in_pieces(batches, "t", 1 << 20):
-            p = b.to_pandas()
-            new = p.drop_duplicates("g")
-            new = new[~new["g"].isin(pivots.keys())]
-            pivots = {g: pivots[g] for g in p["g"].unique() if g in pivots} | dict(zip(new["g"], sets_of(new["p"]), strict=True))
+        for p in grouped(batches, "part"):
+            pivot = {k: np.frombuffer(s, np.uint64) for k, s in p.loc[p["pivot"], ["part", "s"]].itertuples(index=False)}
+            p = p[~p["pivot"]]
             near = []
-            for x, g in zip(sets_of(p["t"]), p["g"], strict=True):
-                y = pivots[g]
+            for k, s in zip(p["part"], p["s"], strict=True):
+                x, y = np.frombuffer(s, np.uint64), pivot[k]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 near.append(bool(len(x)) and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.bool_())], ["g", "c", "near"])
+            yield pa.RecordBatch.from_arrays([pa.array(p["g"], pa.int64()), pa.array(p["c"], pa.int64()), pa.array(near, pa.bool_())], ["g", "c", "near"])
 
-    tested = saved(large.repartition("c").join(pivot, "g").select("g", "c", "t", "p").mapInArrow(with_pivot, "g long, c long, near boolean"), "tested")
+    tested = saved(dealt.repartition("part").sortWithinPartitions("part", "c").mapInArrow(with_pivot, "g long, c long, near boolean"), "tested")
     links = links.unionByName(tested.where("near AND c <> g").select(F.col("c").alias("a"), F.col("g").alias("b")))
-    blocks = saved(tested.groupBy("g").agg(F.sum(F.when(F.col("near"), 0).otherwise(1)).alias("left"), F.count("*").alias("n")).where("left > 0").select("g", F.ceil(F.col("left") / BLOCK).alias("nl"), F.ceil(F.col("n") / BLOCK).alias("na")), "blocks")
-    rows = large.join(tested, ["g", "c"]).join(blocks, "g")
-    part_of = lambda n: F.pmod(F.xxhash64("c"), F.col(n))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    queries = rows.where("NOT near").withColumn("q", part_of("nl")).select("*", each("na").alias("k")).withColumn("query", F.lit(True))
-    targets = rows.withColumn("k", part_of("na")).select("*", each("nl").alias("q")).withColumn("query", F.lit(False))
-    dealt = queries.unionByName(targets).select(F.xxhash64("g", "q", "k").alias("part"), "c", "t", "near", "query")
+    left = saved(tested.groupBy("g").agg(F.count(F.when(~F.col("near"), 1)).alias("left")).where("left > 0").select("g"), "left")
+    open_ = saved(tested.groupBy("g", "c").agg(F.min("near").alias("near")).join(left, "g"), "open")
+
+    # what the smallest does not join meets the rest in the nodes of the trees
+    def tickets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in grouped(batches, "node"):
+            node, g, near, cut, out = p["node"].to_numpy(), p["g"].to_numpy(), p["near"].to_numpy(), None, []
+            sketch = np.frombuffer(b"".join(p["sketch"]), np.uint8).reshape(len(p), -1)
+            cut = runs(node)
+            for s, e in zip(cut[:-1], cut[1:], strict=True):
+                pair = alike(sketch[s:e], least) & (g[s:e][:, None] == g[s:e][None]) & ~(near[s:e][:, None] & near[s:e][None])
+                np.fill_diagonal(pair, False)
+                out.append(s + np.flatnonzero(pair.any(1)))
+            p = p.iloc[np.concatenate(out)]
+            yield pa.RecordBatch.from_arrays([pa.array(p[k], t) for k, t in (("node", pa.int64()), ("g", pa.int64()), ("c", pa.int64()), ("near", pa.bool_()))], ["node", "g", "c", "near"])
+
+    asked = leaves.join(open_, "c").repartition("node").sortWithinPartitions("node", "c").mapInArrow(tickets, "node long, g long, c long, near boolean")
+    asked = asked.select(F.xxhash64("node", "g").alias("part"), "c", "near", (~F.col("near")).alias("query"))
+    if crowds is not None:  # all that is left in a crowd against all of it, in blocks
+        crowd = saved(crowds.join(open_, "c").select("node", "g", "c", "near"), "crowd")
+        blocks = crowd.groupBy("node", "g").agg(F.count(F.when(~F.col("near"), 1)).alias("nl"), F.count("*").alias("na")).where("nl > 0").select("node", "g", F.ceil(F.col("nl") / BLOCK).alias("nl"), F.ceil(F.col("na") / BLOCK).alias("na"))
+        rows = crowd.join(saved(blocks, "blocks"), ["node", "g"])
+        part_of = lambda n: F.pmod(F.xxhash64("c"), F.col(n))
+        each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        queries = rows.where("NOT near").withColumn("q", part_of("nl")).select("*", each("na").alias("k")).withColumn("query", F.lit(True))
+        targets = rows.withColumn("k", part_of("na")).select("*", each("nl").alias("q")).withColumn("query", F.lit(False))
+        asked = asked.unionByName(queries.unionByName(targets).select(F.xxhash64("node", "g", "q", "k").alias("part"), "c", "near", "query"))
+    met = saved(asked, "tickets").join(sets.select("c", "s"), "c")
 
     def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in grouped(batches, "part"):
             cut, a, b = runs(p["part"].to_numpy()), [], []
             for s, e in zip(cut[:-1], cut[1:], strict=True):
-                own = p.iloc[s:e].drop_duplicates("c", keep="first").sort_values(["query", "c"], ascending=[False, True])
+                own = p.iloc[s:e].drop_duplicates(["c", "s"], keep="first").sort_values(["query", "c"], ascending=[False, True])
                 c = own["c"].to_numpy()
                 near = own["near"].to_numpy()
                 root = np.where(near, near.argmax(), np.arange(len(c)))  # joined by the component's smallest
-                after = jaccard_links(sets_of(own["t"]), percent, range(int(own["query"].sum())), root)
+                after = jaccard_links([np.frombuffer(x, np.uint64) for x in own["s"]], percent, range(int(own["query"].sum())), root)
                 other = np.flatnonzero(after != root)
                 a += c[other].tolist()
                 b += c[after[other]].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    links = links.unionByName(dealt.repartition("part").sortWithinPartitions("part", F.desc("query"), "c").mapInArrow(in_blocks, out))
+    links = links.unionByName(met.select("part", "c", "s", "near", "query").repartition("part").sortWithinPartitions("part", F.desc("query"), "c").mapInArrow(in_blocks, out))
     return saved(links, "links")
 
 
