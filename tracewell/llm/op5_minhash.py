@@ -3,10 +3,10 @@
 1. Documents with the same set of shingles are one class; the classes are represented by their smallest id, so copies are never paired.
 2. Each class has SIG minwise hashes. In each of TREES independent trees a document walks from the root: the node that it has come to chooses which of its minwise tokens comes next, and that token leads to the child. At depth DEPTH a node's documents have agreed in all chosen tokens.
 3. Nodes of at most SMALL documents are compared exhaustively, by sketches of one bit of each minwise hash; what may be similar is linked to the node's smallest id. Larger nodes branch on: at each level a node chooses one or more of the tokens, 1 / threshold of them on average, and its documents go on by each. So of two documents at the threshold one child holds both on average, however deep they go. What is still together in a large node at the last depth is linked to its smallest id without a look. These are candidates, so this can only add work, not links.
-4. Candidate components are confirmed on full sets. Small components are compared whole in one task, long as no path of confirmed links joins two documents already. In a large one every document is first compared with the component's smallest. The documents that this does not join meet the others again in the nodes of the trees: only those whose sketches are alike there take their sets to the node and are compared. Large nodes of the last depth are compared in blocks.
+4. Candidate components are confirmed on full sets. Small components are compared whole in one task, long as no path of confirmed links joins two documents already. In a large one every document is first compared with the component's smallest. The documents that this does not join meet the others again in trees of that component's documents alone: only those of whose minwise hashes enough agree (a byte of each is compared) take their sets to the node and are compared. Large nodes of the last depth are compared in blocks.
 5. The components of confirmed links are the result.
 
-A pair of similarity s is together in a tree at DEPTH with probability s^4, so in none of the trees with (1 - s^4)^24: 7e-8 at 0.85. In crowded nodes, down to the last depth, a pair at the threshold of 0.85 was together in some tree for all but 2 of 1,000 (tests ask for 0.97).
+A pair of similarity s is together in a tree at DEPTH with probability s^4, so in none of the trees with (1 - s^4)^24: 7e-8 at 0.85. Where all nodes on the way are crowded down to the last depth, 0.977 of 2,000 pairs at a threshold of 0.85 met in some tree (0.990 at depth 12), 0.933 at a threshold of 0.8; of pairs 0.05 above it 0.998 and 0.989.
 Whatever the group, no task holds more than a block of documents. Rows grow with the documents: at most a set for each tree, and for each branch below a crowded node.
 
 Shingles are of `shingle` words (runs of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased), identified by a 64-bit hash, sets by 128 bits; a text with fewer words has one shingle, the whole sequence; one without words has none and links with nothing.
@@ -16,6 +16,7 @@ Very long texts are whole sets like others. Nulls: a null text has no shingles.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from .common import GOLD, components, flat, grouped, in_pieces, lower_ascii, mix
 SIG, TREES, DEPTH, LAST_DEPTH, SMALL, BLOCK = 128, 24, 4, 16, 200, 128
 #: A sketch agrees in p of its bits where the sets' similarity is about 2p - 1: candidates are sought with this margin below the threshold, over 4 standard deviations.
 MARGIN = 0.25
+#: The same for a byte of each minwise hash, where the share of equal bytes is about the similarity; and the size of nodes in which these are compared.
+BYTE_MARGIN, BYTE_SMALL = 0.16, 1024
 
 
 def shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,6 +119,19 @@ def sketches(sig: np.ndarray) -> np.ndarray:
     return np.packbits(((sig * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8), axis=1)
 
 
+def hash_bytes(sig: np.ndarray) -> np.ndarray:
+    """A byte of each minwise hash, after a mix."""
+    return ((sig * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+
+
+def alike_bytes(rows: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of rows may be similar, by their bytes."""
+    same = np.zeros((len(rows), len(rows)), np.uint8)
+    for column in np.ascontiguousarray(rows.T):
+        same += column[:, None] == column[None]
+    return same >= least * SIG
+
+
 def alike(sketch: np.ndarray, least: float) -> np.ndarray:
     """Which pairs of rows may be similar."""
     apart = np.bitwise_count(sketch[:, None, :] ^ sketch[None, :, :]).sum(-1)
@@ -182,23 +198,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     usable = signed_docs.where("i IS NOT NULL AND n_shingles > 0")
     classes = saved(usable.groupBy("set_key").agg(F.min("i").cast("long").alias("c"), F.first("sig").alias("sig")), "classes")
     members = usable.join(classes.select("set_key", "c").hint("merge"), "set_key").select(F.col("i").cast("long").alias("a"), F.col("c").alias("b"))
-    candidates, leaves, crowds = candidate_links(classes, percent / 100)
-    held = saved(components(saved(candidates, "candidates")).select(F.col("node").alias("c"), F.col("component").alias("g")), "groups")
+    held = saved(components(saved(candidate_links(classes, percent / 100), "candidates")).select(F.col("node").alias("c"), F.col("component").alias("g")), "groups")
     if usable.groupBy("i").count().where("count > 1").limit(1).count():
         src = src.dropDuplicates(["i", "t"])  # rows that repeat
-    links = confirmed_links(src, held, leaves, crowds, shingle, percent)
+    links = confirmed_links(src, held, classes, shingle, percent)
     found = components(links.unionByName(members.where("a <> b")))
     out = signed_docs.join(found.select(F.col("node").alias("i"), "component"), "i", "left")
     best = F.coalesce(F.col("component").cast(kind), F.col("i"))
     return out.select(F.col("i").alias(id_col), "set_key", "n_shingles", best.alias("component_id"), F.coalesce(best == F.col("i"), F.lit(True)).alias("kept"))
 
 
-def candidate_links(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(links, leaves, crowds): links (a, b) of classes to the smallest id among what is alike in a node of some tree; the small nodes (node, c, sketch) and, if there are any, the large ones of the last depth."""
+def nodes(classes: DataFrame, threshold: float, most: int, sketch_of) -> tuple[list[DataFrame], DataFrame | None]:
+    """Tables (node, c, sketch) of the nodes of at most `most` documents, one for each depth at which some were reached; and of the larger ones at the last depth, if there are any. Nodes of one document are left out."""
 
     def roots_of_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c, sig, _ in signed_rows(batches):
-            sketch = pa.array([r.tobytes() for r in sketches(sig)], pa.binary())
+            sketch = pa.array([r.tobytes() for r in sketch_of(sig)], pa.binary())
             for t in range(TREES):
                 yield pa.RecordBatch.from_arrays([signed(path_keys(sig, t, DEPTH)), c, sketch], ["node", "c", "sketch"])
 
@@ -206,7 +221,7 @@ def candidate_links(classes: DataFrame, threshold: float) -> tuple[DataFrame, Da
         for c, sig, part in signed_rows(batches):
             rows, node = branches(part.column(part.schema.get_field_index("node")).to_numpy().view(np.uint64), sig, 4, threshold)
             take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([signed(node), c.take(take), pa.array([r.tobytes() for r in sketches(sig)], pa.binary()).take(take)], ["node", "c", "sketch"])
+            yield pa.RecordBatch.from_arrays([signed(node), c.take(take), pa.array([r.tobytes() for r in sketch_of(sig)], pa.binary()).take(take)], ["node", "c", "sketch"])
 
     def signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, pa.RecordBatch]]:
         for b in batches:
@@ -215,6 +230,26 @@ def candidate_links(classes: DataFrame, threshold: float) -> tuple[DataFrame, Da
                 raw, _ = flat(part.column(part.schema.get_field_index("sig")))
                 yield part.column(part.schema.get_field_index("c")), raw.view("<u4").reshape(-1, SIG), part
 
+    rows = "node long, c long, sketch binary"
+    now, depth, found = classes.select("c", "sig").mapInArrow(roots_of_trees, rows), DEPTH, []
+    while True:
+        # merge joins at every size: what is joined grows with the documents
+        sizes = saved(now.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node", (F.col("n") > most).alias("big")), f"nodes{depth}")  # written, so that Spark can split the join on a node with many documents
+        shared = saved(now.join(sizes.hint("merge"), "node"), f"shared{depth}")  # a node of one document is a leaf
+        found.append(shared.where("NOT big").select("node", "c", "sketch"))
+        big = shared.where("big")
+        if not big.limit(1).count():
+            return found, None
+        if depth >= LAST_DEPTH:
+            return found, big.select("node", "c")
+        depth += 4
+        again = saved(big.select("c", "node").join(classes.select("c", "sig"), "c").select("c", "node", "sig"), f"big{depth}")
+        now = again.mapInArrow(go_on, rows)
+
+
+def candidate_links(classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links of classes to the smallest id among what is alike in a node of some tree."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in grouped(batches, "node"):
             node, c = p["node"].to_numpy(), p["c"].to_numpy()
@@ -234,33 +269,20 @@ def candidate_links(classes: DataFrame, threshold: float) -> tuple[DataFrame, Da
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
 
-    rows = "node long, c long, sketch binary"
-    now, depth, links, leaves = classes.select("c", "sig").mapInArrow(roots_of_trees, rows), DEPTH, None, None
-    while True:
-        # merge joins at every size: what is joined grows with the documents
-        sizes = saved(now.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node", (F.col("n") > SMALL).alias("big")), f"nodes{depth}")  # written, so that Spark can split the join on a node with many documents
-        shared = saved(now.join(sizes.hint("merge"), "node"), f"shared{depth}")  # a node of one document is a leaf
-        small = shared.where("NOT big").select("node", "c", "sketch")
-        got = small.repartition("node").sortWithinPartitions("node", "c").mapInArrow(compare, "a long, b long")
-        links = got if links is None else links.unionByName(got)
-        leaves = small if leaves is None else leaves.unionByName(small)
-        big = shared.where("big")
-        if not big.limit(1).count():
-            return links.distinct(), leaves, None
-        if depth >= LAST_DEPTH:
-            least_c = saved(big.groupBy("node").agg(F.min("c").alias("b")), "least")
-            return links.unionByName(big.join(least_c, "node").where("c <> b").select(F.col("c").alias("a"), "b")).distinct(), leaves, big.select("node", "c")
-        depth += 4
-        again = saved(big.select("c", "node").join(classes.select("c", "sig"), "c").select("c", "node", "sig"), f"big{depth}")
-        now = again.mapInArrow(go_on, rows)
+    small, crowd = nodes(classes, threshold, SMALL, sketches)
+    links = reduce(DataFrame.unionByName, [t.repartition("node").sortWithinPartitions("node", "c").mapInArrow(compare, "a long, b long") for t in small])
+    if crowd is not None:
+        least_c = saved(crowd.groupBy("node").agg(F.min("c").alias("b")), "least")
+        links = links.unionByName(crowd.join(least_c, "node").where("c <> b").select(F.col("c").alias("a"), "b"))
+    return links.distinct()
 
 
-def confirmed_links(docs: DataFrame, held: DataFrame, leaves: DataFrame, crowds: DataFrame | None, shingle: int, percent: int) -> DataFrame:
+def confirmed_links(docs: DataFrame, held: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(a, b): links between documents of a candidate component that hold on their full sets, enough to join what is linked."""
     sizes = saved(held.groupBy("g").agg(F.count("*").alias("n"), (F.count("*") > BLOCK).alias("large")), "sizes")
     texts = saved(docs.select(F.col("i").cast("long").alias("c"), "t").join(held.join(sizes, "g").hint("merge"), "c"), "texts", codec="zstd")
     out = "a long, b long"
-    least = percent / 100 - MARGIN
+    least = percent / 100 - BYTE_MARGIN
 
     def sets_of(texts) -> list[np.ndarray]:
         """The sets of texts, made from about a MB of them at a time."""
@@ -320,13 +342,15 @@ def confirmed_links(docs: DataFrame, held: DataFrame, leaves: DataFrame, crowds:
             sketch = np.frombuffer(b"".join(p["sketch"]), np.uint8).reshape(len(p), -1)
             cut = runs(node)
             for s, e in zip(cut[:-1], cut[1:], strict=True):
-                pair = alike(sketch[s:e], least) & (g[s:e][:, None] == g[s:e][None]) & ~(near[s:e][:, None] & near[s:e][None])
+                pair = alike_bytes(sketch[s:e], least) & (g[s:e][:, None] == g[s:e][None]) & ~(near[s:e][:, None] & near[s:e][None])
                 np.fill_diagonal(pair, False)
                 out.append(s + np.flatnonzero(pair.any(1)))
             p = p.iloc[np.concatenate(out)]
             yield pa.RecordBatch.from_arrays([pa.array(p[k], t) for k, t in (("node", pa.int64()), ("g", pa.int64()), ("c", pa.int64()), ("near", pa.bool_()))], ["node", "g", "c", "near"])
 
-    asked = leaves.join(open_, "c").repartition("node").sortWithinPartitions("node", "c").mapInArrow(tickets, "node long, g long, c long, near boolean")
+    again = classes.join(open_.select("c").distinct(), "c", "left_semi").select("c", "sig")
+    small, crowds = nodes(saved(again, "again"), percent / 100, BYTE_SMALL, hash_bytes)
+    asked = reduce(DataFrame.unionByName, small).join(open_, "c").repartition("node").sortWithinPartitions("node", "c").mapInArrow(tickets, "node long, g long, c long, near boolean")
     asked = asked.select(F.xxhash64("node", "g").alias("part"), "c", "near", (~F.col("near")).alias("query"))
     if crowds is not None:  # all that is left in a crowd against all of it, in blocks
         crowd = saved(crowds.join(open_, "c").select("node", "g", "c", "near"), "crowd")
