@@ -166,6 +166,24 @@ def test_op3_near_matches(spark):
     assert exact.count() == 0 and {r.doc for r in near.where("NOT exact").collect()} <= {1}
 
 
+def test_op3_without_broadcast(spark, duck, monkeypatch):
+    """A benchmark beyond the size for a broadcast takes the same way, and a long text needs no row with all of its words."""
+    monkeypatch.setattr(op3_decontaminate, "BROADCAST_BYTES", 0)
+    same_rows(queries.QUERIES["op3_decontaminate"](spark, SF), duck.sql(op3_decontaminate.OP3_SQL))
+    passage = " ".join(f"p{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, "x y " * 40_000 + passage + " z" * 40_000), (2, passage), (3, "x y")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit) for r in op3_decontaminate.contamination(docs, spark.createDataFrame([(1, passage)], "item_id long, text string")).collect()}
+    assert got == {1: (120_012, 12), 2: (12, 12), 3: (2, 0)}
+
+
+def test_op3_proximity(spark):
+    """The two rarest terms of a phrase, one word further apart than in the phrase."""
+    docs = spark.createDataFrame([(1, "a b c rare1 zz rare2 d e f g h"), (2, "a b c d e f g h"), (3, "rare1 " + "a " * 30 + "rare2"), (4, "a b c d e f g h")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "a b c rare1 rare2 d e f g h")], "item_id long, text string")
+    near, _ = op3_decontaminate.phrase_hits(docs, bench, slop=2)
+    assert [(r.doc, r.start, r.exact) for r in near.collect()] == [(1, 0, False)]
+
+
 def test_op4_odd(spark):
     v, w = [1.0, 0.0, 0.0, 1.0], [1.0, 0.01, 0.0, 1.0]
     rows = [(1, v, 1), (2, v, 1), (3, w, 1), (4, v, 2), (5, None, 1), (6, [0.0] * 4, 1), (7, [float("nan"), 0.0, 0.0, 1.0], 1), (8, v, None), (9, [None, 1.0, 0.0, 0.0], 1), (None, v, 1), (10, [2.0, 0.0, 0.0, 2.0], 1), (11, [1.0, 2.0], 1), (3, w, 1)]

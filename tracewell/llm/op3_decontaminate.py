@@ -1,11 +1,12 @@
 """Benchmark decontamination with a distributed positional inverted index. DataFrame operations only.
 
 The index has a posting (term, document, position) for training tokens. Counted first are the postings of each test term; each phrase of the benchmark then takes its two rarest terms, and only these terms' postings are stored.
-A phrase's rarest list is intersected with the other one at the adjusted offset, and what is left is compared with the phrase word by word.
+A phrase's rarest list is intersected with the other one at the adjusted offset. Of the documents that this leaves, the words in the places that candidates cover are postings too: a candidate is an exact match if all of its phrase's terms stand at their offsets. No row holds more than a word, whatever the length of a text, but for the reading of the text itself.
+With slop, the two lists are also met within a distance, in bins of positions: proximity matches.
 
 Words are the runs of 0-9, a-z and everything beyond ASCII, after A-Z are lower-cased. A phrase is each window of `width` words of an item, or the whole of a shorter item.
 
-Nulls: a null text has no words; a null item_id takes part in hits but is not named among the items. Items without words are left out. Rows with the same id and text have the same result, rows with the same id and other texts each their own. An empty benchmark hits nothing.
+Very long texts are read whole. Nulls: a null text has no words; a null item_id takes part in hits but is not named among the items. Items without words are left out. Rows with the same id and text have the same result, rows with the same id and other texts each their own. An empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -18,8 +19,6 @@ from .common import saved, size_of
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What lies between words, before A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: The word that stands for a document itself: no text has it.
-MARK = "\0"
 #: A table of test terms goes to every executor up to this size of its file; beyond it, postings are shuffled to it by term.
 BROADCAST_BYTES = 16 << 20
 
@@ -52,9 +51,15 @@ def small(table: DataFrame) -> DataFrame:
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """(doc, key, pos, term, w): every word of every document; at pos -1 the mark stands for the document itself."""
-    held = docs.select("doc", "key", F.concat(F.array(F.lit(MARK)), cut(F.col("text"))).alias("w"))
-    return held.select("doc", "key", "w", F.posexplode("w").alias("p", "raw")).select("doc", "key", "w", (F.col("p") - 1).alias("pos"), lowered(F.col("raw")).alias("term"))
+    """(doc, key, pos, term): every word of every document; an empty word before or after the text keeps its place and matches nothing."""
+    return docs.select("doc", "key", F.posexplode(cut(F.col("text"))).alias("pos", "raw")).select("doc", "key", "pos", lowered(F.col("raw")).alias("term"))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(doc, key, n_words): every document."""
+    held = docs.select("doc", "key", cut(F.col("text")).alias("w"))
+    edges = (F.element_at("w", 1) == "").cast("long") + ((F.size("w") > 1) & (F.element_at("w", -1) == "")).cast("long")
+    return held.select("doc", "key", (F.size("w").cast("long") - edges).alias("n_words"))
 
 
 def phrase_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 0, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -63,42 +68,46 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: in
     hits: doc, key, start, n, items. With slop > 0 also near matches, where the two rarest terms of a phrase lie up to slop words off their distance; those have exact = false.
     """
     docs = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("key"), F.col(text_col).alias("text"))
+    per_doc = word_counts(docs)
     phrase = saved(phrases(benchmark, width).withColumn("pid", F.xxhash64("phrase")), "phrases")
     terms = saved(phrase.select(F.explode("phrase").alias("term")).distinct(), "terms")
-    counts = saved(tokens(docs).select("term").join(small(terms), "term").groupBy("term").agg(F.count("*").alias("df")), "df")
+    # with a large benchmark each word is counted before it is sent anywhere
+    of_terms = tokens(docs).join(F.broadcast(terms), "term") if size_of(terms) <= BROADCAST_BYTES else tokens(docs)
+    counts = saved(of_terms.groupBy("term").agg(F.count("*").alias("df")).join(terms, "term"), "df")
 
     # each phrase's terms by rarity; a term that occurs nowhere makes its phrase one that occurs nowhere
     ranked = phrase.select("pid", "n", F.posexplode("phrase").alias("off", "term")).join(counts, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     ranked = ranked.groupBy("pid").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "off", "term"))), 1, 2).alias("rare")).where("rare[0].df > 0")
-    plan = saved(ranked.join(phrase, "pid").select("pid", "phrase", "items", "n", F.col("rare")[0].alias("first"), F.try_element_at("rare", F.lit(2)).alias("second")), "plan")
-    firsts = plan.select(F.col("first.term").alias("term"))
-    wanted = saved(firsts.unionByName(plan.where("second is not null").select(F.col("second.term").alias("term"))).distinct().unionByName(docs.sparkSession.range(1).select(F.lit(MARK).alias("term"))), "wanted")
-
-    # the stored postings, with the words about each and, for the document itself, their number
-    around = F.when(F.col("pos") >= 0, F.slice("w", F.greatest(F.col("pos") + 3 - width, F.lit(2)), F.lit(2 * width - 1)))
-    empty = (F.element_at("w", 2) == "").cast("long") + ((F.size("w") > 2) & (F.element_at("w", -1) == "")).cast("long")
-    n_words = F.size("w").cast("long") - 1 - empty
-    found = tokens(docs).join(small(wanted), "term").select("term", "doc", "key", "pos", around.alias("near"), F.when(F.col("pos") < 0, n_words).alias("n_words"))
-    postings = saved(found, "postings")
-    per_doc = postings.where("pos < 0").select("doc", "key", "n_words")
-    lists = postings.where("pos >= 0")
-
-    rarest = plan.select("pid", "phrase", "items", "n", F.col("first.term").alias("term"), F.col("first.off").alias("off"), F.col("second.term").alias("term2"), F.col("second.off").alias("off2"))
-    one = lists.join(small(saved(rarest, "rarest")), "term").withColumn("start", F.col("pos") - F.col("off"))
-    own = F.when(F.col("pos") >= F.lit(width - 1), F.lit(width)).otherwise(F.col("pos") + 1)  # the term's place in near
-    text_at = F.transform(F.slice("near", F.greatest(own - F.col("off"), F.lit(1)), F.col("n")), lowered)
-    # the second list at its offset: both lists' context holds it, so that the intersection needs no second shuffle
-    second = F.col("term2").isNull() | (lowered(F.try_element_at("near", F.greatest(own - F.col("off") + F.col("off2"), F.lit(1)))) == F.col("term2"))
-    begins = F.col("start") >= 0
-    exact = one.where(begins).where(second).where(text_at == F.col("phrase")).select("doc", "key", "start", "n", "items", F.lit(True).alias("exact"))
+    plan = ranked.join(phrase, "pid").select("pid", "phrase", "items", "n", F.col("rare")[0].alias("first"), F.try_element_at("rare", F.lit(2)).alias("second"))
+    plan = saved(plan.select("pid", "phrase", "items", "n", F.col("first.term").alias("term"), F.col("first.off").alias("off"), F.col("second.term").alias("term2"), F.col("second.off").alias("off2")), "plan")
+    wanted = saved(plan.select(F.explode(F.array("term", "term2")).alias("term")).where("term IS NOT NULL").distinct(), "wanted")
+    lists = saved(tokens(docs).join(small(wanted), "term"), "postings")
+
+    one = lists.join(small(plan), "term").withColumn("start", F.col("pos") - F.col("off")).where("start >= 0").select("doc", "key", "start", "pid", "n", "term2", "off2", "items")
+    meant = one.where("term2 IS NOT NULL").withColumn("at", F.col("start") + F.col("off2"))
+    same_doc = lambda a, b: a["doc"].eqNullSafe(b["doc"]) & (a["key"] == b["key"])
+    both = meant.join(lists, same_doc(meant, lists) & (meant["at"] == lists["pos"]) & (meant["term2"] == lists["term"]), "left_semi").select("doc", "key", "start", "pid", "n")
+    single = one.where("term2 IS NULL").select("doc", "key", "start", "pid", "n")
+    candidates = saved(both.unionByName(single).distinct(), "candidates")  # a repeated row has its postings twice
+
+    # the words at the places of candidates, of the documents that have some
+    some = candidates.select("doc", "key").distinct()
+    again = docs.join(some, same_doc(docs, some), "left_semi").dropDuplicates(["doc", "key"])
+    words_of = plan.select("pid", F.posexplode("phrase").alias("k", "term"))
+    asked = candidates.select("doc", "key", "start", "pid").join(words_of, "pid").select("doc", "key", "start", "pid", (F.col("start") + F.col("k")).alias("pos"), "term")
+    there = tokens(again)
+    stands = asked.join(there, same_doc(asked, there) & (asked["pos"] == there["pos"]) & (asked["term"] == there["term"]), "left_semi")
+    matched = stands.groupBy("doc", "key", "start", "pid").agg(F.count("*").alias("m"))
+    exact = matched.join(plan.select("pid", "n", "items"), "pid").where("m = n").select("doc", "key", "start", "n", "items", F.lit(True).alias("exact"))
     if not slop:
         return exact, per_doc
+    exact = saved(exact, "exact")
     other = lists.select(F.col("doc").alias("doc2"), F.col("key").alias("key2"), F.col("pos").alias("pos2"), F.col("term").alias("term2"))
     bin_ = 2 * width + slop
-    left = one.where("term2 is not null").withColumn("want", F.col("start") + F.col("off2")).withColumn("bin", F.explode(F.array_distinct(F.array(F.floor((F.col("want") - slop) / bin_), F.floor((F.col("want") + slop) / bin_)))))
+    left = meant.withColumn("bin", F.explode(F.array_distinct(F.array(F.floor((F.col("at") - slop) / bin_), F.floor((F.col("at") + slop) / bin_)))))
     right = other.withColumn("bin", F.floor(F.col("pos2") / bin_))
-    near = left.join(right, left["doc"].eqNullSafe(right["doc2"]) & (F.col("key") == F.col("key2")) & (left["term2"] == right["term2"]) & (left["bin"] == right["bin"]) & (F.abs(F.col("pos2") - F.col("want")) <= slop))
-    near = near.select("doc", "key", F.greatest("start", F.lit(0)).alias("start"), "n", "items", F.lit(False).alias("exact")).distinct()
+    near = left.join(right, left["doc"].eqNullSafe(right["doc2"]) & (F.col("key") == F.col("key2")) & (left["term2"] == right["term2"]) & (left["bin"] == right["bin"]) & (F.abs(F.col("pos2") - F.col("at")) <= slop))
+    near = near.select("doc", "key", "start", "n", "items", F.lit(False).alias("exact")).distinct()
     return exact.unionByName(near.join(exact.select("doc", "key", "start", "n"), ["doc", "key", "start", "n"], "left_anti")), per_doc
 
 
