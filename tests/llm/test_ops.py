@@ -378,21 +378,23 @@ def test_op7_odd(spark):
 def test_op8_odd(spark, odd, none):
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in op8_tokens.token_counts(odd).collect())
     assert got == sorted((r[0] is None, r[0] or 0, len((r[1] or "").encode())) for r in odd_rows())
-    blocks, names = op8_tokens.token_files(odd.coalesce(1), block=7)
-    got = sorted(r.n_tokens for r in names.join(op8_tokens.scan(blocks), ["file", "ordinal"]).collect())
+    files, names = op8_tokens.token_files(odd.coalesce(1))
+    got = sorted(r.n_tokens for r in names.join(op8_tokens.scan(files, size=7), ["file", "ordinal"]).collect())
     assert got == sorted(len((r[1] or "").encode()) for r in odd_rows())
     assert op8_tokens.token_counts(none).count() == 0
 
 
-def test_op8_flat_files(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("ids, end", [("<u1", 255), ("<u2", 256), ("<u4", 70_000)])
+def test_op8_flat_files(spark, tmp_path, monkeypatch, ids, end):
     import numpy as np
 
     monkeypatch.setattr(op8_tokens, "GROUP", 3)
     docs = [5, 0, 40, 1, 0, 17]
-    tokens = np.concatenate([np.append(np.zeros(n, "<u2"), op8_tokens.END) for n in docs])[:-1].astype("<u2")
+    tokens = np.concatenate([np.append(np.zeros(n, ids), np.array(end, ids)) for n in docs])[:-1].astype(ids)
     (tmp_path / "f.bin").write_bytes(tokens.tobytes())
-    for block in (1, 4, 16, 1000):
-        got = op8_tokens.scan(op8_tokens.blocks_of_files(spark, str(tmp_path), block)).orderBy("ordinal").collect()
+    (tmp_path / "empty.bin").write_bytes(b"")
+    for size in (1, 4, 16, 1000):
+        got = op8_tokens.scan(op8_tokens.files_at(spark, str(tmp_path)), end, ids, size).orderBy("ordinal").collect()
         assert [r.n_tokens for r in got] == docs
 
 
@@ -405,16 +407,62 @@ def test_op9_permutation():
     assert op9_shards.feistel(np.arange(50), 50, 1).tolist() != op9_shards.feistel(np.arange(50), 50, 2).tolist()
 
 
-def test_op9_records(spark, odd, none):
-    chunks = op9_shards.shards(odd, length=64, per_shard=50)
-    rows = op9_shards.read_records(chunks, length=64).collect()
-    want = sorted(op9_shards.record_of(t, k, s, 64) for k, t, *_ in odd_rows() for s in range((len((t or "").encode()) + 64) // 64))
+def plain_feistel(x, n, key):
+    """The permutation in whole numbers of Python."""
+    m = (1 << 64) - 1
+
+    def mix(v):
+        v = (v ^ v >> 30) * 0xBF58476D1CE4E5B9 & m
+        v = (v ^ v >> 27) * 0x94D049BB133111EB & m
+        return v ^ v >> 31
+
+    half = max(1, (max(1, n - 1).bit_length() + 1) // 2)
+    while True:
+        left, right = x >> half, x & ((1 << half) - 1)
+        for r in range(1, op9_shards.ROUNDS + 1):
+            left, right = right, left ^ (mix((right * int(common.GOLD) + mix((r * int(common.GOLD) + key) & m)) & m) & ((1 << half) - 1))
+        x = left << half | right
+        if x < n:
+            return x
+
+
+@pytest.mark.parametrize("copies", [1000, 2])
+def test_op9_records(spark, odd, none, monkeypatch, copies):
+    monkeypatch.setattr(op9_shards, "COPIES", copies)
+    odd = odd.unionByName(odd.where("doc_id IN (5, 6)")).unionByName(odd.where("doc_id = 5"))
+    files = op9_shards.shards(odd, length=64, per_shard=50, key=77)
+    rows = op9_shards.read_records(files, length=64).collect()
+    texts = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
+    want = sorted(op9_shards.record_of(t, k, s, 64) for k, t in texts for s in range((len((t or "").encode()) + 64) // 64))
     assert sorted(bytes(r.record) for r in rows) == want
     assert sorted(r.slot for r in rows) == list(range(len(rows))) and all(r.shard == r.slot // 50 for r in rows)
-    later = op9_shards.read_records(chunks, length=64, start=70).collect()
-    assert sorted(r.slot for r in later) == list(range(70, len(rows)))
-    assert op9_shards.shards(none).count() == 0
-    assert sorted(r.record_sha256 for r in op9_shards.digest(op9_shards.read_records(op9_shards.shards(odd.repartition(3)))).collect()) == sorted(op9_shards.sha(op9_shards.record_of(t, k, s)) for k, t, *_ in odd_rows() for s in range((len((t or "").encode()) + op9_shards.LENGTH) // op9_shards.LENGTH))
+    # slots against a plain order: buckets, ids, hashes, copies, sequences
+    key = odd.select(F.coalesce("doc_id", F.lit(int(op9_shards.NULL_ID))).alias("i"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce("text", F.lit("")).alias("t"))
+    numbered, seen = [], {}
+    for r in key.collect():
+        seen[r.i, r.h] = seen.get((r.i, r.h), -1) + 1
+        numbered.append((r.i, r.h, seen[r.i, r.h] // copies, r.t))
+    placed = spark.createDataFrame(numbered, "i long, h long, block long, t string").select(F.pmod(F.xxhash64("i", "h", "block"), F.lit(48)).alias("bucket"), "i", "h", "block", "t").collect()
+    plain = [(r.i, s, r.t) for r in sorted(placed) for s in range((len(r.t.encode()) + 64) // 64)]
+    slots = {plain_feistel(x, len(plain), 77): op9_shards.record_of(t, i, s, 64) for x, (i, s, t) in enumerate(plain)}
+    assert {r.slot: bytes(r.record) for r in rows} == slots
+    # a shard is a flat file: record r is at r * stride
+    stride = op9_shards.HEADER.itemsize + 64
+    for f in files.collect():
+        raw = open(f.file.removeprefix("file://"), "rb").read()
+        assert len(raw) == (f.last_slot - f.first_slot + 1) * stride
+        assert raw[3 * stride : 4 * stride] == slots.get(f.first_slot + 3, b"")
+    later = op9_shards.read_records(files, length=64, start=70).collect()
+    assert {r.slot: bytes(r.record) for r in later} == {k: v for k, v in slots.items() if k >= 70}
+    assert op9_shards.read_records(files, length=64, start=len(rows)).count() == 0
+    assert op9_shards.read_records(op9_shards.shards(none)).count() == 0
+    with pytest.raises(TypeError):
+        op9_shards.shards(odd.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+def test_op9_partitions(spark, odd):
+    slots = [{(r.slot, r.record_sha256) for r in op9_shards.digest(op9_shards.read_records(op9_shards.shards(odd.repartition(n)))).collect()} for n in (1, 3)]
+    assert slots[0] == slots[1] and len(slots[0]) > 60
 
 
 def test_op10(spark, odd, none):

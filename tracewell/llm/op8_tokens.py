@@ -1,11 +1,11 @@
 """Token counts by a separator scan of flat token files.
 
-A token file is a flat run of ids with an end-of-document id after each document, and no index. Blocks of it, cut without regard to documents, are searched for that id with one vectorised comparison each.
-A block knows the lengths of the documents that lie in it whole. The first one that ends in it began in an earlier block: a prefix scan over the blocks (in groups, so that no task orders more than GROUP of them) carries the tokens, the ends and the place of the last end before each block, and stitches them.
+A token file is a flat run of ids with an end-of-document id after each document, and no index. Ranges of its bytes, cut without regard to documents, are read at their offsets and searched for that id with one vectorised comparison each; no task holds more than a range, whatever the size of a file.
+A range knows the lengths of the documents that lie in it whole. The first one that ends in it began in an earlier range: a prefix scan over the ranges (in groups, so that no task orders more than GROUP of them) carries the tokens, the ends and the place of the last end before each range, and stitches them.
 
-Here documents are tokenised as UTF-8 bytes (ids 0 to 255), END is 256, ids have 16 bits (little-endian), and the files are rows of blocks in a table in the shared folder.
+Here documents are tokenised as UTF-8 bytes, ids of 8 bits, and END is 255, which UTF-8 never uses (a byte 255 in a text that is not UTF-8 is written as 254). Files with ids of 16 or 32 bits (little-endian) are read alike.
 
-Nulls: a null or empty text is a document without tokens; a null id is carried along. Rows that repeat are documents of their own. A file without a last end still has its last document; an empty file or table has none.
+Nulls: a null or empty text is a document without tokens; a null id is carried along. Rows that repeat are documents of their own. A file without a last end still has its last document; an empty file or table has none. Very long texts are cut over ranges like others.
 """
 
 from __future__ import annotations
@@ -19,78 +19,80 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import flat, in_pieces, saved
+from .files import Reader, create, folder, spread
 
-END, BLOCK, GROUP = 256, 1 << 17, 1 << 12
+END, RANGE, GROUP, IDS = 255, 1 << 20, 1 << 12, "<u1"
 
 
 def with_ends(column: pa.Array) -> np.ndarray:
     """The tokens of all rows with an end after each."""
     data, off = flat(column)
-    out = np.full(len(data) + len(off) - 1, END, "<u2")
+    out = np.full(len(data) + len(off) - 1, END, IDS)
     row = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    out[np.arange(len(data)) + row] = data
+    out[np.arange(len(data)) + row] = np.minimum(data, END - 1)
     return out
 
 
-def token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(blocks: file, block, data; documents: file, ordinal, id): one file for each partition of docs, in the shared folder."""
+def token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(files: file, n_bytes; documents: file, ordinal, id): a flat file for each partition of docs, in the shared folder."""
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    where = folder(docs.sparkSession, "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, at, ordinal, rest = TaskContext.get().partitionId(), 0, 0, np.zeros(0, "<u2")
-
-        def rows(blocks: list[bytes], ids: pa.Array | None) -> pa.RecordBatch:
-            n = len(blocks) + (ids is not None)
-            lists = pa.ListArray.from_arrays(pa.array([0] * (len(blocks) + 1) + ([len(ids)] if ids is not None else []), pa.int32()), ids if ids is not None else pa.array([], id_type))
-            return pa.RecordBatch.from_arrays([pa.array([file] * n, pa.int32()), pa.array([*range(at, at + len(blocks)), *([ordinal] if ids is not None else [])], pa.int64()), pa.array([*blocks, *([None] if ids is not None else [])], pa.binary()), lists], ["file", "at", "data", "ids"])
-
-        id_type = pa.int64()
-        for b in in_pieces(batches, "t", 1 << 20):
-            id_type = b.column(0).type
-            tokens = np.concatenate([rest, with_ends(b.column(1))])
-            whole = len(tokens) // block
-            yield rows([tokens[k * block : (k + 1) * block].tobytes() for k in range(whole)], b.column(0))
-            at, ordinal, rest = at + whole, ordinal + b.num_rows, tokens[whole * block :]
-        if len(rest):
-            yield rows([rest.tobytes()], None)
-
-    table = saved(src.mapInArrow(run, f"file int, at long, data binary, ids array<{kind}>"), "tokens", codec="zstd")
-    blocks = table.where("data IS NOT NULL").select("file", F.col("at").alias("block"), "data")
-    names = table.where("data IS NULL").select("file", "at", F.posexplode("ids").alias("k", id_col)).select("file", (F.col("at") + F.col("k")).alias("ordinal"), id_col)
-    return blocks, names
-
-
-def blocks_of_files(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """(file, block, data) of flat files of 16-bit ids at a path that Spark reads (each under 2 GB)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                raw = raw.as_buffer()
-                cut = range(0, len(raw), 2 * block)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(cut), pa.string()), pa.array(range(len(cut)), pa.int64()), pa.array([raw[s : s + 2 * block].to_pybytes() for s in cut], pa.binary())], ["file", "block", "data"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block long, data binary")
-
-
-def scan(blocks: DataFrame, end: int = END) -> DataFrame:
-    """(file, ordinal, n_tokens): the documents of each file in order."""
-    kind = blocks.schema["file"].dataType.simpleString()
+        name = stream = None
+        ordinal = size = 0
+
+        def row(at: int, n: int | None, ids: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at], pa.int64()), pa.array([n], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)], ["file", "at", "n_bytes", "ids"])
+
+        for b in in_pieces(batches, "t", 4 << 20):
+            if stream is None:
+                name, stream = create(where, f"{TaskContext.get().partitionId():08d}")
+                none = b.column(0).slice(0, 0)
+            tokens = with_ends(b.column(1))
+            stream.write(tokens.tobytes())
+            yield row(ordinal, None, b.column(0))
+            ordinal, size = ordinal + b.num_rows, size + tokens.nbytes
+        if stream is not None:
+            stream.close()
+            yield row(ordinal, size, none)
+
+    table = saved(src.mapInArrow(run, f"file string, at long, n_bytes long, ids array<{kind}>"), "tokens")
+    names = table.where("n_bytes IS NULL").select("file", "at", F.posexplode("ids").alias("k", id_col)).select("file", (F.col("at") + F.col("k")).alias("ordinal"), id_col)
+    return table.where("n_bytes IS NOT NULL").select("file", "n_bytes"), names
+
+
+def files_at(spark: SparkSession, path: str) -> DataFrame:
+    """(file, n_bytes) of flat files at a path that Spark lists; their content is not read here."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("n_bytes"))
+
+
+def scan(files: DataFrame, end: int = END, ids: str = IDS, size: int = RANGE) -> DataFrame:
+    """(file, ordinal, n_tokens): the documents of each file in order. files: file, n_bytes; size: tokens of a range."""
+    kind, step = files.schema["file"].dataType.simpleString(), size * np.dtype(ids).itemsize
+    files = saved(files.where("n_bytes > 0").select("file", "n_bytes"), "files")
+    total = files.agg(F.sum("n_bytes")).first()[0] or 0
+    ranges = files.select("file", "n_bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_bytes") - 1) / step))).alias("block"))
+    ranges = spread(ranges.select("file", "block", (F.col("block") * step).alias("start"), F.least(F.lit(step), F.col("n_bytes") - F.col("block") * step).cast("long").alias("size")), total, "file", "block")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in in_pieces(batches, "data", 4 << 20):
-            n, first, last, lengths = [], [], [], []
-            for raw in b.column(2):
-                tokens = np.frombuffer(raw.as_buffer(), "<u2")
-                at = np.flatnonzero(tokens == end)
-                n.append(len(tokens))
-                first.append(int(at[0]) if len(at) else None)
-                last.append(int(at[-1]) if len(at) else None)
-                lengths.append(np.diff(at) - 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(lengths, pa.list_(pa.int64()))], ["file", "block", "n", "first", "last", "inner"])
-
-    found = saved(blocks.select("file", "block", "data").mapInArrow(search, f"file {kind}, block long, n long, first long, last long, inner array<long>").withColumn("g", F.floor(F.col("block") / GROUP)), "scan")
+        reader = Reader()
+        for b in batches:
+            for lo in range(0, b.num_rows, 16):
+                part = b.slice(lo, 16)
+                n, first, last, lengths = [], [], [], []
+                for name, start, length in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    tokens = np.frombuffer(reader.read(name, start, length), ids)
+                    at = np.flatnonzero(tokens == end)
+                    n.append(len(tokens))
+                    first.append(int(at[0]) if len(at) else None)
+                    last.append(int(at[-1]) if len(at) else None)
+                    lengths.append(np.diff(at) - 1)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(lengths, pa.list_(pa.int64()))], ["file", "block", "n", "first", "last", "inner"])
+        reader.close()
+
+    found = saved(ranges.mapInArrow(search, f"file {kind}, block long, n long, first long, last long, inner array<long>").withColumn("g", F.floor(F.col("block") / GROUP)), "scan")
     ends = F.when(F.col("first").isNull(), 0).otherwise(F.size("inner") + 1)
 
     def before(what, keys, order):
@@ -111,8 +113,8 @@ def scan(blocks: DataFrame, end: int = END) -> DataFrame:
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens): one row for each row of docs, counted in its token files."""
-    blocks, names = token_files(docs, id_col, text_col)
-    return names.join(scan(blocks), ["file", "ordinal"]).select(id_col, "n_tokens")
+    files, names = token_files(docs, id_col, text_col)
+    return names.join(scan(files), ["file", "ordinal"]).select(id_col, "n_tokens")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

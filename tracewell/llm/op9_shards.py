@@ -1,11 +1,11 @@
 """Training-order materialisation: a keyed Feistel permutation with cycle-walking gives every sequence a global slot; range partitions of slots write fixed-stride shards.
 
-1. Documents are cut into sequences of `length` tokens (UTF-8 bytes as 16-bit ids, END = 256 after each document, PAD = 257 behind a last short sequence).
-2. Documents are dealt to buckets by a hash of id and text and ordered within them; the sequences before a bucket are the sum of the buckets before it, a table of one number for each bucket. So every sequence has an index in 0 .. N-1.
+1. Documents are cut into sequences of `length` tokens (UTF-8 bytes as 8-bit ids; END = 255 after each document and PAD = 254 behind a last short sequence, which UTF-8 never uses).
+2. Documents are dealt to buckets by a hash of id and text and ordered within them. The sequences before a bucket come from a prefix sum over the buckets, in groups; they travel to the bucket as a row of its own, before its documents. So every sequence has an index in 0 .. N-1. Copies of a row are counted first: beyond COPIES of them, blocks of COPIES are rows of their own with buckets of their own.
 3. The permutation takes the index to a slot in 0 .. N-1: a balanced Feistel network over the next even number of bits, walked on while it leads outside.
-4. Slot s belongs to shard s // per_shard. Shards are dealt by that number and written in order of slots, each record with the same stride: id, sequence number and number of tokens (16 bytes), then the tokens. Record r of a shard is at r * stride, so a reader can go on from any slot without an index.
+4. Slot s belongs to shard s // per_shard. Ranges of shards are dealt to tasks, which write each shard in order of slots as one flat file in the shared folder. Each record has the same stride: id, sequence number and number of tokens (16 bytes), then the tokens. Record r of a shard is at byte r * stride, so a reader goes on from any slot without an index: earlier shards are not opened, and the shard with the slot is read from its byte on.
 
-The order depends on the key and the documents alone, not on partitions. Nulls: a null or empty text has one sequence with END alone; a null id is written as the largest 64-bit number. Rows that repeat have sequences of their own. An empty table has no shards.
+The order depends on the key and the documents alone, not on partitions. Nulls: a null or empty text has one sequence with END alone; a null id is written as the largest 64-bit number. Ids are 64-bit numbers; others raise an error. Rows that repeat have sequences of their own. An empty table has no shards.
 """
 
 from __future__ import annotations
@@ -15,12 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import GOLD, flat, in_pieces, mix, saved
+from .files import Reader, create, folder, spread, tasks_for
 
-END, PAD, LENGTH, PER_SHARD, CHUNK, ROUNDS = 256, 257, 2048, 8192, 256, 6
+END, PAD, LENGTH, PER_SHARD, CHUNK, ROUNDS, COPIES, GROUP = 255, 254, 512, 16_384, 1024, 6, 1000, 4096
 NULL_ID = np.iinfo(np.int64).max
 #: Bytes of text for each bucket.
 BUCKET_BYTES = 8 << 20
@@ -44,92 +46,145 @@ def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def bucket_bases(sizes: DataFrame) -> DataFrame:
+    """(bucket, base): for (bucket, n) the sum of n over all earlier buckets; no task orders more than GROUP of them, or more than the groups."""
+    before = lambda n, *by: F.coalesce(F.sum(n).over((Window.partitionBy(by[0]) if len(by) > 1 else Window).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("g", F.floor(F.col("bucket") / GROUP))
+    groups = sizes.groupBy("g").agg(F.sum("n").alias("gn")).withColumn("gbase", before("gn", "g"))
+    return sizes.withColumn("base", before("n", "g", "bucket")).join(groups, "g").select("bucket", (F.col("base") + F.col("gbase")).alias("base"))
+
+
 def shards(docs: DataFrame, key: int = 20_240_101, length: int = LENGTH, per_shard: int = PER_SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(shard, first_slot, n, data): chunks of each shard in order, written to the shared folder; a shard's bytes are its chunks' data one after another."""
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID))).alias("i"), F.col(text_col).alias("t"))
+    """(shard, file, first_slot, last_slot): the flat files, written to the shared folder."""
+    spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} has to be a whole number")
+    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID))).alias("i"), F.col(text_col).alias("t")).withColumn("h", F.xxhash64(F.coalesce("t", F.lit(""))))
     total = src.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n_buckets = max(48, -(-total // BUCKET_BYTES))
-    src = src.withColumn("h", F.xxhash64(F.coalesce("t", F.lit("")))).withColumn("bucket", F.pmod(F.xxhash64("i", "h"), F.lit(n_buckets)))
+    bucket = F.pmod(F.xxhash64("i", "h", "block"), F.lit(n_buckets)).alias("bucket")
     n_seq = F.floor((F.coalesce(F.octet_length("t"), F.lit(0)) + length) / length)  # with the end
-    counts = {r["bucket"]: r["n"] for r in src.groupBy("bucket").agg(F.sum(n_seq).alias("n")).collect()}  # one number for each bucket
-    base, n = {}, 0
-    for b in sorted(counts):
-        base[b], n = n, n + counts[b]
-    bases = docs.sparkSession.sparkContext.broadcast(base)
+    counts = saved(src.groupBy("i", "h", n_seq.alias("k")).agg(F.count("*").alias("m")), "counts")
+    blocks = counts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / COPIES))).alias("block")).withColumn("copies", F.least(F.lit(COPIES), F.col("m") - F.col("block") * COPIES))
+    sizes = saved(blocks.groupBy(bucket).agg(F.sum(F.col("k") * F.col("copies")).alias("n")), "buckets")
+    n = sizes.agg(F.sum("n")).first()[0] or 0
+    rows = src.select("i", "h", "t", F.lit(0).cast("long").alias("block"), F.lit(1).cast("long").alias("copies"))
+    hot = counts.where(F.col("m") > COPIES).select("i", "h")
+    if hot.limit(1).count():
+        many = src.join(hot, ["i", "h"], "left_semi").dropDuplicates(["i", "h"]).join(blocks.select("i", "h", "block", "copies"), ["i", "h"])
+        rows = rows.join(hot, ["i", "h"], "left_anti").unionByName(many.select("i", "h", "t", "block", "copies"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_pieces(batches, "t", 4 << 20):
+            data, off = flat(b.column(b.schema.get_field_index("t")))
+            raw = data.tobytes()
+            texts = [pa.compress(raw[s:e], "zstd", asbytes=True) if e > s else b"" for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(5)), pa.array(np.diff(off), pa.int64()), pa.array(texts, pa.binary())], ["bucket", "i", "h", "block", "copies", "size", "t"])
+
+    texts = rows.select(bucket, "i", "h", "block", "copies", "t").mapInArrow(packed, "bucket long, i long, h long, block long, copies long, size long, t binary")
+    bases = bucket_bases(sizes).select("bucket", F.lit(None).cast("long").alias("i"), F.col("base").alias("h"), *(F.lit(None).cast("long").alias(c) for c in ("block", "copies", "size")), F.lit(None).cast("binary").alias("t"))
+    dealt = spread(texts.unionByName(bases), total, "bucket").sortWithinPartitions("bucket", F.col("i").isNotNull(), "i", "h", "block")
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, at = None, 0
-        for b in in_pieces(batches, "t", 2 << 20):
-            data, off = flat(b.column(2))
-            ids = b.column(1).to_numpy()
-            slots, owners, numbers, texts = [], [], [], []
-            for r, bucket in enumerate(b.column(0).to_pylist()):
-                if bucket != now:
-                    now, at = bucket, bases.value[bucket]
-                size = int(off[r + 1] - off[r])
-                k = (size + length) // length
-                slots.append(np.arange(at, at + k))
-                owners += [ids[r]] * k
-                numbers += range(k)
-                texts += [data[s : min(s + length, off[r + 1])].tobytes() for s in range(int(off[r]), int(off[r]) + k * length, length)]
-                at += k
-                if len(texts) > 4000:
-                    yield out(slots, owners, numbers, texts)
-                    slots, owners, numbers, texts = [], [], [], []
-            if texts:
-                yield out(slots, owners, numbers, texts)
-
-    def out(slots, owners, numbers, texts) -> pa.RecordBatch:
-        slot = feistel(np.concatenate(slots), n, key)
-        return pa.RecordBatch.from_arrays([pa.array(slot // per_shard, pa.int32()), pa.array(slot), pa.array(owners, pa.int64()), pa.array(numbers, pa.int32()), pa.array(map(len, texts), pa.int32()), pa.array([pa.compress(t, "zstd", asbytes=True) if t else b"" for t in texts], pa.binary())], ["shard", "slot", "i", "seq", "size", "t"])
-
-    dealt = src.select("bucket", "i", "t", "h").repartition("bucket").sortWithinPartitions("bucket", "i", "h").select("bucket", "i", "t")
-    rows = dealt.mapInArrow(sequences, "shard int, slot long, i long, seq int, size int, t binary")  # packed, as much is shuffled
-    ranged = rows.repartitionById(max(1, -(-n // per_shard)), F.col("shard")).sortWithinPartitions("shard", "slot")
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
         for b in in_pieces(batches, "t", 1 << 20):
-            shard, slot = b.column(0).to_numpy(), b.column(1).to_numpy()
-            starts = sorted({0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), *range(0, b.num_rows, CHUNK)})
-            sizes = b.column(4).to_pylist()
-            data = np.frombuffer(b"".join([pa.decompress(t, n, "zstd", asbytes=True) for t, n in zip(b.column(5).to_pylist(), sizes, strict=True) if n]), np.uint8)
-            off = np.append(0, np.cumsum(sizes))
-            for s, e in zip(starts, [*starts[1:], b.num_rows], strict=True):
-                if e <= s:
+            index, owners, numbers, parts = [], [], [], []
+            for i, h, copies, size, t in zip(*(b.column(k).to_pylist() for k in (1, 2, 4, 5)), b.column(6), strict=True):
+                if i is None:  # what comes before this bucket
+                    at = h
                     continue
-                tokens = np.full((e - s, length), PAD, "<u2")
-                head = np.zeros(e - s, HEADER)
-                size = np.diff(off[s : e + 1])
-                row = np.repeat(np.arange(e - s), size)
-                col = np.arange(off[s], off[e]) - np.repeat(off[s:e], size)
-                tokens[row, col] = data[off[s] : off[e]]
-                short = np.flatnonzero(size < length)
-                tokens[short, size[short]] = END
-                head["id"], head["seq"], head["n"] = b.column(2).to_numpy()[s:e], b.column(3).to_numpy()[s:e], np.minimum(size + 1, length)
-                flat_rows = np.concatenate([head.view(np.uint8).reshape(e - s, -1), tokens.view(np.uint8).reshape(e - s, -1)], 1)
-                yield pa.RecordBatch.from_arrays([pa.array([int(shard[s])], pa.int32()), pa.array([int(slot[s])], pa.int64()), pa.array([e - s], pa.int32()), pa.array([flat_rows.tobytes()], pa.binary())], ["shard", "first_slot", "n", "data"])
+                raw = pa.decompress(t.as_buffer(), size, "zstd", asbytes=True) if size else b""
+                pieces = [raw[s : s + length] for s in range(0, size + 1, length)]
+                for _ in range(copies):
+                    index.append(np.arange(at, at + len(pieces)))
+                    owners += [i] * len(pieces)
+                    numbers += range(len(pieces))
+                    parts += pieces
+                    at += len(pieces)
+                    if len(parts) > 8000:
+                        yield out(index, owners, numbers, parts)
+                        index, owners, numbers, parts = [], [], [], []
+            if parts:
+                yield out(index, owners, numbers, parts)
+
+    n_shards = -(-n // per_shard)
+    each = max(1, -(-n_shards // tasks_for(spark, n * (HEADER.itemsize + length))))  # shards of a task
+
+    def out(index: list[np.ndarray], owners: list[int], numbers: list[int], parts: list[bytes]) -> pa.RecordBatch:
+        slot = feistel(np.concatenate(index), n, key)
+        return pa.RecordBatch.from_arrays([pa.array(slot // (per_shard * each), pa.int32()), pa.array(slot), pa.array(owners, pa.int64()), pa.array(numbers, pa.int32()), pa.array(map(len, parts), pa.int32()), pa.array([pa.compress(t, "zstd", asbytes=True) if t else b"" for t in parts], pa.binary())], ["part", "slot", "i", "seq", "size", "t"])
+
+    cut = dealt.mapInArrow(sequences, "part int, slot long, i long, seq int, size int, t binary")  # packed, as much is shuffled
+    ranged = cut.repartitionById(max(1, -(-n_shards // each)), F.col("part")).sortWithinPartitions("slot")
+    where = folder(spark, "shards")
 
-    return saved(ranged.mapInArrow(write, "shard int, first_slot long, n int, data binary"), "shards", codec="zstd")
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, name, stream, after = -1, "", None, 0
 
+        def done() -> pa.RecordBatch:
+            stream.close()
+            if after != min(n, (now + 1) * per_shard):
+                raise RuntimeError(f"shard {now} ends at slot {after}")
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([name]), pa.array([now * per_shard], pa.int64()), pa.array([after - 1], pa.int64())], ["shard", "file", "first_slot", "last_slot"])
 
-def read_records(chunks: DataFrame, length: int = LENGTH, start: int = 0) -> DataFrame:
-    """(slot, shard, doc_id, seq, n_tokens, record): the records from a slot on; earlier chunks are not read."""
-    stride = HEADER.itemsize + 2 * length
+        for b in in_pieces(batches, "t", 1 << 20):
+            slot, sizes_ = b.column(1).to_numpy(), b.column(4).to_pylist()
+            records = laid_out(b.column(2).to_numpy(), b.column(3).to_numpy(), [pa.decompress(t.as_buffer(), m, "zstd", asbytes=True) if m else b"" for t, m in zip(b.column(5), sizes_, strict=True)], length)
+            shard = slot // per_shard
+            edges = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(slot)]
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                if shard[s] != now:
+                    if stream is not None:
+                        yield done()
+                    now = int(shard[s])
+                    after = now * per_shard
+                    name, stream = create(where, f"{now:010d}")
+                if slot[s] != after or slot[e - 1] - slot[s] != e - 1 - s:
+                    raise RuntimeError(f"shard {now} lacks slot {after}")
+                stream.write(records[s:e].tobytes())
+                after = int(slot[e - 1]) + 1
+        if stream is not None:
+            yield done()
+
+    return saved(ranged.mapInArrow(write, "shard int, file string, first_slot long, last_slot long"), "shards")
+
+
+def laid_out(ids: np.ndarray, numbers: np.ndarray, parts: list[bytes], length: int) -> np.ndarray:
+    """Records of one stride, as rows of bytes."""
+    size = np.array([len(p) for p in parts])
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    tokens = np.full((len(parts), length), PAD, np.uint8)
+    row = np.repeat(np.arange(len(parts)), size)
+    tokens[row, np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)] = data
+    short = np.flatnonzero(size < length)
+    tokens[short, size[short]] = END
+    head = np.zeros(len(parts), HEADER)
+    head["id"], head["seq"], head["n"] = ids, numbers, np.minimum(size + 1, length)
+    return np.concatenate([head.view(np.uint8).reshape(len(parts), -1), tokens], 1)
+
+
+def read_records(files: DataFrame, length: int = LENGTH, start: int = 0) -> DataFrame:
+    """(slot, shard, doc_id, seq, n_tokens, record): the records from a slot on, read at their bytes; earlier ones are not read."""
+    stride = HEADER.itemsize + length
+    files = files.where(F.col("last_slot") >= start).withColumn("from", F.greatest("first_slot", F.lit(start).cast("long")))
+    total = (files.agg(F.sum(F.col("last_slot") - F.col("from") + 1)).first()[0] or 0) * stride
+    chunks = files.select("shard", "file", "first_slot", "last_slot", F.explode(F.sequence("from", "last_slot", F.lit(CHUNK).cast("long"))).alias("slot"))
+    chunks = spread(chunks.select("shard", "file", "slot", (F.col("slot") - F.col("first_slot")).alias("r"), F.least(F.lit(CHUNK), F.col("last_slot") - F.col("slot") + 1).alias("n")), total, "slot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in in_pieces(batches, "data", 4 << 20):
-            for shard, first, n, raw in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3), strict=True):
-                raw = raw.as_py()
-                skip = max(0, start - first)
-                head = np.frombuffer(raw, np.uint8).reshape(n, stride)[:, : HEADER.itemsize].copy().view(HEADER).ravel()[skip:]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first + skip, first + n)), pa.array([shard] * (n - skip), pa.int32()), pa.array(head["id"]), pa.array(head["seq"]), pa.array(head["n"]), pa.array([raw[k * stride : (k + 1) * stride] for k in range(skip, n)], pa.binary())], ["slot", "shard", "doc_id", "seq", "n_tokens", "record"])
+        reader = Reader()
+        for b in batches:
+            for shard, file, slot, r, n in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                raw = reader.read(file, r * stride, n * stride)
+                head = np.frombuffer(raw, np.uint8).reshape(n, stride)[:, : HEADER.itemsize].copy().view(HEADER).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(slot, slot + n)), pa.array([shard] * n, pa.int32()), pa.array(head["id"]), pa.array(head["seq"]), pa.array(head["n"]), pa.array([raw[k : k + stride] for k in range(0, n * stride, stride)], pa.binary())], ["slot", "shard", "doc_id", "seq", "n_tokens", "record"])
+        reader.close()
 
-    return chunks.where(F.col("first_slot") + F.col("n") > start).mapInArrow(run, "slot long, shard int, doc_id long, seq int, n_tokens int, record binary")
+    return chunks.mapInArrow(run, "slot long, shard int, doc_id long, seq int, n_tokens int, record binary")
 
 
 def digest(records: DataFrame, per_shard: int = PER_SHARD, length: int = LENGTH) -> DataFrame:
-    stride = HEADER.itemsize + 2 * length
-    place = ((F.col("slot") % per_shard) * stride).alias("at_byte")
+    place = ((F.col("slot") % per_shard) * (HEADER.itemsize + length)).alias("at_byte")
     return records.select(F.when(F.col("doc_id") != int(NULL_ID), F.col("doc_id")).alias("doc_id"), "seq", "slot", "shard", place, "n_tokens", F.sha2("record", 256).alias("record_sha256"))
 
 
@@ -141,7 +196,7 @@ def record_of(text: str | None, doc_id: int | None, seq: int, length: int = LENG
     """A record written plainly, for tests."""
     tokens = [*(text or "").encode(), END][seq * length : (seq + 1) * length]
     head = np.array([(NULL_ID if doc_id is None else doc_id, seq, len(tokens))], HEADER).tobytes()
-    return head + np.array(tokens + [PAD] * (length - len(tokens)), "<u2").tobytes()
+    return head + bytes(tokens + [PAD] * (length - len(tokens)))
 
 
 def sha(record: bytes) -> str:
