@@ -426,24 +426,22 @@ def plain_feistel(x, n, key):
             return x
 
 
-@pytest.mark.parametrize("copies", [1000, 2])
-def test_op9_records(spark, odd, none, monkeypatch, copies):
-    monkeypatch.setattr(op9_shards, "COPIES", copies)
-    odd = odd.unionByName(odd.where("doc_id IN (5, 6)")).unionByName(odd.where("doc_id = 5"))
+@pytest.mark.parametrize("unit, files_", [(1 << 20, 1), (4, 1), (3, 3)])
+def test_op9_records(spark, odd, none, monkeypatch, tmp_path, unit, files_):
+    monkeypatch.setattr(op9_shards, "UNIT", unit)
+    monkeypatch.setattr(op9_shards, "GROUP", 2)
+    odd.unionByName(odd.where("doc_id IN (5, 6)")).repartition(files_).write.parquet(f"file://{tmp_path}/docs")
+    odd = spark.read.parquet(f"file://{tmp_path}/docs")
     files = op9_shards.shards(odd, length=64, per_shard=50, key=77)
     rows = op9_shards.read_records(files, length=64).collect()
     texts = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
     want = sorted(op9_shards.record_of(t, k, s, 64) for k, t in texts for s in range((len((t or "").encode()) + 64) // 64))
     assert sorted(bytes(r.record) for r in rows) == want
     assert sorted(r.slot for r in rows) == list(range(len(rows))) and all(r.shard == r.slot // 50 for r in rows)
-    # slots against a plain order: buckets, ids, hashes, copies, sequences
-    key = odd.select(F.coalesce("doc_id", F.lit(int(op9_shards.NULL_ID))).alias("i"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce("text", F.lit("")).alias("t"))
-    numbered, seen = [], {}
-    for r in key.collect():
-        seen[r.i, r.h] = seen.get((r.i, r.h), -1) + 1
-        numbered.append((r.i, r.h, seen[r.i, r.h] // copies, r.t))
-    placed = spark.createDataFrame(numbered, "i long, h long, block long, t string").select(F.pmod(F.xxhash64("i", "h", "block"), F.lit(48)).alias("bucket"), "i", "h", "block", "t").collect()
-    plain = [(r.i, s, r.t) for r in sorted(placed) for s in range((len(r.t.encode()) + 64) // 64)]
+    # slots against a plain order: files by group and name, and their rows
+    order = odd.select(F.pmod(F.xxhash64(F.xxhash64("_metadata.file_path")), F.lit(2)), F.xxhash64("_metadata.file_path"), "_metadata.row_index", "doc_id", "text").collect()
+    assert len({r[1] for r in order}) == files_
+    plain = [(r.doc_id, s, r.text) for r in sorted(order, key=lambda r: r[:3]) for s in range((len((r.text or "").encode()) + 64) // 64)]
     slots = {plain_feistel(x, len(plain), 77): op9_shards.record_of(t, i, s, 64) for x, (i, s, t) in enumerate(plain)}
     assert {r.slot: bytes(r.record) for r in rows} == slots
     # a shard is a flat file: record r is at r * stride
@@ -460,9 +458,16 @@ def test_op9_records(spark, odd, none, monkeypatch, copies):
         op9_shards.shards(odd.withColumn("doc_id", F.col("doc_id").cast("string")))
 
 
-def test_op9_partitions(spark, odd):
-    slots = [{(r.slot, r.record_sha256) for r in op9_shards.digest(op9_shards.read_records(op9_shards.shards(odd.repartition(n)))).collect()} for n in (1, 3)]
-    assert slots[0] == slots[1] and len(slots[0]) > 60
+def test_op9_partitions(spark, tmp_path):
+    """The order does not depend on how files are cut into partitions, and a DataFrame without files has one as well."""
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(3).write.parquet(f"file://{tmp_path}/docs")
+    docs, slots = spark.read.parquet(f"file://{tmp_path}/docs"), []
+    for size in ("128m", "64k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        slots.append({(r.slot, r.record_sha256) for r in op9_shards.digest(op9_shards.read_records(op9_shards.shards(docs))).collect()})
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert slots[0] == slots[1] and len(slots[0]) > 500
+    assert op9_shards.digest(op9_shards.read_records(op9_shards.shards(docs.repartition(2)))).count() == len(slots[0])
 
 
 def test_op10(spark, odd, none):

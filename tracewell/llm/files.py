@@ -37,6 +37,20 @@ def create(where: str, name: str) -> tuple[str, pa.NativeFile]:
     return f"{where}/{file}", fs.open_output_stream(f"{path}/{file}")
 
 
+class Replaced:
+    """A file of a fixed name, which appears whole when it is done: an attempt that is repeated writes the same again."""
+
+    def __init__(self, name: str) -> None:
+        self.fs, self.path = located(name)
+        self.fs.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
+        self.own = f"{self.path}.{uuid.uuid4().hex}"
+        self.stream = self.fs.open_output_stream(self.own)
+
+    def done(self) -> None:
+        self.stream.close()
+        self.fs.move(self.own, self.path)
+
+
 class Reader:
     """Reads byte ranges, and keeps the last file open."""
 

@@ -1,11 +1,11 @@
 """Training-order materialisation: a keyed Feistel permutation with cycle-walking gives every sequence a global slot; range partitions of slots write fixed-stride shards.
 
 1. Documents are cut into sequences of `length` tokens (UTF-8 bytes as 8-bit ids; END = 255 after each document and PAD = 254 behind a last short sequence, which UTF-8 never uses).
-2. Documents are dealt to buckets by a hash of id and text and ordered within them. The sequences before a bucket come from a prefix sum over the buckets, in groups; they travel to the bucket as a row of its own, before its documents. So every sequence has an index in 0 .. N-1. Copies of a row are counted first: beyond COPIES of them, blocks of COPIES are rows of their own with buckets of their own.
+2. Sequences are numbered in the order of the table's files (by hashes of their names) and of the rows in each, so every sequence has an index in 0 .. N-1. Only the rows' numbers of sequences are looked at for that: their sums over units of UNIT rows of a file, a prefix sum over the units, then a flat file for each unit with the index of each row's first sequence, 8 bytes a row. The task that reads the texts reads these at its rows' own places, so no text is moved to be numbered, and no key or copy can be hot.
 3. The permutation takes the index to a slot in 0 .. N-1: a balanced Feistel network over the next even number of bits, walked on while it leads outside.
 4. Slot s belongs to shard s // per_shard. Ranges of shards are dealt to tasks, which write each shard in order of slots as one flat file in the shared folder. Each record has the same stride: id, sequence number and number of tokens (16 bytes), then the tokens. Record r of a shard is at byte r * stride, so a reader goes on from any slot without an index: earlier shards are not opened, and the shard with the slot is read from its byte on.
 
-The order depends on the key and the documents alone, not on partitions. Nulls: a null or empty text has one sequence with END alone; a null id is written as the largest 64-bit number. Ids are 64-bit numbers; others raise an error. Rows that repeat have sequences of their own. An empty table has no shards.
+The order depends on the key and on the table's files and their names, not on how they are cut into partitions or on executors that are lost. A DataFrame that is not read from Parquet is written to the shared folder first. Nulls: a null or empty text has one sequence with END alone; a null id is written as the largest 64-bit number. Ids are 64-bit numbers; others raise an error. Rows that repeat have sequences of their own. An empty table has no shards.
 """
 
 from __future__ import annotations
@@ -15,17 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import GOLD, flat, in_pieces, mix, saved
-from .files import Reader, create, folder, spread, tasks_for
+from .files import Reader, Replaced, create, folder, spread, tasks_for
 
-END, PAD, LENGTH, PER_SHARD, CHUNK, ROUNDS, COPIES, GROUP = 255, 254, 512, 16_384, 1024, 6, 1000, 4096
+END, PAD, LENGTH, PER_SHARD, CHUNK, ROUNDS, UNIT, GROUP = 255, 254, 512, 16_384, 1024, 6, 1 << 20, 4096
 NULL_ID = np.iinfo(np.int64).max
-#: Bytes of text for each bucket.
-BUCKET_BYTES = 8 << 20
 HEADER = np.dtype([("id", "<i8"), ("seq", "<i4"), ("n", "<i4")])
 
 
@@ -46,12 +45,14 @@ def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def bucket_bases(sizes: DataFrame) -> DataFrame:
-    """(bucket, base): for (bucket, n) the sum of n over all earlier buckets; no task orders more than GROUP of them, or more than the groups."""
-    before = lambda n, *by: F.coalesce(F.sum(n).over((Window.partitionBy(by[0]) if len(by) > 1 else Window).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.withColumn("g", F.floor(F.col("bucket") / GROUP))
-    groups = sizes.groupBy("g").agg(F.sum("n").alias("gn")).withColumn("gbase", before("gn", "g"))
-    return sizes.withColumn("base", before("n", "g", "bucket")).join(groups, "g").select("bucket", (F.col("base") + F.col("gbase")).alias("base"))
+def bases(units: DataFrame) -> DataFrame:
+    """(file, unit, base): for (file, unit, n) the sum of n over all earlier units, by file and unit; no task orders more than the units of GROUP files, or more than the groups."""
+    files = units.groupBy("file").agg(F.sum("n").alias("n"))
+    groups = files.withColumn("g", F.pmod(F.xxhash64("file"), F.lit(GROUP))).groupBy("g").agg(F.sum("n").alias("gn"))
+    before = lambda n, by, *order: F.coalesce(F.sum(n).over((Window.partitionBy(*by) if by else Window).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = groups.withColumn("gbase", before("gn", [], "g"))
+    files = files.withColumn("g", F.pmod(F.xxhash64("file"), F.lit(GROUP))).withColumn("fbase", before("n", ["g"], "file")).join(groups, "g")
+    return units.withColumn("ubase", before("n", ["file"], "unit")).join(files.select("file", "fbase", "gbase"), "file").select("file", "unit", (F.col("gbase") + F.col("fbase") + F.col("ubase")).alias("base"))
 
 
 def shards(docs: DataFrame, key: int = 20_240_101, length: int = LENGTH, per_shard: int = PER_SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -59,64 +60,77 @@ def shards(docs: DataFrame, key: int = 20_240_101, length: int = LENGTH, per_sha
     spark = docs.sparkSession
     if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
         raise TypeError(f"{id_col} has to be a whole number")
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID))).alias("i"), F.col(text_col).alias("t")).withColumn("h", F.xxhash64(F.coalesce("t", F.lit(""))))
-    total = src.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n_buckets = max(48, -(-total // BUCKET_BYTES))
-    bucket = F.pmod(F.xxhash64("i", "h", "block"), F.lit(n_buckets)).alias("bucket")
+    wanted = [F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID))).alias("i"), F.col(text_col).alias("t")]
+    at = [F.xxhash64("_metadata.file_path").alias("file"), F.floor(F.col("_metadata.row_index") / UNIT).alias("unit"), (F.col("_metadata.row_index") % UNIT).alias("r")]
+    try:
+        src = docs.select(*at, *wanted)
+    except AnalysisException:  # no table of Parquet files
+        src = saved(docs.select(id_col, text_col), "docs", codec="zstd").select(*at, *wanted)
     n_seq = F.floor((F.coalesce(F.octet_length("t"), F.lit(0)) + length) / length)  # with the end
-    counts = saved(src.groupBy("i", "h", n_seq.alias("k")).agg(F.count("*").alias("m")), "counts")
-    blocks = counts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / COPIES))).alias("block")).withColumn("copies", F.least(F.lit(COPIES), F.col("m") - F.col("block") * COPIES))
-    sizes = saved(blocks.groupBy(bucket).agg(F.sum(F.col("k") * F.col("copies")).alias("n")), "buckets")
-    n = sizes.agg(F.sum("n")).first()[0] or 0
-    rows = src.select("i", "h", "t", F.lit(0).cast("long").alias("block"), F.lit(1).cast("long").alias("copies"))
-    hot = counts.where(F.col("m") > COPIES).select("i", "h")
-    if hot.limit(1).count():
-        many = src.join(hot, ["i", "h"], "left_semi").dropDuplicates(["i", "h"]).join(blocks.select("i", "h", "block", "copies"), ["i", "h"])
-        rows = rows.join(hot, ["i", "h"], "left_anti").unionByName(many.select("i", "h", "t", "block", "copies"))
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in in_pieces(batches, "t", 4 << 20):
-            data, off = flat(b.column(b.schema.get_field_index("t")))
-            raw = data.tobytes()
-            texts = [pa.compress(raw[s:e], "zstd", asbytes=True) if e > s else b"" for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(5)), pa.array(np.diff(off), pa.int64()), pa.array(texts, pa.binary())], ["bucket", "i", "h", "block", "copies", "size", "t"])
-
-    texts = rows.select(bucket, "i", "h", "block", "copies", "t").mapInArrow(packed, "bucket long, i long, h long, block long, copies long, size long, t binary")
-    bases = bucket_bases(sizes).select("bucket", F.lit(None).cast("long").alias("i"), F.col("base").alias("h"), *(F.lit(None).cast("long").alias(c) for c in ("block", "copies", "size")), F.lit(None).cast("binary").alias("t"))
-    dealt = spread(texts.unionByName(bases), total, "bucket").sortWithinPartitions("bucket", F.col("i").isNotNull(), "i", "h", "block")
+    numbers = src.select("file", "unit", "r", n_seq.alias("k"))
+    units = saved(numbers.groupBy("file", "unit").agg(F.sum("k").alias("n")), "units")
+    n = units.agg(F.sum("n")).first()[0] or 0
+    where = folder(spark, "shards")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first sequence of each row, in a flat file for each unit."""
+        now, rows, at, file = None, 0, 0, None
+
+        def done() -> pa.RecordBatch:
+            file.done()
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int64()), pa.array([now[1]], pa.int64()), pa.array([rows], pa.int64())], ["file", "unit", "n"])
+
+        for b in batches:
+            for lo in range(0, b.num_rows, 1 << 16):
+                name, unit, r, k = (b.column(c).slice(lo, 1 << 16).to_numpy(zero_copy_only=False) for c in range(4))
+                cut = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (unit[1:] != unit[:-1]))).tolist()
+                for s, e in zip(cut, [*cut[1:], len(k)], strict=True):
+                    if (name[s], unit[s]) != now:
+                        if file:
+                            yield done()
+                        now, rows, at, file = (name[s], unit[s]), 0, 0, Replaced(f"{where}/first/{name[s]}-{unit[s]}")
+                    if r[s] == -1:  # what comes before this unit
+                        at, s = int(k[s]), s + 1
+                    if e > s and (r[s] != rows or r[e - 1] - r[s] != e - 1 - s):
+                        raise RuntimeError(f"the file lacks row {rows}")
+                    file.stream.write((at + np.cumsum(k[s:e]) - k[s:e]).astype("<i8").tobytes())
+                    at, rows = at + int(k[s:e].sum()), rows + e - s
+        if file:
+            yield done()
+
+    before = bases(units).select("file", "unit", F.lit(-1).cast("long").alias("r"), F.col("base").alias("k"))
+    saved(numbers.unionByName(before).repartition("file", "unit").sortWithinPartitions("file", "unit", "r").mapInArrow(number, "file long, unit long, n long"), "numbered")
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = 0
-        for b in in_pieces(batches, "t", 1 << 20):
-            index, owners, numbers, parts = [], [], [], []
-            for i, h, copies, size, t in zip(*(b.column(k).to_pylist() for k in (1, 2, 4, 5)), b.column(6), strict=True):
-                if i is None:  # what comes before this bucket
-                    at = h
-                    continue
-                raw = pa.decompress(t.as_buffer(), size, "zstd", asbytes=True) if size else b""
-                pieces = [raw[s : s + length] for s in range(0, size + 1, length)]
-                for _ in range(copies):
-                    index.append(np.arange(at, at + len(pieces)))
-                    owners += [i] * len(pieces)
-                    numbers += range(len(pieces))
-                    parts += pieces
-                    at += len(pieces)
-                    if len(parts) > 8000:
-                        yield out(index, owners, numbers, parts)
-                        index, owners, numbers, parts = [], [], [], []
-            if parts:
-                yield out(index, owners, numbers, parts)
+        reader = Reader()
+        for b in in_pieces(batches, "t", 2 << 20):
+            data, off = flat(b.column(4))
+            raw, size = data.tobytes(), np.diff(off)
+            file, unit, r, ids = (b.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+            first = np.empty(len(r), np.int64)
+            cut = np.flatnonzero(np.append(True, (file[1:] != file[:-1]) | (unit[1:] != unit[:-1]) | (r[1:] != r[:-1] + 1))).tolist()
+            for s, e in zip(cut, [*cut[1:], len(r)], strict=True):
+                first[s:e] = np.frombuffer(reader.read(f"{where}/first/{file[s]}-{unit[s]}", int(r[s]) * 8, (e - s) * 8), "<i8")
+            count = (size + length) // length
+            for lo in range(0, len(r), 2000):
+                hi = min(len(r), lo + 2000)
+                k = count[lo:hi]
+                seq = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                start = np.repeat(off[:-1][lo:hi], k) + seq * length
+                end = np.minimum(start + length, np.repeat(off[1:][lo:hi], k))
+                head = np.zeros(len(seq), HEADER)
+                head["id"], head["seq"], head["n"] = np.repeat(ids[lo:hi], k), seq, end - start
+                slot = feistel(np.repeat(first[lo:hi], k) + seq, n, key)
+                codec, heads = pa.Codec("brotli", compression_level=3), head.tobytes()
+                parts = [heads[16 * j : 16 * j + 16] + (codec.compress(raw[x:y], asbytes=True) if y > x else b"") for j, (x, y) in enumerate(zip(start.tolist(), end.tolist(), strict=True))]
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(parts, pa.binary())], ["slot", "t"])
+        reader.close()
 
     n_shards = -(-n // per_shard)
     each = max(1, -(-n_shards // tasks_for(spark, n * (HEADER.itemsize + length))))  # shards of a task
 
-    def out(index: list[np.ndarray], owners: list[int], numbers: list[int], parts: list[bytes]) -> pa.RecordBatch:
-        slot = feistel(np.concatenate(index), n, key)
-        return pa.RecordBatch.from_arrays([pa.array(slot // (per_shard * each), pa.int32()), pa.array(slot), pa.array(owners, pa.int64()), pa.array(numbers, pa.int32()), pa.array(map(len, parts), pa.int32()), pa.array([pa.compress(t, "zstd", asbytes=True) if t else b"" for t in parts], pa.binary())], ["part", "slot", "i", "seq", "size", "t"])
-
-    cut = dealt.mapInArrow(sequences, "part int, slot long, i long, seq int, size int, t binary")  # packed, as much is shuffled
-    ranged = cut.repartitionById(max(1, -(-n_shards // each)), F.col("part")).sortWithinPartitions("slot")
-    where = folder(spark, "shards")
+    cut = src.select("file", "unit", "r", "i", "t").mapInArrow(sequences, "slot long, t binary")  # packed, as much is shuffled
+    ranged = cut.repartitionById(max(1, -(-n_shards // each)), F.floor(F.col("slot") / (per_shard * each)).cast("int")).sortWithinPartitions("slot")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, name, stream, after = -1, "", None, 0
@@ -128,8 +142,8 @@ def shards(docs: DataFrame, key: int = 20_240_101, length: int = LENGTH, per_sha
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([name]), pa.array([now * per_shard], pa.int64()), pa.array([after - 1], pa.int64())], ["shard", "file", "first_slot", "last_slot"])
 
         for b in in_pieces(batches, "t", 1 << 20):
-            slot, sizes_ = b.column(1).to_numpy(), b.column(4).to_pylist()
-            records = laid_out(b.column(2).to_numpy(), b.column(3).to_numpy(), [pa.decompress(t.as_buffer(), m, "zstd", asbytes=True) if m else b"" for t, m in zip(b.column(5), sizes_, strict=True)], length)
+            slot = b.column(0).to_numpy()
+            records = laid_out([t.as_py() for t in b.column(1)], length)
             shard = slot // per_shard
             edges = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(slot)]
             for s, e in zip(edges[:-1], edges[1:], strict=True):
@@ -149,18 +163,18 @@ def shards(docs: DataFrame, key: int = 20_240_101, length: int = LENGTH, per_sha
     return saved(ranged.mapInArrow(write, "shard int, file string, first_slot long, last_slot long"), "shards")
 
 
-def laid_out(ids: np.ndarray, numbers: np.ndarray, parts: list[bytes], length: int) -> np.ndarray:
-    """Records of one stride, as rows of bytes."""
-    size = np.array([len(p) for p in parts])
-    data = np.frombuffer(b"".join(parts), np.uint8)
-    tokens = np.full((len(parts), length), PAD, np.uint8)
-    row = np.repeat(np.arange(len(parts)), size)
+def laid_out(packed: list[bytes], length: int) -> np.ndarray:
+    """Records of one stride, as rows of bytes, from headers with packed texts behind them."""
+    head = np.frombuffer(b"".join([p[: HEADER.itemsize] for p in packed]), HEADER).copy()
+    size, codec = head["n"].astype(np.int64), pa.Codec("brotli")
+    data = np.frombuffer(b"".join([codec.decompress(p[HEADER.itemsize :], m, asbytes=True) if m else b"" for p, m in zip(packed, size.tolist(), strict=True)]), np.uint8)
+    tokens = np.full((len(packed), length), PAD, np.uint8)
+    row = np.repeat(np.arange(len(packed)), size)
     tokens[row, np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)] = data
     short = np.flatnonzero(size < length)
     tokens[short, size[short]] = END
-    head = np.zeros(len(parts), HEADER)
-    head["id"], head["seq"], head["n"] = ids, numbers, np.minimum(size + 1, length)
-    return np.concatenate([head.view(np.uint8).reshape(len(parts), -1), tokens], 1)
+    head["n"] = np.minimum(size + 1, length)
+    return np.concatenate([head.view(np.uint8).reshape(len(packed), -1), tokens], 1)
 
 
 def read_records(files: DataFrame, length: int = LENGTH, start: int = 0) -> DataFrame:
