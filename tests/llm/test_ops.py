@@ -468,6 +468,23 @@ def test_op7_odd(spark):
     assert op7_urls.judge_urls(df, rules.limit(0)).where("rule IS NOT NULL").count() == 0
 
 
+@pytest.mark.parametrize("rows", [1_000_000, 40])
+def test_op7_many_rules(spark, monkeypatch, rows):
+    """Many rules of one host, nested in each other and in other hosts, against every rule for every url."""
+    monkeypatch.setattr(op7_urls, "ROWS", rows)
+    r = random.Random(7)
+    hosts = ["com", "a.com", "b.a.com", "aa.com", "net", "x.net"]
+    parts = ["", "/", "/a", "/a/", "/a/b", "/ab", "/é", "/a/b/c"]
+    rules = sorted({(r.choice(hosts), r.choice(parts) + r.choice(["", "/x", "/x/y", "z"])) for _ in range(90)})
+    rules = [(h, p if p.startswith("/") or not p else "/" + p, r.choice(["allow", "block"])) for h, p in rules]
+    rules = list({(h, p): (h, p, a) for h, p, a in rules}.values())
+    urls = [f"http://{r.choice(['', 'www.', 'b.', 'q.b.'])}{r.choice([*hosts, 'other.org'])}{r.choice(parts)}{r.choice(['', '/x', '/x/y', 'z', '/x/y/z?q', '#f'])}" for _ in range(400)]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id int, url string")
+    for x in op7_urls.judge_urls(df, spark.createDataFrame(rules, "host string, path string, action string")).collect():
+        fit = [(len(h), len(p), h + p, a) for h, p, a in rules if (x.host == h or x.host.endswith("." + h)) and x.path.startswith(p)]
+        assert (x.rule, x.verdict) == (max(fit)[2:] if fit else (None, "allow")), urls[x.page_id]
+
+
 def test_op8_odd(spark, odd, none):
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in op8_tokens.token_counts(odd).collect())
     assert got == sorted((r[0] is None, r[0] or 0, len((r[1] or "").encode())) for r in odd_rows())

@@ -1,11 +1,11 @@
 """URL filters: a sort-merge range join of reversed-host keys with a stack of nested rules. DataFrame operations only.
 
-The key of a host is its labels in reverse, each ended by a dot ("www.a.com" -> "com.a.www."), so a rule's host and all its subdomains are one interval of keys.
-Distinct hosts and rule hosts are sorted together in range partitions; going through a partition in order, the top of the stack is the last rule that began.
-Rules nest, so what is active below it is known beforehand: its chain of rules on shorter hosts. Rules that began before a partition are carried in at its lowest key.
-Only distinct hosts are sorted; the pages themselves join them on the host, where Spark can split one that holds a third of all rows.
+The key of a host is its labels in reverse, each ended by a dot ("www.a.com" -> "com.a.www."), so a rule's host and all its subdomains are one interval of keys. The key of a url below a rule's host is that host's key with the url's path behind it, so a rule is again one interval: all keys that begin with its own.
+Two sweeps find the intervals that hold a key. The first sorts distinct hosts and rule hosts together and gives each host the rule hosts above it, at most one for each of its labels. The second sorts, for each of these, the distinct urls' keys and the rules themselves.
+In both, range partitions are gone through in order, and the top of the stack is the last interval that began. Intervals nest, so what is active below it is known beforehand: the chain of those that hold it, no longer than the nesting is deep. Those that began before a partition are carried in at its lowest key.
+Only distinct hosts and urls are sorted; the pages themselves join them on host and path, where Spark can split a url that holds a third of all rows.
 
-Nulls: a null url has the host '' and the path '', and no rule. Rows that repeat, and extra columns of any name, change nothing.
+Nulls: a null url has the host '' and the path '', and no rule. Rows that repeat, very long urls, and extra columns of any name, change nothing. Of equal rules one counts.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from .common import saved
 
 #: Fixed values of the query: (host, path, action).
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+#: Rows of a range partition.
+ROWS = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -40,29 +42,63 @@ def chain_keys(key: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.concat(F.array_join(F.slice(labels, F.lit(1), n), "."), F.lit(".")))
 
 
+def sweep(points: DataFrame, chains: DataFrame, begun) -> DataFrame:
+    """points with `chain`, that of the last interval at or before their key which began before them or at them.
+
+    points: key and more; chains: key, chain, one for each interval; begun: from (bucket, low), the lowest key of each bucket, to (bucket, low, chain) of the intervals that hold it.
+    """
+    spark, kind = points.sparkSession, chains.schema["chain"].dataType
+    cols = [c for c in points.columns if c != "key"]
+    events = points.select("key", F.lit(1).alias("kind"), F.lit(None).cast(kind).alias("chain"), F.struct(*cols).alias("point"))
+    point = events.schema["point"].dataType
+    events = saved(events.unionByName(chains.select("key", F.lit(0).alias("kind"), "chain", F.lit(None).cast(point).alias("point"))), "events")
+    n = max(2 * spark.sparkContext.defaultParallelism, -(-events.count() // ROWS))
+    events = saved(events.repartitionByRange(n, "key").withColumn("bucket", F.spark_partition_id()), "ranges")
+    carried = begun(events.groupBy("bucket").agg(F.min("key").alias("low"))).select(F.col("low").alias("key"), F.lit(-1).alias("kind"), "chain", F.lit(None).cast(point).alias("point"), "bucket")
+    top = F.last("chain", ignorenulls=True).over(Window.partitionBy("bucket").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    return events.unionByName(carried).withColumn("top", top).where("kind = 1").select("key", "point.*", F.col("top").alias("chain"))
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """Adds host, path, rule (its host and path) and verdict to every row of pages.
 
     rules: host, path, action, a table of its own. Of the rules that fit, the longest (host, then path) wins; default judges a url that none fits.
     """
-    rules = rules.select(F.translate("host", UPPER, LOWER).alias("rh"), F.col("path").alias("rp"), "action").dropDuplicates(["rh", "rp"]).withColumn("key", key_of(F.col("rh")))
-    own = rules.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.length("rh").alias("hl"), F.length("rp").alias("pl"), "rh", "rp", "action")), False).alias("own"))
-    above = own.select("key", F.explode(chain_keys(F.col("key"))).alias("up")).join(own.select(F.col("key").alias("up"), F.col("own").alias("held")), "up")
-    stacks = saved(above.groupBy("key").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(F.length("up"), "held")), False), lambda s: s["held"])).alias("stack")), "stacks")
-
+    rules = saved(rules.select(F.translate("host", UPPER, LOWER).alias("rh"), F.col("path").alias("rp"), "action").dropDuplicates(["rh", "rp"]).withColumn("hk", key_of(F.col("rh"))), "rules")
     judged = pages.withColumn("_url", F.col(url)).withColumn("_h", host_of(F.col("_url"))).withColumn("_p", path_of(F.col("_url")))
-    hosts = judged.groupBy("_h").agg(F.lit(1).alias("one")).select(F.col("_h").alias("at"), key_of(F.col("_h")).alias("key"), F.lit(1).alias("kind"), F.lit(None).cast(stacks.schema["stack"].dataType).alias("stack"))
-    events = hosts.unionByName(stacks.select(F.lit(None).cast("string").alias("at"), "key", F.lit(0).alias("kind"), "stack"))
-    events = saved(events.repartitionByRange("key").withColumn("bucket", F.spark_partition_id()), "hosts")
-    lowest = events.groupBy("bucket").agg(F.min("key").alias("low"))
-    carried = lowest.select("bucket", "low", F.explode(chain_keys(F.col("low"))).alias("key")).join(stacks, "key")
-    carried = carried.groupBy("bucket").agg(F.first("low").alias("key"), F.max_by("stack", F.length("key")).alias("stack"))
-    swept = events.unionByName(carried.select(F.lit(None).cast("string").alias("at"), "key", F.lit(-1).alias("kind"), "stack", "bucket"))
-    top = F.last("stack", ignorenulls=True).over(Window.partitionBy("bucket").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    swept = swept.withColumn("top", top).where("kind = 1")
-    active = F.filter("top", lambda r: F.startswith(F.col("key"), key_of(r["rh"])))  # those that have ended are popped
-    swept = saved(swept.select(F.col("at").alias("_h"), active.alias("_top")), "swept")
-    out = judged.join(swept, "_h", "left").withColumn("_best", F.try_element_at(F.filter("_top", lambda r: F.startswith(F.col("_p"), r["rp"])), F.lit(1)))
+    urls = saved(judged.select(F.col("_h").alias("h"), F.col("_p").alias("p")).distinct(), "urls")
+
+    # first sweep: the rule hosts above each host
+    rule_hosts = rules.select("hk", "rh").distinct()
+
+    def holders(keys: DataFrame, key: str) -> DataFrame:
+        """The chain of rule hosts, longest first, that hold each key of a host."""
+        up = keys.select("*", F.explode(chain_keys(F.col(key))).alias("hk")).join(rule_hosts, "hk")
+        return up.groupBy(*keys.columns).agg(F.sort_array(F.collect_list(F.struct(F.length("hk").alias("n"), "hk", "rh")), False).alias("chain"))
+
+    hosts = urls.select("h").distinct().select("h", key_of(F.col("h")).alias("key"))
+    chains = holders(rule_hosts.select(F.col("hk").alias("key")), "key")
+    above = sweep(hosts, chains, lambda lows: holders(lows, "low"))
+    above = saved(above.select("h", F.explode(F.filter("chain", lambda r: F.startswith("key", r["hk"]))).alias("r")).select("h", "r.hk", "r.rh"), "above")
+
+    # second sweep: of each of these, the rule with the longest path that the url's path begins with
+    sizes = rules.select("hk", F.length("rp").alias("n")).distinct()
+
+    def prefixes(keys: DataFrame, hk: str, path: str) -> DataFrame:
+        """The chain of rules of a host, longest path first, that hold each path."""
+        some = keys.join(sizes.withColumnRenamed("hk", "_hk"), F.col(hk) == F.col("_hk")).where(F.col("n") <= F.length(path)).withColumn("_rp", F.substring(F.col(path), F.lit(1), F.col("n")))
+        met = some.join(rules.select(F.col("hk").alias("_k"), F.col("rp"), "action"), (F.col("_hk") == F.col("_k")) & (F.col("_rp") == F.col("rp")))
+        return met.groupBy(*[F.col(c) for c in keys.columns]).agg(F.sort_array(F.collect_list(F.struct("n", F.concat("_hk", "rp").alias("key"), "rp", "action")), False).alias("chain"))
+
+    points = urls.join(above, "h").select(F.concat("hk", "p").alias("key"), "h", "p", "rh")
+    own = rules.select(F.col("hk").alias("k"), F.col("rp").alias("r"))
+    chains = prefixes(own, "k", "r").select(F.concat("k", "r").alias("key"), "chain")
+    # a host's key has no slash, and a path begins with one
+    cut = lambda lows: lows.select("*", F.regexp_extract("low", r"(?s)^([^/]*)", 1).alias("k"), F.regexp_extract("low", r"(?s)^[^/]*(.*)$", 1).alias("r"))
+    found = sweep(points, chains, lambda lows: prefixes(cut(lows), "k", "r"))
+    found = found.withColumn("best", F.try_element_at(F.filter("chain", lambda r: F.startswith("key", r["key"])), F.lit(1))).where("best IS NOT NULL")
+    best = found.groupBy(F.col("h").alias("_h"), F.col("p").alias("_p")).agg(F.max_by(F.struct("rh", "best.rp", "best.action"), F.length("rh")).alias("_best"))
+    out = judged.join(saved(best, "best"), ["_h", "_p"], "left")
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     return out.select(*kept, F.col("_h").alias("host"), F.col("_p").alias("path"), F.concat("_best.rh", "_best.rp").alias("rule"), F.coalesce("_best.action", F.lit(default)).alias("verdict"))
 
