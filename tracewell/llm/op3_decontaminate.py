@@ -91,8 +91,8 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: in
     candidates = saved(both.unionByName(single).distinct(), "candidates")  # a repeated row has its postings twice
 
     # the words at the places of candidates, of the documents that have some
-    some = candidates.select("doc", "key").distinct()
-    again = docs.join(some, same_doc(docs, some), "left_semi").dropDuplicates(["doc", "key"])
+    some = small(saved(candidates.select("doc", "key").distinct(), "some"))
+    again = docs.join(some, same_doc(docs, some), "left_semi")
     words_of = plan.select("pid", F.posexplode("phrase").alias("k", "term"))
     asked = candidates.select("doc", "key", "start", "pid").join(words_of, "pid").select("doc", "key", "start", "pid", (F.col("start") + F.col("k")).alias("pos"), "term")
     there = tokens(again)
