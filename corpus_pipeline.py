@@ -23,11 +23,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays (shingles of five words, similarity of 0.8 or more), the one with the smallest id; of rows that repeat an id with it, one."""
+    """One document of each group of near duplicates stays (shingles of five words, similarity of 0.8 or more), the one with the smallest id. Of rows that repeat an id and a text one stays; rows of that id with other texts are not dropped for it."""
     kept = op5_minhash.near_duplicates(docs, shingle=5, percent=80).where("kept").select("doc_id").distinct()
     own = docs.select(*COLUMNS)
     if own.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").limit(1).count():
-        own = own.where("doc_id IS NULL").unionByName(own.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+        own = own.where("doc_id IS NULL").unionByName(own.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]))
     return own.join(kept.hint("merge"), own["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
 
 
