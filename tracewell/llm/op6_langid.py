@@ -154,7 +154,7 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col
     before = F.coalesce(F.sum("size").over(Window.orderBy("place", "o", "l").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     taken = table.select("o", "l", "place", "size").distinct().withColumn("before", before).where((F.col("place") == 1) | (F.col("before") < entries))  # a row of the sample each
     got = table.join(F.broadcast(taken.select("l", "place")), ["l", "place"], "left_semi").orderBy("place", F.xxhash64("o", "l")).collect()  # languages by turns, so that each has its part of the rows for calibration
-    return train([(np.frombuffer(r["buckets"], "<i4").astype(np.int64), np.frombuffer(r["times"], "<i4").astype(np.int64)) for r in got], [r["l"] for r in got])
+    return train([(np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["times"], "<i4")) for r in got], [r["l"] for r in got])
 
 
 def identify(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
