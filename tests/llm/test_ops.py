@@ -376,6 +376,23 @@ def test_op4_recall_many(spark):
     assert sum(found.values()) >= 0.99 * sum(true.values()) and all(found[k] <= true[k] for k in true)
 
 
+def test_op5_matrices(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(op5_minhash, "STRIPE", 7)
+    rng = np.random.default_rng(9)
+    sketch = rng.integers(0, 2, (30, 128)).astype(bool)
+    sketch[10:20] = sketch[9] ^ (rng.random((10, 128)) < 0.1)
+    got = op5_minhash.alike(np.packbits(sketch, axis=1), 0.6)
+    assert (got == (1 - 2 * (sketch[:, None] != sketch[None]).mean(-1) >= 0.6)).all()
+    rows = rng.integers(0, 3, (30, 128)).astype(np.uint8)
+    assert (op5_minhash.alike_bytes(rows, 0.35) == ((rows[:, None] == rows[None]).mean(-1) >= 0.35)).all()
+    ids = rng.permutation(30)
+    a, b = np.nonzero(got)
+    root = common.roots(30, ids[a], ids[b])
+    assert (op5_minhash.smallest_joined(got, ids) == root[ids]).all()
+
+
 @pytest.mark.parametrize("similar", [85, 90])
 def test_op5_crowded_nodes(similar):
     """Pairs that branch on from DEPTH to LAST_DEPTH, as in nodes that stay crowded, still meet in some tree."""
@@ -397,8 +414,10 @@ def test_op5_crowded_nodes(similar):
     assert found.mean() >= 0.97
 
 
-def test_op5_crowd(spark):
+@pytest.mark.parametrize("small", [2048, 100])
+def test_op5_crowd(spark, monkeypatch, small):
     """A crowd that branches on, of texts that share most but not enough of their words, with near copies in it."""
+    monkeypatch.setattr(op5_minhash, "SMALL", small)
     r = random.Random(8)
     common = [f"w{k}" for k in range(100)]
     rows = []

@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GOLD, components, flat, grouped, in_pieces, lower_ascii, mix, prefix_hash, roots, runs, saved, span_hash
+from .common import GOLD, components, flat, grouped, in_pieces, lower_ascii, mix, prefix_hash, runs, saved, span_hash
 
-SIG, TREES, DEPTH, LAST_DEPTH, SMALL, BLOCK = 128, 24, 4, 16, 200, 128
+SIG, TREES, DEPTH, LAST_DEPTH, SMALL, BLOCK = 128, 24, 4, 16, 2048, 128
 #: A sketch agrees in p of its bits where the sets' similarity is about 2p - 1: candidates are sought with this margin below the threshold, over 4 standard deviations.
 MARGIN = 0.25
-#: The same for a byte of each minwise hash, where the share of equal bytes is about the similarity; and the size of nodes in which these are compared.
-BYTE_MARGIN, BYTE_SMALL = 0.16, 1024
+#: The same for a byte of each minwise hash, where the share of equal bytes is about the similarity; and the rows of a node that are compared with all its others at a time.
+BYTE_MARGIN, STRIPE = 0.16, 256
 
 
 def shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,16 +126,33 @@ def hash_bytes(sig: np.ndarray) -> np.ndarray:
 
 def alike_bytes(rows: np.ndarray, least: float) -> np.ndarray:
     """Which pairs of rows may be similar, by their bytes."""
-    same = np.zeros((len(rows), len(rows)), np.uint8)
-    for column in np.ascontiguousarray(rows.T):
-        same += column[:, None] == column[None]
-    return same >= least * SIG
+    out, columns = np.empty((len(rows), len(rows)), bool), np.ascontiguousarray(rows.T)
+    for lo in range(0, len(rows), STRIPE):
+        same = np.zeros((len(rows[lo : lo + STRIPE]), len(rows)), np.uint8)
+        for column in columns:
+            same += column[lo : lo + STRIPE, None] == column[None]
+        out[lo : lo + STRIPE] = same >= least * SIG
+    return out
 
 
 def alike(sketch: np.ndarray, least: float) -> np.ndarray:
-    """Which pairs of rows may be similar."""
-    apart = np.bitwise_count(sketch[:, None, :] ^ sketch[None, :, :]).sum(-1)
-    return 1 - 2 * apart / SIG >= least
+    """Which pairs of rows may be similar, by their sketches."""
+    words = np.ascontiguousarray(sketch).view(np.uint64).T
+    out = np.empty((len(sketch), len(sketch)), bool)
+    for lo in range(0, len(sketch), STRIPE):
+        apart = sum(np.bitwise_count(w[lo : lo + STRIPE, None] ^ w[None]) for w in words)
+        out[lo : lo + STRIPE] = apart <= (1 - least) * SIG / 2
+    return out
+
+
+def smallest_joined(pairs: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """For each row the smallest id that it reaches over a matrix of pairs."""
+    low = c.copy()
+    while True:
+        new = np.concatenate([np.where(pairs[lo : lo + STRIPE], low[None], low[lo : lo + STRIPE, None]).min(1) for lo in range(0, len(c), STRIPE)])
+        if (new == low).all():
+            return low
+        low = new
 
 
 def signed(x: np.ndarray) -> pa.Array:
@@ -258,14 +275,10 @@ def candidate_links(classes: DataFrame, threshold: float) -> DataFrame:
             for s, e in zip(cut[:-1], cut[1:], strict=True):
                 if e - s < 2:
                     continue
-                pairs = np.argwhere(alike(sketch[s:e], threshold - MARGIN))
-                root = roots(e - s, pairs[:, 0], pairs[:, 1])
-                order = np.argsort(c[s:e], kind="stable")
-                low = np.full(e - s, np.iinfo(np.int64).max)
-                np.minimum.at(low, root, c[s:e])
-                other = order[low[root[order]] != c[s:e][order]]
+                low = smallest_joined(alike(sketch[s:e], threshold - MARGIN), c[s:e])
+                other = low != c[s:e]
                 a.append(c[s:e][other])
-                b.append(low[root[other]])
+                b.append(low[other])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
 
@@ -349,7 +362,7 @@ def confirmed_links(docs: DataFrame, held: DataFrame, classes: DataFrame, shingl
             yield pa.RecordBatch.from_arrays([pa.array(p[k], t) for k, t in (("node", pa.int64()), ("g", pa.int64()), ("c", pa.int64()), ("near", pa.bool_()))], ["node", "g", "c", "near"])
 
     again = classes.join(open_.select("c").distinct(), "c", "left_semi").select("c", "sig")
-    small, crowds = nodes(saved(again, "again"), percent / 100, BYTE_SMALL, hash_bytes)
+    small, crowds = nodes(saved(again, "again"), percent / 100, SMALL, hash_bytes)
     asked = reduce(DataFrame.unionByName, small).join(open_, "c").repartition("node").sortWithinPartitions("node", "c").mapInArrow(tickets, "node long, g long, c long, near boolean")
     asked = asked.select(F.xxhash64("node", "g").alias("part"), "c", "near", (~F.col("near")).alias("query"))
     if crowds is not None:  # all that is left in a crowd against all of it, in blocks
