@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -94,7 +95,15 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def in_pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Returns freed memory to the machine: Python workers stay for the next stage and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def in_pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20, last: bool = True) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with about `most` bytes in the column, or one row if that alone has more."""
     for b in batches:
         if not b.num_rows:
@@ -105,6 +114,8 @@ def in_pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 2
             end = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
             yield b.slice(at, end - at)
             at = end
+    if last:  # a task's own input, not a part of it
+        give_back()
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
@@ -149,6 +160,8 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pd.DataFram
         rest = [p.iloc[cut:]]
     if rest:
         yield pd.concat(rest, ignore_index=True)
+    rest.clear()
+    give_back()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

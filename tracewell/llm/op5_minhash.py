@@ -301,7 +301,7 @@ def confirmed_links(docs: DataFrame, held: DataFrame, classes: DataFrame, shingl
         """The sets of texts, made from about a MB of them at a time."""
         found: list[np.ndarray] = []
         part = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["t"])
-        for b in in_pieces(iter([part]), "t", 1 << 20):
+        for b in in_pieces(iter([part]), "t", 1 << 20, last=False):
             sets, off = shingles(b.column(0), shingle)
             found += [sets[x:y] for x, y in zip(off[:-1], off[1:], strict=True)]
         return found

@@ -164,7 +164,7 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", keep: list[st
     inner = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in in_pieces(batches, "t", 1 << 20):
+        for b in in_pieces(batches, "t", 1 << 18):
             names, score = predict(held.value, b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["row", "lang_pred", "score"])
 
