@@ -150,3 +150,17 @@ def test_export(spark, tmp_path):
 
     with pytest.raises(ValueError):
         logs.export(df, str(tmp_path / "d"), "xml")
+
+
+def test_neighbours_in_time(spark):
+    from tracewell.operators.joins import neighbours_in_time
+
+    rows = [(1, "s", 10), (2, "s", 10), (3, "s", 10), (4, "s", 20), (5, "s", 30), (6, "t", 10), (7, "s", None)]
+    got = {r.id: (r.before, r.after) for r in neighbours_in_time(spark.createDataFrame(rows, "id long, session_id string, t long"), 2, "session_id", "t").collect()}
+    assert got == {1: ([], [4, 5]), 2: ([], [4, 5]), 3: ([], [4, 5]), 4: ([3, 2], [5]), 5: ([4, 3], []), 6: ([], []), 7: ([], [])}
+
+
+def test_run_once_without_rows(spark, tmp_path):
+    spark.range(0).write.parquet(str(tmp_path / "none"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "none"))
+    assert S.run_once(stream).collect() == []

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """In the shared folder where the session names one, so that a lost executor costs no recomputation; else as it is."""
-    sc, named = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if named and not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return df.checkpoint() if sc.getCheckpointDir() else df
+    """In the shared folder, so that plans stay short and a lost executor costs no recomputation."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -68,5 +68,6 @@ def import_boosts(seeds: DataFrame, imports: DataFrame, depth: int = 2) -> DataF
 
 def definers(defs: DataFrame, refs: DataFrame, most: int = 4) -> DataFrame:
     """(src, dst): files that use a name and the files that define it, for names of at most `most` files."""
-    few = defs.distinct().withColumn("n", F.size(F.collect_set("path").over(Window.partitionBy("name")))).where(F.col("n") <= most)
+    defs = defs.select("name", "path").distinct()
+    few = defs.join(defs.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("name"), "name")
     return refs.withColumnRenamed("path", "src").join(few.select("name", F.col("path").alias("dst")), "name").where("src <> dst").select("src", "dst").distinct()

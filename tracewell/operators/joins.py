@@ -80,9 +80,22 @@ def unseen(rows: DataFrame, seen: DataFrame, key: str) -> DataFrame:
 
 
 def neighbours_in_time(rows: DataFrame, n: int, key: str, order: str) -> DataFrame:
-    """For each row the ids of up to n rows strictly before it, newest first."""
-    past = F.collect_list(F.struct(order, "id")).over(Window.partitionBy(key).orderBy(order).rangeBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("p", past).select("id", F.transform(F.slice(F.reverse("p"), 1, n), lambda x: x["id"]).alias("before"))
+    """For each row the ids of up to n rows strictly before it, newest first, and of up to n strictly after it, oldest first; of one time those with the highest ids count as newest.
+
+    Of each time only n rows on either side can be a neighbour; these are kept, and times look at the n times around them, so that no frame grows with a session. Rows without a time have no neighbours and are none.
+    """
+    timed = rows.select(key, order, "id").where(F.col(order).isNotNull())
+    nth = lambda by: F.row_number().over(Window.partitionBy(key, order).orderBy(by))
+    ends = timed.withColumns({"_up": nth(F.asc("id")), "_down": nth(F.desc("id"))}).where((F.col("_up") <= n) | (F.col("_down") <= n))
+    ids = lambda side: F.array_sort(F.collect_list(F.when(F.col(side) <= n, F.col("id"))))
+    times = ends.groupBy(key, order).agg(ids("_up").alias("_first"), F.reverse(ids("_down")).alias("_last"))
+    w = Window.partitionBy(key).orderBy(order)
+    near = lambda c, a, b: F.flatten(F.collect_list(c).over(w.rowsBetween(a, b)))
+    times = times.withColumns({"_p": near(F.reverse("_last"), -n, -1), "_a": F.slice(near("_first", 1, n), 1, n)})
+    times = times.select(F.col(key).alias("_k"), F.col(order).alias("_t"), F.slice(F.reverse("_p"), 1, n).alias("_p"), "_a")
+    found = rows.join(times, F.col(key).eqNullSafe(F.col("_k")) & (F.col(order) == F.col("_t")), "left")
+    none = F.array().cast("array<bigint>")
+    return found.select("id", F.coalesce("_p", none).alias("before"), F.coalesce("_a", none).alias("after"))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:

@@ -118,11 +118,19 @@ def join_unseen_hashes(spark, d):
 
 @query("join_neighbours_in_time", ctes("observations") + ", o AS (SELECT id, session_id, ts // 50 AS t FROM observations) SELECT a.id, coalesce((SELECT string_agg(CAST(x.id AS VARCHAR), ' ' ORDER BY x.t DESC, x.id DESC) FROM (SELECT b.id, b.t FROM o b WHERE b.session_id = a.session_id AND b.t < a.t ORDER BY b.t DESC, b.id DESC LIMIT 3) x), '') AS before FROM o a")
 def join_neighbours_in_time(spark, d):
-    o = view(spark, d, "observations").selectExpr("id", "session_id", "CAST(floor(ts / 50) AS BIGINT) * 100000000 + id AS o", "CAST(floor(ts / 50) AS BIGINT) AS t")
-    from pyspark.sql import Window
+    return timed_neighbours(spark, d).select("id", F.array_join(F.col("before").cast("array<string>"), " ").alias("before"))
 
-    past = F.collect_list(F.struct("t", "id")).over(Window.partitionBy("session_id").orderBy("t").rangeBetween(Window.unboundedPreceding, -1))
-    return o.withColumn("p", past).select("id", F.array_join(F.transform(F.slice(F.sort_array("p", asc=False), 1, 3), lambda x: x["id"].cast("string")), " ").alias("before"))
+
+def timed_neighbours(spark, d):
+    o = view(spark, d, "observations").selectExpr("id", "session_id", "CAST(floor(ts / 50) AS BIGINT) AS t")
+    return J.neighbours_in_time(o, 3, "session_id", "t")
+
+
+@query("join_timeline", ctes("observations") + ", o AS (SELECT id, session_id, ts // 50 AS t FROM observations) SELECT a.id, coalesce((SELECT string_agg(CAST(x.id AS VARCHAR), ' ' ORDER BY x.t, x.id) FROM (SELECT b.id, b.t FROM o b WHERE b.session_id = a.session_id AND b.t < a.t ORDER BY b.t DESC, b.id DESC LIMIT 3) x), '') AS before, coalesce((SELECT string_agg(CAST(x.id AS VARCHAR), ' ' ORDER BY x.t, x.id) FROM (SELECT b.id, b.t FROM o b WHERE b.session_id = a.session_id AND b.t > a.t ORDER BY b.t, b.id LIMIT 3) x), '') AS after FROM o a")
+def join_timeline(spark, d):
+    """Both sides of each observation in order of time."""
+    ids = lambda c: F.array_join(c.cast("array<string>"), " ")
+    return timed_neighbours(spark, d).select("id", ids(F.reverse("before")).alias("before"), ids(F.col("after")).alias("after"))
 
 
 @query("join_upsert", "WITH o AS (SELECT doc_id AS id, n_chars AS v, 0 AS n FROM documents WHERE doc_id % 3 <> 0), w AS (SELECT doc_id AS id, length(source) * 100 AS v, 1 AS n FROM documents WHERE doc_id % 2 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY v DESC, n DESC) AS k FROM (SELECT * FROM o UNION ALL SELECT * FROM w)) SELECT id, v FROM r WHERE k = 1")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.usage import total_tokens
+from ..sources.shared import shared_dir
 
 
 def distinct_requests(records: DataFrame, late: str = "5 hours") -> DataFrame:
@@ -141,11 +142,22 @@ def loop_stages(calls: DataFrame) -> DataFrame:
 
 
 def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over what there is now; returns its result as a table in memory. For queries and tests; a service writes to a sink of its own."""
-    name = f"stream_{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Runs a stream over what there is now; returns its result, written as Parquet to the shared folder.
+
+    Each batch has a folder of its own, which a repeated batch writes anew; in mode complete the last one holds the result.
+    """
+    spark, path = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/streams/{uuid.uuid4().hex}"
+    batches = []
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/{batch}")
+        if batch not in batches:
+            batches.append(batch)
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*(f"{path}/rows/{b}" for b in (batches[-1:] if mode == "complete" else batches)))
 
 
 def stream_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
