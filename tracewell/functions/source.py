@@ -1,4 +1,4 @@
-"""Column functions over source files and pages of notes: symbols, references, keywords, outlines."""
+"""Column functions over source files and pages of notes: summaries, keywords, outlines."""
 
 from __future__ import annotations
 
@@ -6,51 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
+from .code import all_of
 from .text import stem
 
-#: Names that say nothing about which file is meant.
-GENERIC_NAMES = ["print", "len", "str", "int", "list", "dict", "set", "range", "open", "super", "isinstance", "return", "if", "for", "while", "function", "require", "import", "console", "log", "main", "init", "self", "this", "get", "new"]
-
-
-def all_of(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-
-
-def python_symbols(files: DataFrame) -> DataFrame:
-    """(path, line, kind, name, signature) of a Python file's top level; line from 0."""
-    lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("line", "text"))
-    f, c = r"^(?:async\s+)?def\s+(\w+)\s*\(([^)]*)\)", r"^class\s+(\w+)"
-    name, params, cls = F.regexp_extract("text", f, 1), F.regexp_extract("text", f, 2), F.regexp_extract("text", c, 1)
-    short = F.concat(F.substring(params, 1, 50), F.when(F.length(params) > 50, "...").otherwise(""))
-    s = lines.withColumns({"kind": F.when(name != "", "function").when(cls != "", "class"), "name": F.when(name != "", name).otherwise(cls)})
-    sig = F.when(F.col("kind") == "function", F.concat(F.lit("def "), "name", F.lit("("), short, F.lit("):"))).otherwise(F.concat(F.lit("class "), "name", F.lit(":")))
-    return s.where("kind IS NOT NULL").select("path", "line", "kind", "name", sig.alias("signature"))
-
-
-def python_imports(files: DataFrame) -> DataFrame:
-    """(path, module) that a file imports."""
-    lines = files.select("path", F.explode(F.split("content", "\n")).alias("text"))
-    module = F.regexp_extract("text", r"^(?:from\s+(\S+)\s+import\s|import\s+(\S+))", 1)
-    plain = F.regexp_extract("text", r"^import\s+(\S+)", 1)
-    return lines.select("path", F.when(module != "", module).otherwise(plain).alias("module")).where("module <> ''").distinct()
-
-
-def resolved_imports(imports: DataFrame, paths: DataFrame) -> DataFrame:
-    """(src, dst): imports of dotted modules by the longest prefix that is a file; prefixes are exploded and joined by equality."""
-    files = paths.select(F.col("path").alias("dst"), F.replace(F.regexp_replace("path", r"(/__init__)?\.py$", ""), F.lit("/"), F.lit(".")).alias("key")).distinct()
-    parts = F.split("module", r"\.")
-    keys = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "."))
-    found = imports.select(F.col("path").alias("src"), "module", F.explode(keys).alias("key")).join(files, "key")
-    return found.groupBy("src", "module").agg(F.max_by("dst", F.length("key")).alias("dst")).where("src <> dst").select("src", "dst").distinct()
-
-
-def references(text: Column) -> Column:
-    """The names that a file calls, extends or takes as bases, without generic ones, sorted."""
-    calls = all_of(text, r"(?:\b|\.)([A-Za-z_][A-Za-z0-9_]{2,})\s*\(")
-    kin = all_of(text, r"\b(?:extends|implements|with)\s+([A-Za-z_][A-Za-z0-9_]{2,})")
-    bases = F.flatten(F.transform(all_of(text, r"(?m)^\s*class\s+\w+\s*\(([^)]+)\)\s*:"), lambda b: all_of(b, r"\b([A-Za-z_][A-Za-z0-9_]{2,})\b")))
-    return F.array_sort(F.filter(F.array_distinct(F.concat(calls, kin, bases)), lambda n: ~n.isin(GENERIC_NAMES)))
-
 
 def summary_line(text: Column) -> Column:
     """The first comment or docstring of the first ten lines, up to 100 characters."""

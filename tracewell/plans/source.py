@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import code as C
 from ..functions import source as S
 from ..operators.learning import top_n
 from .registry import query
 from .views import ctes, view
 
-GENERIC = ", ".join(f"'{n}'" for n in S.GENERIC_NAMES)
+GENERIC = ", ".join(f"'{n}'" for n in C.GENERIC_NAMES)
 
 
 def code(spark, d):
-    return view(spark, d, "code")
+    return view(spark, d, "code").withColumn("language", F.lit("python"))
+
+
+def sources(spark, d):
+    return view(spark, d, "sources")
 
 
 def md(spark, d):
@@ -23,18 +28,17 @@ def md(spark, d):
 @query("source_symbols", ctes("code") + r""", l AS (SELECT path, unnest(string_split(content, chr(10))) AS text, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS line FROM code), s AS (SELECT path, CAST(line AS INT) AS line, regexp_extract(text, '^(?:async\s+)?def\s+(\w+)\s*\(([^)]*)\)', 1) AS f, regexp_extract(text, '^(?:async\s+)?def\s+(\w+)\s*\(([^)]*)\)', 2) AS p, regexp_extract(text, '^class\s+(\w+)', 1) AS c FROM l)
 SELECT path, line, CASE WHEN f <> '' THEN 'function' ELSE 'class' END AS kind, CASE WHEN f <> '' THEN f ELSE c END AS name, CASE WHEN f <> '' THEN 'def ' || f || '(' || p || '):' ELSE 'class ' || c || ':' END AS signature FROM s WHERE f <> '' OR c <> ''""")
 def source_symbols(spark, d):
-    return S.python_symbols(code(spark, d))
+    return C.symbols(code(spark, d))
 
 
 @query("source_imports", ctes("code") + r""", l AS (SELECT path, unnest(string_split(content, chr(10))) AS text FROM code), m AS (SELECT DISTINCT path, CASE WHEN starts_with(text, 'from ') THEN regexp_extract(text, '^from\s+(\S+)', 1) ELSE regexp_extract(text, '^import\s+(\S+)', 1) END AS module FROM l WHERE starts_with(text, 'from ') OR starts_with(text, 'import ')) SELECT DISTINCT m.path AS src, c.path AS dst FROM m JOIN code c ON replace(regexp_replace(c.path, '\.py$', ''), '/', '.') = m.module WHERE m.path <> c.path""")
 def source_imports(spark, d):
-    c = code(spark, d)
-    return S.resolved_imports(S.python_imports(c), c)
+    return C.import_edges(code(spark, d))
 
 
 @query("source_references", ctes("code") + rf""", r AS (SELECT path, unnest(list_concat(regexp_extract_all(content, '(?:\b|\.)([A-Za-z_][A-Za-z0-9_]{{2,}})\s*\(', 1), regexp_extract_all(content, '(?m)^\s*class\s+\w+\s*\(([^)]+)\)\s*:', 1))) AS name FROM code) SELECT path, string_agg(DISTINCT name, ' ' ORDER BY name) AS names FROM r WHERE name NOT IN ({GENERIC}) GROUP BY path""")
 def source_references(spark, d):
-    return code(spark, d).select("path", F.array_join(S.references(F.col("content")), " ").alias("names"))
+    return code(spark, d).select("path", F.array_join(C.references(F.col("content")), " ").alias("names"))
 
 
 @query("source_summaries", ctes("code") + " SELECT path, CASE WHEN starts_with(content, '#') THEN substr(trim(regexp_replace(string_split(content, chr(10))[1], '^[/*#]+', '')), 1, 100) END AS summary FROM code")
@@ -47,11 +51,65 @@ def source_edges_by_definition(spark, d):
     from ..operators.graph import definers
 
     c = code(spark, d)
-    defs = S.python_symbols(c).where("kind = 'function'").select("path", "name")
-    refs = c.select("path", F.explode(S.all_of(F.col("content"), r"(?:\b|\.)([A-Za-z_][A-Za-z0-9_]{2,})\s*\(")).alias("name")).distinct()
+    defs = C.symbols(c).where("kind = 'function'").select("path", "name")
+    refs = c.select("path", F.explode(C.all_of(F.col("content"), r"(?:\b|\.)([A-Za-z_][A-Za-z0-9_]{2,})\s*\(")).alias("name")).distinct()
     return definers(defs, refs)
 
 
+LINES = "ln AS (SELECT path, language, unnest(string_split(content, chr(10))) AS text, CAST(generate_subscripts(string_split(content, chr(10)), 1) - 1 AS INT) AS line FROM sources)"
+SYMBOLS = LINES + r""", sy AS (
+SELECT path, line, 'function' AS kind, regexp_extract(text, 'def (\w+)', 1) AS name, 'def ' || regexp_extract(text, 'def (\w+)', 1) || '(' || substr(regexp_extract(text, '\((.*)\)', 1), 1, 50) || CASE WHEN length(regexp_extract(text, '\((.*)\)', 1)) > 50 THEN '...' ELSE '' END || '):' AS signature FROM ln WHERE language = 'python' AND regexp_matches(text, '^(async )?def ')
+UNION ALL SELECT path, line, 'class', regexp_extract(text, '^class (\w+)', 1), 'class ' || regexp_extract(text, '^class (\w+)', 1) || ':' FROM ln WHERE language = 'python' AND starts_with(text, 'class ')
+UNION ALL SELECT path, line, 'function', regexp_extract(text, 'function (\w+)', 1), 'function ' || regexp_extract(text, 'function (\w+)', 1) || '()' FROM ln WHERE language = 'typescript' AND contains(text, 'function ')
+UNION ALL SELECT path, line, 'function', regexp_extract(text, 'const (\w+)', 1), 'const ' || regexp_extract(text, 'const (\w+)', 1) || ' = () =>' FROM ln WHERE language = 'typescript' AND starts_with(text, 'const ')
+UNION ALL SELECT path, line, 'class', regexp_extract(text, 'class (\w+)', 1), 'class ' || regexp_extract(text, 'class (\w+)', 1) FROM ln WHERE language IN ('javascript', 'dart') AND contains(text, 'class ')
+UNION ALL SELECT path, line, 'struct', regexp_extract(text, '^type (\w+)', 1), 'type ' || regexp_extract(text, '^type (\w+)', 1) || ' struct' FROM ln WHERE language = 'go' AND starts_with(text, 'type ')
+UNION ALL SELECT path, line, 'function', regexp_extract(text, '(Run_\d+)', 1), 'func ' || regexp_extract(text, '(Run_\d+)', 1) || '()' FROM ln WHERE language = 'go' AND starts_with(text, 'func ')
+UNION ALL SELECT path, line, 'function', regexp_extract(text, '(load_\d+)', 1), regexp_extract(text, '(load_\d+)', 1) || '()' FROM ln WHERE language = 'dart' AND contains(text, 'Future<'))"""
+EDGES = """gd AS (SELECT regexp_extract(path, '^(.*)/', 1) AS folder, path, row_number() OVER (PARTITION BY regexp_extract(path, '^(.*)/', 1) ORDER BY path) AS n FROM sources WHERE language = 'go'),
+ie AS (SELECT a.path AS src, b.path AS dst FROM sources a JOIN sources b ON b.doc_id = a.t WHERE a.language <> 'go' AND a.t <> a.doc_id UNION SELECT a.path, g.path FROM sources a JOIN gd g ON g.folder = 'pkg' || CAST(a.t % 9 AS VARCHAR) AND n <= 5 WHERE a.language = 'go' AND a.path <> g.path)"""
+NAMED = rf"""rn AS (SELECT DISTINCT path, unnest(list_concat(list_concat(regexp_extract_all(content, '(?:\b|\.)([A-Za-z_][A-Za-z0-9_]{{2,}})\s*\(', 1), regexp_extract_all(content, '\bextends\s+(\w+)', 1)), list_concat(list_concat(string_split(regexp_extract(content, 'use\(([^)]*)\)', 1), ', '), string_split(regexp_extract(content, 'preHandler: \[([^]]*)\]', 1), ', ')), regexp_extract_all(content, '(?m)^class \w+\((\w+)\)', 1)))) AS name FROM sources), rf AS (SELECT path, name FROM rn WHERE name <> '' AND name NOT IN ({GENERIC}))"""
+STRUCTURE = "df AS (SELECT name FROM sy GROUP BY name HAVING count(DISTINCT path) <= 4), se AS (SELECT src, dst FROM ie UNION SELECT rf.path, sy.path FROM rf JOIN sy USING (name) WHERE name IN (SELECT name FROM df) AND rf.path <> sy.path)"
+
+
+@query("source_symbols_by_language", ctes("sources") + f", {SYMBOLS} SELECT * FROM sy")
+def source_symbols_by_language(spark, d):
+    return C.symbols(sources(spark, d))
+
+
+@query("source_import_edges", ctes("sources") + f", {EDGES} SELECT src, dst FROM ie")
+def source_import_edges(spark, d):
+    return C.import_edges(sources(spark, d))
+
+
+@query("source_references_by_language", ctes("sources") + f", {NAMED} SELECT path, coalesce(string_agg(name, ' ' ORDER BY name) FILTER (name IN (SELECT name FROM rf)), '') AS names FROM (SELECT path, name FROM rf UNION ALL SELECT path, NULL FROM sources) AS x GROUP BY path")
+def source_references_by_language(spark, d):
+    return sources(spark, d).select("path", F.array_join(C.references(F.col("content"), F.col("language")), " ").alias("names"))
+
+
+@query("source_structural_edges", ctes("sources") + f", {SYMBOLS}, {EDGES}, {NAMED}, {STRUCTURE} SELECT src, dst FROM se")
+def source_structural_edges(spark, d):
+    return C.structural_edges(sources(spark, d))
+
+
+@query("source_files_by_language", ctes("sources") + ", f AS (SELECT CASE WHEN doc_id % 7 = 0 THEN 'x/node_modules/' || path ELSE path END AS path, language FROM sources) SELECT language, count(*) AS n FROM f WHERE NOT contains(path, 'node_modules/') GROUP BY language")
+def source_files_by_language(spark, d):
+    """Source files by language, without those of folders that are skipped."""
+    path = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("x/node_modules/"), "path")).otherwise(F.col("path"))
+    f = sources(spark, d).select(path.alias("path")).where(~C.in_folders(F.col("path"), C.SKIPPED))
+    return f.groupBy(C.language(F.col("path")).alias("language")).agg(F.count("*").alias("n")).where("language IS NOT NULL")
+
+
+@query("source_scores", ctes("sources") + f""", {SYMBOLS}, {EDGES}, {NAMED}, {STRUCTURE}, q AS (SELECT 'why does run_25 fail beside box and file_30' AS q), nb AS (SELECT dst AS path FROM se WHERE src = 'pkg7/file_25.py' UNION SELECT src FROM se WHERE dst = 'pkg7/file_25.py'),
+ps AS (SELECT path, sum(3 * CAST(contains(q, lower(name)) AS INT) + len(list_filter(list_concat(string_split(lower(name), '_'), regexp_extract_all(name, '[A-Z][a-z]+')), lambda x: contains(q, lower(x))))) AS n FROM sy, q GROUP BY path)
+SELECT s.path, round(0.1::DOUBLE + CASE WHEN s.path = 'pkg7/file_25.py' THEN 10 WHEN nb.path IS NOT NULL THEN 4 ELSE 0 END + CASE WHEN contains(q, regexp_extract(s.path, '(file_\\d+)', 1)) THEN 5 ELSE 0 END + coalesce(n, 0), 6) AS score FROM sources s CROSS JOIN q LEFT JOIN nb ON nb.path = s.path LEFT JOIN ps ON ps.path = s.path""")
+def source_scores(spark, d):
+    """Files by their worth for a query with one active file; no ranks."""
+    s = sources(spark, d)
+    ranks = s.select("path").limit(0).withColumn("rank", F.lit(0.0))
+    return C.file_scores(s, ranks, C.structural_edges(s), ["./pkg7/file_25.py"], "Why does run_25 fail beside box and file_30")
+
+
 @query("notes_relationships", ctes("pages_md") + r""", r AS (SELECT path, content, list_sort(list_distinct(list_concat(regexp_extract_all(content, '`([a-zA-Z0-9_/.-]+\.[a-zA-Z]+)`', 1), regexp_extract_all(content, '\*\*Location\*\*:\s*`([^`]+)`', 1)))) AS f FROM pages_md) SELECT path, array_to_string(f, ' ') AS describes, array_to_string(list_filter(regexp_split_to_array(regexp_extract(content, '## (?:Auto-Generated )?Keywords?\s*\n([^\n#]+)', 1), '[,\s]+'), lambda w: w <> ''), ' ') AS keywords FROM r""")
 def notes_relationships(spark, d):
     c = F.col("content")

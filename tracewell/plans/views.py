@@ -60,6 +60,16 @@ SELECT doc_id, 'pkg' || CAST(doc_id % 9 AS STRING) || '/file_' || CAST(doc_id AS
   CASE WHEN doc_id % 4 = 0 THEN '' ELSE '# about ' || source || chr(10) END || 'from pkg' || CAST((doc_id - doc_id % 10) % 9 AS STRING) || '.file_' || CAST(doc_id - doc_id % 10 AS STRING) || ' import run_' || CAST(doc_id % 10 AS STRING) || chr(10) || 'import os' || chr(10)
   || 'class Box' || CAST(doc_id % 13 AS STRING) || '(Base' || CAST(doc_id % 3 AS STRING) || '):' || chr(10) || '    pass' || chr(10) || 'def run_' || CAST(doc_id % 10 AS STRING) || '(a, b):' || chr(10) || '    return job_' || CAST(doc_id - doc_id % 10 AS STRING) || '(a)' || chr(10) || 'async def job_' || CAST(doc_id AS STRING) || '():' || chr(10) || '    print(1)' || chr(10) AS content
 FROM {documents}""",
+    # source files of five languages, which import, call and define
+    "sources": """
+SELECT doc_id, path, language, CASE language
+  WHEN 'python' THEN 'from ..pkg' || CAST(t % 9 AS STRING) || '.file_' || CAST(t AS STRING) || ' import run' || chr(10) || 'import os.path' || chr(10) || 'class Box_' || CAST(doc_id AS STRING) || '(Base_' || CAST(t AS STRING) || '):' || chr(10) || 'async def run_' || CAST(doc_id AS STRING) || '(first_parameter, second_parameter, third_parameter, more):' || chr(10) || '    return run_' || CAST(t AS STRING) || '(len(1))'
+  WHEN 'typescript' THEN 'import x from ' || chr(39) || '../pkg' || CAST(t % 9 AS STRING) || '/file_' || CAST(t AS STRING) || '.js' || chr(39) || chr(10) || 'export async function run_' || CAST(doc_id AS STRING) || '(a)' || chr(10) || 'const arrow_' || CAST(doc_id AS STRING) || ' = async (a) => 1' || chr(10) || 'app.use(requireAuth, run_' || CAST(t AS STRING) || ')' || chr(10) || 'preHandler: [verifyJwt, Map]'
+  WHEN 'javascript' THEN 'import React from "react"' || chr(10) || 'export * from "../pkg' || CAST(t % 9 AS STRING) || '/file_' || CAST(t AS STRING) || '"' || chr(10) || 'export class Js_' || CAST(doc_id AS STRING) || ' extends Js_' || CAST(t AS STRING)
+  WHEN 'go' THEN 'import (' || chr(10) || '  "fmt"' || chr(10) || '  "example.org/x/pkg' || CAST(t % 9 AS STRING) || '"' || chr(10) || ')' || chr(10) || 'type T_' || CAST(doc_id AS STRING) || ' struct' || chr(10) || 'func (s *S) Run_' || CAST(doc_id AS STRING) || '()'
+  ELSE 'import ' || chr(39) || 'package:app/svc/file_' || CAST(t AS STRING) || '.dart' || chr(39) || ';' || chr(10) || 'import ' || chr(39) || 'dart:io' || chr(39) || ';' || chr(10) || 'abstract class W_' || CAST(doc_id AS STRING) || '' || chr(10) || '  Future<int> load_' || CAST(doc_id AS STRING) || '()' || chr(10) || '  void print(int a)' END AS content, t
+FROM (SELECT doc_id, (doc_id - 5 * (CAST(floor(doc_id / 5) AS BIGINT) % 3)) AS t, CASE doc_id % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'javascript' WHEN 3 THEN 'go' ELSE 'dart' END AS language,
+  CASE WHEN doc_id % 5 = 4 THEN 'apps/a' || CAST(doc_id % 3 AS STRING) || '/lib/svc' ELSE 'pkg' || CAST(doc_id % 9 AS STRING) END || '/file_' || CAST(doc_id AS STRING) || CASE doc_id % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' WHEN 2 THEN '.js' WHEN 3 THEN '.go' ELSE '.dart' END AS path FROM {documents}) AS s""",
     # a page of notes for each document
     "pages_md": """
 SELECT doc_id, source || '/my-note_' || CAST(doc_id AS STRING) || '.md' AS path,
