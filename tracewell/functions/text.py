@@ -84,10 +84,19 @@ def is_continuation(prompt: Column) -> Column:
     return (F.length(bare) <= 60) & ((F.size(found) == 0) | (known / F.size(found) >= 0.5))
 
 
-def task_type(text: Column) -> Column:
-    """The kind of task with the most of its words in the text; exploration without any."""
+def task_type(text: Column, files: Column | None = None) -> Column:
+    """The kind of task with the most of its words in the text; exploration without any. Files of settings count 2 for config, files of tests 1 for review, which comes last of equal ones if it has no word."""
     low = F.lower(text)
-    counts = [F.struct(sum((F.regexp_like(low, F.lit(rf"\b{w}\b")).cast("int") for w in ws), F.lit(0)).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, ws) in enumerate(W.TASK_WORDS.items())]
+    files = F.array().cast("array<string>") if files is None else F.coalesce(files, F.array().cast("array<string>"))
+    name_of = lambda f: F.element_at(F.split(f, "/"), -1)
+    settings = F.exists(files, lambda f: F.regexp_like(name_of(f), F.lit(r".\.(json|yaml|yml)$"))).cast("int") * 2
+    tests = F.exists(files, lambda f: F.contains(name_of(f), F.lit(".test.")) | F.contains(name_of(f), F.lit("_test."))).cast("int")
+    counts = []
+    for k, (name, ws) in enumerate(W.TASK_WORDS.items()):
+        n = sum((F.regexp_like(low, F.lit(rf"\b{w}\b")).cast("int") for w in ws), F.lit(0))
+        place = F.when(n == 0, -len(W.TASK_WORDS)).otherwise(-k) if name == "review" else F.lit(-k)
+        more = settings if name == "config" else tests if name == "review" else F.lit(0)
+        counts.append(F.struct((n + more).alias("n"), place.alias("k"), F.lit(name).alias("name")))
     best = F.greatest(*counts)
     return F.when(best["n"] > 0, best["name"]).otherwise("exploration")
 

@@ -26,6 +26,76 @@ def read_cost(reads: DataFrame, describes: DataFrame, injected: DataFrame, edite
     return per.select("turn_id", "path", kind.alias("kind"))
 
 
+GRAM = 4
+
+
+def contained(texts: DataFrame, needles: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, text, needle): texts that contain a needle, within rows of equal `by` where given. Empty and null needles are in none.
+
+    Instead of comparing all pairs, each needle is looked up by the one of its pieces of four characters (a shorter needle is a piece itself) that the fewest texts have.
+    """
+    by = by or []
+    t, n = texts.select(*by, "text").where("text IS NOT NULL").distinct(), needles.select(*by, "needle").where("length(needle) > 0").distinct()
+    pieces = lambda c, k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))), lambda i: F.substring(c, i, k))
+    have = t.select(*by, "text", F.explode(F.array_distinct(F.flatten(F.array(*[pieces(F.col("text"), F.lit(k)) for k in range(1, GRAM + 1)])))).alias("gram"))
+    sizes = have.groupBy(*by, "gram").agg(F.count("*").alias("n"))
+    want = n.select(*by, "needle", F.explode(F.array_distinct(pieces(F.col("needle"), F.least(F.length("needle"), F.lit(GRAM))))).alias("gram"))
+    rare = want.join(sizes, [*by, "gram"], "left").groupBy(*by, "needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    return rare.join(have, [*by, "gram"]).where(F.contains("text", F.col("needle"))).select(*by, "text", "needle")
+
+
+def slashed(path: Column) -> Column:
+    return F.replace(F.lower(path), F.lit("\\"), F.lit("/"))
+
+
+def describing_docs(paths: DataFrame, describes: DataFrame) -> DataFrame:
+    """(path, doc): documents with a described file that a path contains. paths: path; describes: doc, described."""
+    p = paths.select("path", slashed(F.col("path")).alias("text")).distinct()
+    d = describes.select("doc", F.lower("described").alias("needle")).distinct()
+    return contained(p, d).join(p, "text").join(d, "needle").select("path", "doc").distinct()
+
+
+def inferred_usage(calls: DataFrame, describes: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(turn_id, doc): documents that a turn used, since a call's target contains a file they describe or its pattern one of their keywords.
+
+    calls: turn_id, target, pattern; describes: doc, described; keywords: doc, keyword.
+    """
+    by_target = calls.select("turn_id", F.col("target").alias("path")).distinct().join(describing_docs(calls.select(F.col("target").alias("path")), describes), "path")
+    words = keywords.select("doc", F.lower("keyword").alias("needle")).distinct()
+    said = calls.select("turn_id", F.lower("pattern").alias("text")).distinct()
+    by_word = contained(said, words).join(said, "text").join(words, "needle")
+    return by_target.select("turn_id", "doc").unionByName(by_word.select("turn_id", "doc")).distinct()
+
+
+def used_documents(injected: DataFrame, calls: DataFrame) -> DataFrame:
+    """Injected documents (turn_id, doc) whose path, or a part of its stem of over three characters, is in a target of the turn."""
+    low = F.lower("doc")
+    parts = F.filter(F.split(F.translate(T.stem(low), "-_", "  "), r"\s+"), lambda x: F.length(x) > 3)
+    keys = injected.select("turn_id", "doc", F.explode(F.array_distinct(F.concat(F.array(low), parts))).alias("needle")).distinct()
+    hits = contained(calls.select("turn_id", slashed(F.col("target")).alias("text")), keys, ["turn_id"]).select("turn_id", "needle").distinct()
+    return keys.join(hits, ["turn_id", "needle"]).select("turn_id", "doc").distinct()
+
+
+def matched_predictions(predicted: Column, actual: Column) -> Column:
+    """(hits, matched): predicted paths that stand for an actual one, and how many of these are taken.
+
+    Each predicted path, in order of its text, takes an equal path, else the first free one that one of the two ends with the other of, else the first free one of the same name. An equal path counts even if it was taken before. A turn's paths are few, so that both lists are arrays.
+    """
+    p, a = F.array_sort(F.array_distinct(predicted)), F.array_sort(F.array_distinct(actual))
+    name = lambda x: F.lower(F.element_at(F.split(x, "/"), -1))
+
+    def step(state, x):
+        free = F.filter(a, lambda y: ~F.array_contains(state["taken"], y))
+        ends = F.try_element_at(F.filter(free, lambda y: F.endswith(y, x) | F.endswith(x, y)), F.lit(1))
+        named = F.try_element_at(F.filter(free, lambda y: name(y) == name(x)), F.lit(1))
+        hit = F.when(F.array_contains(a, x), x).otherwise(F.coalesce(ends, named))
+        taken = F.when(hit.isNull(), state["taken"]).otherwise(F.array_union(state["taken"], F.array(hit)))
+        return F.struct((state["hits"] + hit.isNotNull().cast("int")).alias("hits"), taken.alias("taken"))
+
+    start = F.struct(F.lit(0).alias("hits"), F.array().cast("array<string>").alias("taken"))
+    return F.aggregate(p, start, step, lambda s: F.struct(s["hits"].alias("hits"), F.size(s["taken"]).alias("matched")))
+
+
 def references_to_paths(refs: DataFrame, paths: DataFrame) -> DataFrame:
     """(key, path): references that name a path's basename, or its stem with any number of directories. Suffixes of a path are exploded, so that both are equi-joins."""
     p = paths.select("path").distinct()

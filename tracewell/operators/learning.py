@@ -1,6 +1,6 @@
 """Models learned from turns: affinities, co-activation, rhythms, n-grams, usefulness.
 
-Pairs of a basket are formed by a self-join on the basket; a basket's size is bounded by the caller (the top files of a turn), so pairs grow with baskets.
+Pairs of a basket are formed by a self-join on the basket; a basket is bounded (the top files of a turn, the paths of a commit of usual size), so pairs grow with baskets.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ def pairs(items: DataFrame, basket: list[str], item: str = "path") -> DataFrame:
     return left.join(right, basket).where("a < b").groupBy(*keys, "a", "b").agg(F.count("*").alias("shared"))
 
 
-def coactivation(items: DataFrame, basket: list[str], item: str = "path", least: float = 0.25, shared: int = 3) -> DataFrame:
-    """Symmetric edges (src, dst, weight) of items whose baskets overlap: Jaccard at least `least`, at least `shared` baskets in common."""
+def coactivation(items: DataFrame, basket: list[str], order: str, item: str = "path", most: int = 6, least: float = 0.25, shared: int = 3) -> DataFrame:
+    """Symmetric edges (src, dst, weight) of items whose baskets overlap: Jaccard at least `least`, at least `shared` baskets in common. Of a basket its first `most` items by `order` count, of equal ones the lower."""
+    items = top_n(items.groupBy(*basket, item).agg(F.min(order).alias("_at")), basket, [F.asc("_at"), F.asc(item)], most)
     keys = [c for c in basket if c != "turn_id"]
     sizes = items.select(*basket, item).distinct().groupBy(*keys, item).agg(F.count("*").alias("n"))
     p = pairs(items, basket, item).where(F.col("shared") >= shared)

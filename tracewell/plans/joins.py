@@ -50,6 +50,37 @@ def join_read_cost(spark, d):
     return J.read_cost(pick("tool = 'Read'", t, p), pick("k % 4 <> 0", (F.col("k") % 5).alias("doc"), p), pick("tool = 'Bash' AND k % 2 = 0", t, (F.col("k") % 5).alias("doc")), pick("tool = 'Edit'", t, p))
 
 
+@query("join_describing_docs", ctes("accesses") + ", p AS (SELECT DISTINCT path FROM accesses), ds AS (SELECT DISTINCT k % 5 AS doc, CASE WHEN k % 4 = 1 THEN 'File_' || CAST(k AS VARCHAR) || '.py' ELSE 'mod' || CAST(k % 10 AS VARCHAR) || '/file_' || CAST(k AS VARCHAR) END AS described FROM accesses WHERE k % 4 <> 0) SELECT DISTINCT path, doc FROM p JOIN ds ON contains(lower(path), lower(described))")
+def join_describing_docs(spark, d):
+    return J.describing_docs(accesses(spark, d), described(spark, d))
+
+
+def described(spark, d):
+    return accesses(spark, d).where("k % 4 <> 0").selectExpr("k % 5 AS doc", "CASE WHEN k % 4 = 1 THEN 'File_' || k || '.py' ELSE 'mod' || (k % 10) || '/file_' || k END AS described").distinct()
+
+
+@query("join_inferred_usage", ctes("accesses") + ", c AS (SELECT DISTINCT user_id AS turn_id, CASE WHEN tool = 'Bash' THEN '' ELSE path END AS target, CASE WHEN tool = 'Bash' THEN 'Find Key' || CAST(k % 30 AS VARCHAR) || ' now' END AS pattern FROM accesses), ds AS (SELECT DISTINCT k % 5 AS doc, CASE WHEN k % 4 = 1 THEN 'File_' || CAST(k AS VARCHAR) || '.py' ELSE 'mod' || CAST(k % 10 AS VARCHAR) || '/file_' || CAST(k AS VARCHAR) END AS described FROM accesses WHERE k % 4 <> 0), kw AS (SELECT DISTINCT 100 + k AS doc, 'key' || CAST(k AS VARCHAR) AS keyword FROM accesses WHERE k < 12) SELECT DISTINCT turn_id, doc FROM c JOIN ds ON contains(lower(target), lower(described)) UNION SELECT turn_id, doc FROM c JOIN kw ON contains(lower(pattern), keyword)")
+def join_inferred_usage(spark, d):
+    a = accesses(spark, d)
+    c = a.selectExpr("user_id AS turn_id", "CASE WHEN tool = 'Bash' THEN '' ELSE path END AS target", "CASE WHEN tool = 'Bash' THEN 'Find Key' || (k % 30) || ' now' END AS pattern").distinct()
+    return J.inferred_usage(c, described(spark, d), a.where("k < 12").selectExpr("100 + k AS doc", "'key' || k AS keyword").distinct())
+
+
+@query("join_used_documents", ctes("accesses") + ", i AS (SELECT DISTINCT user_id AS turn_id, 'docs/Mod' || CAST(k % 20 AS VARCHAR) || '-a_xyz.md' AS doc FROM accesses WHERE k % 2 = 0), t AS (SELECT DISTINCT user_id AS turn_id, lower(path) AS target FROM accesses WHERE tool = 'Read') SELECT DISTINCT i.turn_id, doc FROM i JOIN t ON t.turn_id = i.turn_id AND (contains(target, lower(doc)) OR contains(target, regexp_extract(lower(doc), '(mod[0-9]+)', 1)))")
+def join_used_documents(spark, d):
+    a = accesses(spark, d)
+    return J.used_documents(a.where("k % 2 = 0").selectExpr("user_id AS turn_id", "'docs/Mod' || (k % 20) || '-a_xyz.md' AS doc"), a.where("tool = 'Read'").selectExpr("user_id AS turn_id", "path AS target"))
+
+
+@query("join_matched_predictions", ctes("accesses").replace("WITH ", "WITH RECURSIVE ", 1) + r""", b AS (SELECT user_id || '-' || CAST(turn % 40 AS VARCHAR) AS id, list(DISTINCT CASE k % 3 WHEN 0 THEN path WHEN 1 THEN 'file_' || CAST(k AS VARCHAR) || '.md' ELSE 'other/file_' || CAST(k AS VARCHAR) || '.ts' END ORDER BY CASE k % 3 WHEN 0 THEN path WHEN 1 THEN 'file_' || CAST(k AS VARCHAR) || '.md' ELSE 'other/file_' || CAST(k AS VARCHAR) || '.ts' END) FILTER (tool <> 'Edit') AS p, list(DISTINCT path ORDER BY path) FILTER (tool <> 'Bash') AS a FROM accesses GROUP BY 1),
+w AS (SELECT id, coalesce(p, []::VARCHAR[]) AS p, coalesce(a, []::VARCHAR[]) AS a FROM b), r AS (SELECT id, 0 AS i, p, a, 0 AS hits, []::VARCHAR[] AS taken FROM w UNION ALL SELECT id, i + 1, p, a, hits + CAST(h IS NOT NULL AS INT), CASE WHEN h IS NULL OR list_contains(taken, h) THEN taken ELSE list_append(taken, h) END FROM (SELECT *, CASE WHEN list_contains(a, p[i + 1]) THEN p[i + 1] ELSE coalesce(list_filter(a, lambda y: NOT list_contains(taken, y) AND (ends_with(y, p[i + 1]) OR ends_with(p[i + 1], y)))[1], list_filter(a, lambda y: NOT list_contains(taken, y) AND lower(string_split(y, '/')[-1]) = lower(string_split(p[i + 1], '/')[-1]))[1]) END AS h FROM r WHERE i < len(p)))
+SELECT id, hits, CAST(len(taken) AS INT) AS matched FROM r WHERE i = len(p)""")
+def join_matched_predictions(spark, d):
+    a = accesses(spark, d).withColumn("said", F.expr("CASE k % 3 WHEN 0 THEN path WHEN 1 THEN 'file_' || k || '.md' ELSE 'other/file_' || k || '.ts' END"))
+    g = a.groupBy(F.concat_ws("-", "user_id", F.col("turn") % 40).alias("id")).agg(F.collect_set(F.when(F.col("tool") != "Edit", F.col("said"))).alias("p"), F.collect_set(F.when(F.col("tool") != "Bash", F.col("path"))).alias("a"))
+    return g.select("id", J.matched_predictions(F.col("p"), F.col("a")).alias("m")).select("id", "m.*")
+
+
 @query("join_references_to_paths", ctes("accesses") + r""", p AS (SELECT DISTINCT path FROM accesses), r AS (SELECT DISTINCT k AS id, CASE k % 3 WHEN 0 THEN 'file_' || CAST(k AS VARCHAR) || '.py' WHEN 1 THEN 'mod' || CAST(k % 10 AS VARCHAR) || '/file_' || CAST(k AS VARCHAR) ELSE 'File_' || CAST(k AS VARCHAR) END AS ref FROM accesses),
 n AS (SELECT id, lower(ref) AS ref, regexp_replace(lower(ref), '\.[^./]*$', '') AS stem, string_split(lower(ref), '/')[-1] AS base FROM r), q AS (SELECT path, regexp_replace(path, '\.[^./]*$', '') AS stem, string_split(path, '/')[-1] AS base FROM p)
 SELECT DISTINCT id, path FROM n JOIN q ON q.base = n.base OR q.stem = n.stem OR ends_with(q.stem, '/' || n.stem) OR q.stem = n.base OR ends_with(q.stem, '/' || n.base)""")

@@ -10,6 +10,7 @@ from .registry import query
 from .text import INGEST, STOP, words_sql
 from .views import ctes, view
 
+TOPS = "baskets AS (SELECT * FROM injections QUALIFY row_number() OVER (PARTITION BY turn_id, project ORDER BY seen, path) <= 6)"
 PAIRS = "p AS (SELECT a.path AS a, b.path AS b, count(*) AS shared FROM baskets a JOIN baskets b ON a.turn_id = b.turn_id AND a.path < b.path GROUP BY 1, 2), n AS (SELECT path, count(*) AS n FROM baskets GROUP BY path), j AS (SELECT a, b, shared, shared / (x.n + y.n - shared) AS w FROM p JOIN n x ON x.path = a JOIN n y ON y.path = b WHERE shared >= 3)"
 WORDS = f"w AS (SELECT session_id || '/' || CAST(turn AS VARCHAR) AS turn_id, unnest({words_sql('prompt', STOP)}) AS word FROM prompts), u AS (SELECT session_id || '/' || CAST(turn AS VARCHAR) AS turn_id, 'doc_' || CAST(length(prompt) % 7 AS VARCHAR) AS path FROM prompts)"
 
@@ -18,6 +19,10 @@ def baskets(spark, d):
     return view(spark, d, "baskets")
 
 
+def injections(spark, d):
+    return view(spark, d, "injections")
+
+
 def accesses(spark, d):
     return view(spark, d, "accesses")
 
@@ -27,20 +32,20 @@ def turn_words(spark, d):
     return p.select("turn_id", F.explode(T.prompt_words(F.col("prompt"))).alias("word")), p.select("turn_id", F.concat(F.lit("doc_"), F.length("prompt") % 7).alias("path"))
 
 
-@query("learn_coactivation", ctes("baskets") + f", {PAIRS}, e AS (SELECT a, b, w FROM j WHERE w >= 0.25) SELECT a AS src, b AS dst, round(w, 9) AS weight FROM e UNION ALL SELECT b, a, round(w, 9) FROM e")
+@query("learn_coactivation", ctes("injections") + f", {TOPS}" + f", {PAIRS}, e AS (SELECT a, b, w FROM j WHERE w >= 0.25) SELECT a AS src, b AS dst, round(w, 9) AS weight FROM e UNION ALL SELECT b, a, round(w, 9) FROM e")
 def learn_coactivation(spark, d):
-    return L.coactivation(baskets(spark, d), ["turn_id"]).withColumn("weight", F.round("weight", 9))
+    return L.coactivation(injections(spark, d), ["turn_id"], "seen").withColumn("weight", F.round("weight", 9))
 
 
-@query("learn_coactivation_by_project", ctes("baskets") + ", p AS (SELECT a.project, a.path AS a, b.path AS b, count(*) AS shared FROM baskets a JOIN baskets b ON a.turn_id = b.turn_id AND a.project = b.project AND a.path < b.path GROUP BY 1, 2, 3), n AS (SELECT project, path, count(*) AS n FROM baskets GROUP BY 1, 2), e AS (SELECT p.project, a, b, shared / (x.n + y.n - shared) AS w FROM p JOIN n x ON x.path = a AND x.project = p.project JOIN n y ON y.path = b AND y.project = p.project WHERE shared >= 3) SELECT project, count(*) * 2 AS edges, round(sum(w) * 2, 6) AS weight FROM e WHERE w >= 0.25 GROUP BY project")
+@query("learn_coactivation_by_project", ctes("injections") + f", {TOPS}" + ", p AS (SELECT a.project, a.path AS a, b.path AS b, count(*) AS shared FROM baskets a JOIN baskets b ON a.turn_id = b.turn_id AND a.project = b.project AND a.path < b.path GROUP BY 1, 2, 3), n AS (SELECT project, path, count(*) AS n FROM baskets GROUP BY 1, 2), e AS (SELECT p.project, a, b, shared / (x.n + y.n - shared) AS w FROM p JOIN n x ON x.path = a AND x.project = p.project JOIN n y ON y.path = b AND y.project = p.project WHERE shared >= 3) SELECT project, count(*) * 2 AS edges, round(sum(w) * 2, 6) AS weight FROM e WHERE w >= 0.25 GROUP BY project")
 def learn_coactivation_by_project(spark, d):
-    return L.coactivation(baskets(spark, d), ["project", "turn_id"]).groupBy("project").agg(F.count("*").alias("edges"), F.round(F.sum("weight"), 6).alias("weight"))
+    return L.coactivation(injections(spark, d), ["project", "turn_id"], "seen").groupBy("project").agg(F.count("*").alias("edges"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
-@query("learn_global_coactivation", ctes("baskets") + ", p AS (SELECT a.project, a.path AS a, b.path AS b, count(*) AS shared FROM baskets a JOIN baskets b ON a.turn_id = b.turn_id AND a.project = b.project AND a.path < b.path GROUP BY 1, 2, 3), n AS (SELECT project, path, count(*) AS n FROM baskets GROUP BY 1, 2), e AS (SELECT p.project, a, b, shared / (x.n + y.n - shared) AS w FROM p JOIN n x ON x.path = a AND x.project = p.project JOIN n y ON y.path = b AND y.project = p.project WHERE shared >= 3), f AS (SELECT a, b FROM e WHERE w >= 0.25 UNION SELECT b, a FROM e WHERE w >= 0.25) SELECT a AS src, count(*) AS partners FROM f GROUP BY a")
+@query("learn_global_coactivation", ctes("injections") + f", {TOPS}" + ", p AS (SELECT a.project, a.path AS a, b.path AS b, count(*) AS shared FROM baskets a JOIN baskets b ON a.turn_id = b.turn_id AND a.project = b.project AND a.path < b.path GROUP BY 1, 2, 3), n AS (SELECT project, path, count(*) AS n FROM baskets GROUP BY 1, 2), e AS (SELECT p.project, a, b, shared / (x.n + y.n - shared) AS w FROM p JOIN n x ON x.path = a AND x.project = p.project JOIN n y ON y.path = b AND y.project = p.project WHERE shared >= 3), f AS (SELECT a, b FROM e WHERE w >= 0.25 UNION SELECT b, a FROM e WHERE w >= 0.25) SELECT a AS src, count(*) AS partners FROM f GROUP BY a")
 def learn_global_coactivation(spark, d):
     """The union of all projects' edges."""
-    return L.coactivation(baskets(spark, d), ["project", "turn_id"]).select("src", "dst").distinct().groupBy("src").agg(F.count("*").alias("partners"))
+    return L.coactivation(injections(spark, d), ["project", "turn_id"], "seen").select("src", "dst").distinct().groupBy("src").agg(F.count("*").alias("partners"))
 
 
 @query("learn_cochange", ctes("commits") + """, s AS (SELECT commit_idx FROM commits GROUP BY commit_idx HAVING count(*) BETWEEN 2 AND 15), k AS (SELECT * FROM commits SEMI JOIN s USING (commit_idx)), n AS (SELECT path, count(*) AS n FROM k GROUP BY path),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import caps as CP
 from ..functions import text as T
 from ..functions import words as W
 from .registry import query
@@ -104,11 +105,24 @@ def task_sql() -> str:
     return f"SELECT doc_id, CASE WHEN {top} = 0 THEN 'exploration' " + " ".join(f"WHEN n{k} = {top} THEN '{n}'" for k, n in enumerate(names)) + f" END AS task FROM (SELECT doc_id, {cols} FROM corpus)"
 
 
+def task_sums() -> str:
+    return ", ".join(" + ".join(rf"CAST(regexp_matches(lower(content), '\b{w}\b') AS INT)" for w in ws) + f" AS n_{n}" for n, ws in W.TASK_WORDS.items())
+
+
+TASK_ROWS = ", ".join("{" + f"'name': '{n}', 'n': n_{n}" + {"config": " + settings", "review": " + tests"}.get(n, "") + ", 'place': " + (f"CASE WHEN n_review = 0 THEN 99 ELSE {k} END" if n == "review" else str(k)) + "}" for k, n in enumerate(W.TASK_WORDS))
+
+
 @query("text_task_types", ctes("corpus") + " " + task_sql())
 def text_task_types(spark, d):
     return corpus(spark, d).select("doc_id", T.task_type(F.col("content")).alias("task"))
 
 
+@query("text_task_types_with_files", ctes("corpus") + r""", t AS (SELECT doc_id, {sums}, CASE doc_id % 4 WHEN 0 THEN 2 ELSE 0 END AS settings, CASE WHEN doc_id % 4 IN (1, 2) THEN 1 ELSE 0 END AS tests FROM corpus), u AS (SELECT doc_id, unnest([{rows}], recursive := true) FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, place) AS k FROM u) SELECT doc_id, CASE WHEN n = 0 THEN 'exploration' ELSE name END AS task FROM r WHERE k = 1""".format(sums=task_sums(), rows=TASK_ROWS))
+def text_task_types_with_files(spark, d):
+    files = F.expr("CASE doc_id % 4 WHEN 0 THEN array('a/x.yaml', 'b.py') WHEN 1 THEN array('a/x.test.ts') WHEN 2 THEN array('y_test.py', '.json') END")
+    return corpus(spark, d).select("doc_id", T.task_type(F.col("content"), files).alias("task"))
+
+
 @query("text_intents", ctes("corpus") + " SELECT doc_id, concat_ws(' ', " + ", ".join(rf"CASE WHEN regexp_matches(lower(content), '(^|[^\pL\pN_])(?:{'|'.join(ws.split(' '))})($|[^\pL\pN_])') THEN '{n}' END" for n, ws in W.INTENT_WORDS.items()) + ") AS intents FROM corpus")
 def text_intents(spark, d):
     return corpus(spark, d).select("doc_id", F.array_join(T.intents(F.col("content")), " ").alias("intents"))
@@ -159,3 +173,35 @@ def text_outlines(spark, d):
 def text_decay_rates(spark, d):
     p = F.expr("CASE doc_id % 4 WHEN 0 THEN 'systems/' WHEN 1 THEN 'docs/' WHEN 2 THEN 'integrations/' ELSE '' END || path")
     return corpus(spark, d).select(p.alias("path")).select("path", T.decay_rate(F.col("path")).alias("rate"))
+
+
+INPUTS = """ci AS (SELECT pos, session_id, k, CASE k % 9 WHEN 8 THEN 'Read' ELSE 'Bash' END AS tool, CASE k % 9 WHEN 0 THEN '{"command": "run ' || path || '"}' WHEN 1 THEN '{"command": "run", "run_in_background": true}' WHEN 2 THEN '{"command": "run # tracewell:full"}' WHEN 3 THEN '{"command": "trap x EXIT"}' WHEN 4 THEN '{"command": 7}' WHEN 5 THEN '[1]' WHEN 6 THEN '{"command": "  "}' WHEN 7 THEN '{"command": "strap", "note": "TraceWell:FULL", "run_in_background": false}' END AS input FROM accesses)"""
+
+
+def inputs(spark, d):
+    return accesses(spark, d).selectExpr("pos", "session_id", "k", "path", "CASE k % 9 WHEN 8 THEN 'Read' ELSE 'Bash' END AS tool", INPUTS[INPUTS.index("CASE k % 9 WHEN 0"):INPUTS.index(" AS input")] + " AS input")
+
+
+@query("text_cap_refusals", ctes("accesses") + f", {INPUTS} SELECT pos, CASE k % 9 WHEN 8 THEN 'not the Bash tool' WHEN 1 THEN 'background command' WHEN 2 THEN 'the caller asked for the full output' WHEN 3 THEN 'the command sets its own trap' WHEN 4 THEN 'no command' WHEN 5 THEN 'no tool input' WHEN 6 THEN 'no command' END AS reason, coalesce(contains(lower(input), 'tracewell:full'), false) AS forced FROM ci")
+def text_cap_refusals(spark, d):
+    return inputs(spark, d).select("pos", CP.cap_refusal(F.col("tool"), F.col("input")).alias("reason"), CP.is_forced(F.col("input")).alias("forced"))
+
+
+@query("text_cap_arms", ctes("accesses") + ", b AS (SELECT pos, CAST(('0x' || substr(sha256('tracewell-v1' || chr(31) || session_id || chr(31) || 'cap' || chr(31) || path), 1, 8))::BIGINT % 100 AS INT) AS bucket FROM accesses) SELECT pos, bucket, CASE WHEN bucket < 10 THEN 'held-out' ELSE 'cap' END AS arm FROM b")
+def text_cap_arms(spark, d):
+    return accesses(spark, d).select("pos", CP.cap_arm(F.col("session_id"), F.col("path")).alias("a")).select("pos", "a.*")
+
+
+@query("text_read_keys", ctes("accesses") + ", a AS (SELECT pos, 'X/' || path AS p, CASE WHEN k % 3 = 0 THEN k END AS o, CASE WHEN k % 2 = 0 THEN k * 2 END AS l, session_id, CASE k % 3 WHEN 0 THEN 'a' || CAST(k AS VARCHAR) WHEN 1 THEN '' END AS agent FROM accesses) SELECT pos, md5(lower(p) || CASE WHEN coalesce(o, 0) <> 0 OR coalesce(l, 0) <> 0 THEN chr(31) || CAST(coalesce(o, 0) AS VARCHAR) || '-' || CAST(coalesce(l, 0) AS VARCHAR) ELSE '' END) AS key_md5, session_id || CASE WHEN coalesce(agent, '') <> '' THEN '.agent-' || agent ELSE '' END AS ledger FROM a")
+def text_read_keys(spark, d):
+    a = accesses(spark, d).selectExpr("pos", "'X/' || path AS p", "CASE WHEN k % 3 = 0 THEN k END AS o", "CASE WHEN k % 2 = 0 THEN k * 2 END AS l", "session_id", "CASE k % 3 WHEN 0 THEN 'a' || k WHEN 1 THEN '' END AS agent")
+    return a.select("pos", F.md5(CP.read_key(F.col("p"), F.col("o"), F.col("l"))).alias("key_md5"), CP.ledger_id(F.col("session_id"), F.col("agent")).alias("ledger"))
+
+
+@query("text_response_tokens", "SELECT doc_id, CAST(floor(CASE doc_id % 5 WHEN 0 THEN length(text) WHEN 1 THEN length(text) + length(source) WHEN 2 THEN length(text) WHEN 3 THEN length(text) + length(lang) ELSE 0 END / 2.5) AS BIGINT) AS tokens FROM documents")
+def text_response_tokens(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    made = F.when(F.col("doc_id") % 5 == 0, F.to_json(F.array("text"))).when(F.col("doc_id") % 5 == 1, F.to_json(F.struct(F.col("source").alias("content"), F.col("text").alias("stdout"), F.lit(3).alias("text")))).when(F.col("doc_id") % 5 == 2, F.to_json(F.struct(F.struct(F.col("text").alias("content")).alias("file")))).when(F.col("doc_id") % 5 == 3, F.to_json(F.array(F.struct("text"), F.struct(F.col("lang").alias("text"))))).otherwise("17")
+    # a text by itself is what stands between the brackets of a list of one
+    alone = F.when(F.col("doc_id") % 5 == 0, F.regexp_replace(made, r"^\[|\]$", "")).otherwise(made)
+    return docs.select("doc_id", CP.response_tokens(alone).alias("tokens"))

@@ -32,6 +32,9 @@ FROM {{events}}""",
     # one turn for each user and week: files injected and used
     "baskets": f"""
 SELECT DISTINCT user_id AS turn_id, 'proj' || CAST(user_id % 3 AS STRING) AS project, 'file_' || CAST({K} AS STRING) AS path FROM {{events}}""",
+    # files of a turn in the order in which they were injected
+    "injections": f"""
+SELECT user_id AS turn_id, 'proj' || CAST(user_id % 3 AS STRING) AS project, 'file_' || CAST({K} % 12 AS STRING) AS path, min(event_id) AS seen FROM {{events}} GROUP BY 1, 2, 3""",
     "prompts": """
 SELECT conv_id AS session_id, turn, text AS prompt FROM {conversations} WHERE role = 'user'""",
     # turn records with what was injected and used
