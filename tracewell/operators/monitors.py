@@ -50,25 +50,29 @@ def signature(tool: Column, target: Column, old: Column, new: Column) -> Column:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """Of two signatures: 0 for other tools or targets; edits 1 for the same change, 0.3 for another one, 0.5 if only one is known; commands by the overlap of their names."""
+    """Of two signatures: 0 for other tools or targets; edits 1 for the same change, 0.3 for another one, 0.5 if only one is known; commands by the overlap of their names. What has fewer than four parts is equal or not."""
     x, y = F.split(a, r"\|"), F.split(b, r"\|")
-    at = lambda p, k: F.element_at(p, k)
+    at = lambda p, k: F.try_element_at(p, F.lit(k))
     same = (at(x, 1) == at(y, 1)) & (at(x, 2) == at(y, 2))
     known = lambda p: F.length(at(p, 3)) > 0
     edit = F.when(known(x) & known(y), F.when(at(x, 3) == at(y, 3), 1.0).otherwise(0.3)).when(~known(x) & ~known(y), 1.0).otherwise(0.5)
     names = lambda p: F.filter(F.split(at(p, 3), ":"), lambda n: n != "")
     command = F.when(~known(x) & ~known(y), 1.0).when(~known(x) | ~known(y), 0.0).otherwise(F.size(F.array_intersect(names(x), names(y))) / F.size(F.array_union(names(x), names(y))))
-    return F.when(~same, 0.0).when(at(x, 1) == "Bash", command).otherwise(edit)
+    short = (F.size(x) < 4) | (F.size(y) < 4)
+    return F.when(short, (a == b).cast("double")).when(~same, 0.0).when(at(x, 1) == "Bash", command).otherwise(edit)
 
 
-def loops(attempts: DataFrame, session: str = "session_id", order: str = "pos", last: int = 9, least: int = 3) -> DataFrame:
-    """Attempts at which the last nine of the file repeat one signature: three in a row, or three of them in all. Severity by the count: 3 notice, 5 warning, 7 critical."""
+def loops(attempts: DataFrame, session: str = "session_id", order: str = "pos", last: int = 9, least: int = 3, alike: float = 0.7) -> DataFrame:
+    """Attempts at which the last nine of the file repeat one signature: three in a row, or three of them in all, or three that are like the newest one. Severity by the count: 3 notice, 5 warning, 7 critical."""
     recent = F.collect_list("signature").over(upto([session, "path"], [order], last))
     a = attempts.withColumn("recent", recent)
     tail = F.slice("recent", -least, least)
     best = F.array_max(F.transform("recent", lambda s: F.size(F.filter("recent", lambda t: t == s))))
-    a = a.where(F.size("recent") >= least).withColumns({"in_a_row": F.size(F.array_distinct(tail)) == 1, "most": best})
-    a = a.where("in_a_row OR most >= 3").withColumn("count", F.when(F.col("in_a_row"), F.size("recent")).otherwise(F.col("most")))
+    newest = F.element_at("recent", -1)
+    like = F.size(F.filter("recent", lambda s: similarity(newest, s) >= alike))  # the newest one is like itself
+    a = a.where(F.size("recent") >= least).withColumns({"in_a_row": F.size(F.array_distinct(tail)) == 1, "most": best, "like": like})
+    a = a.where((F.col("in_a_row")) | (F.col("most") >= least) | (F.col("like") >= least))
+    a = a.withColumn("count", F.when(F.col("in_a_row"), F.size("recent")).when(F.col("most") >= least, F.col("most")).otherwise(F.col("like"))).drop("like")
     return a.withColumn("severity", F.when(F.col("count") >= 7, "CRITICAL").when(F.col("count") >= 5, "WARNING").otherwise("NOTICE"))
 
 

@@ -37,9 +37,10 @@ def statistics(post: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def bm25(post: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(q, doc, score, rank): the k best documents of each query (q, term). Only the lists of the queries' terms are scored."""
-    df, dl, total = statistics(post)
     terms = queries.select("q", "term").distinct()
     hit = post.join(terms.select("term").distinct(), "term", "left_semi")  # the lists of the queries' terms
+    _, dl, total = statistics(post)
+    df = hit.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     s = hit.join(df, "term").join(dl, "doc").crossJoin(F.broadcast(total)).select("term", "doc", (idf * tf).alias("s"))

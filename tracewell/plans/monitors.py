@@ -64,6 +64,13 @@ def monitor_loops(spark, d):
     return M.loops(attempts(spark, d)).select("pos", F.col("count").cast("long").alias("count"), "severity")
 
 
+@query("monitor_similar_loops", ctes("accesses") + ", sg AS (SELECT pos, user_id, k % 3 AS f, 'Bash|run|' || CASE k % 4 WHEN 0 THEN 'a:b:c' WHEN 1 THEN 'a:b:c:d' WHEN 2 THEN 'a:b:c:e' ELSE 'x' || CAST(pos AS VARCHAR) END || '|' AS s FROM accesses WHERE tool = 'Bash'), r AS (SELECT pos, list(s) OVER (PARTITION BY user_id, f ORDER BY pos ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) AS r FROM sg), n AS (SELECT pos, r, list_transform(r, lambda x: string_split(string_split(x, '|')[3], ':')) AS w FROM r WHERE len(r) >= 3), m AS (SELECT pos, len(r) AS n, len(list_distinct(r[-3:])) = 1 AS row3, list_max(list_transform(r, lambda s: len(list_filter(r, lambda t: t = s)))) AS most, len(list_filter(w, lambda x: len(list_intersect(x, w[-1])) / len(list_distinct(list_concat(x, w[-1]))) >= 0.7)) AS alike FROM n) SELECT pos, CASE WHEN row3 THEN n WHEN most >= 3 THEN most ELSE alike END AS count FROM m WHERE row3 OR most >= 3 OR alike >= 3")
+def monitor_similar_loops(spark, d):
+    """Loops of commands that name nearly the same things."""
+    a = accesses(spark, d).where("tool = 'Bash'").selectExpr("pos", "user_id AS session_id", "k % 3 AS path", "'Bash|run|' || CASE k % 4 WHEN 0 THEN 'a:b:c' WHEN 1 THEN 'a:b:c:d' WHEN 2 THEN 'a:b:c:e' ELSE 'x' || pos END || '|' AS signature")
+    return M.loops(a).select("pos", F.col("count").cast("long").alias("count"))
+
+
 @query("monitor_signatures", ctes("accesses") + r", s AS (SELECT DISTINCT tool, path, k FROM accesses WHERE tool IN ('Edit', 'Bash')) SELECT tool, path, CASE WHEN tool = 'Bash' THEN 'Bash|run|' || array_to_string(list_sort(list_distinct(regexp_extract_all('run ' || path, '\b[a-zA-Z_][a-zA-Z0-9_]*\b'))), ':') || '|' ELSE 'Edit|' || path || '|' || substr(sha256('old' || CAST(k AS VARCHAR) || '|||new'), 1, 8) || '|' END AS signature FROM s")
 def monitor_signatures(spark, d):
     s = accesses(spark, d).where("tool IN ('Edit', 'Bash')").select("tool", "path", "k").distinct()

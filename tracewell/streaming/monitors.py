@@ -83,6 +83,22 @@ def ledger_decisions(events: DataFrame, expire: bool = True) -> DataFrame:
 LOOP_OUT = "session_id string, pos long, file string, count int, severity string, stage string"
 
 
+def alike(a: str, b: str) -> float:
+    """The similarity of two signatures, as the window form has it."""
+    x, y = a.split("|"), b.split("|")
+    if min(len(x), len(y)) < 4:
+        return float(a == b)
+    if x[:2] != y[:2]:
+        return 0.0
+    p, q = x[2], y[2]
+    if x[0] != "Bash":
+        return 0.5 if bool(p) != bool(q) else 1.0 if p == q else 0.3
+    if not p or not q:
+        return float(p == q)
+    p, q = set(p.split(":")), set(q.split(":"))
+    return len(p & q) / len(p | q)
+
+
 def fold_loops(state: dict, rows: pd.DataFrame, last: int = 20, per_file: int = 9) -> list[tuple]:
     """The stages of a loop over turns in order. rows: pos, turn, file and signature (None for a turn without work).
 
@@ -112,7 +128,8 @@ def fold_loops(state: dict, rows: pd.DataFrame, last: int = 20, per_file: int =
             if len(sigs) < 3:
                 continue
             most = max(sigs.count(s) for s in sigs)
-            n = len(sigs) if len(set(sigs[-3:])) == 1 else most if most >= 3 else 0
+            like = sum(alike(sigs[-1], s) >= 0.7 for s in sigs)
+            n = len(sigs) if len(set(sigs[-3:])) == 1 else most if most >= 3 else like if like >= 3 else 0
             if n:
                 found = (f, n)
                 break
