@@ -50,3 +50,11 @@ def test_scores(spark):
     got = dict(C.file_scores(f, ranks, spark.createDataFrame([("a.py", "b.py")], "src string, dst string"), ["a.py"], "the job of C").collect())
     # a: 0.1 + 10, the letter a is no part of the query; parts '', 'job', 'job'. b: rank, neighbour. c: its name
     assert got == {"a.py": 13.1, "b.py": 9.5, "c.py": 5.1}
+
+
+def test_fingerprint(spark):
+    text = '#!/usr/bin/python\n""""""\n  """Signs users in."""\nimport json\nfrom a.b import Thing\nimport numpy as np\nclass AuthHandler:\n    def update_attention(self):\n    def _hidden(self):\n        def nested():\ndef run():'
+    rows = [(text, '#  First words #\n"""not this"""', None)]
+    row = spark.createDataFrame(rows, "a string, b string, c string").select(*[C.fingerprint(F.col(k)).alias(k) for k in "abc"]).first()
+    assert row.a == "Signs users in. AuthHandler auth handler update_attention update attention run run Thing numpy"
+    assert (row.b, row.c) == ("First words #", "")

@@ -67,6 +67,8 @@ HOOKS = r"\b(?:preHandler|onRequest|beforeHandler|middleware|middlewares|guards|
 ROUTES = r"\.(?:use|get|post|put|patch|delete|all|route|addHook|before)\s*\(([^)\n]{1,240})\)"
 KIN = rf"\b(?:extends|implements|with)\s+({NAME})"
 BASES = r"(?m)^\s*class\s+\w+\s*\(([^)]+)\)\s*:"
+# Imports that say nothing about a file.
+PLAIN_IMPORTS = ["json", "sys", "os", "re", "Path"]
 NAMES = rf"\b({NAME})\b"
 PARAMETERS = 50
 
@@ -194,6 +196,19 @@ def references(text: Column, lang: Column | None = None) -> Column:
     return F.array_sort(F.filter(F.array_distinct(names), lambda n: ~n.isin(GENERIC_NAMES)))
 
 
+def fingerprint(text: Column) -> Column:
+    """What a file says of itself: its first docstring or comment of the first fifteen lines, its classes and public functions, each also as words, and what it imports."""
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    lines = F.transform(F.slice(F.split(text, "\n"), 1, 15), strip)
+    doc = lambda x: strip(F.regexp_replace(x, "^[\"']+|[\"']+$", ""))
+    quoted = lambda x: F.startswith(x, F.lit('"""')) | F.startswith(x, F.lit("'''"))
+    said = F.filter(F.transform(lines, lambda x: F.when(quoted(x), F.when(doc(x) != "", F.substring(doc(x), 1, 150))).when(F.startswith(x, F.lit("#")) & ~F.startswith(x, F.lit("#!")), F.substring(strip(F.regexp_replace(x, "^[# ]+", "")), 1, 100))), lambda x: x.isNotNull())
+    classes = F.transform(all_of(text, r"(?m)^class\s+(\w+)"), lambda n: F.concat_ws(" ", n, F.lower(F.regexp_replace(n, "([a-z])([A-Z])", "$1 $2"))))
+    functions = F.transform(F.slice(F.filter(all_of(text, r"(?m)^(?:    )?def\s+(\w+)"), lambda n: ~F.startswith(n, F.lit("_"))), 1, 20), lambda n: F.concat_ws(" ", n, F.replace(n, F.lit("_"), F.lit(" "))))
+    used = F.filter(all_of(text, r"(?m)^(?:from\s+\S+\s+)?import\s+(\w+)"), lambda n: (F.length(n) > 3) & ~n.isin(PLAIN_IMPORTS))
+    return F.coalesce(F.array_join(F.concat(F.slice(said, 1, 1), classes, functions, used), " "), F.lit(""))
+
+
 def structural_edges(files: DataFrame, most: int = 4) -> DataFrame:
     """(src, dst): imports, and references to symbols that at most four files define."""
     from ..operators.graph import definers

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.code import fingerprint
 from ..functions.text import index_tokens, path_tokens
 
 K1, B = 1.5, 0.75
@@ -21,10 +22,9 @@ def postings(corpus: DataFrame, doc: str = "doc_id", content: str = "content") -
 
 
 def weighted_postings(corpus: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(doc, term, tf) with the fields of a document weighed: the path's tokens five times, the first line's three times, the content's once."""
+    """(doc, term, tf) with the fields of a document weighed: the path's tokens five times, its fingerprint's three times, the content's once."""
     field = lambda tokens, w: corpus.select(F.col(doc).alias("doc"), F.explode(tokens).alias("term"), F.lit(w).alias("w"))
-    first = F.element_at(F.split("content", "\n"), 1)
-    all_ = field(path_tokens(F.col("path")), FIELDS["path"]).unionByName(field(index_tokens(first), FIELDS["fingerprint"])).unionByName(field(index_tokens(F.col("content")), FIELDS["content"]))
+    all_ = field(path_tokens(F.col("path")), FIELDS["path"]).unionByName(field(index_tokens(fingerprint(F.col("content"))), FIELDS["fingerprint"])).unionByName(field(index_tokens(F.col("content")), FIELDS["content"]))
     return all_.groupBy("doc", "term").agg(F.sum("w").alias("tf"))
 
 

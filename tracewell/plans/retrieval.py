@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import retrieval as R
 from .registry import query
+from .source import FINGERPRINT
 from .views import ctes, view
 
 TOK = "regexp_extract_all(lower(content), '[a-z][a-z0-9_]{2,}')"
@@ -46,7 +47,7 @@ def retrieval_tfidf(spark, d):
     return R.tfidf(R.postings(c), queries_of(c), 10)
 
 
-@query("retrieval_weighted_postings", ctes("corpus") + f""", p AS (SELECT doc_id AS doc, regexp_replace(string_split(path, '/')[-1], '\\.[^.]*$', '') AS stem, list_filter(regexp_split_to_array(lower(path), '[/\\\\._-]'), lambda x: length(x) >= 2) AS parts FROM corpus), a AS (SELECT doc, unnest(CASE WHEN list_contains(parts, stem) THEN parts ELSE list_append(parts, stem) END) AS term, 5 AS w FROM p UNION ALL SELECT doc_id, unnest(regexp_extract_all(lower(string_split(content, chr(10))[1]), '[a-z][a-z0-9_]{{2,}}')), 3 FROM corpus UNION ALL SELECT doc_id, unnest({TOK}), 1 FROM corpus)
+@query("retrieval_weighted_postings", ctes("corpus") + f""", p AS (SELECT doc_id AS doc, regexp_replace(string_split(path, '/')[-1], '\\.[^.]*$', '') AS stem, list_filter(regexp_split_to_array(lower(path), '[/\\\\._-]'), lambda x: length(x) >= 2) AS parts FROM corpus), a AS (SELECT doc, unnest(CASE WHEN list_contains(parts, stem) THEN parts ELSE list_append(parts, stem) END) AS term, 5 AS w FROM p UNION ALL SELECT doc_id, unnest(regexp_extract_all(lower({FINGERPRINT}), '[a-z][a-z0-9_]{{2,}}')), 3 FROM corpus UNION ALL SELECT doc_id, unnest({TOK}), 1 FROM corpus)
 SELECT doc, term, CAST(sum(w) AS BIGINT) AS tf FROM a GROUP BY doc, term""")
 def retrieval_weighted_postings(spark, d):
     return R.weighted_postings(corpus(spark, d))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import code as C
 from ..functions import source as S
 from ..operators.learning import top_n
+from ..sources import logs
 from .registry import query
 from .views import ctes, view
 
@@ -77,6 +78,15 @@ def source_symbols_by_language(spark, d):
     return C.symbols(sources(spark, d))
 
 
+#: A file's fingerprint: its first comment (docstrings too), classes, functions, imports.
+FINGERPRINT = r"""array_to_string(list_concat(list_concat(list_filter(list_transform(list_transform(string_split(content, chr(10))[1:15], lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: CASE WHEN starts_with(x, '\"\"\"') OR starts_with(x, repeat(chr(39), 3)) THEN nullif(substr(regexp_replace(trim(x, '\"' || chr(39)), '^\s+|\s+$', '', 'g'), 1, 150), '') WHEN starts_with(x, '#') AND NOT starts_with(x, '#!') THEN substr(regexp_replace(ltrim(x, '# '), '\s+$', ''), 1, 100) END), lambda x: x IS NOT NULL)[1:1], list_transform(regexp_extract_all(content, '(?m)^class\s+(\w+)', 1), lambda n: n || ' ' || lower(regexp_replace(n, '([a-z])([A-Z])', '\1 \2', 'g')))), list_concat(list_transform(list_filter(regexp_extract_all(content, '(?m)^(?:    )?def\s+(\w+)', 1), lambda n: NOT starts_with(n, '_'))[1:20], lambda n: n || ' ' || replace(n, '_', ' ')), list_filter(regexp_extract_all(content, '(?m)^(?:from\s+\S+\s+)?import\s+(\w+)', 1), lambda n: length(n) > 3 AND n NOT IN ('json', 'sys', 'os', 're', 'Path')))), ' ')""".replace('\\"', '"')
+
+
+@query("source_fingerprints", ctes("code") + f" SELECT path, {FINGERPRINT} AS fingerprint FROM code")
+def source_fingerprints(spark, d):
+    return code(spark, d).select("path", C.fingerprint(F.col("content")).alias("fingerprint"))
+
+
 @query("source_import_edges", ctes("sources") + f", {EDGES} SELECT src, dst FROM ie")
 def source_import_edges(spark, d):
     return C.import_edges(sources(spark, d))
@@ -195,3 +205,17 @@ def monitor_last_calls(spark, d):
     """The newest call of each session that named a tool."""
     a = view(spark, d, "accesses").where("tool <> 'Error'")
     return top_n(a, ["user_id"], [F.desc("pos")], 1).select("user_id", "pos", "tool", "path")
+
+
+@query("source_described_commits", ctes("sources") + ", r AS (SELECT doc_id, path, language FROM sources) SELECT CAST(doc_id AS VARCHAR) AS repo, 'Mend the parser ' || CAST(doc_id AS VARCHAR) AS prompt, path || ' b/C.PY' AS files FROM r WHERE language <> 'dart' UNION ALL SELECT CAST(doc_id AS VARCHAR), 'Mend the parser ' || CAST(doc_id AS VARCHAR), 'b/C.PY' FROM r WHERE language = 'dart'")
+def source_described_commits(spark, d):
+    """Commits with their subjects, from a log for each file: the second has no subject, the third no source file."""
+    log = sources(spark, d).selectExpr("CAST(doc_id AS STRING) AS repo", "'---MSG---\nMend the parser ' || doc_id || '\n' || path || '\nnotes.md\nb/C.PY\n\n---MSG---\nshort\na.py\n---MSG---\nOnly words here\nx.md\n' AS value")
+    return logs.described_commits(log).select("repo", "prompt", F.array_join("files", " ").alias("files"))
+
+
+@query("source_pushed_commits", ctes("commits") + ", p AS (SELECT commit_idx, list_sort(list(path || CASE WHEN commit_idx % 4 = 0 THEN '.md' ELSE '.py' END)) AS files FROM commits WHERE commit_idx % 3 <> 0 GROUP BY commit_idx), k AS (SELECT * FROM p WHERE commit_idx % 4 <> 0 AND len(files) <= 4 ORDER BY commit_idx DESC LIMIT 500) SELECT 'r' || CAST(commit_idx % 9 AS VARCHAR) AS repo_name, 'change number ' || CAST(commit_idx AS VARCHAR) AS commit_message, array_to_string(files, ' ') AS changed_files, CAST(len(files) AS INT) AS file_count FROM k")
+def source_pushed_commits(spark, d):
+    c = view(spark, d, "commits").groupBy("commit_idx").agg(F.collect_list(F.expr("path || CASE WHEN commit_idx % 4 = 0 THEN '.md' ELSE '.py' END")).alias("files"))
+    pushes = c.selectExpr("'r' || (commit_idx % 9) AS repo_name", "commit_idx AS created_at", "array(named_struct('message', 'change number ' || commit_idx, 'is_distinct', commit_idx % 3 <> 0, 'files', concat(files, files))) AS commits")
+    return logs.pushed_commits(pushes, 500, most=4).withColumn("changed_files", F.array_join("changed_files", " "))

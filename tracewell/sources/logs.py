@@ -94,6 +94,32 @@ def commits_of(text: DataFrame, marker: str = "COMMIT") -> DataFrame:
     return text.select(F.posexplode(parts).alias("commit_idx", "files")).select("commit_idx", F.explode(F.split("files", "\n")).alias("path")).where("trim(path) <> ''").select("commit_idx", F.trim("path").alias("path"))
 
 
+# Extensions of files that a commit is learned from.
+LEARNED = ["py", "js", "ts", "tsx", "jsx", "go", "rs", "java", "c", "cpp", "h", "rb"]
+
+
+def is_learned(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, r"[^/.][^/]*\.([^./]+)$", 1)).isin(LEARNED)
+
+
+def described_commits(text: DataFrame, marker: str = "---MSG---", least: int = 10, most: int = 20) -> DataFrame:
+    """(repo, commit_idx, prompt, files) from git logs (repo, value; one row for each repository) whose commits begin with a marker line, have a line with the subject and then the files. The first line of ten characters or more is the subject; of the files the first twenty source files count, and a commit without both is none."""
+    lines = F.transform(F.split("block", "\n"), lambda x: F.trim(x))
+    blocks = text.select("repo", F.posexplode(F.slice(F.split("value", rf"(?m)^{marker}[^\n]*\n?"), 2, 1 << 30)).alias("commit_idx", "block")).withColumn("lines", lines)
+    at = F.array_position(F.transform("lines", lambda x: F.length(x) >= least), True).cast("int")
+    found = blocks.withColumn("at", at).where("at > 0")
+    files = F.slice(F.filter(F.slice("lines", F.col("at") + 1, F.size("lines")), lambda x: is_learned(x)), 1, most)
+    return found.select("repo", "commit_idx", F.element_at("lines", F.col("at")).alias("prompt"), files.alias("files")).where(F.size("files") > 0)
+
+
+def pushed_commits(pushes: DataFrame, rows: int = 200_000, shortest: int = 10, longest: int = 500, most: int = 20) -> DataFrame:
+    """(repo_name, commit_message, changed_files, file_count): the newest commits of an event archive (repo_name, created_at, commits of message, is_distinct and files) with a message of usual length and up to twenty different source files."""
+    c = pushes.select("repo_name", "created_at", F.explode("commits").alias("c")).where(F.col("c.is_distinct") & F.length("c.message").between(shortest, longest))
+    files = F.array_distinct(F.filter("c.files", lambda f: f.isNotNull() & F.regexp_like(f, F.lit(r"\.(" + "|".join(LEARNED) + ")$"))))
+    kept = c.select("repo_name", "created_at", F.col("c.message").alias("commit_message"), F.array_sort(files).alias("changed_files")).withColumn("file_count", F.size("changed_files")).where(F.col("file_count").between(1, most))
+    return kept.orderBy(F.desc("created_at"), "repo_name", "commit_message").limit(rows).drop("created_at")
+
+
 def newer(files: DataFrame, indexed: DataFrame) -> DataFrame:
     """Files that an index lacks or has older."""
     return files.join(indexed.select("path", F.col("mtime").alias("_m")), "path", "left").where("_m IS NULL OR mtime > _m").drop("_m")
