@@ -17,7 +17,7 @@ def calls_with_results(uses: DataFrame, results: DataFrame) -> DataFrame:
 def read_cost(reads: DataFrame, describes: DataFrame, injected: DataFrame, edited: DataFrame) -> DataFrame:
     """Reads by what they say of the routing: corpus_gap (no document describes the file), routing_miss (one does, none was injected), read_after_inject (injected and not edited), edited.
 
-    reads: turn_id, path; describes: doc, path; injected: turn_id, doc; edited: turn_id, path.
+    reads: turn_id, path; describes: doc, path (as `describing_docs` finds them); injected: turn_id, doc; edited: turn_id, path.
     """
     docs = reads.join(describes, "path", "left").join(injected.withColumn("was_in", F.lit(1)), ["turn_id", "doc"], "left")
     per = docs.groupBy("turn_id", "path").agg(F.count("doc").alias("docs"), F.max(F.coalesce("was_in", F.lit(0))).alias("inj"))

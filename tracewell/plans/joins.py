@@ -59,6 +59,16 @@ def described(spark, d):
     return accesses(spark, d).where("k % 4 <> 0").selectExpr("k % 5 AS doc", "CASE WHEN k % 4 = 1 THEN 'File_' || k || '.py' ELSE 'mod' || (k % 10) || '/file_' || k END AS described").distinct()
 
 
+@query("join_read_cost_by_containment", ctes("accesses") + """, rd AS (SELECT DISTINCT user_id AS turn_id, path FROM accesses WHERE tool = 'Read'), df AS (SELECT DISTINCT k % 5 AS doc, CASE WHEN k % 4 = 1 THEN 'File_' || CAST(k AS VARCHAR) || '.py' ELSE 'mod' || CAST(k % 10 AS VARCHAR) || '/file_' || CAST(k AS VARCHAR) END AS described FROM accesses WHERE k % 4 <> 0), pt AS (SELECT DISTINCT path FROM rd), ds AS (SELECT DISTINCT path, doc FROM pt JOIN df ON contains(lower(path), lower(described))), inj AS (SELECT DISTINCT user_id AS turn_id, k % 5 AS doc FROM accesses WHERE tool = 'Bash' AND k % 2 = 0), ed AS (SELECT DISTINCT user_id AS turn_id, path FROM accesses WHERE tool = 'Edit'),
+p AS (SELECT rd.turn_id, rd.path, count(ds.doc) AS docs, max(CASE WHEN inj.doc IS NOT NULL THEN 1 ELSE 0 END) AS i FROM rd LEFT JOIN ds ON rd.path = ds.path LEFT JOIN inj ON inj.turn_id = rd.turn_id AND inj.doc = ds.doc GROUP BY 1, 2)
+SELECT p.turn_id, p.path, CASE WHEN docs = 0 THEN 'corpus_gap' WHEN i = 0 THEN 'routing_miss' WHEN ed.path IS NULL THEN 'read_after_inject' ELSE 'edited' END AS kind FROM p LEFT JOIN ed ON ed.turn_id = p.turn_id AND ed.path = p.path""")
+def join_read_cost_by_containment(spark, d):
+    a = accesses(spark, d)
+    pick = lambda where, *cols: a.where(where).select(*cols).distinct()
+    t, reads = F.col("user_id").alias("turn_id"), a.where("tool = 'Read'").selectExpr("user_id AS turn_id", "path").distinct()
+    return J.read_cost(reads, J.describing_docs(reads, described(spark, d)), pick("tool = 'Bash' AND k % 2 = 0", t, (F.col("k") % 5).alias("doc")), pick("tool = 'Edit'", t, "path"))
+
+
 @query("join_inferred_usage", ctes("accesses") + ", c AS (SELECT DISTINCT user_id AS turn_id, CASE WHEN tool = 'Bash' THEN '' ELSE path END AS target, CASE WHEN tool = 'Bash' THEN 'Find Key' || CAST(k % 30 AS VARCHAR) || ' now' END AS pattern FROM accesses), ds AS (SELECT DISTINCT k % 5 AS doc, CASE WHEN k % 4 = 1 THEN 'File_' || CAST(k AS VARCHAR) || '.py' ELSE 'mod' || CAST(k % 10 AS VARCHAR) || '/file_' || CAST(k AS VARCHAR) END AS described FROM accesses WHERE k % 4 <> 0), kw AS (SELECT DISTINCT 100 + k AS doc, 'key' || CAST(k AS VARCHAR) AS keyword FROM accesses WHERE k < 12) SELECT DISTINCT turn_id, doc FROM c JOIN ds ON contains(lower(target), lower(described)) UNION SELECT turn_id, doc FROM c JOIN kw ON contains(lower(pattern), keyword)")
 def join_inferred_usage(spark, d):
     a = accesses(spark, d)
