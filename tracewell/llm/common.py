@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,29 @@ def saved(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_scan(df: DataFrame) -> bool:
+    """Whether a plan is nothing but a scan of files and projections: each row of the files comes once, and none is left out."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() == "Project":
+        plan = plan.children().head()
+    return plan.nodeName().split(" ")[0] in ("LogicalRelation", "Relation")
+
+
+def placed_rows(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """_file, _row and the columns (new name: old name): each row's place in its Parquet file, the same whenever it is read, and gapless.
+
+    Only a whole scan of Parquet files has such places; what is filtered, exploded, sampled, joined or not read from Parquet is written to the shared folder first, and the rows are placed there.
+    """
+    own = df.select(*[F.col(old).alias(new) for new, old in columns.items()])
+    at = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    if whole_scan(df):
+        try:
+            return df.select(*at, *[F.col(old).alias(new) for new, old in columns.items()])
+        except AnalysisException:  # files of another kind
+            pass
+    return saved(own, "rows", codec="zstd").select(*at, *columns)
+
+
 def size_of(df: DataFrame) -> int:
     """Bytes of a saved table as Spark's own statistics have it (files on disk)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -29,12 +29,12 @@ def located(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return (pa.fs.LocalFileSystem(), uri) if uri.startswith("/") else pa.fs.FileSystem.from_uri(uri)
 
 
-def create(where: str, name: str) -> tuple[str, pa.NativeFile]:
+def create(where: str, name: str, end: str = ".bin") -> tuple[str, pa.NativeFile]:
     """A new file of this attempt in a folder: its name and its stream."""
     fs, path = located(where)
     fs.create_dir(path, recursive=True)
-    file = f"{name}-{uuid.uuid4().hex}.bin"
-    return f"{where}/{file}", fs.open_output_stream(f"{path}/{file}")
+    file = f"{name}-{uuid.uuid4().hex}{end}"
+    return f"{where}/{file}", fs.open_output_stream(f"{path}/{file}", compression=None)
 
 
 class Replaced:
