@@ -53,7 +53,7 @@ def page_records(row: str, page_id: int | str | None, url: str | None, payload:
     http = "\r\n".join(lines).encode()
     common = [("WARC-Target-URI", uri), ("WARC-Date", date)]
     with_main = [*common, ("WARC-Concurrent-To", f"<urn:uuid:{own}>")]
-    request = f"GET {(path or '/').partition('#')[0] or '/'} HTTP/1.1\r\nHost: {host or ''}\r\n\r\n".encode()
+    request = f"GET /{path.partition('#')[0].removeprefix('/')} HTTP/1.1\r\nHost: {host or ''}\r\n\r\n".encode()
     out = member("request", str(uuid.uuid5(own, "request")), [*with_main, ("Content-Type", "application/http; msgtype=request")], request)
     main = [*common, ("WARC-Payload-Digest", digest), ("Content-Type", "application/http; msgtype=response")]
     if refers is None:
