@@ -201,6 +201,26 @@ def test_op1_tree_plainly(spark):
     assert all(abs(got[k].branch - want[k]) < 1e-9 for k in want)
 
 
+@pytest.mark.parametrize("pages", [3, 20, 200, 1000])
+def test_op1_keeps_the_article_whole(spark, pages):
+    """Headings, bylines and captions that repeat over a host stay among paragraphs that differ, whatever the host's size; menus and notices that repeat go."""
+    inner = "<h1>Title {k}</h1><p class=byline>By the editors</p><p>Words {w}</p><h2>Summary</h2><figure><img src=x><figcaption>Photo: agency</figcaption></figure><p>In short {w} and {k}</p>"
+    wraps = {"article": "<article>{}</article>", "main": "<main><div class=x>{}</div></main>", "div": "<div class=content>{}</div>"}
+    rest = "<div class=q1><ul><li>Home<li>News<li>About us</ul></div>{}<div class=q2>Sign up for our letters</div>"
+    rows, want = [], {}
+    for n, (name, wrap) in enumerate(wraps.items()):
+        for k in range(pages):
+            w = " ".join(f"w{k * 31 + j}" for j in range(9))
+            i = n * pages + k
+            rows.append((i, f"http://{name}.com/{k}", "<body>" + rest.format(wrap.format(inner.format(k=k, w=w))) + "</body>"))
+            want[i] = f"Title {k}\nBy the editors\nWords {w}\nSummary\nPhoto: agency\nIn short {w} and {k}"
+    got = texts_of(spark, rows)
+    for i, text in want.items():
+        assert text in got[i], (i, got[i])
+        if pages >= 20:
+            assert got[i] == text
+
+
 def removed_plainly(docs, length=100):
     """docs: (order, text) sorted; bytes removed by the rule, over all strings."""
     seen, out = set(), {}

@@ -3,7 +3,7 @@
 The pages of a host are merged into one tree: a node is a path of elements (tag, class, id and role, digits as 0), and holds what all pages of the host show there.
 A node's importance comes from entropy, to the base of the node's pages and DOUBT more, so that few pages say little and no number of pages turns the method on or off. Content: the more of its pages share a text, the less it says of a page; a node's content importance is 1 less the mean of log(pages with the text), by volume of text. Presentation: the entropy of the different sequences of children. A node with children takes half of its importance from its own presentation and half from the content of its whole branch; a leaf all from its content.
 Names are one more input, which weighs the importance. A tag, role or whole class or id token on the way that names what is not the article (menus, headers outside it, footers, sidebars, notices, adverts, forms, comments) multiplies importance by NOISE, and an article or main element lifts it to its third root. On a host without any text in article or main elements, a named branch that holds over half of all text is less and less taken for its name, and one that holds all of it not at all: it is where the text is.
-A branch goes, as a whole, if its importance and that of all nodes in it are low. An article or main element takes back what a class, an id or a form around it says, not what nav, aside, footer, a role or hidden says.
+A branch goes, as a whole, if its importance and that of all nodes in it are low. Entropy decides on branches, not on one repeated heading, byline or caption among paragraphs that differ: a text element (TEXT) without a noise name goes only if the branch that it stands in, that of the nearest element around it of another kind, has low content importance as well; and nothing in an article or main element goes but by a name. An article or main element takes back what a class, an id or a form around it says, not what nav, aside, footer, a role or hidden says.
 On hosts where each menu or advert has words of its own, as in the test tables, entropy can't tell them from an article, and their names decide; text that repeats over a host goes without any name.
 Scripts, styles and other elements without text never enter the tree.
 
@@ -30,6 +30,7 @@ from .common import in_pieces, saved
 LEAST_IMPORTANCE, NOISE, DOUBT, DEPTH = 0.35, 0.2, 6, 100
 
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "textarea", "title", "xmp", "noembed", "noframes"}
+TEXT = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre", "figure", "figcaption", "caption", "address", "hgroup", "summary"}
 SILENT = {"script", "style", "noscript", "template", "svg", "math"}  #: these break no line of text
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "img"}
@@ -109,7 +110,7 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], int, bool, str]]:
     def push(tag: str, name: str, noise: int, protected: bool, block: bool) -> None:
         _, path, _, mark, _, _ = stack[-1]
         if name and len(path) < DEPTH:
-            path = (*path, digest(f"{path[-1]}>{name}"))
+            path = (*path, digest(f"{path[-1]}>{name}") & ~1 | (tag in TEXT))  # an odd number for a text element
         is_open[tag] += 1
         stack.append((tag, path, noise, (mark or len(path)) if noise else 0, protected, block))
 
@@ -244,7 +245,7 @@ def parsed(pages: DataFrame, host_of: str, html_col: str, keep: list[str]) -> Da
 
 
 def site_style_tree(pages: DataFrame) -> DataFrame:
-    """(host, node, shows, n_pages, importance, weighed, branch): the nodes of the merged trees of all hosts; branch is the highest weighed importance of the node and all below it. pages: as parsed."""
+    """(host, node, shows, n_pages, importance, weighed, spared, branch): the nodes of the merged trees of all hosts; branch is the highest weighed importance of the node and all below it, and a spared node stays whatever that is. pages: as parsed."""
     seen = pages.select("host", "same", F.explode("seen").alias("s")).select("host", "same", "s.*")
     counts = seen.groupBy("host", "node", "kind", "what", "volume").agg(F.count_distinct("same").alias("n"))
     share = F.col("n") * F.col("volume")
@@ -271,7 +272,12 @@ def site_style_tree(pages: DataFrame) -> DataFrame:
     importance = F.when(F.col("style").isNull(), content).otherwise((content + F.col("style")) / 2)
     most = F.when(F.col("articles") > 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), 2 * F.col("marked") / F.col("all") - 1))
     weighed = F.when(F.col("mark") != 0, F.col("importance") * F.pow(F.lit(NOISE), 1 - most)).when(F.col("kept"), F.pow(F.greatest("importance", F.lit(0.0)), F.lit(1 / 3))).otherwise(F.col("importance"))
-    found = saved(found.withColumn("importance", importance).select("host", "node", "shows", "up", "n_pages", "importance", weighed.alias("weighed")), "tree")
+    # a text element belongs to the branch of the nearest other element around it
+    owner = F.when(F.col("node") % 2 != 0, F.element_at(F.filter("up", lambda n: n % 2 == 0), -1))
+    found = found.withColumn("importance", importance).withColumn("weighed", weighed).withColumn("owner", owner)
+    around = whole.select("host", F.col("node").alias("owner"), (F.col("content_below") / F.col("below")).alias("around"))
+    spared = (F.col("mark") == 0) & (F.col("kept") | (F.coalesce("around", F.lit(0.0)) >= LEAST_IMPORTANCE))
+    found = saved(found.join(around, ["host", "owner"], "left").select("host", "node", "shows", "up", "n_pages", "importance", "weighed", spared.alias("spared")), "tree")
     branch = found.select("host", F.explode(F.concat("up", F.array("node"))).alias("node"), "weighed").groupBy("host", "node").agg(F.max("weighed").alias("branch"))
     return found.drop("up").join(branch, ["host", "node"])
 
@@ -284,7 +290,7 @@ def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     """The kept columns of each page with text and n_chars."""
     keep = [c for c in pages.columns if c != html_col] if keep is None else keep
     table = parsed(pages, host_sql(url_col), html_col, keep)
-    low = site_style_tree(table).where((F.col("branch") < LEAST_IMPORTANCE) & F.col("shows")).select("host", "node")
+    low = site_style_tree(table).where((F.col("branch") < LEAST_IMPORTANCE) & F.col("shows") & ~F.col("spared")).select("host", "node")
     kinds = table.groupBy("host", "kind").agg(F.first("ids").alias("ids")).select("host", "kind", F.explode(F.array_distinct("ids")).alias("node"))
     gone = saved(kinds.join(low, ["host", "node"]).groupBy("host", "kind").agg(F.collect_set("node").alias("gone")), "gone")
     out = table.select("row", "host", "kind", "ids", "texts").join(gone, ["host", "kind"], "left")
