@@ -461,6 +461,99 @@ def test_op5_odd(spark, odd, none):
     assert op5_minhash.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("ids", ["null", "same", "pairs"])
+def test_op6_learns_every_language(spark, ids):
+    """Whatever the ids of a language: null, one for all rows, or a few."""
+    r = random.Random(8)
+    de, en = "der die das und nicht ein ich haus strasse schön".split(), "the and not a house street of nice to is".split()
+    rows = [(k, " ".join(r.choice(en) for _ in range(12)), "en") for k in range(3000)]
+    rows += [({"null": None, "same": 7, "pairs": k % 2}[ids], " ".join(r.choice(de) for _ in range(12)), "de") for k in range(3000)]
+    rows += [(None, "solo una riga in italiano per sempre", "it")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = op6_langid.fit(df, sample=300)
+    assert model["langs"] == ["de", "en", "it"]
+    got = op6_langid.identify(df, model).groupBy("lang", "lang_pred").count().collect()
+    right = {r.lang: r["count"] for r in got if r.lang == r.lang_pred}
+    assert right["en"] > 2900 and right["de"] > 2900 and right["it"] == 500
+
+
+def test_op6_grams_plainly():
+    import numpy as np
+
+    def plain(raw):
+        b = b" " + bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in raw) + b" "
+        out = []
+        for k, salt in ((3, 0x9E3779B1), (4, 0x85EBCA77)):
+            for j in range(len(b) - k + 1):
+                g = int.from_bytes(b[j : j + k], "big")
+                out.append((((((g * salt) ^ (g >> 15)) % 2**32) * 0x2C1B3C6D) % 2**32) >> 16)
+        return sorted(out)
+
+    rows = [b"", b"a", b"Ab\tc", "Grüße, 日本".encode(), b"x" * 50]
+    off = np.cumsum([0, *map(len, rows)])
+    bucket, at = op6_langid.grams(np.frombuffer(b"".join(rows), np.uint8), off)
+    for k, raw in enumerate(rows):
+        assert sorted(bucket[at[k] : at[k + 1]].tolist()) == plain(raw), raw
+
+
+def test_op6_training_plainly(monkeypatch):
+    """Mean, softmax step and temperature against loops over numbers."""
+    import math
+
+    import numpy as np
+
+    monkeypatch.setattr(op6_langid, "BUCKETS", 12)
+    monkeypatch.setattr(op6_langid, "DIM", 3)
+    r = random.Random(1)
+    docs = [({r.randrange(12): r.randrange(1, 5) for _ in range(4)}, r.choice("xyz")) for _ in range(12)]
+    counts = [(np.array(sorted(d)), np.array([d[b] for b in sorted(d)])) for d, _ in docs]
+    model = op6_langid.train(counts, [x for _, x in docs], steps=30)
+    rng = np.random.default_rng(7)
+    table = ((rng.random((12, 3), np.float32) - 0.5) / 3).tolist()
+    weight = [[0.0] * 3 for _ in range(3)]
+    learn = [k for k in range(12) if k % 4 != 3]
+    epochs = max(4, -(-30 // len(learn)))
+
+    def scores(d, rows):
+        n = sum(d.values())
+        return [sum(c / n * rows[b][j] for b, c in d.items()) for j in range(3)]
+
+    def soft(z):
+        e = [math.exp(v - max(z)) for v in z]
+        return [v / sum(e) for v in e]
+
+    step = 0
+    for _ in range(epochs):
+        for i in rng.permutation(learn):
+            d, label = docs[i]
+            n, x = sum(d.values()), scores(d, table)
+            g = soft([sum(x[a] * weight[a][j] for a in range(3)) for j in range(3)])
+            g["xyz".index(label)] -= 1
+            lr = 0.5 * (1 - step / (epochs * len(learn)))
+            back = [sum(weight[a][j] * g[j] for j in range(3)) for a in range(3)]
+            for a in range(3):
+                for j in range(3):
+                    weight[a][j] -= lr * x[a] * g[j]
+            for b, c in d.items():
+                for a in range(3):
+                    table[b][a] -= lr * 20 * c / n * back[a]
+            step += 1
+    logits = [[sum(table[b][a] * weight[a][j] for a in range(3)) for j in range(3)] for b in range(12)]
+    assert np.allclose(model["logits"], logits, atol=1e-3)
+    check = [docs[k] for k in range(12) if k % 4 == 3]
+    doubt, best = 1 / (len(check) + 2), None
+    for t in np.geomspace(0.002, 20, 120):
+        loss = 0.0
+        for d, label in check:
+            p = [math.log(v + 1e-12) for v in soft([v / t for v in scores(d, model["logits"].tolist())])]
+            loss -= (1 - doubt) * p["xyz".index(label)] + doubt * sum(p) / 3
+        best = min(best or (loss, t), (loss, t))
+    assert abs(model["temperature"] - best[1]) < 1e-9
+    text = [k for k in "ab c"]
+    names, score = op6_langid.predict(model | {"logits": np.ones((1 << 16, 3), np.float32)}, op6_langid.pa.array(text))
+    assert names == ["x", "x", "und", "x"] and np.allclose(score, [1 / 3, 1 / 3, 0, 1 / 3])
+
+
 def test_op6(spark, odd, none):
     rows = [r for r in queries.QUERIES["op6_langid"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()]
     assert sum(r.lang_pred == r.lang for r in rows if r.held_out) / sum(r.held_out for r in rows) > 0.9

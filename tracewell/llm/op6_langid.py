@@ -4,9 +4,9 @@ A text, with a space before and after, is the mean of the embeddings of its byte
 A temperature fitted on labelled rows that were not trained on calibrates its probabilities; a text whose calibrated probability stays below a threshold, or that has no letter, is rejected.
 As the map is linear, a prediction needs only the product of table and map: one row of logits for each bucket, which tasks carry as a broadcast of fixed size.
 
-Training reads a bounded sample of all labelled rows: of each language the same number of rows, `sample` (3,000 by default) in all, those with the lowest hashes of the id. Executors turn their whole texts into counts of buckets, at most BUCKETS for a text of any length; the driver takes rows in order of the hash until it has ENTRIES counts, at least one row of each language. A quarter of the rows is for calibration. Predictions read whole texts.
+Training reads a bounded sample of all labelled rows: of each language the same number of rows, `sample` (3,000 by default) in all, those with the lowest hashes of id and text, so that no language is lost where ids are null or repeat; rows that repeat both are learned from once. Executors turn their whole texts into counts of buckets, at most BUCKETS for a text of any length; the driver takes rows in order of the hash until it has ENTRIES counts, at least one row of each language. A quarter of the rows is for calibration. Predictions read whole texts.
 
-Nulls: a null or empty text, or one without letters, is 'und' with score 0. Rows without a label are never learned from. Without any labelled row everything is 'und'. Repeated rows are predicted alike.
+Nulls: a null or empty text, or one without letters, is 'und' with score 0. Rows without a label are never learned from. Without any labelled row everything is 'und'. Repeated rows are predicted alike. Extra columns are ignored; kept ones may have any name but lang_pred, score and rejected. An empty table has no predictions.
 """
 
 from __future__ import annotations
@@ -134,23 +134,29 @@ def predict(model: dict, column: pa.Array) -> tuple[list[str], np.ndarray]:
 
 def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, entries: int = ENTRIES) -> dict:
     """Trains on the driver from the bucket counts of at most `sample` labelled rows (one of each language where there are more), the same number of each language as far as it has them, and of these in order of their hashes as many as hold `entries` counts."""
-    rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col), F.lit(1)).alias("o"), F.col(text_col).alias("t"), F.col(label_col).alias("l"))
-    sizes = saved(rows.groupBy("l").agg(F.count("*").alias("n")), "labels")
+    rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(1)).alias("o"), F.col(text_col).alias("t"), F.col(label_col).alias("l"))
+    low = F.pmod(F.col("o"), F.lit(1 << 40))
+    sizes = saved(rows.groupBy("l").agg(F.approx_count_distinct("o").alias("n"), F.min(low).alias("least")), "labels")
     quota = max(1, sample // max(1, sizes.count()))
-    # a cut of the hash that leaves about twice the quota of each language, so that no task ranks more
+    # a cut of the hash that leaves about twice the quota of each language, and its lowest in any case, so that no task ranks more
     share = F.least(F.lit(1.0), F.lit(2.0 * quota + 64) / F.col("n"))
-    near = rows.select("o", "l", "t").join(sizes, "l").where(F.pmod(F.col("o"), F.lit(1 << 40)) < share * (1 << 40))
-    place = F.row_number().over(Window.partitionBy("l").orderBy("o", F.xxhash64("t")))
-    picked = near.select("o", "l", "t").withColumn("place", place).where(F.col("place") <= quota)
+    near = rows.select("o", "l", "t").join(sizes, "l").where((low < share * (1 << 40)) | (low == F.col("least")))
+    place = F.row_number().over(Window.partitionBy("l").orderBy("o"))
+    picked = saved(near.select("o", "l").distinct().withColumn("place", place).where(F.col("place") <= quota), "picked")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()  # of the sample's rows: those that repeat are counted once a task, and once in all below
         for b in in_pieces(batches, "t", 1 << 20):
+            keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            first = [k for k, key in enumerate(keys) if key not in seen and not seen.add(key)]
+            b = b.take(pa.array(first, pa.int64()))
             pairs = [counted(t) for t in b.column(3).to_pylist()]
             size = pa.array([len(p[0]) for p in pairs], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), size, *(pa.array([p[k].astype("<i4").tobytes() for p in pairs], pa.binary()) for k in (0, 1))], ["o", "l", "place", "size", "buckets", "times"])
 
     kind = docs.schema[label_col].dataType.simpleString()
-    table = saved(picked.select("o", "l", "place", "t").mapInArrow(count, f"o long, l {kind}, place int, size long, buckets binary, times binary"), "sample")
+    chosen = near.select("o", "l", "t").join(picked, ["o", "l"]).select("o", "l", "place", "t")
+    table = saved(chosen.mapInArrow(count, f"o long, l {kind}, place int, size long, buckets binary, times binary").dropDuplicates(["o", "l"]), "sample")
     before = F.coalesce(F.sum("size").over(Window.orderBy("place", "o", "l").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     taken = table.select("o", "l", "place", "size").distinct().withColumn("before", before).where((F.col("place") == 1) | (F.col("before") < entries))  # a row of the sample each
     got = table.join(F.broadcast(taken.select("l", "place")), ["l", "place"], "left_semi").orderBy("place", F.xxhash64("o", "l")).collect()  # languages by turns, so that each has its part of the rows for calibration
