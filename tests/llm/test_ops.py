@@ -712,6 +712,27 @@ def test_op9_partitions(spark, tmp_path):
     assert op9_shards.digest(op9_shards.read_records(op9_shards.shards(docs.repartition(2)))).count() == len(slots[0])
 
 
+@pytest.mark.parametrize("how", ["filter", "sample", "explode", "join", "limit", "select", "union"])
+def test_op9_any_table(spark, how):
+    """What is made from a Parquet table has all its sequences, each once, in the permutation's order of the rows' places."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    made = {
+        "filter": lambda: docs.where("doc_id % 2 = 1"),
+        "sample": lambda: docs.sample(0.5, seed=3),
+        "explode": lambda: docs.select("doc_id", F.explode(F.split("text", " ")).alias("text")).where("length(text) > 6"),
+        "join": lambda: docs.join(docs.where("doc_id < 50").select("doc_id", F.lit(1).alias("extra")), "doc_id"),
+        "limit": lambda: docs.limit(20),
+        "select": lambda: docs.select("text", (F.col("doc_id") + 1).alias("doc_id")),
+        "union": lambda: docs.unionByName(docs),
+    }[how]()
+    got = op9_shards.read_records(op9_shards.shards(made, per_shard=64)).collect()
+    want = Counter()
+    for r in made.select("doc_id", "text").collect():
+        want.update((r.doc_id, s, op9_shards.record_of(r.text, r.doc_id, s)) for s in range(len((r.text or "").encode()) // op9_shards.LENGTH + 1))
+    assert Counter((r.doc_id, r.seq, bytes(r.record)) for r in got) == want
+    assert sorted(r.slot for r in got) == list(range(len(got)))
+
+
 def test_op10(spark, odd, none):
     from tokenizers import Tokenizer
 

@@ -5,7 +5,7 @@
 3. The permutation takes the index to a slot in 0 .. N-1: a balanced Feistel network over the next even number of bits, walked on while it leads outside.
 4. Slot s belongs to shard s // per_shard. Ranges of shards are dealt to tasks, which write each shard in order of slots as one flat file in the shared folder. Each record has the same stride: id, sequence number and number of tokens (16 bytes), then the tokens. Record r of a shard is at byte r * stride, so a reader goes on from any slot without an index: earlier shards are not opened, and the shard with the slot is read from its byte on.
 
-The order depends on the key and on the table's files and their names, not on how they are cut into partitions or on executors that are lost. A DataFrame that is not read from Parquet is written to the shared folder first. Nulls: a null or empty text has one sequence with END alone; a null id is written as the largest 64-bit number. Ids are 64-bit numbers; others raise an error. Rows that repeat have sequences of their own. An empty table has no shards.
+The order depends on the key and on the table's files and their names, not on how they are cut into partitions or on executors that are lost. Only a whole scan of Parquet files, with or without projections, is numbered where it lies; a DataFrame that is filtered, sampled, exploded, joined or not read from Parquet is written to the shared folder first, and its order is that of the files written. Nulls: a null or empty text has one sequence with END alone; a null id is written as the largest 64-bit number. Ids are 64-bit numbers; others raise an error. Rows that repeat have sequences of their own. An empty table has no shards.
 """
 
 from __future__ import annotations
@@ -15,12 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import GOLD, flat, in_pieces, mix, saved
+from .common import GOLD, flat, in_pieces, mix, placed_rows, saved
 from .files import Reader, Replaced, create, folder, spread, tasks_for
 
 END, PAD, LENGTH, PER_SHARD, CHUNK, ROUNDS, UNIT, GROUP = 255, 254, 512, 16_384, 1024, 6, 1 << 20, 4096
@@ -60,12 +59,8 @@ def shards(docs: DataFrame, key: int = 20_240_101, length: int = LENGTH, per_sha
     spark = docs.sparkSession
     if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
         raise TypeError(f"{id_col} has to be a whole number")
-    wanted = [F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID))).alias("i"), F.col(text_col).alias("t")]
-    at = [F.xxhash64("_metadata.file_path").alias("file"), F.floor(F.col("_metadata.row_index") / UNIT).alias("unit"), (F.col("_metadata.row_index") % UNIT).alias("r")]
-    try:
-        src = docs.select(*at, *wanted)
-    except AnalysisException:  # no table of Parquet files
-        src = saved(docs.select(id_col, text_col), "docs", codec="zstd").select(*at, *wanted)
+    at = [F.xxhash64("_file").alias("file"), F.floor(F.col("_row") / UNIT).alias("unit"), (F.col("_row") % UNIT).alias("r")]
+    src = placed_rows(docs, {"i": id_col, "t": text_col}).select(*at, F.coalesce(F.col("i").cast("long"), F.lit(int(NULL_ID))).alias("i"), "t")
     n_seq = F.floor((F.coalesce(F.octet_length("t"), F.lit(0)) + length) / length)  # with the end
     numbers = src.select("file", "unit", "r", n_seq.alias("k"))
     units = saved(numbers.groupBy("file", "unit").agg(F.sum("k").alias("n")), "units")
