@@ -617,6 +617,27 @@ def test_op7_many_rules(spark, monkeypatch, rows):
         assert (x.rule, x.verdict) == (max(fit)[2:] if fit else (None, "allow")), urls[x.page_id]
 
 
+def test_op7_one_path_of_many_hosts(spark, monkeypatch):
+    """All home pages below a rule of com are one point of the sweep: no bucket has more than its share."""
+    held, real = [], op7_urls.saved
+
+    def saved(df, name, *more):
+        out = real(df, name, *more)
+        if name == "ranges":
+            held.append(out)
+        return out
+
+    monkeypatch.setattr(op7_urls, "saved", saved)
+    pages = spark.range(40_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), "id", F.lit(".com/")).alias("url"))
+    rules = spark.createDataFrame([("com", "/", "block"), ("h7.com", "/", "allow"), ("com", "/x", "allow")], "host string, path string, action string")
+    got = {tuple(r): n for *r, n in op7_urls.judge_urls(pages, rules).groupBy("rule", "verdict").count().collect()}
+    assert got == {("com/", "block"): 39_999, ("h7.com/", "allow"): 1}
+    for ranges in held:
+        rows = [r["count"] for r in ranges.groupBy("bucket").count().collect()]
+        assert max(rows) <= max(100, 3 * sum(rows) / len(rows))
+    assert held[1].count() < 20
+
+
 def test_op8_odd(spark, odd, none):
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in op8_tokens.token_counts(odd).collect())
     assert got == sorted((r[0] is None, r[0] or 0, len((r[1] or "").encode())) for r in odd_rows())

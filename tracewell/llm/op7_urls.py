@@ -1,7 +1,7 @@
 """URL filters: a sort-merge range join of reversed-host keys with a stack of nested rules. DataFrame operations only.
 
 The key of a host is its labels in reverse, each ended by a dot ("www.a.com" -> "com.a.www."), so a rule's host and all its subdomains are one interval of keys. The key of a url below a rule's host is that host's key with the url's path behind it, so a rule is again one interval: all keys that begin with its own.
-Two sweeps find the intervals that hold a key. The first sorts distinct hosts and rule hosts together and gives each host the rule hosts above it, at most one for each of its labels. The second sorts, for each of these, the distinct urls' keys and the rules themselves.
+Two sweeps find the intervals that hold a key. The first sorts distinct hosts and rule hosts together and gives each host the rule hosts above it, at most one for each of its labels. The second sorts the distinct pairs of a rule host and a path of the urls below it, and the rules themselves; the urls join what it finds, where Spark can split a pair that many hosts have.
 In both, range partitions are gone through in order, and the top of the stack is the last interval that began. Intervals nest, so what is active below it is known beforehand: the chain of those that hold it, no longer than the nesting is deep. Those that began before a partition are carried in at its lowest key.
 Only distinct hosts and urls are sorted; the pages themselves join them on host and path, where Spark can split a url that holds a third of all rows.
 
@@ -90,14 +90,16 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         met = some.join(rules.select(F.col("hk").alias("_k"), F.col("rp"), "action"), (F.col("_hk") == F.col("_k")) & (F.col("_rp") == F.col("rp")))
         return met.groupBy(*[F.col(c) for c in keys.columns]).agg(F.sort_array(F.collect_list(F.struct("n", F.concat("_hk", "rp").alias("key"), "rp", "action")), False).alias("chain"))
 
-    points = urls.join(above, "h").select(F.concat("hk", "p").alias("key"), "h", "p", "rh")
+    # hosts below one rule host often have one path (all home pages): each such pair is a point once
+    below = saved(urls.join(above, "h"), "below")
+    points = below.select("hk", "rh", "p").distinct().select(F.concat("hk", "p").alias("key"), "rh", "p")
     own = rules.select(F.col("hk").alias("k"), F.col("rp").alias("r"))
     chains = prefixes(own, "k", "r").select(F.concat("k", "r").alias("key"), "chain")
     # a host's key has no slash, and a path begins with one
     cut = lambda lows: lows.select("*", F.regexp_extract("low", r"(?s)^([^/]*)", 1).alias("k"), F.regexp_extract("low", r"(?s)^[^/]*(.*)$", 1).alias("r"))
     found = sweep(points, chains, lambda lows: prefixes(cut(lows), "k", "r"))
-    found = found.withColumn("best", F.try_element_at(F.filter("chain", lambda r: F.startswith("key", r["key"])), F.lit(1))).where("best IS NOT NULL")
-    best = found.groupBy(F.col("h").alias("_h"), F.col("p").alias("_p")).agg(F.max_by(F.struct("rh", "best.rp", "best.action"), F.length("rh")).alias("_best"))
+    found = found.withColumn("best", F.try_element_at(F.filter("chain", lambda r: F.startswith("key", r["key"])), F.lit(1))).where("best IS NOT NULL").select("rh", "p", "best")
+    best = below.select("h", "p", "rh").join(found, ["rh", "p"]).groupBy(F.col("h").alias("_h"), F.col("p").alias("_p")).agg(F.max_by(F.struct("rh", "best.rp", "best.action"), F.length("rh")).alias("_best"))
     out = judged.join(saved(best, "best"), ["_h", "_p"], "left")
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     return out.select(*kept, F.col("_h").alias("host"), F.col("_p").alias("path"), F.concat("_best.rh", "_best.rp").alias("rule"), F.coalesce("_best.action", F.lit(default)).alias("verdict"))
