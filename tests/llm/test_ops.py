@@ -396,6 +396,48 @@ def test_op4_recall_many(spark):
     assert sum(found.values()) >= 0.99 * sum(true.values()) and all(found[k] <= true[k] for k in true)
 
 
+@pytest.mark.parametrize("limit", [1 << 60, 900])
+def test_op5_block_pairs(monkeypatch, limit):
+    """Every pair of which one is not near meets in some part, parts are bounded by rows and bytes, and clusters need few parts."""
+    import numpy as np
+
+    monkeypatch.setattr(op5_minhash, "BLOCK", 16)
+    monkeypatch.setattr(op5_minhash, "BLOCK_BYTES", limit)
+    rng = np.random.default_rng(5)
+    n = 300
+    cluster, g, near, size, c = rng.integers(0, 60, n), rng.integers(0, 2, n), rng.random(n) < 0.3, rng.integers(1, 200, n), rng.permutation(n)
+    size[7] = 5000
+    pair = (cluster[:, None] == cluster[None]) | (rng.random((n, n)) < 0.0005)
+    pair = (pair | pair.T) & (g[:, None] == g[None]) & ~(near[:, None] & near[None])
+    np.fill_diagonal(pair, False)
+    met, rows_out, parts = np.zeros((n, n), bool), 0, set()
+    for q, k, rows, asks in op5_minhash.block_pairs(pair, g, c, near, size):
+        assert (q, k) not in parts and not near[rows[asks]].any() and len(set(g[rows])) == 1
+        parts.add((q, k))
+        assert len(rows) <= 2 * 16 and (limit > 900 or sum(size[rows]) <= 2 * 900 or 7 in rows)
+        met[np.ix_(rows[asks], rows)] = True
+        rows_out += len(rows)
+    assert not (pair & ~(met | met.T)).any()
+    assert rows_out < 12 * n
+
+
+def test_op5_large_texts(spark, monkeypatch):
+    """Components and parts that have few documents and many bytes are compared in blocks of bytes."""
+    r = random.Random(2)
+    base = [r.choice(WORDS) + str(r.randrange(10**6)) for _ in range(900)]
+    rows = []
+    for k in range(30):
+        own = list(base)
+        for j in range(k % 6 * 8):
+            own[(97 * j + k) % 900] = f"x{k}x{j}"
+        rows.append((k, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, op5_minhash.near_duplicates(df, shingle=3, percent=85).select("doc_id", "component_id").collect()))
+    monkeypatch.setattr(op5_minhash, "BLOCK_BYTES", 30_000)
+    got = sorted(map(tuple, op5_minhash.near_duplicates(df, shingle=3, percent=85).select("doc_id", "component_id").collect()))
+    assert got == want and len({c for _, c in got}) > 1
+
+
 def test_op5_matrices(monkeypatch):
     import numpy as np
 

@@ -3,14 +3,14 @@
 1. Documents with the same set of shingles are one class; the classes are represented by their smallest id, so copies are never paired.
 2. Each class has SIG minwise hashes. In each of TREES independent trees a document walks from the root: the node that it has come to chooses which of its minwise tokens comes next, and that token leads to the child. At depth DEPTH a node's documents have agreed in all chosen tokens.
 3. Nodes of at most SMALL documents are compared exhaustively, by sketches of one bit of each minwise hash; what may be similar is linked to the node's smallest id. Larger nodes branch on: at each level a node chooses one or more of the tokens, 1 / threshold of them on average, and its documents go on by each. So of two documents at the threshold one child holds both on average, however deep they go. What is still together in a large node at the last depth is linked to its smallest id without a look. These are candidates, so this can only add work, not links.
-4. Candidate components are confirmed on full sets. Small components are compared whole in one task, long as no path of confirmed links joins two documents already. In a large one every document is first compared with the component's smallest. The documents that this does not join meet the others again in trees of that component's documents alone: only those of whose minwise hashes enough agree (a byte of each is compared) take their sets to the node and are compared. Large nodes of the last depth are compared in blocks.
+4. Candidate components are confirmed on full sets. Small components are compared whole in one task, long as no path of confirmed links joins two documents already. In a large one every document is first compared with the component's smallest. The documents that this does not join meet the others again in trees of that component's documents alone: only those of whose minwise hashes enough agree (a byte of each is compared) take their sets to the node and are compared. Those of a node that may be alike stand side by side and are compared by pairs of blocks that hold such a pair; large nodes of the last depth are compared in all their blocks.
 5. The components of confirmed links are the result.
 
 A pair of similarity s is together in a tree at DEPTH with probability s^4, so in none of the trees with (1 - s^4)^24: 7e-8 at 0.85. Where all nodes on the way are crowded down to the last depth, 0.977 of 2,000 pairs at a threshold of 0.85 met in some tree (0.990 at depth 12), 0.933 at a threshold of 0.8; of pairs 0.05 above it 0.998 and 0.989.
-Whatever the group, no task holds more than a block of documents. Rows grow with the documents: at most a set for each tree, and for each branch below a crowded node.
+A comparison on full sets or whole texts holds two blocks, each of at most BLOCK documents and BLOCK_BYTES of texts or sets, or one document that alone has more; where blocks are dealt by hash (large components with their smallest, crowds) these are means. A node of at most SMALL documents is compared by sketches in one task: 16 or 128 bytes a document. Rows grow with the documents: a set for each tree and each block that it may be alike to, and for each branch below a crowded node.
 
 Shingles are of `shingle` words (runs of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased), identified by a 64-bit hash, sets by 128 bits; a text with fewer words has one shingle, the whole sequence; one without words has none and links with nothing.
-Very long texts are whole sets like others. Nulls: a null text has no shingles. A null id is a document that links with nothing. Rows with the same id and different sets are distinct sets of that one id: n_shingles is each row's own, links of any of them count for the id.
+Very long texts are whole sets like others. Nulls: a null text has no shingles. A null id is a document that links with nothing. Ids have to be whole numbers. An empty table has no rows; other columns are not read. Rows with the same id and different sets are distinct sets of that one id: n_shingles is each row's own, links of any of them count for the id.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import GOLD, components, flat, grouped, in_pieces, lower_ascii, mix, prefix_hash, runs, saved, span_hash
 
-SIG, TREES, DEPTH, LAST_DEPTH, SMALL, BLOCK = 128, 24, 4, 16, 2048, 128
+SIG, TREES, DEPTH, LAST_DEPTH, SMALL, BLOCK, BLOCK_BYTES = 128, 24, 4, 16, 2048, 128, 16 << 20
 #: A sketch agrees in p of its bits where the sets' similarity is about 2p - 1: candidates are sought with this margin below the threshold, over 4 standard deviations.
 MARGIN = 0.25
 #: The same for a byte of each minwise hash, where the share of equal bytes is about the similarity; and the rows of a node that are compared with all its others at a time.
@@ -190,6 +190,35 @@ def jaccard_links(sets: list[np.ndarray], percent: int, against: range | None =
     return root
 
 
+def block_pairs(pair: np.ndarray, g: np.ndarray, c: np.ndarray, near: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(block, block, rows, which of them ask) so that every pair of rows that may be alike, one of which is not near, is in one of them.
+
+    Rows that are joined by such pairs stand side by side, so few blocks of many have a pair. A block is of one component (g), and has at most BLOCK rows and BLOCK_BYTES, or one row.
+    """
+    order = np.lexsort((c, smallest_joined(pair, c), g))
+    order = order[pair[order].any(1)]
+    block, at, n, volume = np.zeros(len(order), np.int64), 0, 0, 0
+    for k, i in enumerate(order):
+        if k and (g[i] != g[order[k - 1]] or n == BLOCK or volume + size[i] > BLOCK_BYTES):
+            at, n, volume = at + 1, 0, 0
+        block[k], n, volume = at, n + 1, volume + int(size[i])
+    cut = runs(block)
+    near = near[order]
+    pair = pair[np.ix_(order, order)]
+    for q, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+        own = pair[x:y, x:y].any(1)
+        if own.any():
+            yield q, q, order[x:y][own], ~near[x:y][own]
+        for k in range(len(cut) - 1):
+            z, e = cut[k], cut[k + 1]
+            met = pair[x:y, z:e] & ~near[x:y, None]
+            if k < q:
+                met = met & near[None, z:e]  # two that are not near meet once
+            if k != q and met.any():
+                asks, told = np.flatnonzero(met.any(1)), np.flatnonzero(met.any(0))
+                yield q, k, np.concatenate([order[x:y][asks], order[z:e][told]]), np.append(np.ones(len(asks), bool), np.zeros(len(told), bool))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, set_key, n_shingles, component_id, kept): one row for each row of docs."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -198,6 +227,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_pieces(batches, "t", 1 << 20):
             sets, off = shingles(b.column(1), shingle)
+            n_bytes = np.diff(flat(b.column(1))[1])
             sig = signatures(sets, off)
             count = np.diff(off)
             some = count > 0
@@ -207,13 +237,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
             pair = np.stack([key, mix(total[off[1:]] - total[off[:-1]])], 1).astype("<u8")
             rows = np.ascontiguousarray(sig.astype("<u4")).view(f"S{4 * SIG}").ravel()
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([r.tobytes() for r in pair], pa.binary()), pa.array(count, pa.int64()), pa.array([r.ljust(4 * SIG, b"\0") if s else None for r, s in zip(rows.tolist(), some, strict=True)], pa.binary())],
-                ["i", "set_key", "n_shingles", "sig"],
+                [b.column(0), pa.array([r.tobytes() for r in pair], pa.binary()), pa.array(count, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array([r.ljust(4 * SIG, b"\0") if s else None for r, s in zip(rows.tolist(), some, strict=True)], pa.binary())],
+                ["i", "set_key", "n_shingles", "n_bytes", "sig"],
             )
 
-    signed_docs = saved(src.mapInArrow(sign, f"i {kind}, set_key binary, n_shingles long, sig binary"), "signatures")
+    signed_docs = saved(src.mapInArrow(sign, f"i {kind}, set_key binary, n_shingles long, n_bytes long, sig binary"), "signatures")
     usable = signed_docs.where("i IS NOT NULL AND n_shingles > 0")
-    classes = saved(usable.groupBy("set_key").agg(F.min("i").cast("long").alias("c"), F.first("sig").alias("sig")), "classes")
+    classes = saved(usable.groupBy("set_key").agg(F.min("i").cast("long").alias("c"), F.max("n_bytes").alias("n_bytes"), F.first("sig").alias("sig")), "classes")
     members = usable.join(classes.select("set_key", "c").hint("merge"), "set_key").select(F.col("i").cast("long").alias("a"), F.col("c").alias("b"))
     held = saved(components(saved(candidate_links(classes, percent / 100), "candidates")).select(F.col("node").alias("c"), F.col("component").alias("g")), "groups")
     if usable.groupBy("i").count().where("count > 1").limit(1).count():
@@ -292,7 +322,9 @@ def candidate_links(classes: DataFrame, threshold: float) -> DataFrame:
 
 def confirmed_links(docs: DataFrame, held: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(a, b): links between documents of a candidate component that hold on their full sets, enough to join what is linked."""
-    sizes = saved(held.groupBy("g").agg(F.count("*").alias("n"), (F.count("*") > BLOCK).alias("large")), "sizes")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_bytes") / BLOCK_BYTES))
+    weighed = held.join(classes.groupBy("c").agg(F.max("n_bytes").alias("n_bytes")), "c")
+    sizes = saved(weighed.groupBy("g").agg(blocks.alias("n"), (blocks > 1).alias("large")), "sizes")
     texts = saved(docs.select(F.col("i").cast("long").alias("c"), "t").join(held.join(sizes, "g").hint("merge"), "c"), "texts", codec="zstd")
     out = "a long, b long"
     least = percent / 100 - BYTE_MARGIN
@@ -329,8 +361,8 @@ def confirmed_links(docs: DataFrame, held: DataFrame, classes: DataFrame, shingl
 
     sets = saved(texts.where("large").select("g", "c", "n", "t").mapInArrow(as_sets, "g long, c long, n long, s binary"), "sets")
     part = F.xxhash64("g", "x").alias("part")
-    pivots = sets.where("c = g").groupBy("g").agg(F.min("s").alias("s"), F.first("n").alias("n")).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK) - 1)))
-    dealt = sets.withColumn("x", F.pmod(F.xxhash64("c"), F.ceil(F.col("n") / BLOCK))).select(part, "g", "c", "s", F.lit(False).alias("pivot")).unionByName(pivots.select(part, "g", F.col("g").alias("c"), "s", F.lit(True).alias("pivot")))
+    pivots = sets.where("c = g").groupBy("g").agg(F.min("s").alias("s"), F.first("n").alias("n")).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    dealt = sets.withColumn("x", F.pmod(F.xxhash64("c"), F.col("n"))).select(part, "g", "c", "s", F.lit(False).alias("pivot")).unionByName(pivots.select(part, "g", F.col("g").alias("c"), "s", F.lit(True).alias("pivot")))
 
     def with_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in grouped(batches, "part"):
@@ -341,33 +373,38 @@ def confirmed_links(docs: DataFrame, held: DataFrame, classes: DataFrame, shingl
                 x, y = np.frombuffer(s, np.uint64), pivot[k]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 near.append(bool(len(x)) and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([pa.array(p["g"], pa.int64()), pa.array(p["c"], pa.int64()), pa.array(near, pa.bool_())], ["g", "c", "near"])
+            yield pa.RecordBatch.from_arrays([pa.array(p["g"], pa.int64()), pa.array(p["c"], pa.int64()), pa.array(near, pa.bool_()), pa.array(p["s"].str.len(), pa.int64())], ["g", "c", "near", "size"])
 
-    tested = saved(dealt.repartition("part").sortWithinPartitions("part", "c").mapInArrow(with_pivot, "g long, c long, near boolean"), "tested")
+    tested = saved(dealt.repartition("part").sortWithinPartitions("part", "c").mapInArrow(with_pivot, "g long, c long, near boolean, size long"), "tested")
     links = links.unionByName(tested.where("near AND c <> g").select(F.col("c").alias("a"), F.col("g").alias("b")))
     left = saved(tested.groupBy("g").agg(F.count(F.when(~F.col("near"), 1)).alias("left")).where("left > 0").select("g"), "left")
-    open_ = saved(tested.groupBy("g", "c").agg(F.min("near").alias("near")).join(left, "g"), "open")
+    open_ = saved(tested.groupBy("g", "c").agg(F.min("near").alias("near"), F.max("size").alias("size")).join(left, "g"), "open")
 
     # what the smallest does not join meets the rest in the nodes of the trees
     def tickets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in grouped(batches, "node"):
-            node, g, near, cut, out = p["node"].to_numpy(), p["g"].to_numpy(), p["near"].to_numpy(), None, []
+            node, g, c, near, size = (p[k].to_numpy() for k in ("node", "g", "c", "near", "size"))
             sketch = np.frombuffer(b"".join(p["sketch"]), np.uint8).reshape(len(p), -1)
-            cut = runs(node)
+            cut, rows, parts, query = runs(node), [], [], []
             for s, e in zip(cut[:-1], cut[1:], strict=True):
                 pair = alike_bytes(sketch[s:e], least) & (g[s:e][:, None] == g[s:e][None]) & ~(near[s:e][:, None] & near[s:e][None])
                 np.fill_diagonal(pair, False)
-                out.append(s + np.flatnonzero(pair.any(1)))
-            p = p.iloc[np.concatenate(out)]
-            yield pa.RecordBatch.from_arrays([pa.array(p[k], t) for k, t in (("node", pa.int64()), ("g", pa.int64()), ("c", pa.int64()), ("near", pa.bool_()))], ["node", "g", "c", "near"])
+                for q, k, some, asks in block_pairs(pair, g[s:e], c[s:e], near[s:e], size[s:e]):
+                    rows.append(s + some)
+                    parts.append(np.full(len(some), q << 20 | k))
+                    query.append(asks)
+            if rows:
+                at = np.concatenate(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((node[at], pa.int64()), (np.concatenate(parts), pa.int64()), (c[at], pa.int64()), (near[at], pa.bool_()), (np.concatenate(query), pa.bool_()))], ["node", "pair", "c", "near", "query"])
 
     again = classes.join(open_.select("c").distinct(), "c", "left_semi").select("c", "sig")
     small, crowds = nodes(saved(again, "again"), percent / 100, SMALL, hash_bytes)
-    asked = reduce(DataFrame.unionByName, small).join(open_, "c").repartition("node").sortWithinPartitions("node", "c").mapInArrow(tickets, "node long, g long, c long, near boolean")
-    asked = asked.select(F.xxhash64("node", "g").alias("part"), "c", "near", (~F.col("near")).alias("query"))
+    asked = reduce(DataFrame.unionByName, small).join(open_, "c").repartition("node").sortWithinPartitions("node", "c").mapInArrow(tickets, "node long, pair long, c long, near boolean, query boolean")
+    asked = asked.select(F.xxhash64("node", "pair").alias("part"), "c", "near", "query")
     if crowds is not None:  # all that is left in a crowd against all of it, in blocks
-        crowd = saved(crowds.join(open_, "c").select("node", "g", "c", "near"), "crowd")
-        blocks = crowd.groupBy("node", "g").agg(F.count(F.when(~F.col("near"), 1)).alias("nl"), F.count("*").alias("na")).where("nl > 0").select("node", "g", F.ceil(F.col("nl") / BLOCK).alias("nl"), F.ceil(F.col("na") / BLOCK).alias("na"))
+        crowd = saved(crowds.join(open_, "c").select("node", "g", "c", "near", "size"), "crowd")
+        some = lambda which: F.ceil(F.greatest(F.count(F.when(which, 1)) / BLOCK, F.sum(F.when(which, F.col("size"))) / BLOCK_BYTES))
+        blocks = crowd.groupBy("node", "g").agg(some(~F.col("near")).alias("nl"), some(F.lit(True)).alias("na")).where("nl > 0")
         rows = crowd.join(saved(blocks, "blocks"), ["node", "g"])
         part_of = lambda n: F.pmod(F.xxhash64("c"), F.col(n))
         each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
