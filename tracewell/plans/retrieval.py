@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import retrieval as R
+from ..operators import stored_index as I
+from ..sources.shared import shared_dir, written
 from .registry import query
 from .source import FINGERPRINT
 from .views import ctes, view
 
+TFIDF = "i AS (SELECT term, ln((n + 1) / (df + 1)) + 1 AS idf FROM dfs, tot), w AS (SELECT doc, term, tf * idf AS w FROM post JOIN i USING (term)), nm AS (SELECT doc, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc), qw AS (SELECT q, term, idf AS qw FROM qs JOIN i USING (term)), qn AS (SELECT q, sqrt(sum(qw * qw)) AS qn FROM qw GROUP BY q), sc AS (SELECT q, doc, round(sum(qw * w) / (any_value(norm) * any_value(qn)), 6) AS score FROM qw JOIN w USING (term) JOIN nm USING (doc) JOIN qn USING (q) GROUP BY q, doc)"
 TOK = "regexp_extract_all(lower(content), '[a-z][a-z0-9_]{2,}')"
 POST = f"post AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc_id AS doc, unnest({TOK}) AS term FROM corpus) GROUP BY 1, 2), dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term), dls AS (SELECT doc, sum(tf) AS dl FROM post GROUP BY doc), tot AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dls)"
 # queries: the different words of the first lines of a few documents
@@ -44,7 +49,38 @@ def retrieval_bm25(spark, d):
 sc AS (SELECT q, doc, round(sum(qw * w) / (any_value(norm) * any_value(qn)), 6) AS score FROM qw JOIN w USING (term) JOIN nm USING (doc) JOIN qn USING (q) GROUP BY q, doc) {rank_sql('sc', 10)}""")
 def retrieval_tfidf(spark, d):
     c = corpus(spark, d)
-    return R.tfidf(R.postings(c), queries_of(c), 10)
+    return R.tfidf(written(R.postings(c), "postings"), queries_of(c), 10)
+
+
+def stored(c):
+    """An index that was built of an older corpus (some documents unknown, some with other words), then brought up to all of it; its path."""
+    path = f"{shared_dir(c.sparkSession)}/indexes/{uuid.uuid4().hex}"
+    old = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("outdated words "), "path")).otherwise(F.col("content"))
+    older = c.withColumn("content", old).withColumn("mtime", F.lit(1)).where("doc_id % 11 <> 0")
+    I.update(c.sparkSession, path, older)
+    I.update(c.sparkSession, path, c.withColumn("mtime", F.when(F.col("doc_id") % 7 == 0, 2).otherwise(1)))
+    return path
+
+
+@query("retrieval_stored_bm25", ctes("corpus") + f", {POST}, {QS}, {BM} {rank_sql('sc', 20)}")
+def retrieval_stored_bm25(spark, d):
+    """Search of a stored index after an update; every document is in it."""
+    c = corpus(spark, d)
+    return I.bm25(spark, stored(c), queries_of(c), 20)
+
+
+@query("retrieval_stored_tfidf", ctes("corpus") + f", {POST}, {QS}, {TFIDF} {rank_sql('sc', 10)}")
+def retrieval_stored_tfidf(spark, d):
+    c = corpus(spark, d)
+    return I.tfidf(spark, stored(c), queries_of(c), 10)
+
+
+@query("retrieval_stored_status", ctes("corpus") + f", t AS (SELECT doc_type, len({TOK}) AS dl FROM corpus) SELECT doc_type, count(*) AS n, CAST(sum(dl) AS BIGINT) AS tokens FROM t GROUP BY doc_type")
+def retrieval_stored_status(spark, d):
+    """The state of a stored index after an update and a merge of all its segments."""
+    path = stored(corpus(spark, d))
+    I.merge(spark, path, 1 << 60)
+    return I.status(spark, path)
 
 
 @query("retrieval_weighted_postings", ctes("corpus") + f""", p AS (SELECT doc_id AS doc, regexp_replace(string_split(path, '/')[-1], '\\.[^.]*$', '') AS stem, list_filter(regexp_split_to_array(lower(path), '[/\\\\._-]'), lambda x: length(x) >= 2) AS parts FROM corpus), a AS (SELECT doc, unnest(CASE WHEN list_contains(parts, stem) THEN parts ELSE list_append(parts, stem) END) AS term, 5 AS w FROM p UNION ALL SELECT doc_id, unnest(regexp_extract_all(lower({FINGERPRINT}), '[a-z][a-z0-9_]{{2,}}')), 3 FROM corpus UNION ALL SELECT doc_id, unnest({TOK}), 1 FROM corpus)
