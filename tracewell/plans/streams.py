@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..sources import tail
+from ..sources.shared import shared_dir
 from ..streaming import monitors as S
 from ..streaming import registry as R
 from .monitors import LED
@@ -53,6 +57,19 @@ def monitor_ledger_fold(spark, d):
     return R.in_batch(R.LEDGER, ledger_events(view(spark, d, "accesses"))).select("pos", "action", "saved_tokens_est")
 
 
+@query("stream_log_tail", "SELECT event_type, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS users, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY event_type")
+def stream_log_tail(spark, d):
+    """Events written as logs of JSON lines, taken as a stream of byte spans over many triggers."""
+    logs = f"{shared_dir(spark)}/logs/{uuid.uuid4().hex}"
+    events = spark.read.parquet(f"{d}/events.parquet")
+    line = F.to_json(F.struct("event_id", "user_id", "event_type"))
+    events.repartitionByRange(8, "event_id").select(line).write.option("lineSep", "\n").text(logs)
+    tail.register(spark)
+    lines = spark.readStream.format("tail").options(path=logs, glob="part-*.txt", firstLook="all", maxBytes=str(256 << 10)).load()
+    rows = S.run_once(lines.select(F.from_json("line", "event_id long, user_id long, event_type string").alias("e")).select("e.*"), idle=True)
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("user_id").alias("users"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+
+
 def loop_calls(a):
     return a.selectExpr("CAST(user_id AS STRING) AS session_id", "pos", "pos AS turn", "CASE WHEN tool IN ('Edit', 'Bash') THEN 'm' || (k % 3) END AS file", "CASE WHEN tool IN ('Edit', 'Bash') THEN tool || '|' || (k % 3) END AS signature")
 

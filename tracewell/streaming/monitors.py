@@ -158,8 +158,8 @@ def loop_stages(calls: DataFrame) -> DataFrame:
     return calls.groupBy("session_id").applyInPandasWithState(step, LOOP_OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over what there is now; returns its result, written as Parquet to the shared folder.
+def run_once(stream: DataFrame, mode: str = "append", idle: bool = False) -> DataFrame:
+    """Runs a stream over what there is now; returns its result, written as Parquet to the shared folder. With `idle`, trigger after trigger until nothing new comes, for sources that bound what a trigger takes.
 
     Each batch has a folder of its own, which a repeated batch writes anew; in mode complete the last one holds the result.
     """
@@ -171,7 +171,13 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
         if batch not in batches:
             batches.append(batch)
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(write)
+    if idle:
+        query = writer.start()
+        query.processAllAvailable()
+        query.stop()
+    else:
+        writer.trigger(availableNow=True).start().awaitTermination()
     if not batches:
         return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(*(f"{path}/rows/{b}" for b in (batches[-1:] if mode == "complete" else batches)))
