@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import monitors as M
+from ..operators import reuse as U
 from ..operators.windows import compaction_windows
 from .registry import query
 from .views import ctes, view
@@ -97,6 +98,27 @@ def monitor_rederivation(spark, d):
     return M.rederivation(c, ["user_id"], "pos")
 
 
+# a repeat: at most 399 other signatures were used last since the signature's last use
+LRU = "c AS (SELECT 's' || CAST(user_id % 10 AS VARCHAR) AS session, pos, tool = 'Compact' AND pos % 20 = 0 AS compaction, tool || '|' || path AS signature FROM accesses), w AS (SELECT *, sum(CASE WHEN compaction THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY pos) AS win FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY session, win ORDER BY pos) AS nth, lag(pos) OVER (PARTITION BY session, signature ORDER BY pos) AS before, lead(pos) OVER (PARTITION BY session, signature ORDER BY pos) AS next FROM w WHERE NOT compaction), d AS (SELECT a.session, a.pos, count(b.pos) AS between FROM k a LEFT JOIN k b ON a.session = b.session AND b.pos > a.before AND b.pos < a.pos AND (b.next IS NULL OR b.next >= a.pos) WHERE a.before IS NOT NULL GROUP BY a.session, a.pos), r AS (SELECT k.session, k.pos, k.win, k.nth, coalesce(between < 400, FALSE) AS repeat FROM k LEFT JOIN d ON k.session = d.session AND k.pos = d.pos)"
+
+
+def recent_calls(spark, d):
+    c = view(spark, d, "accesses").selectExpr("'s' || CAST(user_id % 10 AS STRING) AS session_id", "pos", "tool = 'Compact' AND pos % 20 = 0 AS compaction", "tool || '|' || path AS signature")
+    return U.repeats(c)
+
+
+@query("monitor_recent_repeats", ctes("accesses") + f", {LRU} SELECT session, pos, CAST(win AS BIGINT) AS \"window\", nth, repeat FROM r")
+def monitor_recent_repeats(spark, d):
+    """Calls that repeat one of the last 400 distinct signatures of their session."""
+    return recent_calls(spark, d).select("session", "pos", "window", "nth", "repeat")
+
+
+@query("monitor_compaction_ledger", ctes("accesses") + f", {LRU} SELECT session, CAST(win AS BIGINT) AS \"window\", count(*) AS of, CAST(sum(CASE WHEN repeat THEN 1 ELSE 0 END) AS BIGINT) AS repeats, round(sum(CASE WHEN repeat THEN 1 ELSE 0 END) / count(*), 6) AS rate, count(*) = 40 AS whole FROM r WHERE win > 0 AND nth <= 40 GROUP BY 1, 2")
+def monitor_compaction_ledger(spark, d):
+    """Of the first 40 calls after each compaction, those that repeat what the session still remembers."""
+    return U.compaction_ledger(recent_calls(spark, d))
+
+
 @query("monitor_context_alerts", ctes("accesses") + ", w AS (SELECT pos, user_id, k * 50 AS t, sum(CASE WHEN tool = 'Compact' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY pos) AS wid FROM accesses), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, wid ORDER BY pos) AS n FROM w WHERE t >= 4800 * 0.8) SELECT user_id, CAST(wid AS BIGINT) AS window, pos FROM r WHERE n = 1")
 def monitor_context_alerts(spark, d):
     c = compaction_windows(view(spark, d, "accesses"), F.col("tool") == "Compact", ["user_id"], ["pos"]).withColumn("context_tokens", F.col("k") * 50)
