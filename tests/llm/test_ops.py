@@ -396,12 +396,11 @@ def test_op4_recall_many(spark):
     assert sum(found.values()) >= 0.99 * sum(true.values()) and all(found[k] <= true[k] for k in true)
 
 
-@pytest.mark.parametrize("limit", [1 << 60, 900])
+@pytest.mark.parametrize("limit", [1 << 60, 3000, 900])
 def test_op5_block_pairs(monkeypatch, limit):
-    """Every pair of which one is not near meets in some part, parts are bounded by rows and bytes, and clusters need few parts."""
+    """Every pair of which one is not near meets in some part, parts are bounded by bytes, and clusters need few parts."""
     import numpy as np
 
-    monkeypatch.setattr(op5_minhash, "BLOCK", 16)
     monkeypatch.setattr(op5_minhash, "BLOCK_BYTES", limit)
     rng = np.random.default_rng(5)
     n = 300
@@ -414,11 +413,11 @@ def test_op5_block_pairs(monkeypatch, limit):
     for q, k, rows, asks in op5_minhash.block_pairs(pair, g, c, near, size):
         assert (q, k) not in parts and not near[rows[asks]].any() and len(set(g[rows])) == 1
         parts.add((q, k))
-        assert len(rows) <= 2 * 16 and (limit > 900 or sum(size[rows]) <= 2 * 900 or 7 in rows)
+        assert sum(size[rows]) <= 2 * limit or 7 in rows
         met[np.ix_(rows[asks], rows)] = True
         rows_out += len(rows)
     assert not (pair & ~(met | met.T)).any()
-    assert rows_out < 12 * n
+    assert rows_out < 12 * n and (limit < 1 << 60 or rows_out <= n)
 
 
 def test_op5_large_texts(spark, monkeypatch):

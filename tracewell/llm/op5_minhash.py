@@ -7,7 +7,7 @@
 5. The components of confirmed links are the result.
 
 A pair of similarity s is together in a tree at DEPTH with probability s^4, so in none of the trees with (1 - s^4)^24: 7e-8 at 0.85. Where all nodes on the way are crowded down to the last depth, 0.977 of 2,000 pairs at a threshold of 0.85 met in some tree (0.990 at depth 12), 0.933 at a threshold of 0.8; of pairs 0.05 above it 0.998 and 0.989.
-A comparison on full sets or whole texts holds two blocks, each of at most BLOCK documents and BLOCK_BYTES of texts or sets, or one document that alone has more; where blocks are dealt by hash (large components with their smallest, crowds) these are means. A node of at most SMALL documents is compared by sketches in one task: 16 or 128 bytes a document. Rows grow with the documents: a set for each tree and each block that it may be alike to, and for each branch below a crowded node.
+A comparison on full sets or whole texts holds two blocks, each of at most BLOCK_BYTES of texts or sets, or one document that alone has more: small components have at most BLOCK documents, blocks of nodes at most SMALL; where blocks are dealt by hash (large components with their smallest, crowds) BLOCK documents and BLOCK_BYTES are means. A node of at most SMALL documents is compared by sketches in one task: 16 or 128 bytes a document. Rows grow with the documents: a set for each tree and each block that it may be alike to, and for each branch below a crowded node.
 
 Shingles are of `shingle` words (runs of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased), identified by a 64-bit hash, sets by 128 bits; a text with fewer words has one shingle, the whole sequence; one without words has none and links with nothing.
 Very long texts are whole sets like others. Nulls: a null text has no shingles. A null id is a document that links with nothing. Ids have to be whole numbers. An empty table has no rows; other columns are not read. Rows with the same id and different sets are distinct sets of that one id: n_shingles is each row's own, links of any of them count for the id.
@@ -193,15 +193,15 @@ def jaccard_links(sets: list[np.ndarray], percent: int, against: range | None =
 def block_pairs(pair: np.ndarray, g: np.ndarray, c: np.ndarray, near: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(block, block, rows, which of them ask) so that every pair of rows that may be alike, one of which is not near, is in one of them.
 
-    Rows that are joined by such pairs stand side by side, so few blocks of many have a pair. A block is of one component (g), and has at most BLOCK rows and BLOCK_BYTES, or one row.
+    Rows that are joined by such pairs stand side by side, so few blocks of many have a pair. A block is of one component (g), and has at most BLOCK_BYTES, or one row; its rows are a node's, SMALL at most.
     """
     order = np.lexsort((c, smallest_joined(pair, c), g))
     order = order[pair[order].any(1)]
-    block, at, n, volume = np.zeros(len(order), np.int64), 0, 0, 0
+    block, at, volume = np.zeros(len(order), np.int64), 0, 0
     for k, i in enumerate(order):
-        if k and (g[i] != g[order[k - 1]] or n == BLOCK or volume + size[i] > BLOCK_BYTES):
-            at, n, volume = at + 1, 0, 0
-        block[k], n, volume = at, n + 1, volume + int(size[i])
+        if k and (g[i] != g[order[k - 1]] or volume + size[i] > BLOCK_BYTES):
+            at, volume = at + 1, 0
+        block[k], volume = at, volume + int(size[i])
     cut = runs(block)
     near = near[order]
     pair = pair[np.ix_(order, order)]
