@@ -61,7 +61,7 @@ def file_references(prompt: Column) -> Column:
 
 def keyword_matches(keyword: Column, text: Column) -> Column:
     """Keywords of up to four characters match as words, longer ones anywhere."""
-    return F.when(F.length(keyword) <= 4, F.regexp_like(text, F.concat(F.lit(r"\b\Q"), keyword, F.lit(r"\E\b")))).otherwise(F.contains(text, keyword))
+    return F.when(F.length(keyword) <= 4, F.regexp_like(text, F.concat(F.lit(r"\b\Q"), F.replace(keyword, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b")))).otherwise(F.contains(text, keyword))
 
 
 def without_tags(prompt: Column, tags: list[str]) -> Column:

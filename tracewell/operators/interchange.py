@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .joins import contained
+from .needles import contained
 
 # Our names of an observation's fields, and theirs.
 FIELDS = {"id": "id", "session_id": "session_id", "timestamp": "timestamp", "tool_name": "tool", "observation_type": "type", "concepts": "concepts", "raw_tokens": "raw_tokens", "compressed_tokens": "compressed_tokens", "semantic_summary": "summary", "key_facts": "facts", "related_files": "files"}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .needles import contained
 
 
 def calls_with_results(uses: DataFrame, results: DataFrame) -> DataFrame:
@@ -26,24 +27,6 @@ def read_cost(reads: DataFrame, describes: DataFrame, injected: DataFrame, edite
     return per.select("turn_id", "path", kind.alias("kind"))
 
 
-GRAM = 4
-
-
-def contained(texts: DataFrame, needles: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by, text, needle): texts that contain a needle, within rows of equal `by` where given. Empty and null needles are in none.
-
-    Instead of comparing all pairs, each needle is looked up by the one of its pieces of four characters (a shorter needle is a piece itself) that the fewest texts have.
-    """
-    by = by or []
-    t, n = texts.select(*by, "text").where("text IS NOT NULL").distinct(), needles.select(*by, "needle").where("length(needle) > 0").distinct()
-    pieces = lambda c, k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))), lambda i: F.substring(c, i, k))
-    have = t.select(*by, "text", F.explode(F.array_distinct(F.flatten(F.array(*[pieces(F.col("text"), F.lit(k)) for k in range(1, GRAM + 1)])))).alias("gram"))
-    sizes = have.groupBy(*by, "gram").agg(F.count("*").alias("n"))
-    want = n.select(*by, "needle", F.explode(F.array_distinct(pieces(F.col("needle"), F.least(F.length("needle"), F.lit(GRAM))))).alias("gram"))
-    rare = want.join(sizes, [*by, "gram"], "left").groupBy(*by, "needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    return rare.join(have, [*by, "gram"]).where(F.contains("text", F.col("needle"))).select(*by, "text", "needle")
-
-
 def slashed(path: Column) -> Column:
     return F.replace(F.lower(path), F.lit("\\"), F.lit("/"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import joins as J
+from ..operators import needles as N
 from .registry import query
 from .views import ctes, view
 
@@ -91,6 +92,28 @@ def join_matched_predictions(spark, d):
     return g.select("id", J.matched_predictions(F.col("p"), F.col("a")).alias("m")).select("id", "m.*")
 
 
+GLOBS = """g AS (SELECT user_id, pos, CASE WHEN tool = 'Bash' THEN 'Glob' ELSE tool END AS tool, CASE WHEN tool <> 'Bash' THEN path WHEN k % 6 = 0 THEN 'mod' || CAST(k % 10 AS STRING) || '/*' WHEN k % 6 = 1 THEN '*_' || CAST(k AS STRING) || '.??' WHEN k % 6 = 2 THEN 'src/file_' || CAST(k % 9 AS STRING) || '[0-4].*' WHEN k % 6 = 3 THEN '**/file_[!1]?.md' WHEN k % 6 = 4 THEN 'mod[13]/file_*' ELSE 'file_' || CAST(k AS STRING) || '.ts' END AS path FROM accesses)"""
+
+
+def glob_calls(spark, d):
+    a = view(spark, d, "accesses")
+    return spark.sql("WITH " + GLOBS.replace("FROM accesses", "FROM {a}") + " SELECT CAST(user_id % 20 AS STRING) AS session_id, pos, tool, path FROM g", a=a)
+
+
+@query("join_reads_by_glob", ctes("accesses") + f", {GLOBS}, c AS (SELECT CAST(user_id % 20 AS VARCHAR) AS session_id, pos, tool, path FROM g), p AS (SELECT DISTINCT session_id, path FROM c WHERE tool = 'Edit'), s AS (SELECT DISTINCT session_id, path AS pat FROM c WHERE tool = 'Glob') SELECT session_id, path FROM p JOIN (SELECT DISTINCT session_id, path FROM c WHERE tool = 'Read') USING (session_id, path) UNION SELECT session_id, path FROM p JOIN s USING (session_id) WHERE (path GLOB pat) OR ((string_split(path, '/')[-1]) GLOB (string_split(pat, '/')[-1]))")
+def join_reads_by_glob(spark, d):
+    """Edited files that their session read, by name or by a glob."""
+    c = glob_calls(spark, d)
+    paths, reads, globs = (c.where(F.col("tool") == t).select("session_id", F.col("path").alias(n)) for t, n in (("Edit", "path"), ("Read", "path"), ("Glob", "glob")))
+    return N.read_files(paths, reads, globs, ["session_id"])
+
+
+@query("monitor_unread_edits", ctes("accesses") + f", {GLOBS}, c AS (SELECT CAST(user_id % 20 AS VARCHAR) AS session_id, pos, tool, path FROM g) SELECT session_id, pos, path FROM c e WHERE tool = 'Edit' AND NOT EXISTS (SELECT 1 FROM c r WHERE r.session_id = e.session_id AND r.pos < e.pos AND (r.tool = 'Read' AND r.path = e.path OR r.tool = 'Glob' AND ((e.path GLOB r.path) OR ((string_split(e.path, '/')[-1]) GLOB (string_split(r.path, '/')[-1])))))")
+def monitor_unread_edits(spark, d):
+    """Edits of files that neither a read nor a glob of the session covered before."""
+    return N.unread_edits(glob_calls(spark, d))
+
+
 @query("join_references_to_paths", ctes("accesses") + r""", p AS (SELECT DISTINCT path FROM accesses), r AS (SELECT DISTINCT k AS id, CASE k % 3 WHEN 0 THEN 'file_' || CAST(k AS VARCHAR) || '.py' WHEN 1 THEN 'mod' || CAST(k % 10 AS VARCHAR) || '/file_' || CAST(k AS VARCHAR) ELSE 'File_' || CAST(k AS VARCHAR) END AS ref FROM accesses),
 n AS (SELECT id, lower(ref) AS ref, regexp_replace(lower(ref), '\.[^./]*$', '') AS stem, string_split(lower(ref), '/')[-1] AS base FROM r), q AS (SELECT path, regexp_replace(path, '\.[^./]*$', '') AS stem, string_split(path, '/')[-1] AS base FROM p)
 SELECT DISTINCT id, path FROM n JOIN q ON q.base = n.base OR q.stem = n.stem OR ends_with(q.stem, '/' || n.stem) OR q.stem = n.base OR ends_with(q.stem, '/' || n.base)""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import caps as CP
 from ..functions import text as T
 from ..functions import words as W
+from ..operators import needles as N
 from .registry import query
 from .views import ctes, view
 
@@ -62,9 +63,24 @@ def text_file_references(spark, d):
 
 @query("text_keyword_matches", ctes("prompts") + r", k(keyword) AS (VALUES ('the'), ('and'), ('ation'), ('eresh')) SELECT keyword, count(*) AS n FROM k JOIN prompts ON CASE WHEN length(keyword) <= 4 THEN regexp_matches(lower(prompt), '\b' || keyword || '\b') ELSE contains(lower(prompt), keyword) END GROUP BY keyword")
 def text_keyword_matches(spark, d):
-    """Keywords are configuration: a small table, broadcast."""
+    """Each keyword is looked up by its rarest piece; equal prompts are looked at once and counted each."""
     k = spark.createDataFrame([("the",), ("and",), ("ation",), ("eresh",)], "keyword string")
-    return prompts(spark, d).join(F.broadcast(k), T.keyword_matches(F.col("keyword"), F.lower("prompt"))).groupBy("keyword").agg(F.count("*").alias("n"))
+    low = prompts(spark, d).select(F.lower("prompt").alias("text"))
+    return N.keyword_hits(low, k).join(low.groupBy("text").agg(F.count("*").alias("m")), "text").groupBy("keyword").agg(F.sum("m").alias("n"))
+
+
+# the files' keywords: beginnings of their sources' words
+FILE_WORDS = "fw AS (SELECT DISTINCT 'file_' || CAST(doc_id % 50 AS VARCHAR) AS file, substr(w, 1, CAST(2 + doc_id % 9 AS INT)) AS keyword FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM documents))"
+
+
+@query("text_files_by_keywords", ctes("prompts") + f""", {FILE_WORDS}, lp AS (SELECT DISTINCT prompt, lower(prompt) AS p FROM prompts),
+tok AS (SELECT DISTINCT prompt, unnest(regexp_extract_all(p, '[\\p{{L}}\\p{{N}}_]+')) AS keyword FROM lp), sub AS (SELECT DISTINCT prompt, substr(p, i, n) AS keyword FROM (SELECT prompt, p, unnest(range(1, length(p) + 1)) AS i FROM lp), range(5, 11) t(n) WHERE i + n - 1 <= length(p)),
+hit AS (SELECT prompt, file FROM tok JOIN fw USING (keyword) WHERE length(keyword) <= 4 UNION SELECT prompt, file FROM sub JOIN fw USING (keyword)) SELECT file, count(*) AS prompts FROM hit GROUP BY file""")
+def text_files_by_keywords(spark, d):
+    """Files by the prompts that one of their keywords activates: all words of the corpus as keywords, without a loop over them."""
+    w = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("w"))
+    words = w.select(F.concat(F.lit("file_"), (F.col("doc_id") % 50).cast("string")).alias("file"), F.expr("substring(w, 1, CAST(2 + doc_id % 9 AS INT))").alias("keyword"))
+    return N.activated(prompts(spark, d), words).groupBy("file").agg(F.count("*").alias("prompts"))
 
 
 @query("text_without_tags", r"SELECT page_id, length(trim(regexp_replace(regexp_replace(html, '<nav>.*?</nav>', '', 'gs'), '<style>.*?</style>', '', 'gs'))) AS n FROM pages")
