@@ -82,18 +82,3 @@ def stop_at_budget(rows: DataFrame, keys: list[str], order: list, size: Column,
     """Rows in order up to the first that does not fit: a running sum, since sizes are not negative."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
-
-
-def fill_budget(rows: DataFrame, keys: list[str], order: str, size: str, budget: int) -> DataFrame:
-    """Rows in order that fit what is left of the budget; others are skipped and the next ones tried. What is left depends on every row before, so a group's sizes are folded in order as one array."""
-    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("items"))
-    start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast(f"array<{rows.schema[order].dataType.simpleString()}>").alias("kept"))
-    step = lambda a, x: F.when(x["s"] <= a["left"], F.struct((a["left"] - x["s"]).alias("left"), F.array_append(a["kept"], x["o"]).alias("kept"))).otherwise(a)
-    return listed.select(*keys, F.explode(F.aggregate("items", start, step)["kept"]).alias(order))
-
-
-def diverse(scored: DataFrame, keys: list[str], k: int, per_dir: int = 3) -> DataFrame:
-    """The k best by 0.7 of the score less 0.045 for each better one of the same directory, of which at most three are taken."""
-    sib = F.row_number().over(Window.partitionBy(*keys, "dir").orderBy(F.desc("score"), "path"))
-    s = scored.withColumn("sib", sib).where(F.col("sib") <= per_dir).withColumn("value", F.round(0.7 * F.col("score") - 0.045 * (F.col("sib") - 1), 9))
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("value"), "path"))).where(F.col("rank") <= k)

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import budgets as B
 from ..operators import retrieval as R
 from ..operators import stored_index as I
 from ..sources.shared import shared_dir, written
@@ -133,13 +134,50 @@ s AS (SELECT session_id, list(id ORDER BY id) AS ids, list(tokens ORDER BY id) A
 SELECT session_id, unnest(r.k) AS id FROM f""")
 def budget_fill(spark, d):
     """Observations of a session in order that fit what is left of the budget."""
-    return R.fill_budget(view(spark, d, "observations"), ["session_id"], "id", "tokens", 20_000)
+    return B.fill(view(spark, d, "observations").select("session_id", "id", "tokens"), ["session_id"], ["id"], "tokens", 20_000).where("kept").select("session_id", "id")
 
 
 @query("budget_diverse", ctes("accesses") + ", s AS (SELECT project, path, string_split(path, '/')[1] AS dir, round(count(*) / 100.0::DOUBLE, 3) AS score FROM accesses GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY project, dir ORDER BY score DESC, path) AS sib FROM s), v AS (SELECT *, round(0.7::DOUBLE * score - 0.045::DOUBLE * (sib - 1), 9) AS value FROM b WHERE sib <= 3), r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY value DESC, path) AS rank FROM v) SELECT project, path, value, rank FROM r WHERE rank <= 8")
 def budget_diverse(spark, d):
     s = view(spark, d, "accesses").groupBy("project", "path").agg(F.round(F.count("*") / 100.0, 3).alias("score")).withColumn("dir", F.element_at(F.split("path", "/"), 1))
-    return R.diverse(s, ["project"], 8).select("project", "path", "value", "rank")
+    return B.diverse(s, ["project"], 8).select("project", "path", "value", "rank")
+
+
+# greedy steps over all users at once: the next of those that are left, by full directories, value and place
+GREEDY = """c AS MATERIALIZED (SELECT user_id, path, dir, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, path) AS ix, count(*) OVER (PARTITION BY user_id) AS n FROM (SELECT user_id, path, regexp_extract(path, '[^.]*$') AS dir, round(sum(k) / 100.0::DOUBLE, 3) AS score FROM accesses GROUP BY 1, 2)),
+g(user_id, step, taken, dirs, ix, value, fallback) AS (SELECT DISTINCT user_id, 0::BIGINT, []::BIGINT[], []::VARCHAR[], 0::BIGINT, NULL::DOUBLE, FALSE FROM c WHERE n > 12
+  UNION ALL SELECT user_id, step + 1, list_append(taken, b.ix), list_append(dirs, b.dir), b.ix, b.value, b.late FROM (
+    SELECT g.user_id, step, any_value(taken) AS taken, any_value(dirs) AS dirs, arg_min({'ix': c.ix, 'dir': c.dir, 'value': CASE WHEN len(list_filter(dirs, lambda d: d = c.dir)) < 3 THEN round(0.7::DOUBLE * score - 0.045::DOUBLE * len(list_filter(dirs, lambda d: d = c.dir)), 9) END, 'late': len(list_filter(dirs, lambda d: d = c.dir)) >= 3},
+      (CASE WHEN len(list_filter(dirs, lambda d: d = c.dir)) >= 3 THEN 1 ELSE 0 END, CASE WHEN len(list_filter(dirs, lambda d: d = c.dir)) >= 3 THEN 0 ELSE -round(0.7::DOUBLE * score - 0.045::DOUBLE * len(list_filter(dirs, lambda d: d = c.dir)), 9) END, c.ix)) AS b
+    FROM g JOIN c ON g.user_id = c.user_id AND NOT list_contains(taken, c.ix) WHERE step < 12 GROUP BY g.user_id, step))"""
+
+
+@query("budget_diverse_greedy", ctes("accesses").replace("WITH ", "WITH RECURSIVE ", 1) + f", {GREEDY} SELECT g.user_id, path, g.value, fallback, CAST(step AS INTEGER) AS rank FROM g JOIN c ON g.user_id = c.user_id AND g.ix = c.ix WHERE step > 0 UNION ALL SELECT user_id, path, NULL, FALSE, CAST(ix AS INTEGER) FROM c WHERE n <= 12")
+def budget_diverse_greedy(spark, d):
+    """Twelve files of each user over three kinds of files: nine by greedy steps, then the rest in order; short lists whole."""
+    s = view(spark, d, "accesses").groupBy("user_id", "path").agg(F.round(F.sum("k") / 100.0, 3).alias("score")).withColumn("dir", F.regexp_extract("path", "[^.]*$", 0))
+    return B.diverse(s, ["user_id"], 12).select("user_id", "path", "value", "fallback", "rank")
+
+
+LINES = "ln AS (SELECT session_id, id, CASE WHEN id % 9 = 0 THEN 0 WHEN id % 4 = 0 THEN 1 ELSE 2 END AS priority, tokens AS size, row_number() OVER (PARTITION BY session_id ORDER BY CASE WHEN id % 9 = 0 THEN 0 WHEN id % 4 = 0 THEN 1 ELSE 2 END, ts DESC, id) AS n FROM observations)"
+
+
+def lines(spark, d):
+    return view(spark, d, "observations").selectExpr("session_id", "id", "ts", "CASE WHEN id % 9 = 0 THEN 0 WHEN id % 4 = 0 THEN 1 ELSE 2 END AS priority", "tokens AS size")
+
+
+@query("budget_handback", ctes("observations").replace("WITH ", "WITH RECURSIVE ", 1) + f", {LINES}, f(session_id, n, rest, id, kept) AS (SELECT DISTINCT session_id, 0::BIGINT, 14900::BIGINT, NULL::BIGINT, FALSE FROM ln UNION ALL SELECT f.session_id, l.n, CASE WHEN size <= rest THEN rest - size ELSE rest END, l.id, size <= rest FROM f JOIN ln l ON l.session_id = f.session_id AND l.n = f.n + 1) SELECT session_id, id, rest AS \"left\", dropped FROM f JOIN (SELECT session_id, count(*) FILTER (NOT kept AND n > 0) AS dropped FROM f GROUP BY 1) USING (session_id) WHERE kept")
+def budget_handback(spark, d):
+    """Lines of a session by priority, newest first, that fit 15,000 less a reserve of 100 for the notice, with the number of those that did not."""
+    return B.handback(lines(spark, d), ["session_id"], ["priority", F.desc("ts"), "id"], "size", 15_000, 100).select("session_id", "id", "left", "dropped")
+
+
+@query("budget_context", ctes("observations").replace("WITH ", "WITH RECURSIVE ", 1) + f""", {LINES.replace("tokens AS size", "CASE WHEN id % 9 = 0 OR id % 4 = 0 THEN tokens ELSE tokens // 20 END AS size").replace("CASE WHEN id % 9 = 0 THEN 0 WHEN id % 4 = 0 THEN 1 ELSE 2 END", "CASE WHEN id % 9 = 0 OR id % 4 = 0 THEN 0 ELSE 1 END")}, f(session_id, n, rest, id, priority, open, kept) AS (SELECT DISTINCT session_id, 0::BIGINT, 9000::BIGINT, NULL::BIGINT, -1, TRUE, FALSE FROM ln
+  UNION ALL SELECT session_id, ln, CASE WHEN o AND size < rest THEN rest - size ELSE rest END, lid, lp, o, o AND size < rest FROM (SELECT f.session_id, f.rest, l.n AS ln, l.id AS lid, l.priority AS lp, l.size, CASE WHEN l.priority <> f.priority AND f.priority >= 0 THEN rest > 100 ELSE open END AS o FROM f JOIN ln l ON l.session_id = f.session_id AND l.n = f.n + 1) x) SELECT session_id, id, rest AS "left" FROM f WHERE kept""")
+def budget_context(spark, d):
+    """Whole files of a session that fit a budget, then brief lines on the others in what is left, if that is over a hundred."""
+    own = lines(spark, d).selectExpr("session_id", "id", "ts", "CASE WHEN id % 9 = 0 OR id % 4 = 0 THEN 0 ELSE 1 END AS phase", "CASE WHEN id % 9 = 0 OR id % 4 = 0 THEN size ELSE size DIV 20 END AS size")
+    return B.fill(own, ["session_id"], [F.desc("ts"), "id"], "size", 9000, strict=True, phase="phase", least_left=100).where("kept").select("session_id", "id", "left")
 
 
 @query("observation_recent", ctes("observations") + " SELECT id, session_id, ts FROM observations ORDER BY ts DESC, id LIMIT 10")
