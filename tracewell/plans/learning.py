@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import learning as L
+from ..operators import prediction as P
+from ..sources.shared import written
 from .registry import query
 from .text import INGEST, STOP, words_sql
 from .views import ctes, view
@@ -167,11 +169,11 @@ def learn_maturity(spark, d):
     return n.select("project", "turns", L.maturity(F.col("turns")).alias("maturity"), L.maturity_boost(F.col("turns")).alias("boost"))
 
 
-@query("learn_predictions", ctes("accesses") + """, s AS (SELECT pos, session_id, project, path, lag(path, 1) OVER w AS c1, lag(path, 2) OVER w AS c2 FROM accesses WINDOW w AS (PARTITION BY user_id ORDER BY pos)), b AS (SELECT c1, path, count(*) AS n FROM s WHERE c1 IS NOT NULL GROUP BY 1, 2), br AS (SELECT *, row_number() OVER (PARTITION BY c1 ORDER BY n DESC, path) AS r FROM b),
+@query("learn_predictions_by_sequence", ctes("accesses") + """, s AS (SELECT pos, session_id, project, path, lag(path, 1) OVER w AS c1, lag(path, 2) OVER w AS c2 FROM accesses WINDOW w AS (PARTITION BY user_id ORDER BY pos)), b AS (SELECT c1, path, count(*) AS n FROM s WHERE c1 IS NOT NULL GROUP BY 1, 2), br AS (SELECT *, row_number() OVER (PARTITION BY c1 ORDER BY n DESC, path) AS r FROM b),
 g AS (SELECT pos AS turn_id, br.path, least(8.0::DOUBLE, n * 0.6::DOUBLE) AS points, n >= 3 AND r = 1 AS sure FROM s JOIN br ON s.c1 = br.c1 WHERE r <= 5 AND n >= 2 UNION ALL SELECT pos, c1, 6.0, false FROM s WHERE c1 IS NOT NULL UNION ALL SELECT pos, c2, 3.0, false FROM s WHERE c2 IS NOT NULL),
 t AS (SELECT turn_id, path, round(sum(points), 6) AS score, max(CAST(sure AS INT)) AS c FROM g GROUP BY 1, 2), k AS (SELECT *, max(score) OVER (PARTITION BY turn_id) AS top, max(c) OVER (PARTITION BY turn_id) AS s, row_number() OVER (PARTITION BY turn_id ORDER BY score DESC, path) AS rank FROM t)
 SELECT turn_id, path, score, rank FROM k WHERE CASE WHEN s = 1 THEN rank <= 3 AND score >= top * 0.4::DOUBLE ELSE rank <= 2 END""")
-def learn_predictions(spark, d):
+def learn_predictions_by_sequence(spark, d):
     """Signals of what follows the last file and of the two last files themselves."""
     from pyspark.sql import Window
 
@@ -181,3 +183,47 @@ def learn_predictions(spark, d):
     seq = s.select("turn_id", "c1").join(follow, "c1").select("turn_id", "path", F.least(F.lit(8.0), F.col("n") * 0.6).alias("points"), ((F.col("n") >= 3) & (F.col("rank") == 1)).alias("sure"))
     recent = lambda c, p: s.where(f"{c} IS NOT NULL").select("turn_id", F.col(c).alias("path"), F.lit(p).alias("points"), F.lit(False).alias("sure"))
     return L.predicted(seq.unionByName(recent("c1", 6.0)).unionByName(recent("c2", 3.0)), F.col("sure"))
+
+
+SAID = "'please topic' || CAST(k % 23 AS STRING) || CASE k % 6 WHEN 0 THEN ' see mod' || CAST(k % 10 AS STRING) || '/file_' || CAST(k AS STRING) || '.py now' WHEN 1 THEN ' open file_' || CAST(k + 2 AS STRING) || '.md' WHEN 2 THEN ' about rare' || CAST(k AS STRING) ELSE '' END"
+MENTION, WORD = r"[\w./-]+\.(?:py|md|ts)", "[a-zA-Z][a-zA-Z0-9_-]{2,}"
+PREDICT = f"""tt AS MATERIALIZED (SELECT pos AS turn_id, path, k, user_id, {SAID} AS said FROM accesses),
+ctx AS MATERIALIZED (SELECT turn_id, path, said, lag(path, 1) OVER w AS r1, lag(path, 2) OVER w AS r2, lag(path, 3) OVER w AS r3, lag(path, 4) OVER w AS r4, lag(path, 5) OVER w AS r5 FROM tt WINDOW w AS (PARTITION BY user_id ORDER BY turn_id)),
+paths AS (SELECT DISTINCT path FROM tt), nm AS (SELECT lower(string_split(path, '/')[-1]) AS key, path FROM paths UNION SELECT regexp_replace(lower(string_split(path, '/')[-1]), '\\.[^.]*$', ''), path FROM paths),
+kc AS (SELECT word, path, count(*) AS n FROM (SELECT path, unnest(regexp_extract_all(lower(said), '{WORD}')) AS word FROM tt) GROUP BY 1, 2), sk AS (SELECT word, path FROM (SELECT *, sum(n) OVER (PARTITION BY word) AS total, row_number() OVER (PARTITION BY word ORDER BY n DESC, path) AS r FROM kc) WHERE length(word) >= 4 AND total >= 3 AND r = 1 AND n / total >= 0.7),
+f1 AS (SELECT *, row_number() OVER (PARTITION BY r1 ORDER BY n DESC, path) AS r FROM (SELECT r1, path, count(*) AS n FROM ctx WHERE r1 IS NOT NULL GROUP BY 1, 2)), f2 AS (SELECT *, row_number() OVER (PARTITION BY r2, r1 ORDER BY n DESC, path) AS r FROM (SELECT r2, r1, path, count(*) AS n FROM ctx WHERE r2 IS NOT NULL GROUP BY 1, 2, 3)),
+us AS (SELECT DISTINCT user_id, path FROM tt), co AS (SELECT *, row_number() OVER (PARTITION BY used ORDER BY n DESC, path) AS r FROM (SELECT a.path AS used, b.path AS path, count(*) AS n FROM us a JOIN us b ON a.user_id = b.user_id AND a.path <> b.path GROUP BY 1, 2)),
+pop AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY n DESC, path) AS r FROM (SELECT string_split(path, '/')[1] AS project, path, count(*) AS n FROM tt GROUP BY 1, 2)),
+rc AS (SELECT turn_id, r1 AS path, 1 AS i FROM ctx UNION ALL SELECT turn_id, r2, 2 FROM ctx UNION ALL SELECT turn_id, r3, 3 FROM ctx UNION ALL SELECT turn_id, r4, 4 FROM ctx UNION ALL SELECT turn_id, r5, 5 FROM ctx),
+mt AS (SELECT turn_id, unnest(list_distinct(regexp_extract_all(said, '{MENTION}'))) AS m FROM tt),
+sg AS (SELECT turn_id, m AS path, 25.0::DOUBLE AS points, TRUE AS sure FROM mt WHERE contains(m, '/') UNION ALL SELECT turn_id, path, 15.0, TRUE FROM mt JOIN nm ON key = regexp_replace(lower(string_split(m, '/')[-1]), '\\.[^.]*$', '') UNION ALL SELECT turn_id, path, 18.0, TRUE FROM mt JOIN nm ON key = lower(string_split(m, '/')[-1]) UNION ALL SELECT turn_id, NULL, 0.0, TRUE FROM mt
+  UNION ALL SELECT turn_id, sk.path, 10.0, TRUE FROM (SELECT DISTINCT turn_id, unnest(regexp_extract_all(lower(said), '{WORD}')) AS word FROM tt) JOIN sk USING (word)
+  UNION ALL SELECT turn_id, f1.path, least(8.0::DOUBLE, n * 0.6::DOUBLE), r = 1 AND n >= 3 FROM ctx JOIN f1 ON ctx.r1 = f1.r1 WHERE r <= 5 AND n >= 2
+  UNION ALL SELECT turn_id, f2.path, least(10.0::DOUBLE, n * 1.0::DOUBLE), r = 1 AND n >= 2 FROM ctx JOIN f2 ON ctx.r1 = f2.r1 AND ctx.r2 = f2.r2 WHERE r <= 3
+  UNION ALL SELECT turn_id, path, 6.0::DOUBLE / i, FALSE FROM rc WHERE path IS NOT NULL
+  UNION ALL SELECT turn_id, co.path, least(4.0::DOUBLE, n * 0.4::DOUBLE), FALSE FROM rc JOIN co ON rc.path = co.used WHERE i <= 3 AND r <= 5 AND n >= 2),
+sr AS (SELECT turn_id, max(sure) AS sure FROM sg GROUP BY 1), pj AS (SELECT turn_id, string_split(r1, '/')[1] AS project FROM ctx),
+al AS (SELECT * FROM sg UNION ALL SELECT pj.turn_id, pop.path, 3.0::DOUBLE / r, FALSE FROM pj JOIN pop USING (project) LEFT JOIN sr ON sr.turn_id = pj.turn_id WHERE r <= 5 AND NOT coalesce(sure, FALSE)),
+sc AS (SELECT turn_id, path, round(sum(points) * any_value(CASE WHEN project IS NULL OR string_split(path, '/')[1] = project THEN 1.0::DOUBLE ELSE 0.15::DOUBLE END), 6) AS score FROM al JOIN pj USING (turn_id) WHERE path IS NOT NULL GROUP BY 1, 2),
+rk AS (SELECT sc.*, coalesce(sure, FALSE) AS sure, row_number() OVER (PARTITION BY turn_id ORDER BY score DESC, path) AS rank, max(score) OVER (PARTITION BY turn_id) AS top FROM sc LEFT JOIN sr USING (turn_id))"""
+
+
+@query("learn_predictions", ctes("accesses") + f", {PREDICT} SELECT turn_id, path, score, sure, rank FROM rk WHERE CASE WHEN sure THEN rank <= 3 AND score >= top * 0.4::DOUBLE ELSE rank <= 2 END")
+def learn_predictions(spark, d):
+    """The files of each access predicted from what was said and done before it, by all seven signals."""
+    from pyspark.sql import Window
+
+    a = accesses(spark, d).select(F.col("pos").alias("turn_id"), "path", "user_id", F.expr(SAID).alias("said"))
+    w = Window.partitionBy("user_id").orderBy("turn_id")
+    words = F.regexp_extract_all(F.lower("said"), F.lit(WORD), F.lit(0))
+    turns = a.select("turn_id", "path", F.regexp_extract_all("said", F.lit(MENTION), F.lit(0)).alias("mentions"), words.alias("words"), F.collect_list("path").over(w.rowsBetween(-5, -1)).alias("recent"))
+    turns = written(turns, "turns")  # read for each signal
+    last, before = F.try_element_at("recent", F.lit(-1)), F.try_element_at("recent", F.lit(-2))
+    seen = turns.select("path", last.alias("last"), before.alias("before"))
+    follows = seen.where("last IS NOT NULL").groupBy("last", "path").agg(F.count("*").alias("n"))
+    follows_two = seen.where("before IS NOT NULL").groupBy("before", "last", "path").agg(F.count("*").alias("n"))
+    strong = L.strong_keywords(a.select("path", F.explode(words).alias("word")).groupBy("word", "path").agg(F.count("*").alias("count")))
+    pairs = L.pairs(a.select(F.col("user_id").alias("turn_id"), "path").distinct(), ["turn_id"]).withColumnRenamed("shared", "n")
+    together = pairs.select(F.col("a").alias("path"), F.col("b").alias("related"), "n").unionByName(pairs.select(F.col("b").alias("path"), F.col("a").alias("related"), "n"))
+    popular = L.top_n(a.groupBy(P.project_of(F.col("path")).alias("project"), "path").agg(F.count("*").alias("n")), ["project"], [F.desc("n"), F.asc("path")], 20)
+    return P.predict(turns, P.names_of(a), strong, follows, follows_two, together, popular)
