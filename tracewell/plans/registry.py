@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 FLAGSHIP = "usage_window_stats"
-MODULES = ("usage", "text", "learning", "windows", "joins", "retrieval", "reports", "experiments", "monitors", "streams", "routing", "source", "upkeep")
+MODULES = ("usage", "text", "learning", "windows", "joins", "retrieval", "reports", "experiments", "monitors", "streams", "routing", "source", "upkeep", "logs")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
