@@ -10,6 +10,7 @@ from ..sources import tail
 from ..sources.shared import shared_dir
 from ..streaming import monitors as S
 from ..streaming import registry as R
+from ..streaming import witness as W
 from .monitors import LED
 from .registry import query
 from .views import TABLES, VIEWS, ctes, view
@@ -70,6 +71,35 @@ def stream_log_tail(spark, d):
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("user_id").alias("users"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
 
 
+HOOKS = "hk AS (SELECT CAST(user_id % 40 AS STRING) AS session_id, event_id AS hook, ts FROM {events} WHERE event_type = 'signup' AND event_id % 3 <> 0)"
+MARKS = "mk AS (SELECT CAST(user_id % 40 AS STRING) AS session_id, event_id AS marker, ts FROM {events} WHERE event_type = 'signup' UNION ALL SELECT CAST(user_id % 40 AS STRING), event_id, ts FROM {events} WHERE event_type = 'signup' AND event_id % 5 = 0)"
+WITNESS = "WITH " + HOOKS.format(events="events") + ", " + MARKS.format(events="events") + ", m AS (SELECT session_id, marker, min(ts) AS ts FROM mk GROUP BY 1, 2), j AS (SELECT m.session_id, m.marker, m.ts, count(hook) = 0 AS missed FROM m LEFT JOIN hk h ON h.session_id = m.session_id AND h.ts BETWEEN m.ts - INTERVAL 5 MINUTE AND m.ts + INTERVAL 5 MINUTE GROUP BY 1, 2, 3) SELECT session_id, marker, missed, CAST(sum(CASE WHEN missed THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts, marker ROWS UNBOUNDED PRECEDING) AS BIGINT) AS so_far FROM j"
+
+
+def told(spark, events):
+    """The hooks that fired and the markers of all compactions, some of them twice."""
+    return tuple(spark.sql(f"WITH {cte} SELECT * FROM {name}", events=events).withColumn("ts", F.col("ts").cast("timestamp")) for name, cte in (("hk", HOOKS), ("mk", MARKS)))
+
+
+@query("monitor_missed_compactions", WITNESS)
+def monitor_missed_compactions(spark, d):
+    """Compactions by their markers, and those that no hook told of."""
+    return W.missed(W.witnessed(*told(spark, spark.read.parquet(f"{d}/events.parquet")))).select("session_id", "marker", "missed", "so_far")
+
+
+@query("stream_missed_compactions", WITNESS)
+def stream_missed_compactions(spark, d):
+    """The same by an outer join of two streams; a last hook and marker, far behind all others, bring the watermarks to the end."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    end = f"{shared_dir(spark)}/ends/{uuid.uuid4().hex}/events.parquet"
+    last = events.agg(*[F.max(c).alias(c) for c in events.columns]).where("ts IS NOT NULL").withColumn("event_type", F.lit("signup")).withColumn("event_id", F.lit(-1).cast(events.schema["event_id"].dataType))
+    days = F.expr("INTERVAL 30 DAYS")
+    last.select(*[(F.col(c) + days).cast(events.schema[c].dataType).alias(c) if c == "ts" else F.col(c).cast(events.schema[c].dataType).alias(c) for c in events.columns]).write.parquet(end)
+    both = S.stream_of(spark, d, "events").unionByName(S.stream_of(spark, end.rsplit("/", 1)[0], "events"))
+    found = S.run_once(W.witnessed(*told(spark, both)))
+    return W.missed(found.where("marker >= 0")).select("session_id", "marker", "missed", "so_far")
+
+
 def loop_calls(a):
     return a.selectExpr("CAST(user_id AS STRING) AS session_id", "pos", "pos AS turn", "CASE WHEN tool IN ('Edit', 'Bash') THEN 'm' || (k % 3) END AS file", "CASE WHEN tool IN ('Edit', 'Bash') THEN tool || '|' || (k % 3) END AS signature")
 
