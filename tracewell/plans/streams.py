@@ -10,6 +10,7 @@ from ..sources import tail
 from ..sources.shared import shared_dir
 from ..streaming import monitors as S
 from ..streaming import registry as R
+from ..streaming import sessions as N
 from ..streaming import witness as W
 from .monitors import LED
 from .registry import query
@@ -100,6 +101,36 @@ def stream_missed_compactions(spark, d):
     return W.missed(found.where("marker >= 0")).select("session_id", "marker", "missed", "so_far")
 
 
+EVENTS = """se AS (SELECT 's' || CAST(user_id % 30 AS STRING) AS session_id, pos, CASE WHEN tool = 'Edit' THEN 'edit' WHEN tool = 'Read' THEN 'read' WHEN tool = 'Compact' THEN CASE k % 9 WHEN 0 THEN 'precompact' WHEN 1 THEN 'marker' WHEN 2 THEN 'start' ELSE 'stop' END WHEN tool = 'Bash' THEN CASE k % 11 WHEN 0 THEN 'commit' WHEN 1 THEN 'note' ELSE 'stop' END WHEN k % 2 = 0 THEN 'output' ELSE 'stop' END AS event,
+  path, CAST(k % 2 AS STRING) AS range, CASE WHEN tool = 'Error' THEN k * 100 ELSE k * 12 END AS tokens, CASE WHEN tool = 'Compact' THEN k * 40 + 3000 ELSE k * 50 END AS context FROM {accesses})"""
+# all sessions a step at a time; reads give a void here, their decisions are tested by loops
+MESSAGES = """ev AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY pos) AS n FROM se),
+st(session_id, n, pos, win, edits, commits, noted, alerted, since, pending, comp, kind, value) AS (SELECT DISTINCT session_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, -1::BIGINT, -1::BIGINT, 0::BIGINT, 0::BIGINT, []::BIGINT[], '', 0::BIGINT FROM ev
+  UNION ALL SELECT session_id, n, pos, CASE WHEN event = 'precompact' THEN win + 1 ELSE win END, CASE WHEN event = 'edit' THEN edits + 1 ELSE edits END, CASE WHEN event = 'commit' THEN commits + 1 ELSE commits END, CASE WHEN event = 'note' THEN win ELSE noted END, CASE WHEN alert THEN win ELSE alerted END,
+    CASE WHEN event = 'start' THEN 25 WHEN event = 'stop' AND nudge THEN 0 WHEN event = 'stop' THEN since + 1 ELSE since END, CASE WHEN event = 'marker' THEN pending + 1 WHEN event = 'read' THEN 0 ELSE pending END, CASE WHEN event = 'precompact' THEN list_append(comp, context)[-8:] ELSE comp END,
+    CASE WHEN alert THEN 'alert' WHEN nudge THEN 'nudge' WHEN event = 'start' THEN 'handback' WHEN event = 'read' AND pending > 0 THEN 'void' WHEN event = 'output' AND tokens > 6000 THEN 'cap' ELSE '' END, CASE WHEN alert THEN context WHEN nudge THEN edits WHEN event = 'start' THEN win WHEN event = 'read' THEN pending ELSE 4240 END
+  FROM (SELECT *, NOT alert AND event = 'stop' AND noted <> win AND (edits >= 6 OR commits > 0) AND since + 1 >= 25 AS nudge FROM (SELECT s.session_id, e.n, e.pos, win, edits, commits, noted, alerted, since, pending, comp, event, context, tokens, event = 'stop' AND len(comp) > 0 AND context > 0 AND context >= CAST(floor(list_min(comp) * 0.8::DOUBLE) AS BIGINT) AND alerted <> win AS alert FROM st s JOIN ev e ON e.session_id = s.session_id AND e.n = s.n + 1)))"""
+SESSION_SQL = ctes("accesses").replace("WITH ", "WITH RECURSIVE ", 1) + ", " + EVENTS.format(accesses="accesses") + f", {MESSAGES} SELECT session_id, pos, kind, value FROM st WHERE kind <> ''"
+READS = ["allow", "notice", "deny", "held"]
+
+
+def session_events(spark, accesses):
+    return spark.sql("WITH " + EVENTS.replace("{accesses}", "{a}") + " SELECT * FROM se", a=accesses)
+
+
+@query("monitor_session_messages", SESSION_SQL)
+def monitor_session_messages(spark, d):
+    """What a session's events call for beside the decisions on its reads: alerts, nudges, hand-backs, voids and caps."""
+    return N.messages(session_events(spark, view(spark, d, "accesses"))).where(~F.col("kind").isin(READS))
+
+
+@query("stream_session_messages", SESSION_SQL)
+def stream_session_messages(spark, d):
+    """The same as a stream."""
+    a = spark.sql(TABLES.sub(lambda m: "{" + m[1] + "}", VIEWS["accesses"]), events=S.stream_of(spark, d, "events"))
+    return S.run_once(N.message_stream(session_events(spark, a), expire=False)).where(~F.col("kind").isin(READS))
+
+
 def loop_calls(a):
     return a.selectExpr("CAST(user_id AS STRING) AS session_id", "pos", "pos AS turn", "CASE WHEN tool IN ('Edit', 'Bash') THEN 'm' || (k % 3) END AS file", "CASE WHEN tool IN ('Edit', 'Bash') THEN tool || '|' || (k % 3) END AS signature")
 
