@@ -8,6 +8,7 @@ from ..functions import code as C
 from ..functions import source as S
 from ..operators.learning import top_n
 from ..sources import logs
+from ..operators import outlines as O
 from .registry import query
 from .views import ctes, view
 
@@ -219,3 +220,25 @@ def source_pushed_commits(spark, d):
     c = view(spark, d, "commits").groupBy("commit_idx").agg(F.collect_list(F.expr("path || CASE WHEN commit_idx % 4 = 0 THEN '.md' ELSE '.py' END")).alias("files"))
     pushes = c.selectExpr("'r' || (commit_idx % 9) AS repo_name", "commit_idx AS created_at", "array(named_struct('message', 'change number ' || commit_idx, 'is_distinct', commit_idx % 3 <> 0, 'files', concat(files, files))) AS commits")
     return logs.pushed_commits(pushes, 500, most=4).withColumn("changed_files", F.array_join("changed_files", " "))
+
+
+SCANNED = """d AS (SELECT path, line, end_line, depth, kind, name, signature FROM (
+  SELECT path, unnest(CASE language
+    WHEN 'python' THEN [{'line': 1, 'end_line': 4 + n, 'depth': 0, 'kind': 'class', 'name': 'C' || doc_id, 'signature': 'class C' || doc_id}, {'line': 3 + n, 'end_line': 4 + n, 'depth': 1, 'kind': 'function', 'name': 'run', 'signature': 'def run(self, a)'}, {'line': 5 + n, 'end_line': 5 + n, 'depth': 0, 'kind': 'function', 'name': 'top', 'signature': 'def top()'}]
+    WHEN 'typescript' THEN [{'line': 2 + n, 'end_line': 4 + n, 'depth': 0, 'kind': 'class', 'name': 'S' || doc_id, 'signature': 'export class S' || doc_id}, {'line': 3 + n, 'end_line': 3 + n, 'depth': 1, 'kind': 'method', 'name': 'get', 'signature': 'get(k: string)'}]
+    WHEN 'go' THEN [{'line': 2, 'end_line': 4 + n, 'depth': 0, 'kind': 'struct', 'name': 'T' || doc_id, 'signature': 'type T' || doc_id || ' struct'}, {'line': 5 + n, 'end_line': 5 + n, 'depth': 0, 'kind': 'function', 'name': 'Run', 'signature': 'func (t T) Run()'}]
+    WHEN 'rust' THEN [{'line': 1, 'end_line': 3 + n, 'depth': 0, 'kind': 'impl', 'name': 'T' || doc_id, 'signature': 'impl T' || doc_id}, {'line': 2 + n, 'end_line': 2 + n, 'depth': 1, 'kind': 'function', 'name': 'go', 'signature': 'fn go(&self)'}]
+    WHEN 'java' THEN [{'line': 1, 'end_line': 3 + n, 'depth': 0, 'kind': 'class', 'name': 'J' || doc_id, 'signature': 'class J' || doc_id}, {'line': 2 + n, 'end_line': 2 + n, 'depth': 1, 'kind': 'method', 'name': 'get', 'signature': 'int get(int a)'}]
+    ELSE [{'line': 1, 'end_line': 1 + n, 'depth': 0, 'kind': 'function', 'name': 'f' || doc_id, 'signature': 'static int f' || doc_id || '(int a)'}] END, recursive := true) FROM modules))"""
+
+
+@query("source_scanned_outlines", ctes("modules") + f", {SCANNED} SELECT path, CAST(line AS INTEGER) AS line, CAST(end_line AS INTEGER) AS end_line, CAST(depth AS INTEGER) AS depth, kind, name, signature FROM d")
+def source_scanned_outlines(spark, d):
+    """Definitions with their first and last lines, however long the comments and strings in them."""
+    return O.outlines(view(spark, d, "modules"))
+
+
+@query("source_outlines_in_lines", ctes("modules") + f", {SCANNED} SELECT path, string_agg(repeat('    ', CAST(depth AS INTEGER)) || signature, chr(10) ORDER BY line, depth, signature) AS outline FROM d GROUP BY path")
+def source_outlines_in_lines(spark, d):
+    """A file's signatures in lines."""
+    return O.source_outlines(view(spark, d, "modules"))

@@ -73,6 +73,16 @@ SELECT doc_id, path, language, CASE language
   ELSE 'import ' || chr(39) || 'package:app/svc/file_' || CAST(t AS STRING) || '.dart' || chr(39) || ';' || chr(10) || 'import ' || chr(39) || 'dart:io' || chr(39) || ';' || chr(10) || 'abstract class W_' || CAST(doc_id AS STRING) || '' || chr(10) || '  Future<int> load_' || CAST(doc_id AS STRING) || '()' || chr(10) || '  void print(int a)' END AS content, t
 FROM (SELECT doc_id, (doc_id - 5 * (CAST(floor(doc_id / 5) AS BIGINT) % 3)) AS t, CASE doc_id % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'javascript' WHEN 3 THEN 'go' ELSE 'dart' END AS language,
   CASE WHEN doc_id % 5 = 4 THEN 'apps/a' || CAST(doc_id % 3 AS STRING) || '/lib/svc' ELSE 'pkg' || CAST(doc_id % 9 AS STRING) END || '/file_' || CAST(doc_id AS STRING) || CASE doc_id % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' WHEN 2 THEN '.js' WHEN 3 THEN '.go' ELSE '.dart' END AS path FROM {documents}) AS s""",
+    # modules of six languages that hold a document's text in a comment or string; n counts its lines' ends
+    "modules": """
+SELECT doc_id, 'm/' || CAST(doc_id AS STRING) AS path, language, n, CASE language
+  WHEN 'python' THEN 'class C' || CAST(doc_id AS STRING) || ':' || chr(10) || '    ""' || '"' || t || '""' || '"' || chr(10) || '    def run(self, a):' || chr(10) || '        return ' || chr(123) || '"x": "def no():"' || chr(125) || '' || chr(10) || 'def top(): pass'
+  WHEN 'typescript' THEN '/* ' || t || ' */' || chr(10) || 'export class S' || CAST(doc_id AS STRING) || ' ' || chr(123) || '' || chr(10) || '  get(k: string) ' || chr(123) || ' return `' || chr(125) || '` ' || chr(125) || '' || chr(10) || '' || chr(125) || ''
+  WHEN 'go' THEN '// x ' || chr(123) || '' || chr(10) || 'type T' || CAST(doc_id AS STRING) || ' struct ' || chr(123) || '' || chr(10) || '  v int /* ' || t || ' */' || chr(10) || '' || chr(125) || '' || chr(10) || 'func (t T) Run() ' || chr(123) || '' || chr(125) || ''
+  WHEN 'rust' THEN 'impl T' || CAST(doc_id AS STRING) || ' ' || chr(123) || ' /* ' || t || ' */' || chr(10) || '  fn go(&self) ' || chr(123) || ' ' || chr(125) || '' || chr(10) || '' || chr(125) || ''
+  WHEN 'java' THEN 'class J' || CAST(doc_id AS STRING) || ' ' || chr(123) || ' String s; /* ' || t || ' */' || chr(10) || '  int get(int a) ' || chr(123) || ' return 1; ' || chr(125) || '' || chr(10) || '' || chr(125) || ''
+  ELSE 'static int f' || CAST(doc_id AS STRING) || '(int a) ' || chr(123) || ' /* ' || t || ' */ return 0; ' || chr(125) || '' END AS content
+FROM (SELECT doc_id, t, length(t) - length(replace(t, chr(10), '')) AS n, CASE doc_id % 6 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'go' WHEN 3 THEN 'rust' WHEN 4 THEN 'java' ELSE 'c' END AS language FROM (SELECT doc_id, replace(replace(coalesce(text, ''), '"', ''), '*/', '') AS t FROM {documents}) AS q) AS s""",
     # a page of notes for each document
     "pages_md": """
 SELECT doc_id, source || '/my-note_' || CAST(doc_id AS STRING) || '.md' AS path,
