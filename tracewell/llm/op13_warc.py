@@ -36,7 +36,7 @@ RECORDS = "file string, offset long, size long, record_id string, kind string, d
 def member(kind: str, record: str, headers: list[tuple[str, str | None]], block: bytes) -> bytes:
     """One record as a gzip member."""
     head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{record}>", *(f"{k}: {v}" for k, v in headers if v is not None), f"Content-Length: {len(block)}"]
-    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    z = zlib.compressobj(4, zlib.DEFLATED, 31)
     return z.compress("\r\n".join(["WARC/1.1", *head, "", ""]).encode() + block + b"\r\n\r\n") + z.flush()
 
 
