@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.code import fingerprint
 from ..functions.text import index_tokens, path_tokens
-from .retrieval import B, FIELDS, K1, ranked
+from ..sources.shared import written
+from .retrieval import B, FIELDS, K1, best, by_cosine, ranked
 
 #: Bytes of a row group; a search with at most so many terms filters the scan by them, one with more joins the lists.
 ROW_GROUP, PUSHED_TERMS = 1 << 20, 200
@@ -98,12 +99,11 @@ def _write(spark: SparkSession, path: str, gen: int, docs: DataFrame, postings:
 
 
 def _table(spark: SparkSession, path: str, segments: list[Segment], table: str) -> DataFrame:
-    """A table of some segments; but for tombstones, with the generation of each row."""
-    each = []
-    for s in segments:
-        df = spark.read.parquet(f"{path}/segments/{s.name}/{table}")
-        each.append(df if table == "gone" else df.withColumn("gen", F.lit(s.gen)))
-    return reduce(DataFrame.unionByName, each)
+    """A table of some segments in one scan; but for tombstones, with the generation of each row, which its folder's name begins with."""
+    df = spark.read.parquet(*(f"{path}/segments/{s.name}/{table}" for s in segments))
+    if table == "gone":
+        return df
+    return df.withColumn("gen", F.regexp_extract(F.col("_metadata.file_path"), r"/segments/(\d+)-[0-9a-f]+/[^/]+/[^/]+$", 1).cast("int"))
 
 
 def _alive(spark: SparkSession, path: str, now: Manifest, rows: DataFrame) -> DataFrame:
@@ -205,36 +205,34 @@ def lists(spark: SparkSession, path: str, terms: DataFrame) -> DataFrame:
 
 
 def bm25(spark: SparkSession, path: str, queries: DataFrame, k: int) -> DataFrame:
-    """(q, doc, score, rank): the k best documents of each query (q, term), from the lists of its terms alone; the totals are the manifest's."""
+    """(q, doc, score, rank): the k best documents of each query (q, term), from the lists of its terms alone; the totals are of the documents that have terms."""
     now = manifest(spark, path)
-    terms = queries.select("q", "term").distinct()
-    if not now.docs:
+    terms = written(queries.select("q", "term").distinct(), "asked")
+    n = _with_terms(spark, path) if now.docs else 0
+    if not n:
         return ranked(terms.where("false").select("q", F.lit(None).cast("long").alias("doc"), F.lit(0.0).alias("score")), k)
     hit = lists(spark, path, terms)
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.ln(1 + (F.lit(now.docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(now.tokens / now.docs)))
+    df = written(hit.groupBy("term").agg(F.count("*").alias("df")), "df")
+    idf = F.ln(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(now.tokens / n)))
     s = hit.join(df, "term").select("term", "doc", (idf * tf).alias("s"))
-    return ranked(terms.join(s, "term").groupBy("q", "doc").agg(F.round(F.sum("s"), 6).alias("score")), k)
+    return best(s, terms.withColumn("w", F.lit(1.0)), df, k)
+
+
+def _with_terms(spark: SparkSession, path: str) -> int:
+    """How many live documents have terms; others count in no statistic of a search."""
+    return live_docs(spark, path).where("dl > 0").count()
 
 
 def tfidf(spark: SparkSession, path: str, queries: DataFrame, k: int) -> DataFrame:
-    """(q, doc, score, rank) by cosine. The norm of a document is over all its terms and every term's idf changes with the corpus, so norms are summed anew, of the documents that a query's lists name."""
+    """(q, doc, score, rank) by cosine. The norm of a document is over all its terms and every term's idf changes with the corpus, so norms are summed anew."""
     now = manifest(spark, path)
-    terms = queries.select("q", "term").distinct()
-    weight = lambda df: F.ln((F.lit(now.docs) + 1) / (F.col(df) + 1)) + 1
-    hit = lists(spark, path, terms)
-    hit = hit.join(hit.groupBy("term").agg(F.count("*").alias("df")), "term").select("term", "doc", "tf", weight("df").alias("idf"))
-    asked = terms.join(hit.select("term", "idf").distinct(), "term")
-    qn = asked.groupBy("q").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("qn"))
-    dots = asked.select("q", "term").join(hit, "term").groupBy("q", "doc").agg(F.sum(F.col("idf") * F.col("idf") * F.col("tf")).alias("dot"))
-    all_ = _alive(spark, path, now, _table(spark, path, now.segments, "postings"))
-    idf = all_.groupBy("term").agg(F.count("*").alias("df")).select("term", weight("df").alias("idf"))
-    named = all_.join(hit.select("doc").distinct(), "doc", "left_semi").select("term", "doc", "tf")
-    w = F.col("tf") * F.col("idf")
-    norm = named.join(idf, "term").groupBy("doc").agg(F.sqrt(F.sum(w * w)).alias("norm"))
-    scored = dots.join(norm, "doc").join(qn, "q").select("q", "doc", F.round(F.col("dot") / (F.col("norm") * F.col("qn")), 6).alias("score")).where("score > 0")
-    return ranked(scored, k)
+    terms = written(queries.select("q", "term").distinct(), "asked")
+    if not now.docs:
+        return ranked(terms.where("false").select("q", F.lit(None).cast("long").alias("doc"), F.lit(0.0).alias("score")), k)
+    post = _alive(spark, path, now, _table(spark, path, now.segments, "postings")).select("term", "doc", "tf")
+    df = written(post.groupBy("term").agg(F.count("*").alias("df")), "df")
+    return by_cosine(post, df, terms, F.lit(_with_terms(spark, path)), k)
 
 
 def status(spark: SparkSession, path: str) -> DataFrame:

@@ -43,7 +43,7 @@ def retrieval_postings(spark, d):
 @query("retrieval_bm25", ctes("corpus") + f", {POST}, {QS}, {BM} {rank_sql('sc', 20)}")
 def retrieval_bm25(spark, d):
     c = corpus(spark, d)
-    return R.bm25(R.postings(c), queries_of(c), 20)
+    return R.bm25(written(R.postings(c), "postings"), queries_of(c), 20)
 
 
 @query("retrieval_tfidf", ctes("corpus") + f""", {POST}, {QS}, i AS (SELECT term, ln((n + 1) / (df + 1)) + 1 AS idf FROM dfs, tot), w AS (SELECT doc, term, tf * idf AS w FROM post JOIN i USING (term)), nm AS (SELECT doc, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc), qw AS (SELECT q, term, idf AS qw FROM qs JOIN i USING (term)), qn AS (SELECT q, sqrt(sum(qw * qw)) AS qn FROM qw GROUP BY q),
@@ -97,7 +97,7 @@ EMB = "e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE
 def retrieval_reranked(spark, d):
     c = corpus(spark, d)
     e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    found = R.bm25(R.postings(c), queries_of(c), 20).select("q", "doc", "score")
+    found = R.bm25(written(R.postings(c), "postings"), queries_of(c), 20).select("q", "doc", "score")
     return R.reranked(found, e.withColumnRenamed("vec_id", "doc"), e.select(F.col("vec_id").alias("q"), F.col("v").alias("qv")), 10)
 
 
