@@ -26,3 +26,12 @@ def test_page_keywords(spark):
     pages = [("docs/my-note_a.md", "# The Deep-part of it\nplain **Bold term** and `tick_word`\n## Deep again\n"), ("d/x.md", ""), ("guide/Setup.md", "**only bold** ## not a heading `abc` `ABCD`")]
     got = spark.createDataFrame(pages, "path string, text string").select(S.page_keywords(F.col("path"), F.col("text")).alias("k")).collect()
     assert [r.k for r in got] == [plain(*p) for p in pages]
+
+
+def test_all_notes_by_prefix(spark):
+    """The only note that begins so, or all that do."""
+    from tracewell.operators import monitors as M
+
+    notes = spark.createDataFrame([(9999,), (99991,), (123,)], "id long")
+    assert M.by_prefix(notes, "9999").count() == 0 and M.by_prefix(notes, "12").count() == 1
+    assert sorted(r.id for r in M.by_prefix(notes, "9999", only=False).collect()) == [9999, 99991]

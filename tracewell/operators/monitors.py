@@ -100,9 +100,11 @@ def current_notes(notes: DataFrame, now: int, hours: int = 72) -> DataFrame:
     return notes.join(gone, "id", "left_anti").where(F.lit(now) - F.col("noted_at") <= hours * 3600)
 
 
-def by_prefix(notes: DataFrame, prefix: str) -> DataFrame:
-    """The note whose id begins so, if only one does."""
+def by_prefix(notes: DataFrame, prefix: str, only: bool = True) -> DataFrame:
+    """The note whose id begins so, if only one does; without `only` all that do."""
     found = notes.where(F.startswith(F.col("id").cast("string"), F.lit(prefix)))
+    if not only:
+        return found
     one = found.agg(F.count("*").alias("_n"))
     return found.crossJoin(F.broadcast(one)).where("_n = 1").drop("_n")
 
