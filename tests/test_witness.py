@@ -50,3 +50,20 @@ def test_streams(spark, tmp_path):
     assert len(rows) == len(set(rows)) and sum(m == 20 for _, m, _, _ in rows) == 1
     # the hook at 60 came when the watermark was at 490
     assert ("a", 12, None) in seen[3]
+
+
+def test_spans_of_time(spark):
+    """Rows of a session meet those of near times only, and what decides about a marker gives what all pairs give: at borders, before the epoch, with hooks that come twice."""
+    times = [timedelta(seconds=s) for s in (-301, -300, -299, -1, 0, 1, 299, 300, 301, 599, 600, 601, 900)]
+    zero = datetime(1970, 1, 1)
+    hooks = spark.createDataFrame([(s, k, zero + t) for s in "ab" for k, t in enumerate(times[:6] if s == "a" else times[::5])] + [("a", 0, zero + timedelta(hours=3)), (None, 1, zero), ("a", None, zero + timedelta(hours=9)), ("a", 77, None)], HOOKS)
+    markers = spark.createDataFrame([(s, k * 10 + n, zero + t + timedelta(microseconds=n - 1)) for s in ("a", "b", "c", None) for k, t in enumerate(times) for n in range(3)] + [("a", 900, zero + timedelta(hours=3)), ("a", 901, zero + timedelta(hours=9))], MARKERS)
+    h, m = [r for r in hooks.collect() if r.ts and r.session_id and r.hook is not None], markers.collect()
+    first = {}
+    for r in h:
+        first[r.session_id, r.hook] = min(r.ts, first.get((r.session_id, r.hook), r.ts))
+    want = {(r.session_id, r.marker): not any(s == r.session_id and abs(t - r.ts) <= timedelta(minutes=5) for (s, _), t in first.items()) for r in m}
+    pairs = W.witnessed(hooks, markers)
+    assert {(r.session_id, r.marker): r.missed for r in W.missed(pairs).collect()} == want
+    assert {(r.session_id, r.marker): r.missed for r in W.counted(W.unwitnessed(hooks, markers)).collect()} == want
+    assert "_at" in pairs._jdf.queryExecution().optimizedPlan().toString()

@@ -85,7 +85,7 @@ def told(spark, events):
 @query("monitor_missed_compactions", WITNESS)
 def monitor_missed_compactions(spark, d):
     """Compactions by their markers, and those that no hook told of."""
-    return W.missed(W.witnessed(*told(spark, spark.read.parquet(f"{d}/events.parquet")))).select("session_id", "marker", "missed", "so_far")
+    return W.counted(W.unwitnessed(*told(spark, spark.read.parquet(f"{d}/events.parquet")))).select("session_id", "marker", "missed", "so_far")
 
 
 @query("stream_missed_compactions", WITNESS)
