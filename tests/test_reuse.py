@@ -57,3 +57,14 @@ def test_one_long_session(spark):
     ranged = found.groupBy("window").count().count()
     assert ranged == 201 or ranged == 200
     assert 0.25 < found.selectExpr("avg(CAST(repeat AS INT))").first()[0] < 0.55
+
+
+def test_task_words_once(spark):
+    """Task words between ASCII borders, looked for only where a text has them at all; null is exploration."""
+    from tracewell.functions import text as T
+
+    rows = [("fix the bug", "bug_fix"), ("prefix debugs", "exploration"), ("look  at it, look_at", "exploration"), ("please LOOK AT", "review"), ("éfixé", "bug_fix"), ("", "exploration"), (None, "exploration"), ("add fix", "bug_fix"), ("new_add", "exploration")]
+    df = spark.createDataFrame(rows, "t string, want string")
+    assert [(r.t, r.got) for r in df.select("t", T.task_type(df.t).alias("got")).collect()] == rows
+    plan = df.select(T.task_type(df.t))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("rlike") == plan.lower().count("contains(") and plan.lower().count("rlike") < 80

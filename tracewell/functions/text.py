@@ -91,14 +91,20 @@ def task_type(text: Column, files: Column | None = None) -> Column:
     name_of = lambda f: F.element_at(F.split(f, "/"), -1)
     settings = F.exists(files, lambda f: F.regexp_like(name_of(f), F.lit(r".\.(json|yaml|yml)$"))).cast("int") * 2
     tests = F.exists(files, lambda f: F.contains(name_of(f), F.lit(".test.")) | F.contains(name_of(f), F.lit("_test."))).cast("int")
-    counts = []
-    for k, (name, ws) in enumerate(W.TASK_WORDS.items()):
-        n = sum((F.regexp_like(low, F.lit(rf"\b{w}\b")).cast("int") for w in ws), F.lit(0))
-        place = F.when(n == 0, -len(W.TASK_WORDS)).otherwise(-k) if name == "review" else F.lit(-k)
-        more = settings if name == "config" else tests if name == "review" else F.lit(0)
-        counts.append(F.struct((n + more).alias("n"), place.alias("k"), F.lit(name).alias("name")))
-    best = F.greatest(*counts)
-    return F.when(best["n"] > 0, best["name"]).otherwise("exploration")
+    # only words that are somewhere in the text are looked for between borders
+    has = lambda low, w: F.when(F.contains(low, F.lit(w)), F.regexp_like(low, F.lit(rf"(?:^|[^a-zA-Z0-9_]){w}(?:$|[^a-zA-Z0-9_])"))).otherwise(False)
+
+    def kind(low: Column) -> Column:
+        counts = []
+        for k, (name, ws) in enumerate(W.TASK_WORDS.items()):
+            n = sum((has(low, w).cast("int") for w in ws), F.lit(0))
+            place = F.when(n == 0, -len(W.TASK_WORDS)).otherwise(-k) if name == "review" else F.lit(-k)
+            more = settings if name == "config" else tests if name == "review" else F.lit(0)
+            counts.append(F.struct((n + more).alias("n"), place.alias("k"), F.lit(name).alias("name")))
+        return F.greatest(*counts)
+
+    name = F.transform(F.transform(F.array(low), kind), lambda best: F.when(best["n"] > 0, best["name"]).otherwise("exploration"))
+    return F.when(text.isNull(), "exploration").otherwise(F.element_at(name, 1))
 
 
 def intents(text: Column) -> Column:
