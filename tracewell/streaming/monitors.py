@@ -5,7 +5,10 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +62,27 @@ def fold_ledger(state: dict, rows: pd.DataFrame, notice_least: int = 400, notice
     return out
 
 
+def in_order(frames: Iterator[pd.DataFrame], order: str, rows: int = 20_000) -> Iterator[pd.DataFrame]:
+    """A key's rows in order, some at a time. Until the last has come they are held as numbers: each different string once, and four bytes where it stands."""
+    known: dict[str, dict] = {}
+    held: dict[str, list[np.ndarray]] = {}
+    for frame in frames:
+        for c in frame:
+            if pd.api.types.is_numeric_dtype(frame[c]):
+                held.setdefault(c, []).append(frame[c].to_numpy())
+                continue
+            codes, values = pd.factorize(frame[c])
+            ids = known.setdefault(c, {})
+            at = np.array([*(ids.setdefault(v, len(ids)) for v in values), -1], "int32")
+            held.setdefault(c, []).append(at[codes])  # the last one stands for null
+    columns = {c: np.concatenate(held.pop(c)) for c in list(held)}
+    values = {c: np.array([*ids, None], object) for c, ids in known.items()}
+    place = np.argsort(columns[order], kind="stable") if columns else []
+    for k in range(0, len(place), rows):
+        part = place[k:k + rows]
+        yield pd.DataFrame({c: values[c][v[part]] if c in values else v[part] for c, v in columns.items()})
+
+
 def ledger_decisions(events: DataFrame, expire: bool = True) -> DataFrame:
     """Read decisions by ledger with keyed state: an entry for each file of the present compaction window; with `expire` gone after a day without events (such a stream runs on; without it, one over what there is now can end).
 
@@ -69,13 +93,12 @@ def ledger_decisions(events: DataFrame, expire: bool = True) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(frames)).sort_values("pos")
         now = json.loads(state.get[0]) if state.exists else {"compactions": 0, "edits": {}, "entries": {}}
-        out = fold_ledger(now, rows)
+        for rows in in_order(frames, "pos"):
+            yield pd.DataFrame([(key[0], *o) for o in fold_ledger(now, rows)], columns=["ledger", "pos", "action", "saved_tokens_est"])
         state.update((json.dumps(now),))
         if expire:
             state.setTimeoutDuration(86_400_000)
-        yield pd.DataFrame([(key[0], *o) for o in out], columns=["ledger", "pos", "action", "saved_tokens_est"])
 
     return events.groupBy("ledger").applyInPandasWithState(step, LEDGER_OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
 
@@ -105,10 +128,12 @@ def fold_loops(state: dict, rows: pd.DataFrame, last: int = 20, per_file: int =
     A turn without calls cools an active loop, a second one ends it; work on other files ends it; a repeated loop of another severity escalates.
     """
     out = []
-    for _, turn in rows.groupby("turn", sort=True):
-        work = turn[turn["signature"].notna()]
-        pos = int(turn["pos"].max())
-        if work.empty:
+    rows = rows[rows["turn"].notna()].sort_values("turn", kind="stable")
+    for _, turn in groupby(zip(rows["turn"], rows["pos"], rows["file"], rows["signature"], strict=True), key=itemgetter(0)):
+        turn = list(turn)
+        work = [(f, s) for _, _, f, s in turn if s is not None and s == s]
+        pos = int(max(r[1] for r in turn))
+        if not work:
             if state["file"]:
                 state["idle"] += 1
                 if state["stage"] == "cooling" or state["idle"] >= 2:
@@ -118,18 +143,20 @@ def fold_loops(state: dict, rows: pd.DataFrame, last: int = 20, per_file: int =
                     out.append((pos, state["file"], 0, state["severity"], "cooling"))
             continue
         state["idle"] = 0
-        if state["file"] and state["file"] not in set(work["file"]):
+        if state["file"] and all(state["file"] != f for f, _ in work):
             state.update(file=None, severity=None, stage=None)
             continue
-        state["attempts"] = (state["attempts"] + [list(a) for a in zip(work["file"], work["signature"], strict=True)])[-last:]
+        state["attempts"] = (state["attempts"] + [list(a) for a in work])[-last:]
         found = None
         for f in dict.fromkeys(a[0] for a in state["attempts"]):
             sigs = [s for g, s in state["attempts"] if g == f][-per_file:]
             if len(sigs) < 3:
                 continue
             most = max(sigs.count(s) for s in sigs)
-            like = sum(alike(sigs[-1], s) >= 0.7 for s in sigs)
-            n = len(sigs) if len(set(sigs[-3:])) == 1 else most if most >= 3 else like if like >= 3 else 0
+            n = len(sigs) if len(set(sigs[-3:])) == 1 else most if most >= 3 else 0
+            if not n:
+                like = sum(alike(sigs[-1], s) >= 0.7 for s in sigs)
+                n = like if like >= 3 else 0
             if n:
                 found = (f, n)
                 break
