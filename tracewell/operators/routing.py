@@ -21,6 +21,11 @@ def capped(score: Column, add: Column) -> Column:
     return F.least(F.lit(1.0), score + F.coalesce(add, F.lit(0.0)))
 
 
+def in_order(points: str) -> Column:
+    """The sum of different points, the largest first: a score at the border of a tier is the same whatever order its rows come in. A list is of one session's links to one file."""
+    return F.aggregate(F.sort_array(F.collect_list(points), asc=False), F.lit(0.0), lambda s, p: s + p)
+
+
 def attention_turn(state: DataFrame, activated: DataFrame, coactive: DataFrame, imports: DataFrame, cochange: DataFrame, pinned: DataFrame, demoted: DataFrame, rhythm: DataFrame | None = None) -> DataFrame:
     """The state after a turn: (session, path, score, streak, tier).
 
@@ -34,7 +39,7 @@ def attention_turn(state: DataFrame, activated: DataFrame, coactive: DataFrame,
 
     a = act.select("session", F.col("path").alias("src"))
     near = lambda edges, points: a.join(edges, "src").select("session", F.col("dst").alias("path"), points.alias("p"))
-    add = lambda rows, name, how=F.sum: rows.groupBy("session", "path").agg(how("p").alias(name))
+    add = lambda rows, name, how: rows.groupBy("session", "path").agg(how("p").alias(name))
     back = lambda e: e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     one = near(coactive, F.lit(COACTIVE))
     two = one.select("session", F.col("path").alias("src")).distinct().join(coactive, "src").select("session", F.col("dst").alias("path"), F.lit(TRANSITIVE).alias("p"))
@@ -44,7 +49,7 @@ def attention_turn(state: DataFrame, activated: DataFrame, coactive: DataFrame,
     names = s.groupBy("session", name.alias("name")).agg(F.min("path").alias("path"))
     want = F.when(F.startswith(T.basename(F.col("src")), F.lit("test_")), F.substring(T.basename(F.col("src")), 6, 1000)).otherwise(F.concat(F.lit("test_"), T.basename(F.col("src"))))
     paired = a.withColumn("name", want).join(names, ["session", "name"]).select("session", "path", F.lit(PAIRED).alias("p"))
-    for rows, c, how in ((one, "p1", F.sum), (two, "p2", F.max), (imported, "p3", F.sum), (changed, "p4", F.sum), (paired, "p5", F.sum)):
+    for rows, c, how in ((one, "p1", F.sum), (two, "p2", F.max), (imported, "p3", in_order), (changed, "p4", in_order), (paired, "p5", F.sum)):
         s = s.join(add(rows, c, how), ["session", "path"], "left")
     s = s.withColumn("score", capped(F.col("score"), F.col("p1")))
     s = s.withColumn("score", F.when((F.col("score") < WARM) & ~F.col("direct"), capped(F.col("score"), F.col("p2"))).otherwise(F.col("score")))
