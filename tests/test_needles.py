@@ -64,3 +64,28 @@ def test_unread_edits(spark):
     calls = [("s", 1, "Edit", "a/b.py"), ("s", 2, "Glob", "*.py"), ("s", 3, "Edit", "a/b.py"), ("s", 4, "Edit", "c.ts"), ("s", 5, "Read", "c.ts"), ("s", 6, "Edit", "c.ts"), ("t", 7, "Edit", "c.ts"), ("t", 8, "Glob", "x/[cd].ts"), ("t", 9, "Edit", "c.ts")]
     df = spark.createDataFrame(calls, "session_id string, pos long, tool string, path string")
     assert sorted(tuple(r) for r in N.unread_edits(df).collect()) == [("s", 1, "a/b.py"), ("s", 4, "c.ts"), ("t", 7, "c.ts")]
+
+
+def test_files_of_prompts(spark):
+    """Every keyword of each length against a loop; hits move as numbers, without their texts, whatever pieces the keywords share."""
+    r = random.Random(6)
+    texts = [t for t in TEXTS if t] + ["".join(r.choice("ab c+.\u00fc_") for _ in range(r.randrange(1, 40))) for _ in range(60)]
+    keywords = {(f"f{r.randrange(150)}", t[i : i + n]) for t in texts for n in (1, 2, 3, 4, 5, 7, 12, 13, 30) for i in [r.randrange(len(t))]} | {("f1", "X" * 13), ("f2", "\u00dcR"), ("f3", ""), (None, "code"), ("f4", None)}
+    want = {(t, f) for t in texts for f, w in keywords if w and (re.search(rf"\b{re.escape(w.lower())}\b", t.lower()) if len(w) <= 4 else w.lower() in t.lower())}
+    k = spark.createDataFrame(sorted(keywords, key=str), "file string, keyword string")
+    got = [tuple(x) for x in N.activated(spark.createDataFrame([(t,) for t in texts + texts[:3]], "prompt string"), k).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_hits_move_without_their_texts(spark):
+    """Prompts are not shuffled by their text, and hits carry a number instead."""
+    prompts = spark.range(300).selectExpr("concat('prompt of abcdefgh ', id) AS prompt")
+    keywords = spark.range(400).selectExpr("concat('file', id) AS file", "substring('abcdefgh', 1 + CAST(id % 2 AS INT), 5) AS keyword")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = N.activated(prompts, keywords).groupBy("file").count()
+        assert found.where("count = 300").count() == 400
+        assert "hashpartitioning(text" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

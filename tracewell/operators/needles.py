@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import fnmatch
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,8 @@ from ..sources.shared import written
 GRAM = 4
 #: Keywords of at most so many characters match whole words only.
 SHORT = 4
+#: Keywords of at most so many characters are looked up as they are; files whose marks share a number; characters of prompts that a task cuts.
+WHOLE, MARKS, TASK_CHARS = 12, 64, 1 << 19
 #: What is not literal in a glob: closed sets, stars and question marks.
 WILD = r"\[!?\]?[^\]]*\]|[*?]"
 
@@ -60,11 +63,55 @@ def keyword_hits(texts: DataFrame, keywords: DataFrame) -> DataFrame:
     return looked_up(t, n, lambda c: c.where(T.keyword_matches(F.col("needle"), F.col("text"))), []).withColumnRenamed("needle", "keyword")
 
 
+def whole_words(texts: DataFrame) -> DataFrame:
+    """(tid, keyword) of texts (tid, text): the pieces of at most SHORT characters between two word borders."""
+    cut = texts.select("tid", F.split("text", r"\b").alias("cut"), F.regexp_like("text", F.lit(r"\A\b")).cast("int").alias("led"))
+    # no border ends what follows the last one, and none may begin what comes before the first
+    parts = cut.select("tid", F.slice("cut", 2 - F.col("led"), F.greatest(F.size("cut") - 2 + F.col("led"), F.lit(0))).alias("parts")).where(F.size("parts") > 0)
+    runs = lambda k: F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.array_join(F.slice("parts", i, k), ""))
+    words = F.array_distinct(F.filter(F.flatten(F.array(*[runs(k) for k in range(1, SHORT + 1)])), lambda w: F.length(w).between(1, SHORT)))
+    return parts.select("tid", F.explode(words).alias("keyword"))
+
+
+def numbered(prompts: DataFrame) -> DataFrame:
+    """(tid, prompt): each prompt once, with a number of its own."""
+    return written(prompts.select("prompt").where("prompt IS NOT NULL").distinct().withColumn("tid", F.monotonically_increasing_id()), "prompts")
+
+
+def files_of(prompts: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(tid, file), each once: files one of whose keywords is in a prompt, in any case. prompts: tid, prompt (as `numbered` gives them); keywords: file, keyword.
+
+    Prompts meet keywords, of which there may be very many, by equality: a prompt gives its whole words of at most SHORT characters and its pieces of each other length that a keyword has, so no candidate is wrong and no text moves with one. Longer keywords than WHOLE are looked up by their rarest piece. The files of a keyword are bits of numbers, MARKS files to a number, so that a prompt's hits are one number each and not a row for each file.
+    """
+    spark = prompts.sparkSession
+    words = keywords.select("file", F.lower("keyword").alias("keyword")).where("length(keyword) > 0")
+    files = words.select("file").distinct().withColumn("id", F.monotonically_increasing_id())
+    files = written(files.select("file", F.floor(F.col("id") / MARKS).alias("bucket"), F.expr(f"shiftleft(1L, CAST(id % {MARKS} AS INT))").alias("mark")), "files")
+    known = files.withColumnRenamed("file", "of")
+    marks = written(words.join(known, F.col("file").eqNullSafe(F.col("of"))).groupBy("keyword", "bucket").agg(F.bit_or("mark").alias("marks")), "marks")
+    sizes = sorted(r[0] for r in marks.select(F.least(F.length("keyword"), F.lit(WHOLE + 1))).distinct().collect())  # 1 to WHOLE + 1
+
+    chars = prompts.agg(F.sum(F.length("prompt"))).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, min(20_000, chars // TASK_CHARS))
+    texts = prompts.select("tid", F.lower("prompt").alias("text")).repartition(tasks, "tid")
+    pieces = [whole_words(texts)] if sizes and sizes[0] <= SHORT else []
+    if inner := [n for n in sizes if SHORT < n <= WHOLE]:
+        each = texts.select("tid", "text", F.explode(F.array(*map(F.lit, inner))).alias("n")).where("length(text) >= n")
+        pieces.append(each.select("tid", F.explode(F.array_distinct(grams(F.col("text"), F.col("n")))).alias("keyword")))
+    if sizes and sizes[-1] > WHOLE:
+        long = keyword_hits(texts, marks.where(F.length("keyword") > WHOLE).select("keyword").distinct())
+        pieces.append(long.join(texts, "text").select("tid", "keyword"))
+    if not pieces:
+        return prompts.select("tid").join(files.select("file")).where("false")
+    hits = reduce(DataFrame.unionByName, pieces).join(marks.hint("shuffle_hash"), "keyword")
+    found = hits.groupBy("tid", "bucket").agg(F.bit_or("marks").alias("marks"))
+    return found.join(files, "bucket").where(F.col("marks").bitwiseAND(F.col("mark")) != 0).select("tid", "file")
+
+
 def activated(prompts: DataFrame, keywords: DataFrame) -> DataFrame:
     """(prompt, file): files one of whose keywords is in a prompt, in any case. prompts: prompt; keywords: file, keyword."""
-    low = prompts.select("prompt", F.lower("prompt").alias("text")).distinct()
-    words = keywords.select("file", F.lower("keyword").alias("keyword")).distinct()
-    return keyword_hits(low, words).join(words, "keyword").join(low, "text").select("prompt", "file").distinct()
+    texts = numbered(prompts)
+    return files_of(texts, keywords).join(texts, "tid").select("prompt", "file")
 
 
 def longest_literal(glob: Column) -> Column:

@@ -80,7 +80,7 @@ def text_files_by_keywords(spark, d):
     """Files by the prompts that one of their keywords activates: all words of the corpus as keywords, without a loop over them."""
     w = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("w"))
     words = w.select(F.concat(F.lit("file_"), (F.col("doc_id") % 50).cast("string")).alias("file"), F.expr("substring(w, 1, CAST(2 + doc_id % 9 AS INT))").alias("keyword"))
-    return N.activated(prompts(spark, d), words).groupBy("file").agg(F.count("*").alias("prompts"))
+    return N.files_of(N.numbered(prompts(spark, d)), words).groupBy("file").agg(F.count("*").alias("prompts"))
 
 
 @query("text_without_tags", r"SELECT page_id, length(trim(regexp_replace(regexp_replace(html, '<nav>.*?</nav>', '', 'gs'), '<style>.*?</style>', '', 'gs'))) AS n FROM pages")
