@@ -216,14 +216,15 @@ def learn_predictions(spark, d):
     a = accesses(spark, d).select(F.col("pos").alias("turn_id"), "path", "user_id", F.expr(SAID).alias("said"))
     w = Window.partitionBy("user_id").orderBy("turn_id")
     words = F.regexp_extract_all(F.lower("said"), F.lit(WORD), F.lit(0))
-    turns = a.select("turn_id", "path", F.regexp_extract_all("said", F.lit(MENTION), F.lit(0)).alias("mentions"), words.alias("words"), F.collect_list("path").over(w.rowsBetween(-5, -1)).alias("recent"))
+    turns = a.select("turn_id", "path", "user_id", F.regexp_extract_all("said", F.lit(MENTION), F.lit(0)).alias("mentions"), words.alias("words"), F.collect_list("path").over(w.rowsBetween(-5, -1)).alias("recent"))
     turns = written(turns, "turns")  # read for each signal
     last, before = F.try_element_at("recent", F.lit(-1)), F.try_element_at("recent", F.lit(-2))
     seen = turns.select("path", last.alias("last"), before.alias("before"))
     follows = seen.where("last IS NOT NULL").groupBy("last", "path").agg(F.count("*").alias("n"))
     follows_two = seen.where("before IS NOT NULL").groupBy("before", "last", "path").agg(F.count("*").alias("n"))
-    strong = L.strong_keywords(a.select("path", F.explode(words).alias("word")).groupBy("word", "path").agg(F.count("*").alias("count")))
-    pairs = L.pairs(a.select(F.col("user_id").alias("turn_id"), "path").distinct(), ["turn_id"]).withColumnRenamed("shared", "n")
+    strong = L.strong_keywords(turns.select("path", F.explode("words").alias("word")).groupBy("word", "path").agg(F.count("*").alias("count")))
+    pairs = L.pairs(turns.select(F.col("user_id").alias("turn_id"), "path").distinct(), ["turn_id"]).withColumnRenamed("shared", "n")
+    pairs = written(pairs, "pairs")  # each pair is read from both sides
     together = pairs.select(F.col("a").alias("path"), F.col("b").alias("related"), "n").unionByName(pairs.select(F.col("b").alias("path"), F.col("a").alias("related"), "n"))
-    popular = L.top_n(a.groupBy(P.project_of(F.col("path")).alias("project"), "path").agg(F.count("*").alias("n")), ["project"], [F.desc("n"), F.asc("path")], 20)
-    return P.predict(turns, P.names_of(a), strong, follows, follows_two, together, popular)
+    popular = L.top_n(turns.groupBy(P.project_of(F.col("path")).alias("project"), "path").agg(F.count("*").alias("n")), ["project"], [F.desc("n"), F.asc("path")], 20)
+    return P.predict(turns, P.names_of(turns), strong, follows, follows_two, together, popular)
