@@ -179,10 +179,11 @@ def learn_predictions_by_sequence(spark, d):
 
     w = Window.partitionBy("user_id").orderBy("pos")
     s = accesses(spark, d).select(F.col("pos").alias("turn_id"), "path", F.lag("path", 1).over(w).alias("c1"), F.lag("path", 2).over(w).alias("c2"))
-    follow = L.top_n(s.where("c1 IS NOT NULL").groupBy("c1", "path").agg(F.count("*").alias("n")), ["c1"], [F.desc("n"), F.asc("path")], 5).where("n >= 2")
-    seq = s.select("turn_id", "c1").join(follow, "c1").select("turn_id", "path", F.least(F.lit(8.0), F.col("n") * 0.6).alias("points"), ((F.col("n") >= 3) & (F.col("rank") == 1)).alias("sure"))
-    recent = lambda c, p: s.where(f"{c} IS NOT NULL").select("turn_id", F.col(c).alias("path"), F.lit(p).alias("points"), F.lit(False).alias("sure"))
-    return L.predicted(seq.unionByName(recent("c1", 6.0)).unionByName(recent("c2", 3.0)), F.col("sure"))
+    s = written(s, "turns")  # counted first, then predicted
+    follow = P.firsts(s.where("c1 IS NOT NULL").groupBy("c1", "path").agg(F.count("*").alias("n")), ["c1"], P.FOLLOWS, "follows")
+    recent = F.array(P.candidate(F.col("c1"), 6.0, False), P.candidate(F.col("c2"), 3.0, False)).cast(P.CANDIDATES)
+    t = s.join(follow, "c1", "left").select("turn_id", F.lit("").alias("project"), F.concat(recent, F.coalesce("follows", P.none())).alias("candidates"))
+    return P.chosen(t).drop("sure")
 
 
 SAID = "'please topic' || CAST(k % 23 AS STRING) || CASE k % 6 WHEN 0 THEN ' see mod' || CAST(k % 10 AS STRING) || '/file_' || CAST(k AS STRING) || '.py now' WHEN 1 THEN ' open file_' || CAST(k + 2 AS STRING) || '.md' WHEN 2 THEN ' about rare' || CAST(k AS STRING) ELSE '' END"
