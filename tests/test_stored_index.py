@@ -122,3 +122,40 @@ def test_odd_rows(spark, tmp_path):
     empty = f"file://{tmp_path}/empty"
     assert I.update(spark, empty, spark.createDataFrame([], DOCS)).docs == 0
     assert I.bm25(spark, empty, queries(spark, "a"), 3).count() == 0 and I.bm25(spark, f"{empty}2", queries(spark, "a"), 3).count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_posting_is_shuffled_once(spark, tmp_path, monkeypatch):
+    """Terms are counted within their document's row; only the ranges of a segment are a shuffle."""
+    path, seen, write = f"file://{tmp_path}/index", [], I._write
+
+    def spy(spark, path, gen, docs, postings, gone):
+        seen.append((plan_of(postings), sorted(map(tuple, postings.select("term", "doc", "tf", "dl").collect()))))
+        return write(spark, path, gen, docs, postings, gone)
+
+    monkeypatch.setattr(I, "_write", spy)
+    texts = {1: "bbb aaa bbb", 2: None, 3: "", 4: "aaa", 5: "zzz yyy zzz zzz aaa yyy", 6: "1a 22 no"}
+    I.update(spark, path, spark.createDataFrame([(k, 1, "md", x) for k, x in texts.items()], DOCS))
+    plan, rows = seen[0]
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    assert rows == [("aaa", 1, 1, 3), ("aaa", 4, 1, 1), ("aaa", 5, 1, 6), ("bbb", 1, 2, 3), ("yyy", 5, 2, 6), ("zzz", 5, 3, 6)]
+
+
+def test_weights_of_fields_are_counted(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    I.update(spark, path, spark.createDataFrame([(1, 1, "md", "# about apples\napples", "src/apples.py"), (2, 1, "md", None, None)], DOCS + ", path string"), file_path="path")
+    got = {r.term: (r.tf, r.dl) for r in I.lists(spark, path, queries(spark, "apples", "about", "src")).collect()}
+    assert got == {"apples": (5 + 3 + 2, 24), "about": (3 + 1, 24), "src": (5, 24)}
+
+
+def test_generations_are_a_partition_column(spark, tmp_path):
+    """No row's generation is cut from the name of its file."""
+    path = f"file://{tmp_path}/index"
+    I.update(spark, path, corpus(spark, 20))
+    I.update(spark, path, corpus(spark, 21, {3}, " fresh"))
+    live = I.live_docs(spark, path)
+    assert "file_path" not in plan_of(live) and "regexp" not in plan_of(live).lower()
+    assert {r.doc: r.gen for r in live.collect()} == {k: 2 if k in (3, 20) else 1 for k in range(21)}

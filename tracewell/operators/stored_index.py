@@ -1,6 +1,6 @@
 """An inverted index on disk: segments of postings clustered by term, delta segments for what changed, tombstones, merges.
 
-A segment is a folder with three Parquet tables: `postings` (term, doc, tf, dl), ranged by term and document and sorted, in small row groups, so that a filter on terms reads only the pages of those terms; `docs` (doc, mtime, doc_type, dl); `gone` (doc, gen), the tombstones: documents of older generations that this segment replaces or removes. Ranges are by term and document, so the list of a term that every document has is spread over as many files as it needs.
+A segment is a folder with three Parquet tables: `postings` (term, doc, tf, dl), ranged by term and document and sorted, in small row groups, so that a filter on terms reads only the pages of those terms; `docs` (doc, mtime, doc_type, dl); `gone` (doc, gen), the tombstones: documents of older generations that this segment replaces or removes. Segments lie in a folder for each generation, `gen=1` and so on, a partition column when they are read. Ranges are by term and document, so the list of a term that every document has is spread over as many files as it needs.
 A manifest names the segments and the totals of live documents. Each change writes a new manifest under the next number, which only one writer can create; readers take the highest. Nothing that a manifest names is ever changed, so a reader is never disturbed, and files of failed writers are never named. `vacuum` removes what the newest manifest does not name.
 
 A document is known by its key. Nulls: rows without a key are left out; a null content has no terms, a null mtime is older than any. Of rows that repeat a key, the one with the highest mtime counts, and of these the one with the highest content.
@@ -77,16 +77,26 @@ def _commit(spark: SparkSession, path: str, new: Manifest) -> Manifest:
 
 
 def terms_of(content: Column, path: Column | None = None) -> Column:
-    """An array of (term, weight): the tokens of a content, or of path, fingerprint and content by the fields' weights."""
-    weighed = lambda tokens, w: F.transform(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+    """An array of terms, each as often as it weighs: the tokens of a content, or of path, fingerprint and content by the fields' weights."""
+    weighed = lambda tokens, w: F.flatten(F.array_repeat(F.coalesce(tokens, F.array().cast("array<string>")), w))
     if path is None:
         return weighed(index_tokens(content), 1)
     return F.concat(weighed(path_tokens(path), FIELDS["path"]), weighed(index_tokens(fingerprint(content)), FIELDS["fingerprint"]), weighed(index_tokens(content), FIELDS["content"]))
 
 
+def counted(terms: Column) -> Column:
+    """An array of (term, tf) of an array of terms, in their order: counted within the row, so no single term is shuffled."""
+    # an array is bound to a name, or it would be computed again for each of its elements
+    bound = lambda c, f: F.element_at(F.transform(F.array(c), f), 1)
+    starts = lambda s: F.array_compact(F.transform(s, lambda t, k: F.when(~F.get(s, k - 1).eqNullSafe(t), k)))
+    end = lambda s, at, k: F.coalesce(F.get(at, k + 1), F.size(s))
+    pairs = lambda s, at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (end(s, at, k) - i).cast("long").alias("tf")))
+    return bound(F.sort_array(terms), lambda s: bound(starts(s), lambda at: pairs(s, at)))
+
+
 def _write(spark: SparkSession, path: str, gen: int, docs: DataFrame, postings: DataFrame, gone: DataFrame) -> Segment:
     """A segment of docs (doc, mtime, doc_type, dl), postings (term, doc, tf, dl) and gone (doc, gen)."""
-    name = f"{gen:08d}-{uuid.uuid4().hex}"
+    name = f"gen={gen}/{uuid.uuid4().hex}"
     where = f"{path}/segments/{name}"
     docs.write.parquet(f"{where}/docs")
     n, tokens = spark.read.schema(docs.schema).parquet(f"{where}/docs").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
@@ -99,11 +109,9 @@ def _write(spark: SparkSession, path: str, gen: int, docs: DataFrame, postings:
 
 
 def _table(spark: SparkSession, path: str, segments: list[Segment], table: str) -> DataFrame:
-    """A table of some segments in one scan; but for tombstones, with the generation of each row, which its folder's name begins with."""
-    df = spark.read.parquet(*(f"{path}/segments/{s.name}/{table}" for s in segments))
-    if table == "gone":
-        return df
-    return df.withColumn("gen", F.regexp_extract(F.col("_metadata.file_path"), r"/segments/(\d+)-[0-9a-f]+/[^/]+/[^/]+$", 1).cast("int"))
+    """A table of some segments in one scan; but for tombstones, which have one of their own, with the generation of each row from its folder's name."""
+    reader = spark.read if table == "gone" else spark.read.option("basePath", f"{path}/segments")
+    return reader.parquet(*(f"{path}/segments/{s.name}/{table}" for s in segments))
 
 
 def _alive(spark: SparkSession, path: str, now: Manifest, rows: DataFrame) -> DataFrame:
@@ -133,9 +141,9 @@ def update(spark: SparkSession, path: str, corpus: DataFrame, removed: DataFrame
     else:
         came = came.withColumn("was", F.lit(None).cast("int"))
     newest = came.groupBy("doc").agg(F.max_by(F.struct(*[c for c in came.columns if c != "doc"]), F.struct("mtime", F.coalesce("content", F.lit("")))).alias("row")).select("doc", "row.*")
-    tokens = terms_of(F.col("content"), F.col("path") if file_path else None)
-    stage = newest.select("doc", "mtime", "doc_type", "was", tokens.alias("tokens"))
-    stage = stage.select("*", F.aggregate("tokens", F.lit(0).cast("long"), lambda s, t: s + t["w"]).alias("dl"))
+    terms = counted(terms_of(F.col("content"), F.col("path") if file_path else None))
+    stage = newest.select("doc", "mtime", "doc_type", "was", terms.alias("terms"))
+    stage = stage.select("*", F.aggregate("terms", F.lit(0).cast("long"), lambda s, t: s + t["tf"]).alias("dl"))
     staged = f"{path}/staged/{uuid.uuid4().hex}"
     stage.write.parquet(staged)
     stage = spark.read.schema(stage.schema).parquet(staged)
@@ -143,8 +151,8 @@ def update(spark: SparkSession, path: str, corpus: DataFrame, removed: DataFrame
     if removed is not None and now.segments:
         left = live_docs(spark, path).select("doc", "gen").join(removed.select(F.col(removed.columns[0]).alias("doc")).distinct(), "doc", "left_semi")
         gone = gone.unionByName(left).distinct()
-    posting = stage.select("doc", "dl", F.explode("tokens").alias("t")).groupBy(F.col("t.term").alias("term"), "doc", "dl").agg(F.sum("t.w").alias("tf"))
-    segment = _write(spark, path, gen, stage.select("doc", "mtime", "doc_type", "dl"), posting.select("term", "doc", "tf", "dl"), gone)
+    posting = stage.select("doc", "dl", F.explode("terms").alias("t")).select("t.term", "doc", "t.tf", "dl")
+    segment = _write(spark, path, gen, stage.select("doc", "mtime", "doc_type", "dl"), posting, gone)
     _delete(spark, staged)
     if not segment.docs and not segment.gone and now.segments:
         return now
@@ -181,7 +189,8 @@ def vacuum(spark: SparkSession, path: str) -> int:
     now = manifest(spark, path)
     fs, where, _ = _fs(spark, f"{path}/segments")
     kept = {s.name for s in now.segments}
-    old = [s.getPath().getName() for s in fs.listStatus(where) if s.getPath().getName() not in kept] if fs.exists(where) else []
+    found = [s.getPath() for gen in fs.listStatus(where) for s in fs.listStatus(gen.getPath())] if fs.exists(where) else []
+    old = [n for n in (f"{s.getParent().getName()}/{s.getName()}" for s in found) if n not in kept]
     for name in old:
         _delete(spark, f"{path}/segments/{name}")
     fs, where, _ = _fs(spark, f"{path}/manifests")
