@@ -702,6 +702,28 @@ def test_op8_flat_files(spark, tmp_path, monkeypatch, ids, end):
         assert [r.n_tokens for r in got] == docs
 
 
+def test_op8_rounds(spark, tmp_path, monkeypatch):
+    """Token files of a part of the rows lie on disk at once, however few rows a file of the table has, and none stays."""
+    from pathlib import Path
+
+    sizes = lambda: sum(p.stat().st_size for p in Path(tmp_path).rglob("*.bin"))
+    held, files_of = [], op8_tokens.token_files
+
+    def watched(*a, **k):
+        out = files_of(*a, **k)
+        held.append(sizes())
+        return out
+
+    monkeypatch.setattr(op8_tokens, "token_files", watched)
+    monkeypatch.setattr(op8_tokens, "folder", lambda spark, name: f"file://{tmp_path}/{name}-{len(held)}")
+    spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("é"), F.pmod("id", F.lit(50)).cast("int")).alias("text")).repartition(40).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    got = sorted(map(tuple, op8_tokens.token_counts(docs).collect()))
+    assert got == [(k, 2 * (k % 50)) for k in range(400)]
+    total = sum(n + 1 for _, n in got)
+    assert sum(held) == total and max(held) < 0.7 * total and sizes() == 0
+
+
 def test_op9_permutation():
     import numpy as np
 

@@ -5,6 +5,7 @@ A task names its files itself and hands their names on as rows, which Spark comm
 
 from __future__ import annotations
 
+import contextlib
 import math
 import re
 import uuid
@@ -37,6 +38,13 @@ def create(where: str, name: str, end: str = ".bin") -> tuple[str, pa.NativeFile
     return f"{where}/{file}", fs.open_output_stream(f"{path}/{file}", compression=None)
 
 
+def remove(where: str) -> None:
+    """Deletes a folder with its files, if there is one."""
+    fs, path = located(where)
+    with contextlib.suppress(OSError):  # none was written, or an attempt that was lost still writes there
+        fs.delete_dir(path)
+
+
 class Replaced:
     """A file of a fixed name, which appears whole when it is done: an attempt that is repeated writes the same again."""
 

@@ -3,6 +3,8 @@
 A token file is a flat run of ids with an end-of-document id after each document, and no index. Ranges of its bytes, cut without regard to documents, are read at their offsets and searched for that id with one vectorised comparison each; no task holds more than a range, whatever the size of a file.
 A range knows the lengths of the documents that lie in it whole. The first one that ends in it began in an earlier range: a prefix scan over the ranges (in groups, so that no task orders more than GROUP of them) carries the tokens, the ends and the place of the last end before each range, and stitches them.
 
+Token files are larger than the compressed table that they are made of. Counts are kept and files are not, so the rows are dealt to ROUNDS by their places in the table: the files of a round are written, searched and deleted before the next, and no more than a round's lie on disk. A row is never split over rounds.
+
 Here documents are tokenised as UTF-8 bytes, ids of 8 bits, and END is 255, which UTF-8 never uses (a byte 255 in a text that is not UTF-8 is written as 254). Files with ids of 16 or 32 bits (little-endian) are read alike.
 
 Nulls: a null or empty text is a document without tokens; a null id is carried along. Rows that repeat are documents of their own. A file without a last end still has its last document; an empty file or table has none. Very long texts are cut over ranges like others.
@@ -11,6 +13,7 @@ Nulls: a null or empty text is a document without tokens; a null id is carried a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import flat, in_pieces, saved
-from .files import Reader, create, folder, spread
+from .common import flat, in_pieces, placed_rows, saved
+from .files import Reader, create, folder, remove, spread
 
 END, RANGE, GROUP, IDS = 255, 1 << 20, 1 << 12, "<u1"
+ROUNDS = 2
 
 
 def with_ends(column: pa.Array) -> np.ndarray:
@@ -33,11 +37,11 @@ def with_ends(column: pa.Array) -> np.ndarray:
     return out
 
 
-def token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(files: file, n_bytes; documents: file, ordinal, id): a flat file for each partition of docs, in the shared folder."""
+def token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", where: str = "") -> tuple[DataFrame, DataFrame]:
+    """(files: file, n_bytes; documents: file, ordinal, id): a flat file for each partition of docs, in a folder, or a new one in the shared folder."""
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    where = folder(docs.sparkSession, "tokens")
+    where = where or folder(docs.sparkSession, "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = stream = None
@@ -68,8 +72,8 @@ def files_at(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("n_bytes"))
 
 
-def scan(files: DataFrame, end: int = END, ids: str = IDS, size: int = RANGE) -> DataFrame:
-    """(file, ordinal, n_tokens): the documents of each file in order. files: file, n_bytes; size: tokens of a range."""
+def searched(files: DataFrame, end: int = END, ids: str = IDS, size: int = RANGE) -> DataFrame:
+    """(file, block, n, first, last, inner): the ends in each range of files, written as a table; files are not read again. files: file, n_bytes; size: tokens of a range."""
     kind, step = files.schema["file"].dataType.simpleString(), size * np.dtype(ids).itemsize
     files = saved(files.where("n_bytes > 0").select("file", "n_bytes"), "files")
     total = files.agg(F.sum("n_bytes")).first()[0] or 0
@@ -92,7 +96,12 @@ def scan(files: DataFrame, end: int = END, ids: str = IDS, size: int = RANGE) ->
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(lengths, pa.list_(pa.int64()))], ["file", "block", "n", "first", "last", "inner"])
         reader.close()
 
-    found = saved(ranges.mapInArrow(search, f"file {kind}, block long, n long, first long, last long, inner array<long>").withColumn("g", F.floor(F.col("block") / GROUP)), "scan")
+    return saved(ranges.mapInArrow(search, f"file {kind}, block long, n long, first long, last long, inner array<long>"), "scan")
+
+
+def stitched(found: DataFrame) -> DataFrame:
+    """(file, ordinal, n_tokens): the documents of each file in order, from the ends in its ranges."""
+    found = found.withColumn("g", F.floor(F.col("block") / GROUP))
     ends = F.when(F.col("first").isNull(), 0).otherwise(F.size("inner") + 1)
 
     def before(what, keys, order):
@@ -111,10 +120,22 @@ def scan(files: DataFrame, end: int = END, ids: str = IDS, size: int = RANGE) ->
     return whole.unionByName(tail.select("file", "ordinal", (F.col("n") - F.col("last") - 1).alias("n_tokens")).where("n_tokens > 0"))
 
 
+def scan(files: DataFrame, end: int = END, ids: str = IDS, size: int = RANGE) -> DataFrame:
+    """(file, ordinal, n_tokens): the documents of each file in order. files: file, n_bytes; size: tokens of a range."""
+    return stitched(searched(files, end, ids, size))
+
+
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens): one row for each row of docs, counted in its token files."""
-    files, names = token_files(docs, id_col, text_col)
-    return names.join(scan(files), ["file", "ordinal"]).select(id_col, "n_tokens")
+    """(id, n_tokens): one row for each row of docs, counted in its token files, which are made and deleted in ROUNDS."""
+    rows = placed_rows(docs, {"i": id_col, "t": text_col}).withColumn("round", F.pmod(F.xxhash64("_file", "_row"), F.lit(ROUNDS)))
+    rounds = []
+    for k in range(ROUNDS):
+        where = folder(docs.sparkSession, "tokens")
+        files, names = token_files(rows.where(F.col("round") == k), "i", "t", where)
+        rounds.append((names, searched(files)))
+        remove(where)
+    names, found = (reduce(DataFrame.unionByName, parts) for parts in zip(*rounds, strict=True))
+    return names.join(stitched(found), ["file", "ordinal"]).select(F.col("i").alias(id_col), "n_tokens")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
